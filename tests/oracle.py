@@ -37,15 +37,15 @@ def multiset(columns, rows) -> Counter:
     return Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def differences(df, con, sql: str) -> str | None:
-    """None when equal, else a short account of the difference."""
+def differences(df, con, sql: str) -> tuple[str | None, int]:
+    """What differs (None when equal) and the number of rows."""
     result = con.execute(sql)
     theirs_cols = [d[0] for d in result.description]
     theirs_rows = result.fetchall()
     if sorted(df.columns) != sorted(theirs_cols):
-        return f"columns {sorted(df.columns)} != {sorted(theirs_cols)}"
+        return f"columns {sorted(df.columns)} != {sorted(theirs_cols)}", 0
     ours, theirs = multiset(df.columns, df.collect()), multiset(theirs_cols, theirs_rows)
     if ours == theirs:
-        return None
+        return None, sum(ours.values())
     return (f"rows {sum(ours.values())} vs {sum(theirs.values())}; only ours {list((ours - theirs).items())[:3]}; "
-            f"only theirs {list((theirs - ours).items())[:3]}")
+            f"only theirs {list((theirs - ours).items())[:3]}"), sum(ours.values())
