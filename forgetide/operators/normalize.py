@@ -27,17 +27,20 @@ def repo_id() -> Column:
     return F.coalesce(get("v", "repo.id", "long"), get("v", "repository.id", "long"))
 
 
-def full_name() -> Column:
-    """owner/name; null when no source gives one."""
-    url = text("v", "url")
+def with_full_name(records: DataFrame) -> DataFrame:
+    """Add `project`, owner/name; null when no source gives one. Built in steps, so
+    that each document value is looked up once."""
+    url = F.col("_url")
     listed = F.concat(get("v", "repository.owner"), F.lit("/"), get("v", "repository.name"))
     from_url = F.array_join(F.slice(F.split(url, "/"), 4, 2), "/")
-    name = F.coalesce(text("v", "payload.repo"), get("v", "repo.name"), listed, from_url)
     after_host = F.split(F.try_element_at(F.split(url, "github.com/"), F.lit(2)), "/")
     derived = F.concat_ws("/", F.try_element_at(after_host, F.lit(1)), F.try_element_at(after_host, F.lit(2)))
-    fixed = F.when(name.startswith("/") & (F.length(name) > 1) & url.contains("github.com/"),
-                   derived).otherwise(name)
-    return F.when((fixed != "") & ~fixed.startswith("/"), fixed)
+    rooted = F.col("_name").startswith("/")
+    fixed = F.when(~rooted & (F.col("_name") != ""), F.col("_name")).when(
+        rooted & (F.length("_name") > 1) & url.contains("github.com/") & ~derived.startswith("/"), derived)
+    return (records.withColumn("_url", text("v", "url"))
+                   .withColumn("_name", F.coalesce(text("v", "payload.repo"), get("v", "repo.name"), listed, from_url))
+                   .withColumn("project", fixed).drop("_url", "_name"))
 
 
 def created_at() -> Column:
@@ -97,9 +100,9 @@ def review_comment() -> dict[str, Column]:
 def normalise(records: DataFrame) -> DataFrame:
     """Parsed records (`v`, `seq`) to event rows."""
     event_type = get("v", "type")
-    base = records.withColumns({
+    base = with_full_name(records).withColumns({
         "event_type": event_type, "event_id": get("v", "id"), "repo_id": repo_id(),
-        "project": full_name(), "actor": person("actor"), "created_at": created_at(),
+        "actor": person("actor"), "created_at": created_at(),
     })
     project = F.col("project")
     what_type = F.coalesce(get("v", "payload.ref_type"), get("v", "payload.object"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgetide.functions.documents import get
-from forgetide.operators.normalize import canonical_project, in_projects, not_placeholder, not_skipped
+from forgetide.operators.normalize import (canonical_project, in_projects, normalise, not_placeholder,
+                                           not_skipped)
 from forgetide.sources.store import keep_last
 
 # The columns every event table starts with.
@@ -34,6 +35,13 @@ TABLES = {
 ROUTED_TYPES = [kind for name, (kind, _, _) in TABLES.items() if name != "MemberStatusEvent"]
 
 
+def land_events(records: DataFrame, path: str) -> None:
+    """Parse and normalise once, for all tables. Rows are sorted by type within each
+    task, so a table's scan skips the row groups of other types; no shuffle by type,
+    as one type may hold half of all events."""
+    normalise(records).sortWithinPartitions("event_type").write.mode("overwrite").parquet(path)
+
+
 def chosen(events: DataFrame, canon: DataFrame) -> DataFrame:
     """Usable events of the chosen projects with their canonical project."""
     usable = not_placeholder(not_skipped(events)).filter("project IS NOT NULL")

@@ -280,11 +280,11 @@ def f4(spark, sf):
     return N.in_projects(events(spark, sf), canon).select(line(), "project")
 
 
-@query("F5_number_anywhere", f"""SELECT * FROM ({CLASSIFY_SQL}) WHERE project_owner = 'Own3' AND project_name = 'Proj2'
-AND line IN (SELECT line FROM {EVENTS_SQL} WHERE '9' IN (coalesce({PAY}number', ''), coalesce({PAY}issue.number', ''),
+@query("F5_number_anywhere", f"""SELECT * FROM ({CLASSIFY_SQL}) WHERE project_owner = 'Own2' AND project_name = 'Proj5'
+AND line IN (SELECT line FROM {EVENTS_SQL} WHERE '75' IN (coalesce({PAY}number', ''), coalesce({PAY}issue.number', ''),
   coalesce({PAY}pull_request.number', '')))""")
 def f5(spark, sf):
-    return activity(N.mentions_number(archive_records(spark, sf), "Own3", "Proj2", 9))
+    return activity(N.mentions_number(archive_records(spark, sf), "Own2", "Proj5", 75))
 
 
 @query("F6_point_lookup", f"""SELECT line, CAST({PAY}issue.id' AS BIGINT) AS issueid, repo_owner AS project_owner,

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from forgetide.functions.documents import get
 from forgetide.operators import routing as R
 from forgetide.plans.archive import (CREATE_OR_DELETE, ISO, MEMBER_SQL, PAY, PR_NUM, REVIEW_SQL, WHAT_TYPE,
-                                     branch_sql, events)
-from forgetide.plans.fixtures import canon_frame
+                                     branch_sql)
+from forgetide.plans.fixtures import archive_records, canon_frame
 from forgetide.plans.registry import query
+from forgetide.session import scratch_path
 
 # Chosen events with canonical project; names learned under known ids count as aliases.
 CHOSEN = f"""{MEMBER_SQL}, a AS (SELECT unnest(aliases) AS name, id, canonical FROM c),
@@ -25,6 +26,19 @@ x AS (SELECT e.*, coalesce(e.repo_id, a.id, -2) AS github_project_id,
 COMMON = "event_type, github_project_id, canonical_project, project, actor, created_at"
 
 
+_LANDED: dict[tuple[str, str], str] = {}
+
+
+def landed(spark, sf):
+    """The normalised events, written once per session and read by every table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LANDED:
+        path = scratch_path(spark, "events")
+        R.land_events(archive_records(spark, sf), path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key])
+
+
 def table_sql(kind, extra, key, where="actor IS NOT NULL", source="x", order="line"):
     picks = "".join(f", {sql} AS {name}" for name, sql in extra.items())
     rows = f"SELECT {COMMON}{picks}, event_id AS id, {order} AS ord FROM {source} WHERE event_type = '{kind}' AND {where}"
@@ -35,7 +49,7 @@ def table_sql(kind, extra, key, where="actor IS NOT NULL", source="x", order="li
 def table_query(name, table, sql):
     @query(name, sql)
     def job(spark, sf):
-        chosen = R.chosen(events(spark, sf), canon_frame(spark, sf))
+        chosen = R.chosen(landed(spark, sf), canon_frame(spark, sf))
         return R.typed_table(chosen, table).withColumn("created_at", F.date_format("created_at", ISO))
     return job
 
@@ -89,7 +103,7 @@ coalesce(actor, '') AS actor, created_at, event_id AS id, {PAY}action' AS raw_ac
 WHERE event_type NOT IN ({ROUTED}) AND event_id IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY line DESC) = 1""")
 def e12(spark, sf):
-    out = R.other_table(R.chosen(events(spark, sf), canon_frame(spark, sf)))
+    out = R.other_table(R.chosen(landed(spark, sf), canon_frame(spark, sf)))
     return out.withColumns({"created_at": F.date_format("created_at", ISO),
                             "raw_action": get("raw", "payload.action")}).drop("raw")
 
@@ -104,4 +118,4 @@ SELECT line, CASE WHEN project IS NULL THEN 'no repository'
 FROM e WHERE event_type <> 'FollowEvent' AND error_reason IS NOT NULL""".replace(
     "WITH e AS (SELECT * FROM MEMBERS)", MEMBER_SQL))
 def rejected_events(spark, sf):
-    return R.rejects(events(spark, sf)).select(F.col("seq.row").alias("line"), "error_reason")
+    return R.rejects(landed(spark, sf)).select(F.col("seq.row").alias("line"), "error_reason")
