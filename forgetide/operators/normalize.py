@@ -148,6 +148,12 @@ def all_aliases(canon: DataFrame) -> DataFrame:
     return canon.select(F.explode("aliases").alias("name")).distinct()
 
 
+def _id_key() -> Column:
+    """repo_id as a join key. Old records have none; they get scattered negative keys,
+    which match no id, instead of one null key that all of them share."""
+    return F.coalesce("repo_id", -F.pmod(F.xxhash64("project", "created_at"), F.lit(1 << 40)) - 10)
+
+
 def in_projects(events: DataFrame, canon: DataFrame, grow: bool = True) -> DataFrame:
     """Events of the chosen projects: a known id, or a name that is an alias or (with
     `grow`) was met under a known id anywhere. Two equality joins give two flags."""
@@ -156,7 +162,7 @@ def in_projects(events: DataFrame, canon: DataFrame, grow: bool = True) -> DataF
         names = names.union(learned_names(events, canon)).distinct()
     names = names.select(F.col("name").alias("_name"), F.lit(True).alias("_by_name"))
     ids = canon.select(F.col("id").alias("_id")).distinct().withColumn("_by_id", F.lit(True))
-    flagged = (events.join(ids, F.col("repo_id") == F.col("_id"), "left")
+    flagged = (events.join(ids, _id_key() == F.col("_id"), "left")
                      .join(names, F.lower("project") == F.col("_name"), "left"))
     return flagged.filter("_by_id OR _by_name").drop("_id", "_by_id", "_name", "_by_name")
 
@@ -168,7 +174,7 @@ def canonical_project(events: DataFrame, canon: DataFrame) -> DataFrame:
     by_id = canon.select(F.col("id").alias("_id"), F.col("canonical").alias("_c1"))
     by_name = (canon.select("id", "canonical", F.explode("aliases").alias("_alias"))
                     .groupBy("_alias").agg(F.min_by("canonical", "id").alias("_c2"), F.min("id").alias("_id2")))
-    joined = (events.join(by_id, F.col("repo_id") == F.col("_id"), "left")
+    joined = (events.join(by_id, _id_key() == F.col("_id"), "left")
                     .join(by_name, F.lower("project") == F.col("_alias"), "left"))
     return joined.withColumns({
         "github_project_id": F.coalesce("repo_id", "_id2", F.lit(-2)),
