@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from forgetide.session import cut
 
 
-def _fingerprint(pairs: DataFrame):
-    return pairs.agg(F.count("*"), F.sum(F.xxhash64("x", "y") % 1_000_000_007)).first()
+def _all_stars(pairs: DataFrame) -> bool:
+    """True when every node hangs on one root and no root hangs on another node."""
+    ends = pairs.select(F.col("x").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        pairs.select("y", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
@@ -32,14 +36,11 @@ def _small_star(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the component is its smallest node. Self edges give nodes."""
     ends = edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct()
-    ends = cut(ends)
-    pairs, before = ends.filter("x <> y"), None
+    pairs = ends.filter("x <> y")
     while True:
         pairs = cut(_small_star(_large_star(pairs)))
-        now = _fingerprint(pairs)
-        if now == before:
+        if _all_stars(pairs):
             break
-        before = now
     nodes = ends.select(F.col("x").alias("node")).union(ends.select("y")).distinct()
     joined = nodes.join(pairs.select(F.col("x").alias("node"), F.col("y").alias("root")), "node", "left")
     return joined.select("node", F.coalesce("root", "node").alias("component"))

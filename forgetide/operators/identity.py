@@ -121,7 +121,6 @@ def alias_clusters(pairs: DataFrame, replay_limit: int = REPLAY_LIMIT) -> DataFr
 
 
 def _cluster(pairs: DataFrame, replay_limit: int) -> tuple[DataFrame, DataFrame]:
-    pairs = cut(pairs)
     ends = pairs.select(F.col("alias1").alias("alias"), "ord").union(pairs.select("alias2", "ord"))
     met = ends.groupBy("alias").agg(F.min("ord").alias("met"))
     at = lambda n: met.select(F.col("alias").alias(f"alias{n}"), F.col("met").alias(f"met{n}"))
@@ -135,8 +134,8 @@ def _cluster(pairs: DataFrame, replay_limit: int) -> tuple[DataFrame, DataFrame]
     first = keep_last(names, ["tree"], ["_late", "alias"])
     rest = names.join(first.select("tree", "alias"), ["tree", "alias"], "left_anti")
     second = keep_last(rest, ["tree"], ["_late", "alias"])
-    names = cut(first.select("tree", F.col("met").alias("n1")).join(
-        second.select("tree", F.col("met").alias("n2")), "tree", "left").fillna(NEVER, ["n2"]))
+    names = first.select("tree", F.col("met").alias("n1")).join(
+        second.select("tree", F.col("met").alias("n2")), "tree", "left").fillna(NEVER, ["n2"])
 
     tree = lambda n: trees.select(F.col("alias").alias(f"alias{n}"), F.col("tree").alias(f"t{n}"))
     between = timed.filter("NOT brings_name").join(tree(1), "alias1").join(tree(2), "alias2").filter("t1 <> t2")
@@ -146,8 +145,8 @@ def _cluster(pairs: DataFrame, replay_limit: int) -> tuple[DataFrame, DataFrame]
     merging = cut(_merging_pairs(open_pairs, names, replay_limit))
     joined = components(open_pairs.join(merging, "ord", "left_semi"), "t1", "t2").select(
         F.col("node").alias("tree"), "component")
-    clusters = cut(trees.join(joined, "tree", "left").select(
-        "alias", F.coalesce("component", "tree").alias("cluster")))
+    clusters = trees.join(joined, "tree", "left").select(
+        "alias", F.coalesce("component", "tree").alias("cluster"))
     used = timed.join(merging.withColumn("merges", F.lit(True)), "ord", "left").filter("brings_name OR merges")
     return clusters, used.select("alias1", "alias2", "provenance", "ord", "brings_name")
 
@@ -166,12 +165,20 @@ def refused_pairs(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def cluster_provenance(pairs: DataFrame, replay_limit: int = REPLAY_LIMIT) -> DataFrame:
-    """(cluster, text): why the members are together, one row per reason."""
+    """(cluster, text): why the members are together, one row per reason. Pairs of
+    saved clusters give none, see `carried_provenance`."""
     clusters, used = _cluster(pairs, replay_limit)
     both = F.concat("provenance", F.lit(" ("), "alias1", F.lit("="), "alias2", F.lit(")"))
     reason = F.when(F.col("brings_name"), both).otherwise(F.col("provenance"))
-    return used.withColumnRenamed("alias1", "alias").join(clusters, "alias").select(
-        "cluster", reason.alias("text")).distinct()
+    reasons = used.filter(F.col("ord") >= 0).select(F.col("alias1").alias("alias"), reason.alias("text"))
+    return reasons.join(clusters, "alias").select("cluster", "text").distinct()
+
+
+def carried_provenance(saved: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Reasons saved for old clusters (cluster, text) under the clusters they are in now;
+    an old cluster is named by one of its aliases."""
+    now = clusters.select(F.col("alias").alias("_old"), F.col("cluster").alias("_now"))
+    return saved.join(now, F.col("cluster") == F.col("_old")).select(F.col("_now").alias("cluster"), "text").distinct()
 
 
 def canonical_of(rows: DataFrame, column: str, canonical: DataFrame) -> DataFrame:
