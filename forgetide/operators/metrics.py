@@ -129,6 +129,19 @@ def forward_fill(df: DataFrame, measure: str, start: int = 0) -> DataFrame:
     return grid.select(*PERIOD_KEYS, filled.alias(measure))
 
 
+def filled(df: DataFrame, zero: Sequence[str], carried: Sequence[str],
+           seen: DataFrame | None = None) -> DataFrame:
+    """The dense grid with absent cells zero in the `zero` columns and, in the `carried`
+    columns, the previous value of the project. "total" keeps its own value."""
+    grid = _grid(df, [*zero, *carried], lambda c: c, seen)
+    so_far = Window.partitionBy("project").orderBy("period").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    last = {m: F.when(F.col("period") == TOTAL, F.col(m)).otherwise(
+        F.last(m, ignorenulls=True).over(so_far)) for m in carried}
+    out = grid.withColumns(last)
+    return out.fillna(0, [*zero, *carried])
+
+
 def wide(df: DataFrame, measures: Sequence[str], value: str = "n") -> DataFrame:
     """Long cells to one column per declared measure, in name order. A measure that
     is not declared stops the job."""

@@ -68,8 +68,10 @@ def _pages(events: DataFrame) -> DataFrame:
     return paged.withColumns({**fields, "html_url": F.coalesce(get("page", "html_url"), F.lit(""))})
 
 
-def typed_table(events: DataFrame, name: str, key: list[str] | None = None) -> DataFrame:
-    """One event table out of `chosen` events. `key` overrides the coarse default key."""
+def typed_table(events: DataFrame, name: str, key: list[str] | None = None,
+                keep_order: bool = False) -> DataFrame:
+    """One event table out of `chosen` events. `key` overrides the coarse default key;
+    `keep_order` keeps the columns that order the writes."""
     kind, extra, default_key = TABLES[name]
     rows = events.filter((F.col("event_type") == kind) & F.col("actor").isNotNull())
     rows = rows.withColumn("_page", F.lit(0))
@@ -88,7 +90,8 @@ def typed_table(events: DataFrame, name: str, key: list[str] | None = None) -> D
         rows = rows.filter("author IS NOT NULL").withColumn("branch", F.col("into_branch"))
     rows = rows.select(*COMMON, *extra, F.col("event_id").alias("id"), "seq", "_page")
     key = default_key if key is None else key
-    return (keep_last(rows, key, ["seq", "_page"]) if key else rows).drop("seq", "_page")
+    newest = keep_last(rows, key, ["seq", "_page"]) if key else rows
+    return newest if keep_order else newest.drop("seq", "_page")
 
 
 def other_table(events: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from forgetide.functions.periods import period_label
 from forgetide.operators import commits as C
+from forgetide.operators import jobs
+from forgetide.operators import metrics as M
 from forgetide.plans.fixtures import t, table
 from forgetide.plans.registry import query
 
@@ -121,7 +123,44 @@ def w9_large(spark, sf):
 SELECT project, period, count(*) AS arrivers FROM f GROUP BY ALL UNION ALL
 SELECT project, 'total', count(*) FROM f GROUP BY project""")
 def arriving(spark, sf):
-    from forgetide.operators import metrics as M
     rows = C.resolved(commits(spark, sf), canonical(spark, sf))
     return M.arrivers(rows.select("project", period_label("committed_date", "month").alias("period"),
                                   F.col("committer_email").alias("member")))
+
+
+PEOPLE = {"commit_authors_email": ("author", "r"), "commit_committers_email": ("committer", "r"),
+          "mergers_email": ("committer", "g")}
+
+
+def moves(side, edge):
+    """Members by first or last period, as cells of one measure each."""
+    parts = []
+    for measure, (who, src) in PEOPLE.items():
+        one = f"(SELECT project, {who} AS member, {edge}(period) AS period FROM {src} GROUP BY project, {who})"
+        parts.append(cells(f"{side}_{measure}", "count(*)", one))
+    return " UNION ALL ".join(parts)
+
+
+COUNTED = [m for m in jobs.REPORT_MEASURES if m not in C.FILE_MEASURES]
+REPORT_SQL = f"""WITH {RESOLVED_SQL}, cell AS ({cells('commits_recheck', 'count(DISTINCT sha)', 'r')} UNION ALL
+{cells('commit_authors_email', 'count(DISTINCT author)', 'r')} UNION ALL
+{cells('commit_committers_email', 'count(DISTINCT committer)', 'r')} UNION ALL
+{cells('mergers_email', 'count(DISTINCT committer)', 'g')} UNION ALL {cells('merges', 'count(*)', 'g')} UNION ALL
+{moves('arriving', 'min')} UNION ALL {moves('leaving', 'max')}),
+wide AS (SELECT project, period, {', '.join(f"max(n) FILTER (WHERE measure = '{m}') AS {m}" for m in COUNTED)}
+  FROM cell GROUP BY project, period),
+fc AS ({COUNTS_SQL}), newest AS (SELECT project, sha, strftime(committed_date, '%Y%m') AS period
+  FROM {SRC} QUALIFY row_number() OVER (PARTITION BY project, period ORDER BY committed_date DESC, sha DESC) = 1),
+snap AS (SELECT newest.project, newest.period, {ZERO.replace('c.', 'fc.')} FROM newest
+  LEFT JOIN fc ON fc.project = newest.project AND fc.sha = newest.sha),
+grid AS (SELECT * FROM (SELECT DISTINCT project FROM wide) CROSS JOIN (SELECT DISTINCT period FROM wide))
+SELECT grid.project, grid.period, {', '.join(f'coalesce({m}, 0) AS {m}' for m in COUNTED)}, {', '.join(
+    f"coalesce(CASE WHEN grid.period = 'total' THEN max({m}) OVER (PARTITION BY grid.project) ELSE "
+    f"last_value({m} IGNORE NULLS) OVER (PARTITION BY grid.project ORDER BY grid.period ROWS UNBOUNDED PRECEDING) END, 0) AS {m}"
+    for m in C.FILE_MEASURES)}
+FROM grid LEFT JOIN wide USING (project, period) LEFT JOIN snap USING (project, period)"""
+
+
+@query("A8_periodic_commit_report", REPORT_SQL)
+def report(spark, sf):
+    return jobs.periodic_report(commits(spark, sf), FILES.frame(spark, sf), canonical(spark, sf))

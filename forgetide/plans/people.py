@@ -142,13 +142,13 @@ def g7(spark, sf):
     return P.oriented(PAIRS.frame(spark, sf))
 
 
-LOGIN_MAP = table("events", "user_id", t("user<user_id>@x.org") + " AS email", t("user<user_id>") + " AS login")
+LOGIN_MAP = table("customer", "c_mktsegment", t("user<c_custkey>@x.org") + " AS email", t("user<c_custkey>") + " AS login")
 
 
-@query("J3_actor_email_to_login", f"""SELECT event_id, CASE WHEN actor LIKE '%@%' AND CAST(regexp_extract(actor, '[0-9]+') AS INT) < 70
-THEN split_part(actor, '@', 1) ELSE actor END AS actor FROM {SRC}""")
+@query("J3_actor_email_to_login", f"""SELECT event_id, coalesce(m.login, actor) AS actor FROM {SRC} r
+LEFT JOIN (SELECT * FROM {LOGIN_MAP.sql} WHERE c_mktsegment <> 'BUILDING') m ON r.actor LIKE '%@%' AND m.email = r.actor""")
 def j3(spark, sf):
-    known = LOGIN_MAP.frame(spark, sf).filter("user_id < 70").select("email", "login").distinct()
+    known = LOGIN_MAP.frame(spark, sf).filter("c_mktsegment <> 'BUILDING'")
     return P.resolve_actors(TIMELINE.frame(spark, sf), known).select("event_id", "actor")
 
 

@@ -8,9 +8,10 @@ from forgetide.functions.documents import get
 from forgetide.operators import routing as R
 from forgetide.plans.archive import (CREATE_OR_DELETE, ISO, MEMBER_SQL, PAY, PR_NUM, REVIEW_SQL, WHAT_TYPE,
                                      branch_sql)
-from forgetide.plans.fixtures import archive_records, canon_frame
-from forgetide.plans.registry import query
+from forgetide.plans.fixtures import ARCHIVE, archive_records, canon_frame
+from forgetide.plans.registry import ORACLES, query
 from forgetide.session import scratch_path
+from forgetide.streaming.ingest import current_rows, stream_event_table, stream_lines
 
 # Chosen events with canonical project; names learned under known ids count as aliases.
 CHOSEN = f"""{MEMBER_SQL}, a AS (SELECT unnest(aliases) AS name, id, canonical FROM c),
@@ -95,6 +96,17 @@ table_query("E11_release_events", "ReleaseEvent", table_sql(
     "project, created_at, tag, action", f"actor IS NOT NULL AND {AUTHOR} IS NOT NULL"))
 
 
+@query("E1_streamed_push_events", ORACLES["E1_push_events"])
+def streamed(spark, sf):
+    files, target = scratch_path(spark, "arriving"), scratch_path(spark, "streamed")
+    ARCHIVE.frame(spark, sf).select("event_id", F.col("doc").alias("value")).orderBy("event_id").select(
+        "value").write.option("compression", "gzip").text(files)
+    job = stream_event_table(stream_lines(spark, files), "PushEvents", canon_frame(spark, sf), target,
+                             scratch_path(spark, "progress"), availableNow=True)
+    job.awaitTermination()
+    return current_rows(spark, "PushEvents", target).withColumn("created_at", F.date_format("created_at", ISO))
+
+
 ROUTED = ", ".join(f"'{k}'" for k in R.ROUTED_TYPES)
 
 
