@@ -21,6 +21,7 @@ OWNER_PATTERN = r"((?<![A-Za-z0-9_])[A-Za-z][A-Z0-9a-z_\.-]+#\d+)"
 NUMBER_PATTERN = r"(#\d+)"
 GH_PATTERN = r"((?<![A-Za-z0-9_])[Gg][Hh]-\d+)"
 USER_PATTERN = r"(@[A-Za-z][A-Z0-9a-z_]*)"
+FENCE = "```"
 OWNER_MARK = "%OWNER%"
 PROJECT_MARK = "%PROJECT%"
 
@@ -32,16 +33,19 @@ VALID_URL_PATTERN = (
     r"(?::\d{2,5})?(?:[/?#]\S*)?$")
 
 REF_TYPE = "array<struct<raw:string,refstyle:string,parts:array<string>>>"
-REF_STYLES = (("o/p#d", OWNER_PROJECT_PATTERN), ("o#d", OWNER_PATTERN),
-              ("#d", NUMBER_PATTERN), ("gh-d", GH_PATTERN))
+REF_STYLES = (("o/p#d", OWNER_PROJECT_PATTERN, "#"), ("o#d", OWNER_PATTERN, "#"),
+              ("#d", NUMBER_PATTERN, "#"), ("gh-d", GH_PATTERN, "-"))
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _all(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _all(text: Column, pattern: str, mark: str, group: int = 1) -> Column:
+    """All matches. Texts without the mark every match holds are spared the pattern."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    none = F.array().cast("array<string>")
+    return F.when(F.contains(text, F.lit(mark)), found).when(text.isNotNull(), none)
 
 
 def _erase(text: Column, found: Column, by: str) -> Column:
@@ -51,7 +55,7 @@ def _erase(text: Column, found: Column, by: str) -> Column:
 
 def urls(text: Column | str) -> Column:
     """Valid links, sorted, repeats kept."""
-    return F.array_sort(F.filter(_all(_col(text), URL_PATTERN),
+    return F.array_sort(F.filter(_all(_col(text), URL_PATTERN, "://"),
                                  lambda u: u.rlike(VALID_URL_PATTERN)))
 
 
@@ -68,19 +72,19 @@ def plus_one_remainder(text: Column | str) -> Column:
 def code_languages(text: Column | str, mode: str = "line") -> Column:
     """Languages of code blocks, distinct and sorted. Mode "line" takes blocks of one
     line, mode "fenced" blocks of any length and either line end."""
-    names = _all(_col(text), CODE_PATTERN if mode == "line" else FENCED_PATTERN, 2)
+    names = _all(_col(text), CODE_PATTERN if mode == "line" else FENCED_PATTERN, FENCE, 2)
     named = F.transform(names, lambda n: F.when(n == "", F.lit("unspecified")).otherwise(n))
     return F.array_sort(F.array_distinct(named))
 
 
 def without_code(text: Column | str, mode: str = "line") -> Column:
     text = _col(text)
-    return _erase(text, _all(text, CODE_PATTERN if mode == "line" else FENCED_PATTERN), "")
+    return _erase(text, _all(text, CODE_PATTERN if mode == "line" else FENCED_PATTERN, FENCE), "")
 
 
 def user_references(text: Column | str) -> Column:
     """@names, distinct and sorted."""
-    return F.array_sort(F.array_distinct(_all(_col(text), USER_PATTERN)))
+    return F.array_sort(F.array_distinct(_all(_col(text), USER_PATTERN, "@")))
 
 
 def parse_reference(ref: Column, owner: Column | None = None, project: Column | None = None) -> Column:
@@ -101,23 +105,45 @@ def parse_reference(ref: Column, owner: Column | None = None, project: Column |
              .otherwise(F.array(group(linked, 1), group(linked, 2), group(linked, 3))))
 
 
+def _parts(ref: Column, style: str) -> Column:
+    """The parts of a reference whose style is known, without matching it again."""
+    part = lambda c, mark, n: F.substring_index(c, mark, n)
+    owner, project, number = F.lit(OWNER_MARK), F.lit(PROJECT_MARK), part(ref, "#", -1)
+    if style == "url":
+        tail = part(ref, "/", -4)
+        owner, project, number = part(tail, "/", 1), part(part(tail, "/", 2), "/", -1), part(ref, "/", -1)
+    elif style == "o/p#d":
+        owner, project = part(ref, "/", 1), part(part(ref, "/", -1), "#", 1)
+    elif style == "o#d":
+        owner = part(ref, "#", 1)
+    elif style == "gh-d":
+        number = part(ref, "-", -1)
+    return F.array(owner, project, number)
+
+
 def _refs(found: Column, style: str) -> Column:
     return F.transform(F.array_distinct(found), lambda r: F.struct(
-        r.alias("raw"), F.lit(style).alias("refstyle"), parse_reference(r).alias("parts"))).cast(REF_TYPE)
+        r.alias("raw"), F.lit(style).alias("refstyle"), _parts(r, style).alias("parts"))).cast(REF_TYPE)
+
 
+def with_issue_references(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """Add a column per entry of `texts`: the issue references of that text, sorted by
+    raw form. Each pass erases what it found before the next one looks, as the longer
+    forms hold the shorter; so every pass is two steps, for all texts at once."""
+    left, hits, refs = ({o: f"_{o}_{part}" for o in texts} for part in ("left", "hits", "refs"))
+    step = lambda frame, names, build: frame.withColumns({names[o]: build(o) for o in texts})
+    erased = lambda by: {left[o]: _erase(F.col(left[o]), F.col(hits[o]), by) for o in texts}
 
-def with_issue_references(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """Add `out`: the issue references of `text`, sorted by raw form. Each pass erases
-    what it found before the next one looks, as the longer forms hold the shorter."""
-    left, hits, refs = f"_{out}_left", f"_{out}_hits", f"_{out}_refs"
-    df = df.withColumn(left, text).withColumn(hits, _all(F.col(left), ISSUE_URL_PATTERN))
-    df = df.withColumn(refs, _refs(F.col(hits), "url")).withColumn(left, _erase(F.col(left), F.col(hits), " "))
-    df = df.withColumn(hits, urls(left)).withColumn(left, _erase(F.col(left), F.col(hits), ""))
-    for style, pattern in REF_STYLES:
-        df = df.withColumn(hits, _all(F.col(left), pattern))
-        df = df.withColumn(refs, F.concat(F.col(refs), _refs(F.col(hits), style)))
-        df = df.withColumn(left, _erase(F.col(left), F.col(hits), " "))
-    return df.withColumn(out, F.array_sort(refs)).drop(left, hits, refs)
+    df = step(df, left, lambda o: texts[o])
+    df = step(df, hits, lambda o: _all(F.col(left[o]), ISSUE_URL_PATTERN, "://"))
+    df = df.withColumns({**{refs[o]: _refs(F.col(hits[o]), "url") for o in texts}, **erased(" ")})
+    df = step(df, hits, lambda o: urls(left[o])).withColumns(erased(""))
+    for style, pattern, mark in REF_STYLES:
+        df = step(df, hits, lambda o: _all(F.col(left[o]), pattern, mark))
+        more = {refs[o]: F.concat(F.col(refs[o]), _refs(F.col(hits[o]), style)) for o in texts}
+        df = df.withColumns({**more, **erased(" ")})
+    df = df.withColumns({o: F.array_sort(refs[o]) for o in texts})
+    return df.drop(*left.values(), *hits.values(), *refs.values())
 
 
 # The finders that need the text only, in the order they run: (feature, builder, reads code).
@@ -136,15 +162,17 @@ def annotate(df: DataFrame, title: str = "title", text: str = "text", owner: str
              references_only: bool = False, mode: str = "line") -> DataFrame:
     """Add the features of title and text. A null field is skipped; a field the row
     kind lacks is passed as "". References get the row's own project as default."""
+    fields = (title, text)
     names = [n for n, _, _ in FINDERS if not (references_only and n in VOTES_AND_USERS)]
-    for field in (title, text):
-        df = df.withColumn(f"_{field}_bare", without_code(field, mode))
+    df = df.withColumns({f"_{f}_bare": without_code(f, mode) for f in fields})
+    found = {}
+    for field in fields:
         for name, build, reads_code in FINDERS:
             if name in names:
                 source = F.col(field) if reads_code else F.col(f"_{field}_bare")
-                value = build(source, mode) if name == "code" else build(source)
-                df = df.withColumn(f"_{field}_{name}", value)
-        df = with_issue_references(df, F.col(f"_{field}_bare"), f"_{field}_issues")
+                found[f"_{field}_{name}"] = build(source, mode) if name == "code" else build(source)
+    df = df.withColumns(found)
+    df = with_issue_references(df, {f"_{f}_issues": F.col(f"_{f}_bare") for f in fields})
     pair = lambda name: (f"_{title}_{name}", f"_{text}_{name}")
     out = {"urls": _sorted_concat(*pair("urls")),
            "code": F.array_distinct(_sorted_concat(*pair("code")))}
@@ -157,7 +185,7 @@ def annotate(df: DataFrame, title: str = "title", text: str = "text", owner: str
         r.raw.alias("raw"), r.refstyle.alias("refstyle"),
         F.array(own(r.parts[0], OWNER_MARK, owner), own(r.parts[1], PROJECT_MARK, project),
                 r.parts[2], direction).alias("parts")))
-    scratch = [f"_{f}_{n}" for f in (title, text) for n in [*names, "bare", "issues"]]
+    scratch = [f"_{f}_{n}" for f in fields for n in [*names, "bare", "issues"]]
     return df.withColumns(out).drop(*scratch)
 
 

@@ -53,7 +53,7 @@ RETRIEVED = "2024-02-01 00:00:00"
 
 def raw(source, spark, sf, *extra):
     """Landed documents of one kind."""
-    return source.frame(spark, sf).select(
+    return source.heavy(spark, sf).select(
         "event_id", "project_owner", "project_name", F.parse_json("json").alias("doc"),
         F.lit(RETRIEVED).cast("timestamp").alias("retrieved_at"), *[F.expr(e) for e in extra])
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from forgetide.session import spread
+
 DIALECTS = {
     "spark": {"iso": "date_format({0}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
               "day": "date_format({0}, 'yyyyMMdd')", "idiv": "({0} div {1})"},
@@ -47,7 +49,16 @@ class Input:
         return Input(self.table, [*self.layers, list(columns)])
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
+        return self._over(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"))
+
+    def heavy(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The same for jobs whose work per row is large: the table's rows are spread
+        over all cores first when it is a single small file."""
+        source = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
+        names = set(re.findall(r"[a-z_]+", " ".join(self.layers[0])))
+        return self._over(spread(source.select(*[c for c in source.columns if c in names])))
+
+    def _over(self, df: DataFrame) -> DataFrame:
         for layer in self.layers:
             df = df.selectExpr(*[render(c, "spark") for c in layer])
         return df
@@ -210,7 +221,7 @@ def archive_records(spark, sf_dir):
     from forgetide.sources.archive import parse_records
     place = F.struct(F.lit("events").alias("file"), F.lit(0).cast("bigint").alias("block"),
                      F.col("event_id").alias("row"))
-    return parse_records(ARCHIVE.frame(spark, sf_dir).select(F.col("doc").alias("value"), place.alias("place")))
+    return parse_records(ARCHIVE.heavy(spark, sf_dir).select(F.col("doc").alias("value"), place.alias("place")))
 
 
 def _person(kind: str) -> str:

@@ -64,14 +64,14 @@ def joined(col):
 
 @query("T1_urls", f"SELECT event_id, array_to_string(list_sort({found('text', URL)}), ' ') AS urls FROM {SRC}")
 def t1(spark, sf):
-    return COMMENTS.frame(spark, sf).select("event_id", joined(T.urls("text")).alias("urls"))
+    return COMMENTS.heavy(spark, sf).select("event_id", joined(T.urls("text")).alias("urls"))
 
 
 @query("T2_plus_one", rf"""SELECT event_id, event_id % 5 = 0 AND event_id % 4 <> 0 AS plus_1,
 CASE WHEN event_id % 5 = 0 AND event_id % 4 <> 0 THEN substr(text, 4) ELSE text END AS remainder
 FROM {SRC}""")
 def t2(spark, sf):
-    return COMMENTS.frame(spark, sf).select(
+    return COMMENTS.heavy(spark, sf).select(
         "event_id", T.plus_one("text").alias("plus_1"), T.plus_one_remainder("text").alias("remainder"))
 
 
@@ -81,7 +81,7 @@ CODE_SQL = f"""SELECT event_id, array_to_string({uniq(langs('text'))}, ' ') AS c
 
 @query("T3_code", CODE_SQL)
 def t3(spark, sf):
-    return COMMENTS.frame(spark, sf).select(
+    return COMMENTS.heavy(spark, sf).select(
         "event_id", joined(T.code_languages("text")).alias("code"), T.without_code("text").alias("bare"))
 
 
@@ -105,7 +105,7 @@ def t4(spark, sf):
 {refs_cte('b', 'body', 'r')}
 SELECT event_id, array_to_string(list_sort(refs), ' ') AS refs FROM r""")
 def t5(spark, sf):
-    df = T.with_issue_references(COMMENTS.frame(spark, sf), T.without_code("text"), "issues")
+    df = T.with_issue_references(COMMENTS.heavy(spark, sf), {"issues": T.without_code("text")})
     styled = F.transform("issues", lambda r: F.concat(r.raw, F.lit(" |"), r.refstyle))
     return df.select("event_id", joined(F.array_sort(styled)).alias("refs"))
 
@@ -132,7 +132,7 @@ def t6(spark, sf):
 @query("T7_user_references", f"""SELECT event_id,
 array_to_string({uniq(found('text', '@[A-Za-z][A-Za-z0-9_]*'))}, ' ') AS userref FROM {SRC}""")
 def t7(spark, sf):
-    return COMMENTS.frame(spark, sf).select("event_id", joined(T.user_references("text")).alias("userref"))
+    return COMMENTS.heavy(spark, sf).select("event_id", joined(T.user_references("text")).alias("userref"))
 
 
 def annotate_sql(votes: bool) -> str:
@@ -167,14 +167,14 @@ def flat_issues():
 
 @query("T8_annotate", annotate_sql(True))
 def t8(spark, sf):
-    return T.annotate(COMMENTS.frame(spark, sf)).select(
+    return T.annotate(COMMENTS.heavy(spark, sf)).select(
         "event_id", joined("urls").alias("urls"), joined("code").alias("code"),
         flat_issues().alias("issues"), "plus_1", joined("userref").alias("userref"))
 
 
 @query("T9_references_only", annotate_sql(False))
 def t9(spark, sf):
-    return T.annotate(COMMENTS.frame(spark, sf), references_only=True).select(
+    return T.annotate(COMMENTS.heavy(spark, sf), references_only=True).select(
         "event_id", joined("urls").alias("urls"), joined("code").alias("code"),
         flat_issues().alias("issues"))
 
@@ -196,7 +196,7 @@ def t10(spark, sf):
 @query("X1_row_annotator", f"""SELECT event_id,
 array_to_string({uniq(found('text', '@[A-Za-z][A-Za-z0-9_]*'))}, ' ') AS userref FROM {SRC}""")
 def x1(spark, sf):
-    titleless = COMMENTS.frame(spark, sf).withColumn("title", F.lit(""))
+    titleless = COMMENTS.heavy(spark, sf).withColumn("title", F.lit(""))
     return titleless.transform(T.annotate).select("event_id", joined("userref").alias("userref"))
 
 
@@ -205,6 +205,6 @@ array_to_string(list_sort({found('text', URL)}), ' ') AS urls,
 array_to_string({uniq(langs('text'))}, ' ') AS code,
 array_to_string({uniq(found(bare('text'), '@[A-Za-z][A-Za-z0-9_]*'))}, ' ') AS userref FROM {SRC}""")
 def x2(spark, sf):
-    df = COMMENTS.frame(spark, sf).withColumn("bare", T.without_code("text"))
+    df = COMMENTS.heavy(spark, sf).withColumn("bare", T.without_code("text"))
     built = {n: b("text" if reads_code else "bare") for n, b, reads_code in T.FINDERS}
     return df.select("event_id", *[joined(built[n]).alias(n) for n in ("urls", "code", "userref")])

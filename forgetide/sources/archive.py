@@ -12,6 +12,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forgetide.session import spread
+
 BOUNDARY = r"(?<=\})(?=\s*\{)"
 
 
@@ -29,8 +31,7 @@ def repair(value: Column | str, errors: str = "replace") -> Column:
 
 
 def read_lines(spark: SparkSession, path: str | list[str], errors: str = "replace") -> DataFrame:
-    """Lines of text files, gzip included. A gzip file is one task, so the rows are
-    to be repartitioned by the reader of few large files."""
+    """Lines of text files, gzip included; a gzip file is one task."""
     raw = spark.read.text(path)
     return raw.select(repair("value", errors).alias("value"), scan_order(raw).alias("place"))
 
@@ -86,7 +87,7 @@ def rejected(records: DataFrame) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str | list[str], errors: str = "replace") -> DataFrame:
-    return parse_records(read_lines(spark, path, errors))
+    return parse_records(spread(read_lines(spark, path, errors)))
 
 
 def land(records: DataFrame, path: str, created_at: str = "created_at") -> None:
