@@ -52,7 +52,17 @@ def coordinating_merges(commits: DataFrame) -> DataFrame:
     return joined.filter(others("_c0") | others("_c1")).drop("_p0", "_p1", "_c0", "_c1")
 
 
-def _members(rows: DataFrame, merges: DataFrame) -> DataFrame:
+def dated(commits: DataFrame, canonical: DataFrame, grain: str = "month") -> tuple[DataFrame, DataFrame]:
+    """Resolved commits with their period, and the coordinating merges among them. Both
+    are read several times by the measures, so both are written once."""
+    rows = cut(resolved(commits, canonical).select(
+        "project", "sha", "parents", "author_email", "committer_email",
+        period_label("committed_date", grain).alias("period")))
+    return rows, cut(coordinating_merges(rows))
+
+
+def member_rows(rows: DataFrame, merges: DataFrame) -> DataFrame:
+    """(project, period, measure, member) of all distinct-member measures."""
     named = lambda measure, member: F.struct(F.lit(measure).alias("measure"), F.col(member).alias("member"))
     each = rows.select("project", "period", F.inline(F.array(
         named("commits_recheck", "sha"), named("commit_authors_email", "author_email"),
@@ -61,22 +71,10 @@ def _members(rows: DataFrame, merges: DataFrame) -> DataFrame:
                                           F.col("committer_email").alias("member")))
 
 
-def _dated(commits: DataFrame, canonical: DataFrame, grain: str) -> DataFrame:
-    return resolved(commits, canonical).withColumn("period", period_label("committed_date", grain))
-
-
-def member_rows(commits: DataFrame, canonical: DataFrame, grain: str = "month") -> DataFrame:
-    """(project, period, measure, member) of all distinct-member measures."""
-    rows = _dated(commits, canonical, grain)
-    return _members(rows, coordinating_merges(rows))
-
-
-def commit_metrics(commits: DataFrame, canonical: DataFrame, grain: str = "month") -> DataFrame:
+def commit_metrics(rows: DataFrame, merges: DataFrame) -> DataFrame:
     """(project, measure, period, n): commits, authors, committers, mergers and merges."""
-    rows = _dated(commits, canonical, grain)
-    merges = coordinating_merges(rows)
     keys = ["project", "measure", "period"]
-    unique = M.count_unique(_members(rows, merges), keys=keys)
+    unique = M.count_unique(member_rows(rows, merges), keys=keys)
     sums = M.count_sum(merges.select("project", "period", F.lit("merges").alias("measure"), F.lit(1).alias("num")),
                        keys=keys)
     return unique.unionByName(sums)

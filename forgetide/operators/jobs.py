@@ -6,13 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgetide.functions.periods import TOTAL, period_label
+from forgetide.functions.periods import TOTAL
 from forgetide.functions.text import annotate
 from forgetide.operators import commits as C
 from forgetide.operators import metrics as M
+from forgetide.operators import normalize as N
 from forgetide.operators import people as P
 from forgetide.operators import routing as R
 from forgetide.operators import timeline as L
+from forgetide.session import cut
 from forgetide.sources import tables
 from forgetide.sources.archive import accepted, read_archive, rejected
 from forgetide.sources.store import keep_last, keys_of
@@ -32,7 +34,8 @@ def event_tables(spark: SparkSession, archive: str | list[str], canon: DataFrame
     R.land_events(accepted(records), f"{out}/normalised")
     events = spark.read.parquet(f"{out}/normalised")
     R.rejects(events).select("seq", "event_type", "error_reason").write.mode("overwrite").parquet(f"{out}/rejects")
-    chosen = R.chosen(events, canon)
+    names = cut(N.known_names(N.usable(events), canon))
+    chosen = R.chosen(events, canon, names)
     for name in R.TABLES:
         R.typed_table(chosen, name).write.mode("overwrite").parquet(f"{out}/{name}")
     R.other_table(chosen).write.mode("overwrite").parquet(f"{out}/other")
@@ -78,8 +81,9 @@ def write_membership(participation: DataFrame, counts: DataFrame, out: str) -> N
 def periodic_report(commits: DataFrame, files: DataFrame, canonical: DataFrame, grain: str = "month",
                     project_regex: str = "", hide_zeroes: bool = False) -> DataFrame:
     """One row per project and period, one column per measure, totals last."""
-    cells = C.commit_metrics(commits, canonical, grain)
-    members = C.member_rows(commits, canonical, grain).filter(F.col("measure").isin(PEOPLE_MEASURES))
+    rows, merges = C.dated(commits, canonical, grain)
+    cells = C.commit_metrics(rows, merges)
+    members = C.member_rows(rows, merges).filter(F.col("measure").isin(PEOPLE_MEASURES))
     for side, edge in (("arriving", F.min), ("leaving", F.max)):
         moved = members.groupBy("project", "measure", "member").agg(edge("period").alias("period"))
         moved = moved.select("project", F.concat(F.lit(side + "_"), "measure").alias("measure"), "period",
@@ -89,8 +93,7 @@ def periodic_report(commits: DataFrame, files: DataFrame, canonical: DataFrame,
     wide = M.wide(M.keep_projects(cells, project_regex), wanted)
     snapshot = M.keep_projects(C.file_snapshot(commits, files, grain), project_regex)
     both = wide.unionByName(snapshot, allowMissingColumns=True)
-    seen = commits.select(period_label("committed_date", grain).alias("period")).union(
-        commits.select(F.lit(TOTAL)))
+    seen = rows.select("period").union(rows.select(F.lit(TOTAL)))
     out = M.filled(both, zero=wanted, carried=C.FILE_MEASURES, seen=seen).select(
         *M.PERIOD_KEYS, *REPORT_MEASURES)
     return M.hide_zero_rows(out, REPORT_MEASURES) if hide_zeroes else out

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forgetide.functions.periods import TOTAL
+from forgetide.session import cut
 
 PERIOD_KEYS = ["project", "period"]
 
@@ -85,16 +86,17 @@ def leavers(df: DataFrame, member: str = "member", name: str = "leavers") -> Dat
     return _edge_period(df, member, F.max, name)
 
 
-def _grid(df: DataFrame, measures: Sequence[str], fill, seen: DataFrame | None = None) -> DataFrame:
-    """One row per project and period seen anywhere (in `seen`, else in `df`). The
-    period list is a scalar subquery (its size is bounded by the calendar), exploded
-    beside each project, so no join is needed; the grid rows meet the cells in one
-    aggregation by project."""
-    periods = (df if seen is None else seen).agg(F.array_sort(F.collect_set("period"))).scalar()
-    empty = df.select("project").distinct().select(
+def _grid(cells: DataFrame, measures: Sequence[str], fill, seen: DataFrame | None = None) -> DataFrame:
+    """One row per project and period seen anywhere (in `seen`, else in the cells). The
+    cells are few next to the events they come from and are read three times, so they
+    are written once. The period list is a scalar subquery (its size is bounded by the
+    calendar), exploded beside each project, so no join is needed; the grid rows meet
+    the cells in one aggregation by project."""
+    cells = cut(cells.select(*PERIOD_KEYS, *[F.col(m).cast("bigint").alias(m) for m in measures]))
+    periods = (cells if seen is None else seen).agg(F.array_sort(F.collect_set("period"))).scalar()
+    empty = cells.select("project").distinct().select(
         "project", F.explode(periods).alias("period"),
         *[F.lit(None).cast("bigint").alias(m) for m in measures])
-    cells = df.select(*PERIOD_KEYS, *[F.col(m).cast("bigint").alias(m) for m in measures])
     both = cells.unionByName(empty).repartition("project")
     return both.groupBy(*PERIOD_KEYS).agg(*[fill(F.max(m)).alias(m) for m in measures])
 
@@ -157,7 +159,7 @@ def wide(df: DataFrame, measures: Sequence[str], value: str = "n") -> DataFrame:
 def report(df: DataFrame, measures: Sequence[str], project_regex: str = "",
            hide_zeroes: bool = False, value: str = "n") -> DataFrame:
     """The wide table: every project matching the pattern, every period and "total"."""
-    declared = sorted(measures)
+    declared, df = sorted(measures), cut(df)
     cells = wide(keep_projects(df, project_regex), measures, value)
     table = dense(cells, declared, seen=df.select("period"))
     return hide_zero_rows(table, declared) if hide_zeroes else table

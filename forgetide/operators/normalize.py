@@ -137,6 +137,11 @@ def not_skipped(events: DataFrame) -> DataFrame:
     return events.filter(~F.col("event_type").isin(SKIPPED_TYPES))
 
 
+def usable(events: DataFrame) -> DataFrame:
+    """Events of real users on a known repository, of the types that are kept."""
+    return not_placeholder(not_skipped(events)).filter("project IS NOT NULL")
+
+
 def learned_names(events: DataFrame, canon: DataFrame) -> DataFrame:
     """Names met under a known repository id."""
     known = canon.select(F.col("id").alias("repo_id")).distinct()
@@ -148,18 +153,20 @@ def all_aliases(canon: DataFrame) -> DataFrame:
     return canon.select(F.explode("aliases").alias("name")).distinct()
 
 
+def known_names(events: DataFrame, canon: DataFrame) -> DataFrame:
+    """The aliases, and the names learned from anywhere in the events."""
+    return all_aliases(canon).union(learned_names(events, canon)).distinct()
+
+
 def _id_key() -> Column:
     """repo_id as a join key. Old records have none; they get scattered negative keys,
     which match no id, instead of one null key that all of them share."""
     return F.coalesce("repo_id", -F.pmod(F.xxhash64("project", "created_at"), F.lit(1 << 40)) - 10)
 
 
-def in_projects(events: DataFrame, canon: DataFrame, grow: bool = True) -> DataFrame:
-    """Events of the chosen projects: a known id, or a name that is an alias or (with
-    `grow`) was met under a known id anywhere. Two equality joins give two flags."""
-    names = all_aliases(canon)
-    if grow:
-        names = names.union(learned_names(events, canon)).distinct()
+def in_projects(events: DataFrame, canon: DataFrame, names: DataFrame) -> DataFrame:
+    """Events of the chosen projects: a known id, or one of `names`. Two equality joins
+    give two flags; one join on either condition would compare all pairs."""
     names = names.select(F.col("name").alias("_name"), F.lit(True).alias("_by_name"))
     ids = canon.select(F.col("id").alias("_id")).distinct().withColumn("_by_id", F.lit(True))
     flagged = (events.join(ids, _id_key() == F.col("_id"), "left")

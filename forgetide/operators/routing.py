@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgetide.functions.documents import get
-from forgetide.operators.normalize import (canonical_project, in_projects, normalise, not_placeholder,
-                                           not_skipped)
+from forgetide.operators.normalize import (canonical_project, in_projects, known_names, normalise,
+                                           not_skipped, usable)
 from forgetide.sources.store import keep_last
 
 # The columns every event table starts with.
@@ -42,10 +42,12 @@ def land_events(records: DataFrame, path: str) -> None:
     normalise(records).sortWithinPartitions("event_type").write.mode("overwrite").parquet(path)
 
 
-def chosen(events: DataFrame, canon: DataFrame) -> DataFrame:
-    """Usable events of the chosen projects with their canonical project."""
-    usable = not_placeholder(not_skipped(events)).filter("project IS NOT NULL")
-    return canonical_project(in_projects(usable, canon), canon)
+def chosen(events: DataFrame, canon: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Usable events of the chosen projects with their canonical project. `names` are
+    the known names where they were worked out before."""
+    rows = usable(events)
+    names = known_names(rows, canon) if names is None else names
+    return canonical_project(in_projects(rows, canon, names), canon)
 
 
 def rejects(events: DataFrame) -> DataFrame:

@@ -268,7 +268,8 @@ names AS (SELECT unnest(aliases) AS name FROM c)"""
 @query("F3_project_membership", f"""{MEMBER_SQL} SELECT line, project FROM e
 WHERE lower(project) IN (SELECT name FROM names) OR repo_id IN (SELECT id FROM c)""")
 def f3(spark, sf):
-    return N.in_projects(events(spark, sf), canon_frame(spark, sf), grow=False).select(line(), "project")
+    canon = canon_frame(spark, sf)
+    return N.in_projects(events(spark, sf), canon, N.all_aliases(canon)).select(line(), "project")
 
 
 # The alias list lacks the present names here, so old records are found by learned names.
@@ -277,7 +278,8 @@ def f3(spark, sf):
 SELECT line, project FROM e WHERE lower(project) IN (SELECT name FROM known) OR repo_id IN (SELECT id FROM c)""")
 def f4(spark, sf):
     canon = canon_frame(spark, sf).withColumn("aliases", F.slice("aliases", 2, 1))
-    return N.in_projects(events(spark, sf), canon).select(line(), "project")
+    rows = events(spark, sf)
+    return N.in_projects(rows, canon, N.known_names(rows, canon)).select(line(), "project")
 
 
 @query("F5_number_anywhere", f"""SELECT * FROM ({CLASSIFY_SQL}) WHERE project_owner = 'Own2' AND project_name = 'Proj5'

@@ -61,7 +61,7 @@ def j7(spark, sf):
 {cells('commit_committers_email', 'count(DISTINCT committer)', 'r')} UNION ALL
 {cells('mergers_email', 'count(DISTINCT committer)', 'g')} UNION ALL {cells('merges', 'count(*)', 'g')}""")
 def a9(spark, sf):
-    return C.commit_metrics(commits(spark, sf), canonical(spark, sf))
+    return C.commit_metrics(*C.dated(commits(spark, sf), canonical(spark, sf)))
 
 
 # Files: every order line is a file in the tree of its order's commit.

@@ -117,8 +117,9 @@ def test_membership_by_id_alias_and_learned_name(spark, lines):
     renamed = {**NEW, "repo": {"id": 5, "name": "O/Renamed"}}
     records = [NEW, renamed, old("o/renamed"), old("O/Older"), old("o/stranger"), {**NEW, "repo": {"id": 9, "name": "z/z"}}]
     events = N.normalise(A.parse_records(lines([json.dumps(r) for r in records])))
-    seen = lambda **kw: sorted(r[0] for r in N.in_projects(events, canon(spark), **kw).select("seq.row").collect())
-    assert seen() == [0, 1, 2, 3] and seen(grow=False) == [0, 1, 3]
+    seen = lambda names: sorted(r[0] for r in N.in_projects(events, canon(spark), names).select("seq.row").collect())
+    assert seen(N.known_names(events, canon(spark))) == [0, 1, 2, 3]
+    assert seen(N.all_aliases(canon(spark))) == [0, 1, 3]
     rows = {r.row: (r.github_project_id, r.canonical_project) for r in N.canonical_project(events, canon(spark)).select(
         "seq.row", "github_project_id", "canonical_project").collect()}
     assert rows == {0: (5, "o/p"), 1: (5, "o/p"), 2: (-2, "o/renamed"), 3: (5, "o/p"), 4: (-2, "o/stranger"), 5: (9, "z/z")}
