@@ -99,6 +99,11 @@ def newest_first(commits: DataFrame) -> DataFrame:
     return ordinal(commits, ["project"], [-day, -second], [F.col("sha")], "ix")
 
 
+def newest_heads(commits: DataFrame) -> DataFrame:
+    """The newest commit of each project, for histories without a recorded head."""
+    return keep_last(commits.select("project", "sha", "committed_date"), ["project"], ["committed_date", "sha"])
+
+
 def mainline(commits: DataFrame, heads: DataFrame) -> DataFrame:
     """(project, sha, ix) of the first-parent chain from each head. The line doubles in
     every round: a jump table leads 1, 2, 4, ... commits back. Keys are (project, sha),

@@ -63,6 +63,11 @@ def project_timeline(commits: DataFrame, clone_commits: DataFrame, commit_commen
                    "project_events")
 
 
+def readme_table(files: DataFrame, path_commits: DataFrame) -> DataFrame:
+    """The annotated read-me files."""
+    return _stored([L.readmes(files, path_commits)], "readmes")
+
+
 def membership(issue_events: DataFrame, project_events: DataFrame, sample: DataFrame,
                pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Participation rows and user counts of the sample projects, e-mails resolved."""

@@ -14,6 +14,8 @@ PROJECT = ["project_owner", "project_name"]
 # Record kinds that show a person to be a member, and stand-in actors.
 MEMBER_KINDS = ["pull_request_merged", "commit_messages", "pull_request_commit"]
 GHOST = "ghost"
+# What the users table contributes to an actor row.
+USERS_TABLE_COLUMNS = ["location", "login", "company", "type", "fake", "created_at"]
 
 
 def is_email(actor: Column | str) -> Column:
@@ -122,12 +124,12 @@ def usermap(pairs: DataFrame) -> DataFrame:
 def enrich(actors: DataFrame, cache: DataFrame, users: DataFrame) -> DataFrame:
     """The actor table: the whole cached row, else the whole row of the users table,
     else a row that marks the login as unresolved. `cache` has one row per login."""
-    lacking = lambda df: [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
-                          for c in ACTOR_COLUMNS]
+    offered = set(users.columns) & set(USERS_TABLE_COLUMNS)
+    taken = [F.col(c).cast("string").alias(c) if c in offered else F.lit(None).cast("string").alias(c)
+             for c in ACTOR_COLUMNS]
     whole = lambda df, name: df.select(F.col("login").alias("actor"), F.struct(
         *[F.col(c).cast("string").alias(c) for c in ACTOR_COLUMNS]).alias(name))
-    table = users.select(*lacking(users))
-    one = table.groupBy("login").agg(F.min(F.struct(*[c for c in ACTOR_COLUMNS if c != "login"])).alias("row"))
+    one = users.select(*taken).groupBy("login").agg(F.min(F.struct(*[c for c in ACTOR_COLUMNS if c != "login"])).alias("row"))
     table = one.select("login", "row.*")
     reason = F.when(is_email("actor"), F.lit("Not a github username")).otherwise(F.lit("not found"))
     unresolved = F.struct(*[

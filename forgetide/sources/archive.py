@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,20 @@ def hours_between(start, end) -> list[dt.datetime]:
     return [floor + dt.timedelta(hours=h) for h in range(max(steps, 0))]
 
 
+def read_hours(spark: SparkSession, root: str, start, end, errors: str = "replace") -> DataFrame:
+    """Records of the hourly files <root>/<year>/<date>-<hour>.json.gz of a range. The
+    files are named in one pattern, which matches those that exist."""
+    names = [f"{h:%Y}/{h:%Y-%m-%d}-{h.hour}" for h in hours_between(start, end)]
+    pattern = f"{root.rstrip('/')}/{{{','.join(names)}}}.json.gz"
+    try:
+        return read_archive(spark, pattern, errors)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    nothing = spark.createDataFrame([], "value string, place struct<file:string,block:bigint,row:bigint>")
+    return parse_records(nothing)
+
+
 def scan_hours(spark: SparkSession, path: str, start, end) -> DataFrame:
     """Landed records of an hour range; absent hours are simply not there."""
     hours = hours_between(start, end)

@@ -56,6 +56,16 @@ def test_hours_between():
     assert len(A.hours_between("2015-01-22T23:00:00", "2015-01-23T01:59:00")) == 3
 
 
+def test_hourly_files_of_a_range(spark, tmp_path):
+    (tmp_path / "2015").mkdir()
+    for hour in (7, 8, 10, 12, 13):
+        with gzip.open(tmp_path / "2015" / f"2015-01-22-{hour}.json.gz", "wt") as out:
+            out.write(json.dumps({"h": hour}))
+    found = lambda a, b: sorted(r[0] for r in A.read_hours(spark, str(tmp_path), a, b).select(D.get("v", "h", "int")).collect())
+    assert found("2015-01-22 08:23:18", "2015-01-22 12:23:18") == [8, 10, 12]
+    assert found("2016-01-22 08:23:18", "2016-01-22 12:23:18") == []
+
+
 def test_hour_scan_opens_only_the_range(spark, tmp_path):
     rows = spark.range(72).select("id", F.timestamp_seconds(F.lit(1421884800) + F.col("id") * 3600).alias("created_at"))
     A.land(rows, str(tmp_path / "landed"))

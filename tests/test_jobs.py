@@ -82,3 +82,14 @@ def test_documents_to_membership(spark, tmp_path):
     jobs.write_membership(people, counts, str(tmp_path))
     written = spark.read.csv(str(tmp_path / "atcount"), header=True).collect()
     assert sorted(r["project"] for r in written) == ["all", "own/p"]
+
+
+def test_readmes(spark):
+    files = spark.createDataFrame(
+        [("own", "p", n, n, "file", "sha" + n, "see #4") for n in ("README.md", "INSTALL", "a.py", "LICENSE", "Makefile")],
+        "project_owner string, project_name string, name string, path string, type string, sha string, text string")
+    touches = spark.createDataFrame(
+        [("own", "p", "README.md", "c1", "ann", None, "2020-01-01"), ("own", "p", "README.md", "c2", None, "b@x", "2020-01-02")],
+        "project_owner string, project_name string, path string, sha string, author_login string, author_email string, d string")
+    rows = jobs.readme_table(files, touches.withColumn("committed_date", F.to_timestamp("d"))).collect()
+    assert {(r.title, r.actor, r.issues[0].raw) for r in rows} == {("README.md", "b@x", "#4"), ("INSTALL", None, "#4")}
