@@ -62,11 +62,14 @@ def participation(rows: DataFrame) -> DataFrame:
 
 
 def user_counts(rows: DataFrame) -> DataFrame:
-    """Users and e-mail users per project and for "all"."""
+    """Users and e-mail users per project and for "all". One pass makes the people of
+    each project and of all projects distinct; what is left is counted."""
     name = F.concat("project_owner", F.lit("/"), "project_name")
-    pairs = rows.filter("actor IS NOT NULL").select(name.alias("project"), "actor").distinct()
-    everyone = pairs.select(F.lit("all").alias("project"), "actor").distinct()
-    return pairs.union(everyone).groupBy("project").agg(
+    known = rows.filter("actor IS NOT NULL").select(name.alias("project"), "actor")
+    project, actor = F.col("project"), F.col("actor")
+    each = known.groupingSets([[project, actor], [actor]], project, actor).agg(F.grouping("project").alias("_all"))
+    label = F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col("project"))
+    return each.groupBy(label.alias("project")).agg(
         F.count("*").alias("users"), F.count_if(is_email("actor")).alias("email_users"))
 
 
