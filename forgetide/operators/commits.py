@@ -94,9 +94,10 @@ def file_snapshot(commits: DataFrame, files: DataFrame, grain: str = "month") ->
 
 
 def newest_first(commits: DataFrame) -> DataFrame:
-    """Commits with their place in the project's history, newest first."""
+    """Commits with their place in the project's history, newest first, equal times by
+    sha. The last level splits imported histories whose commits all bear one time."""
     day, second = F.unix_date(F.to_date("committed_date")), F.unix_timestamp("committed_date")
-    return ordinal(commits, ["project"], [-day, -second], [F.col("sha")], "ix")
+    return ordinal(commits, ["project"], [-day, -second, F.substring("sha", 1, 3)], [F.col("sha")], "ix")
 
 
 def newest_heads(commits: DataFrame) -> DataFrame:

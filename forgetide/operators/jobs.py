@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from forgetide.functions.periods import TOTAL
 from forgetide.functions.text import annotate
 from forgetide.operators import commits as C
+from forgetide.operators import identity as I
 from forgetide.operators import metrics as M
 from forgetide.operators import normalize as N
 from forgetide.operators import people as P
@@ -83,6 +84,44 @@ def write_membership(participation: DataFrame, counts: DataFrame, out: str) -> N
     tables.write_csv(named, f"{out}/atcount", sort=["project"])
 
 
+def write_users_and_projects(issue_events: DataFrame, project_events: DataFrame, out: str) -> None:
+    """The two sorted lists, without header."""
+    tables.write_csv(L.actors(issue_events, project_events), f"{out}/users", sort=["actor"], header=False)
+    tables.write_csv(L.projects(issue_events, project_events), f"{out}/projects", sort=["project"], header=False)
+
+
+def write_alias_pairs(pushes: DataFrame, issue_events: DataFrame, project_events: DataFrame, sample: DataFrame,
+                      out: str, cutoff: str = "2017-10-01") -> None:
+    """Alias pairs from pushes and from pull requests. `sample` has project_owner and
+    project_name; the timelines have `seq`."""
+    tables.write_csv(P.push_pairs(pushes, project_events), f"{out}/aliases_pushes")
+    tables.write_csv(P.pull_pairs(issue_events, sample, cutoff), f"{out}/aliases_prs")
+
+
+def identities(profiles: DataFrame, pulls: DataFrame, pushes: DataFrame, out: str,
+               old: str | None = None) -> None:
+    """Clusters, canonical names and reasons of all alias sources, on top of those saved
+    in `old`. Each source has `seq`."""
+    spark = profiles.sparkSession
+    saved = spark.read.parquet(f"{old}/clusters") if old else None
+    pairs = cut(I.combine_sources(profiles, pulls, pushes, saved))
+    I.alias_clusters(pairs).write.mode("overwrite").parquet(f"{out}/clusters")
+    clusters = spark.read.parquet(f"{out}/clusters")
+    I.canonical_names(clusters).write.mode("overwrite").parquet(f"{out}/canonical")
+    reasons = I.cluster_provenance(pairs)
+    if old:
+        before = I.carried_provenance(spark.read.parquet(f"{old}/provenance"), clusters)
+        reasons = reasons.unionByName(before).distinct()
+    reasons.write.mode("overwrite").parquet(f"{out}/provenance")
+    I.refused_pairs(pairs, clusters).write.mode("overwrite").parquet(f"{out}/refused")
+
+
+def write_actor_info(issue_events: DataFrame, project_events: DataFrame, cache: DataFrame, users: DataFrame,
+                     out: str) -> None:
+    """The actor table of everyone on either timeline."""
+    tables.write_csv(P.enrich(L.actors(issue_events, project_events), cache, users), f"{out}/actor_info")
+
+
 def periodic_report(commits: DataFrame, files: DataFrame, canonical: DataFrame, grain: str = "month",
                     project_regex: str = "", hide_zeroes: bool = False) -> DataFrame:
     """One row per project and period, one column per measure, totals last."""

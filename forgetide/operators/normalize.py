@@ -252,6 +252,29 @@ def find_payload(records: DataFrame, event_type: str, part: str, number: int) ->
                           & (get("v", f"payload.{part}.id", "long") == number))
 
 
+def _lookup(found: DataFrame, issueid: Column, body: str) -> DataFrame:
+    repo = get("v", "repo.name")
+    return found.select(
+        "seq", get("v", "type").alias("rectype"), issueid.alias("issueid"),
+        F.split_part(repo, F.lit("/"), F.lit(1)).alias("project_owner"),
+        F.split_part(repo, F.lit("/"), F.lit(2)).alias("project_name"), get("v", "actor.login").alias("actor"),
+        created_at().alias("time"), get("v", "payload.action").alias("action"),
+        get("v", "payload.issue.title").alias("title"), F.lit("githubarchive").alias("provenance"),
+        get("v", body).alias("text"))
+
+
+def issue_lookup(records: DataFrame, number: int) -> DataFrame:
+    """What happened to the issue with this id, in the records of its hour."""
+    found = find_payload(records, "IssuesEvent", "issue", number)
+    return _lookup(found, F.lit(str(number)), "payload.issue.body")
+
+
+def issue_comment_lookup(records: DataFrame, number: int) -> DataFrame:
+    """The comment with this id, in the records of its hour."""
+    found = find_payload(records, "IssueCommentEvent", "comment", number)
+    return _lookup(found, get("v", "payload.issue.id"), "payload.comment.body")
+
+
 def key_signatures(records: DataFrame, names: tuple[str, ...] = ("repo", "repository")) -> DataFrame:
     """Distinct key sets of the objects under each name, at the top and in the payload."""
     def keys(name, path):

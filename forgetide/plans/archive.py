@@ -50,7 +50,7 @@ def numbered(frame):
 @query("S2_records_on_one_line", """SELECT event_id AS line, 0 AS idx, event_id AS id, NULL::BIGINT AS u FROM events
 UNION ALL SELECT event_id, 1, event_id, user_id FROM events""")
 def s2(spark, sf):
-    records = A.accepted(A.parse_records(numbered(PAIRS.frame(spark, sf))))
+    records = A.accepted(A.parse_records(numbered(PAIRS.heavy(spark, sf))))
     return records.select(line(), F.col("seq.idx").alias("idx"), D.get("v", "id", "long").alias("id"),
                           D.get("v", "k.u", "long").alias("u"))
 
@@ -78,7 +78,7 @@ DAMAGED = table("events", "event_id", t('{"id":<event_id>,"u":<user_id>}') + " A
 CASE WHEN event_id % 3 = 0 THEN 'not JSON' ELSE 'not an object' END AS error_reason
 FROM {DAMAGED.sql} WHERE event_id % 3 = 0 OR event_id % 7 = 0""")
 def s4(spark, sf):
-    bad = A.rejected(A.parse_records(numbered(DAMAGED.frame(spark, sf))))
+    bad = A.rejected(A.parse_records(numbered(DAMAGED.heavy(spark, sf))))
     return bad.select(line(), "text", "error_reason")
 
 
@@ -289,16 +289,15 @@ def f5(spark, sf):
     return activity(N.mentions_number(archive_records(spark, sf), "Own2", "Proj5", 75))
 
 
-@query("F6_point_lookup", f"""SELECT line, CAST({PAY}issue.id' AS BIGINT) AS issueid, repo_owner AS project_owner,
-repo_name AS project_name, actor, created_at AS time, {PAY}action' AS action, {PAY}issue.title' AS title,
-{PAY}comment.body' AS text FROM {EVENTS_SQL}
-WHERE event_type = 'IssueCommentEvent' AND {PAY}issue.id' = '156'""")
+@query("F6_point_lookup", f"""SELECT line, event_type AS rectype, CASE WHEN event_type = 'IssuesEvent' THEN '59' ELSE {PAY}issue.id' END AS issueid,
+repo_owner AS project_owner, repo_name AS project_name, actor, created_at AS time, {PAY}action' AS action, {PAY}issue.title' AS title,
+'githubarchive' AS provenance, CASE WHEN event_type = 'IssuesEvent' THEN {PAY}issue.body' ELSE {PAY}comment.body' END AS text
+FROM {EVENTS_SQL} WHERE (event_type = 'IssuesEvent' AND {PAY}issue.id' = '59')
+  OR (event_type = 'IssueCommentEvent' AND {PAY}comment.id' = '156')""")
 def f6(spark, sf):
-    found = N.find_payload(archive_records(spark, sf), "IssueCommentEvent", "issue", 156)
-    return N.normalise(found).select(
-        line(), D.get("v", "payload.issue.id", "long").alias("issueid"), F.col("repo_owner").alias("project_owner"),
-        F.col("repo_name").alias("project_name"), "actor", F.date_format("created_at", ISO).alias("time"),
-        "action", D.get("v", "payload.issue.title").alias("title"), D.get("v", "payload.comment.body").alias("text"))
+    records = archive_records(spark, sf)
+    found = N.issue_lookup(records, 59).union(N.issue_comment_lookup(records, 156))
+    return found.withColumns({"line": F.col("seq.row"), "time": F.date_format("time", ISO)}).drop("seq")
 
 
 # Aliases and profiles ------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from forgetide.functions.documents import get
@@ -30,13 +31,22 @@ COMMON = "event_type, github_project_id, canonical_project, project, actor, crea
 _LANDED: dict[tuple[str, str], str] = {}
 
 
+def land(spark, sf):
+    """Parse and normalise the archive into a table in the shared folder."""
+    path = scratch_path(spark, "events")
+    R.land_events(archive_records(spark, sf), path)
+    return path
+
+
 def landed(spark, sf):
     """The normalised events, written once per session and read by every table."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _LANDED:
-        path = scratch_path(spark, "events")
-        R.land_events(archive_records(spark, sf), path)
-        _LANDED[key] = path
+    if key in _LANDED:
+        try:
+            return spark.read.parquet(_LANDED[key])
+        except AnalysisException:  # the folder was cleaned since
+            pass
+    _LANDED[key] = land(spark, sf)
     return spark.read.parquet(_LANDED[key])
 
 

@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from forgetide.operators import jobs
+from forgetide.sources import tables
 from forgetide.streaming.ingest import current_rows, stream_event_table, stream_lines
 
 
@@ -93,3 +94,53 @@ def test_readmes(spark):
         "project_owner string, project_name string, path string, sha string, author_login string, author_email string, d string")
     rows = jobs.readme_table(files, touches.withColumn("committed_date", F.to_timestamp("d"))).collect()
     assert {(r.title, r.actor, r.issues[0].raw) for r in rows} == {("README.md", "b@x", "#4"), ("INSTALL", None, "#4")}
+
+
+TIMELINE = ("project_owner string, project_name string, issueid int, rectype string, actor string, action string, "
+            "time timestamp, seq long")
+
+
+def test_aliases_from_timelines_to_clusters(spark, tmp_path):
+    out, day = str(tmp_path), lambda n: f"2016-01-0{n}"
+    rows = lambda *data: spark.createDataFrame(
+        [("o", "p", i, k, a, s, d, n) for n, (i, k, a, s, d) in enumerate(data)], TIMELINE.replace("timestamp", "string")
+    ).withColumn("time", F.to_timestamp("time"))
+    issues = rows((1, "issue_title", "ann", None, day(1)), (1, "pull_request_title", "ann", None, day(1)),
+                  (1, "pull_request_commit", "ann@x", "s1", day(2)), (1, "pull_request_commit", "late@x", "s2", day(3)))
+    commits = rows((None, "commit_messages", "bob@x", "s3", day(4)), (None, "commit_messages", "ann@x", "s4", day(4)))
+    pushes = spark.createDataFrame([("o/p", "s3", "bob"), ("o/p", "s4", "ann"), ("o/p", "s3;s4", "no")],
+                                   "project string, shas string, actor string")
+    sample = spark.createDataFrame([("o", "p")], "project_owner string, project_name string")
+    jobs.write_alias_pairs(pushes, issues, commits, sample, out)
+    read = lambda name: spark.read.csv(f"{out}/{name}", header=True).withColumn(
+        "seq", F.monotonically_increasing_id())
+    assert sorted((r.alias1, r.alias2) for r in read("aliases_pushes").collect()) == [("ann", "ann@x"), ("bob", "bob@x")]
+    assert [(r.provenance, r.alias1, r.alias2) for r in read("aliases_prs").collect()] == [("o/p:issue:1", "ann", "ann@x")]
+
+    profiles = spark.createDataFrame([("ann", "ann@home", "0", 0), ("bot", "bot@x", "1", 1), ("bob", " ", None, 2)],
+                                     "login string, email string, fake string, seq long")
+    jobs.identities(profiles, read("aliases_prs"), read("aliases_pushes"), f"{out}/one")
+    names = lambda at: {r.alias: r.canonical for r in spark.read.parquet(f"{at}/canonical").collect()}
+    expected = {"ann": "ann", "ann@x": "ann", "ann@home": "ann", "bob": "bob", "bob@x": "bob"}
+    assert names(f"{out}/one") == expected
+    more = spark.createDataFrame([("bob", "ann@x", "odd", 0), ("bob", "bob@new", "new", 1)],
+                                 "alias1 string, alias2 string, provenance string, seq long")
+    jobs.identities(profiles.limit(0), more, more.limit(0), f"{out}/two", old=f"{out}/one")
+    assert names(f"{out}/two") == {**expected, "bob@new": "bob"}
+    reasons = {r.text for r in spark.read.parquet(f"{out}/two/provenance").collect()}
+    assert "new (bob=bob@new)" in reasons and "Github profile (ann=ann@home)" in reasons
+    refused = spark.read.parquet(f"{out}/two/refused").collect()
+    assert [(r.alias1, r.alias2) for r in refused] == [("bob", "ann@x")]
+
+
+def test_lists_and_actor_table(spark, tmp_path):
+    row = lambda a: spark.createDataFrame([("o", "p", a)], "project_owner string, project_name string, actor string")
+    jobs.write_users_and_projects(row("zed"), row("ann"), str(tmp_path))
+    lists = [[r[0] for r in spark.read.csv(f"{tmp_path}/{n}").collect()] for n in ("users", "projects")]
+    assert lists == [["ann", "zed"], ["o/p"]]
+    cache = spark.createDataFrame([("ann", "a, \"b\"\nc")], "login string, bio string")
+    blank = [F.lit(None).cast("string").alias(c) for c in tables.ACTOR_COLUMNS if c not in cache.columns]
+    users = spark.createDataFrame([("zed", "here")], "login string, location string")
+    jobs.write_actor_info(row("zed"), row("ann"), cache.select("*", *blank), users, str(tmp_path))
+    back = {r.login: r for r in tables.read_actor_cache(spark, f"{tmp_path}/actor_info").collect()}
+    assert back["ann"].bio == "a, \"b\"\nc" and back["zed"].location == "here" and set(back) == {"ann", "zed"}
