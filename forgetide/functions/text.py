@@ -21,6 +21,9 @@ OWNER_PATTERN = r"((?<![A-Za-z0-9_])[A-Za-z][A-Z0-9a-z_\.-]+#\d+)"
 NUMBER_PATTERN = r"(#\d+)"
 GH_PATTERN = r"((?<![A-Za-z0-9_])[Gg][Hh]-\d+)"
 USER_PATTERN = r"(@[A-Za-z][A-Z0-9a-z_]*)"
+HASH_REFERENCE_PATTERN = r"^([A-Z0-9a-z_\.-]+/)?([A-Z0-9a-z_\.-]+)?#(\d+)"
+GH_REFERENCE_PATTERN = r"^[Gg][Hh]-(\d+)"
+URL_REFERENCE_PATTERN = r"^https?://github.com/([A-Za-z0-9_\.-]+)/([A-Za-z0-9_\.-]+)/\S+/(\d+)"
 FENCE = "```"
 OWNER_MARK = "%OWNER%"
 PROJECT_MARK = "%PROJECT%"
@@ -32,7 +35,6 @@ VALID_URL_PATTERN = (
     r"(?:localhost|(?:\d{1,3}\.){3}\d{1,3}|(?:[^\s/?#@:.]+\.)+[a-z¡-￿]{2,})"
     r"(?::\d{2,5})?(?:[/?#]\S*)?$")
 
-REF_TYPE = "array<struct<raw:string,refstyle:string,parts:array<string>>>"
 REF_STYLES = (("o/p#d", OWNER_PROJECT_PATTERN, "#"), ("o#d", OWNER_PATTERN, "#"),
               ("#d", NUMBER_PATTERN, "#"), ("gh-d", GH_PATTERN, "-"))
 
@@ -49,8 +51,8 @@ def _all(text: Column, pattern: str, mark: str, group: int = 1) -> Column:
 
 
 def _erase(text: Column, found: Column, by: str) -> Column:
-    """Replace each found string, one after the other."""
-    return F.aggregate(found, text, lambda acc, m: F.replace(acc, m, F.lit(by)))
+    """Replace each found string everywhere, one after the other."""
+    return F.aggregate(F.array_distinct(found), text, lambda acc, m: F.replace(acc, m, F.lit(by)))
 
 
 def urls(text: Column | str) -> Column:
@@ -91,39 +93,34 @@ def parse_reference(ref: Column, owner: Column | None = None, project: Column |
     """(owner, project, number) of one reference, the absent parts from the defaults."""
     owner = F.lit(OWNER_MARK) if owner is None else owner
     project = F.lit(PROJECT_MARK) if project is None else project
-    hashed = r"^([A-Z0-9a-z_\.-]+/)?([A-Z0-9a-z_\.-]+)?#(\d+)"
-    linked = r"^https?://github.com/([A-Za-z0-9_\.-]+)/([A-Za-z0-9_\.-]+)/\S+/(\d+)"
     group = lambda pattern, n: F.regexp_extract(ref, pattern, n)
-    first, second = F.replace(group(hashed, 1), F.lit("/"), F.lit("")), group(hashed, 2)
-    by_hash = (F.when((first == "") & (second == ""), F.array(owner, project, group(hashed, 3)))
-                .when(first == "", F.array(second, project, group(hashed, 3)))
+    first = F.replace(group(HASH_REFERENCE_PATTERN, 1), F.lit("/"), F.lit(""))
+    second, number = group(HASH_REFERENCE_PATTERN, 2), group(HASH_REFERENCE_PATTERN, 3)
+    by_hash = (F.when((first == "") & (second == ""), F.array(owner, project, number))
+                .when(first == "", F.array(second, project, number))
                 .when(second == "", F.array(F.lit(""), F.lit(""), F.lit("")))
-                .otherwise(F.array(first, second, group(hashed, 3))))
-    return (F.when(ref.rlike(hashed), by_hash)
-             .when(ref.rlike(r"^[Gg][Hh]-\d+"),
-                   F.array(owner, project, group(r"^[Gg][Hh]-(\d+)", 1)))
-             .otherwise(F.array(group(linked, 1), group(linked, 2), group(linked, 3))))
-
-
-def _parts(ref: Column, style: str) -> Column:
-    """The parts of a reference whose style is known, without matching it again."""
-    part = lambda c, mark, n: F.substring_index(c, mark, n)
-    owner, project, number = F.lit(OWNER_MARK), F.lit(PROJECT_MARK), part(ref, "#", -1)
-    if style == "url":
-        tail = part(ref, "/", -4)
-        owner, project, number = part(tail, "/", 1), part(part(tail, "/", 2), "/", -1), part(ref, "/", -1)
-    elif style == "o/p#d":
-        owner, project = part(ref, "/", 1), part(part(ref, "/", -1), "#", 1)
-    elif style == "o#d":
-        owner = part(ref, "#", 1)
-    elif style == "gh-d":
-        number = part(ref, "-", -1)
-    return F.array(owner, project, number)
-
-
-def _refs(found: Column, style: str) -> Column:
-    return F.transform(F.array_distinct(found), lambda r: F.struct(
-        r.alias("raw"), F.lit(style).alias("refstyle"), _parts(r, style).alias("parts"))).cast(REF_TYPE)
+                .otherwise(F.array(first, second, number)))
+    return (F.when(ref.rlike(HASH_REFERENCE_PATTERN), by_hash)
+             .when(ref.rlike(GH_REFERENCE_PATTERN), F.array(owner, project, group(GH_REFERENCE_PATTERN, 1)))
+             .otherwise(F.array(*[group(URL_REFERENCE_PATTERN, n) for n in (1, 2, 3)])))
+
+
+# The parts of a reference `r` whose style is known, without matching it again. A link
+# is read from its end: owner, project, kind of page, number.
+PARTS = {
+    "url": "substring_index(substring_index(r, '/', -4), '/', 1), substring_index(substring_index(r, '/', -3), '/', 1), "
+           "substring_index(r, '/', -1)",
+    "o/p#d": "substring_index(r, '/', 1), substring_index(substring_index(r, '/', -1), '#', 1), substring_index(r, '#', -1)",
+    "o#d": f"substring_index(r, '#', 1), '{PROJECT_MARK}', substring_index(r, '#', -1)",
+    "#d": f"'{OWNER_MARK}', '{PROJECT_MARK}', substring_index(r, '#', -1)",
+    "gh-d": f"'{OWNER_MARK}', '{PROJECT_MARK}', substring_index(r, '-', -1)",
+}
+
+
+def _refs(hits: str, style: str) -> str:
+    """The references of one style out of a column of raw forms."""
+    return (f"transform(array_distinct(`{hits}`), r -> named_struct('raw', r, 'refstyle', '{style}', "
+            f"'parts', array({PARTS[style]})))")
 
 
 def with_issue_references(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
@@ -132,15 +129,16 @@ def with_issue_references(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
     forms hold the shorter; so every pass is two steps, for all texts at once."""
     left, hits, refs = ({o: f"_{o}_{part}" for o in texts} for part in ("left", "hits", "refs"))
     step = lambda frame, names, build: frame.withColumns({names[o]: build(o) for o in texts})
-    erased = lambda by: {left[o]: _erase(F.col(left[o]), F.col(hits[o]), by) for o in texts}
+    erased = lambda by: {left[o]: F.expr(
+        f"aggregate(array_distinct(`{hits[o]}`), `{left[o]}`, (acc, m) -> replace(acc, m, '{by}'))") for o in texts}
 
     df = step(df, left, lambda o: texts[o])
     df = step(df, hits, lambda o: _all(F.col(left[o]), ISSUE_URL_PATTERN, "://"))
-    df = df.withColumns({**{refs[o]: _refs(F.col(hits[o]), "url") for o in texts}, **erased(" ")})
+    df = df.withColumns({**{refs[o]: F.expr(_refs(hits[o], "url")) for o in texts}, **erased(" ")})
     df = step(df, hits, lambda o: urls(left[o])).withColumns(erased(""))
     for style, pattern, mark in REF_STYLES:
         df = step(df, hits, lambda o: _all(F.col(left[o]), pattern, mark))
-        more = {refs[o]: F.concat(F.col(refs[o]), _refs(F.col(hits[o]), style)) for o in texts}
+        more = {refs[o]: F.expr(f"concat(`{refs[o]}`, {_refs(hits[o], style)})") for o in texts}
         df = df.withColumns({**more, **erased(" ")})
     df = df.withColumns({o: F.array_sort(refs[o]) for o in texts})
     return df.drop(*left.values(), *hits.values(), *refs.values())
