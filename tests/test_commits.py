@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from forgetide.operators import commits as C
@@ -23,12 +24,22 @@ def test_mainline_of_a_long_history(spark):
     assert line == {i: f"s{299 - i:03d}" for i in range(300)}
 
 
-def test_ordinals_of_one_group(spark):
+@pytest.mark.parametrize("limit", [0, 10, 55, 10_000])
+def test_ordinals_of_one_group(spark, limit):
     rng = random.Random(1)
-    data = [("p", rng.randrange(4), rng.randrange(3), f"{i:03d}") for i in range(200)]
+    data = [("p", rng.choice([1, 2, 2, 2, 3]), rng.randrange(3), f"{rng.randrange(10)}{i:03d}") for i in range(200)]
     df = spark.createDataFrame(data, "g string, a int, b int, tie string")
-    got = [r.tie for r in ordinal(df, ["g"], [F.col("a"), -F.col("b")], [F.col("tie")]).orderBy("ordinal").collect()]
-    assert got == [d[3] for d in sorted(data, key=lambda d: (d[1], -d[2], d[3]))]
+    levels = [F.col("a"), -F.col("b"), F.substring("tie", 1, 1)]
+    out = ordinal(df, ["g"], levels, [F.col("tie")], limit=limit).orderBy("ordinal").collect()
+    assert [r.ordinal for r in out] == list(range(200))
+    assert [r.tie for r in out] == [d[3] for d in sorted(data, key=lambda d: (d[1], -d[2], d[3]))]
+
+
+def test_undated_commits_are_numbered_last(spark):
+    rows = [commit("b", [], "a", 1), commit("a", [], "a", 1), commit("c", [], "a", 2),
+            ("p", "z", [], "a", "a", None), ("p", "y", [], "a", "a", None)]
+    out = {r.ix: r.sha for r in C.newest_first(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {0: "c", 1: "a", 2: "b", 3: "y", 4: "z"}
 
 
 def test_merges_of_own_work_do_not_count(spark):
