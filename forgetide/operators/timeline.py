@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forgetide.functions.documents import first, get, get_or, is_null_leaf, last_segment, present
+from forgetide.functions.documents import first, get, get_or, last_segment, present
 
 API = "api.github.com"
 EPOCH_DAY = "1970-01-01"

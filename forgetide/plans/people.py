@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forgetide.functions.text import closest_login
 from forgetide.operators import people as P
 from forgetide.operators import timeline as L
 from forgetide.plans.fixtures import CANON_SQL, TIMELINE, canon_frame, t, table

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from forgetide.functions.documents import get
 from forgetide.operators import routing as R
-from forgetide.plans.archive import (CREATE_OR_DELETE, ISO, MEMBER_SQL, PAY, PR_NUM, REVIEW_SQL, WHAT_TYPE,
+from forgetide.plans.archive import (ISO, MEMBER_SQL, PAY, PR_NUM, REVIEW_SQL, WHAT_TYPE,
                                      branch_sql)
 from forgetide.plans.fixtures import ARCHIVE, archive_records, canon_frame
 from forgetide.plans.registry import ORACLES, query
