@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgetide.llm import ship
+from forgetide.llm.op2_toxicity import fit, severity
+from forgetide.llm.op5_fingerprints import compared
+from forgetide.llm.op6_secrets import secrets
 from forgetide.llm.op7_pieces import encode_decode
+from forgetide.llm.op8_decontamination import matches
+from forgetide.llm.op9_personal import personal
 from forgetide.llm.op10_tokens import token_files
 from forgetide.session import configure
 
@@ -42,6 +47,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op2_toxicity")
+def toxicity(spark, sf_dir):
+    """Expected severity of every document."""
+    docs = documents(spark, sf_dir)
+    return severity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query("op5_fingerprints")
+def fingerprint_likeness(spark, sf_dir):
+    """Fingerprints of every document and its edited text, and how alike they are."""
+    return compared(documents(spark, sf_dir))
+
+
+@query("op6_secrets")
+def secret_spans(spark, sf_dir):
+    """Secrets of every document: counts, digest of the base spans, all spans."""
+    return secrets(documents(spark, sf_dir))
+
+
 @query("op7_sentencepiece")
 def sentencepiece(spark, sf_dir):
     """Ids of all documents, and whether decoding gives the text back."""
@@ -49,6 +73,36 @@ def sentencepiece(spark, sf_dir):
     return rows.select("doc_id", "ids", "n_tokens", "n_fallback", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), "same")
 
 
+#: Words of letters and digits with A-Z folded; an item is found when a document holds 4/5 of its runs of five words.
+LEAKS = r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+') FROM benchmark),
+runs AS (
+  SELECT DISTINCT kind, id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS run FROM words WHERE len(w) >= 5),
+sizes AS (SELECT id, count(*) AS n FROM runs WHERE kind = 'i' GROUP BY id),
+held AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS k FROM runs d JOIN runs i ON d.run = i.run AND d.kind = 'd' AND i.kind = 'i'
+  GROUP BY ALL)
+SELECT doc_id, item_id, k / n AS containment FROM held JOIN sizes ON item_id = id WHERE 5 * k >= 4 * n
+"""
+
+
+@query("op8_decontamination", LEAKS)
+def leaked_items(spark, sf_dir):
+    """Benchmark items that documents hold."""
+    return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op9_personal_data")
+def personal_data(spark, sf_dir):
+    """Personal data of every document: counts, digest of the base spans, all spans."""
+    return personal(documents(spark, sf_dir))
+
+
 @query("op10_token_files")
 def token_file_query(spark, sf_dir):
     """Every document's place in the shard files, its ids summed up from them."""
