@@ -33,6 +33,7 @@ from forgetide.session import scratch_path
 MAGIC = b"WVM1"
 BLOCK = 512  # bits per running count
 SHARD_TOKENS = 1 << 18
+HEAD = "\0"  # marks a text's first chunk, which has no space before it
 SHARDS = "part int, seq int, first_id long, n_docs long, n_tokens long, blob binary"
 _STATE: dict[str, object] = {}
 
@@ -171,48 +172,53 @@ class Encoder:
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.letters = self.whole.model, _byte_letters()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.memo = Memo(self._chunks, "u2")
+        self.memo, self.odd = Memo(self._chunks, "u2"), []
 
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, counts, known = [], [], {}
         for chunk in chunks:
             before = len(ids)
-            for word in self.pattern.findall(chunk):
+            for word in self.pattern.findall(chunk[1:] if chunk[:1] == HEAD else " " + chunk):
                 found = known.get(word)
                 if found is None:
                     letters = word.encode().decode("latin1").translate(self.letters)
                     found = known[word] = [token.id for token in self.model.tokenize(letters)]
                 ids.extend(found)
             counts.append(len(ids) - before)
+        self.odd += [not chunk or chunk[0].isspace() for chunk in chunks]
         return np.array(ids, np.uint16), np.array(counts, np.int64)
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the end id 0, and their counts."""
         chunks: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
-        odd = []
+        whole = set()
         for row, text in enumerate(texts):
-            parts = text.split(" ")
-            head, parts = parts[0], [" " + part for part in parts[1:]]
-            if any(len(part) == 1 or part[1].isspace() for part in parts):
-                odd.append(row)
+            if HEAD in text:
+                whole.add(row)
                 continue
-            if head:
-                parts.insert(0, head)
+            parts = text.split(" ")
+            if parts[0]:
+                parts[0] = HEAD + parts[0]
+            else:
+                del parts[0]
             sizes[row] = len(parts)
             chunks += parts
+        if not len(self.memo):
+            self.odd = []
         codes = self.memo.codes(chunks)
         ids, per_chunk = self.memo.ids(codes)
-        ends = np.concatenate([[0], np.cumsum(per_chunk)])
-        bounds = ends[np.concatenate([[0], np.cumsum(sizes)])]
-        counts = np.diff(bounds)
-        rows = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        for row in odd:
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        strange = np.concatenate([[0], np.cumsum(np.array(self.odd, bool)[codes])])[bounds]
+        whole.update(np.flatnonzero(np.diff(strange)).tolist())
+        ends = np.concatenate([[0], np.cumsum(per_chunk)])[bounds]
+        rows = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for row in whole:
             rows[row] = np.array(self.whole.encode(texts[row], add_special_tokens=False).ids, np.uint16)
-            counts[row] = len(rows[row])
         self.memo.trim()
         end = np.zeros(1, np.uint16)
-        return np.concatenate([part for row in rows for part in (row, end)]) if rows else end[:0], counts + 1
+        counts = np.array([len(row) + 1 for row in rows], np.int64)
+        return np.concatenate([part for row in rows for part in (row, end)]) if rows else end[:0], counts
 
 
 def _encoder(path: str) -> Encoder:
