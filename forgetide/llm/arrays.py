@@ -70,13 +70,17 @@ def pieces(bounds: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]
         row = end
 
 
-def prefix_hash(data: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
+def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Running polynomial sums; `span_hash` reads the hash of any span from them."""
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(table[data] * _powers(len(data) + 1)[0][:len(data)], dtype=U64, out=sums[1:])
+    sums = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * _powers(len(values) + 1)[0][:len(values)], dtype=U64, out=sums[1:])
     return sums
 
 
+def prefix_hash(data: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
+    return prefix_sums(table[data])
+
+
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * _powers(len(sums))[1][start] + (end - start).astype(U64))
 

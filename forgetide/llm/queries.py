@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from forgetide.llm import ship
 from forgetide.llm.op2_toxicity import fit, severity
+from forgetide.llm.op3_lines import repeated_lines
+from forgetide.llm.op4_jaccard_join import joined
 from forgetide.llm.op5_fingerprints import compared
 from forgetide.llm.op6_secrets import secrets
 from forgetide.llm.op7_pieces import encode_decode
@@ -54,6 +56,35 @@ def toxicity(spark, sf_dir):
     return severity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@query("op3_line_dedup")
+def line_dedup(spark, sf_dir):
+    """Lines of every document that go because a near-equal line stays elsewhere."""
+    return repeated_lines(documents(spark, sf_dir))
+
+
+#: Sets of three-word runs, links at 9/10, and for each document the smallest one that links lead to.
+NEAR_DOCUMENTS = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS run FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM runs a JOIN runs b ON a.run = b.run AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT id, b FROM reach JOIN links ON other = a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN reach ON id = d.doc_id GROUP BY d.doc_id, n
+"""
+
+
+@query("op4_jaccard_join", NEAR_DOCUMENTS)
+def near_documents(spark, sf_dir):
+    """Components of documents with nearly equal sets of three-word runs."""
+    return joined(documents(spark, sf_dir))
+
+
 @query("op5_fingerprints")
 def fingerprint_likeness(spark, sf_dir):
     """Fingerprints of every document and its edited text, and how alike they are."""
