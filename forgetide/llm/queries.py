@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgetide.llm import ship
+from forgetide.llm.op1_repeats import without_repeats
 from forgetide.llm.op2_toxicity import fit, severity
 from forgetide.llm.op3_lines import repeated_lines
 from forgetide.llm.op4_jaccard_join import joined
@@ -30,6 +31,8 @@ BATCH_ROWS = "1024"
 def prepare(spark: SparkSession) -> SparkSession:
     configure(ship(spark))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    # the operators write what they use again, so shuffle files go when their job is done
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
@@ -49,6 +52,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    """What is left of every document without strings of 200 bytes that also start elsewhere."""
+    return without_repeats(documents(spark, sf_dir))
+
+
 @query("op2_toxicity")
 def toxicity(spark, sf_dir):
     """Expected severity of every document."""
