@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from forgetide.llm import ship
 from forgetide.llm.arrays import BASE, STEPS, U64, gather, mix, prefix_sums, span_hash
-from forgetide.llm.regions import connect, region_members, store
+from forgetide.llm.regions import connect, region_members, store, unused
 from forgetide.session import scratch_path
 
 SHINGLE = 8
@@ -162,14 +162,17 @@ def without_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_colu
                            length_column: str | None = "n_chars") -> DataFrame:
     """The documents without their repeated lines, with all columns; the length follows the text. A document of which no line
     is left goes."""
-    gone = _gone(docs, id_column, text_column)
-    joined = docs.join(gone, docs[id_column] == F.col("_id"), "left")
-    lines = F.split(F.col(text_column), "\n", -1)
-    numbers = F.col("_gone.line")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(numbers, i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(kept)
-    empty = F.col("_gone").isNotNull() & (F.size(lines) == F.size(numbers))
-    columns = [text.alias(c) if c == text_column else
-               F.when(F.col("_gone").isNull(), F.col(f"`{c}`")).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c)
-               if c == length_column else F.col(f"`{c}`") for c in docs.columns]
-    return joined.filter(~empty).select(*columns)
+    key, found = unused(docs, "_id"), unused(docs, "_gone")
+    gone = _gone(docs, id_column, text_column).toDF(key, found)
+    joined = docs.join(gone, docs[id_column] == F.col(key), "left")
+    lines, numbers, text = F.split(F.col(text_column), "\n", -1), F.col(f"{found}.line"), F.col(text_column)
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(numbers, i)), "\n")
+    changed = F.col(found).isNotNull()
+    new = F.when(changed, left).otherwise(text)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    for i, c in enumerate(docs.columns):
+        if c == text_column:
+            columns[i] = new.alias(c)
+        elif c == length_column:
+            columns[i] = F.when(changed, F.length(new)).otherwise(columns[i]).cast(docs.schema[c].dataType).alias(c)
+    return joined.filter(~changed | (F.size(lines) > F.size(numbers))).select(*columns)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from forgetide.llm import ship
 from forgetide.llm.arrays import BASE, STEPS, U64, Words, mix, pieces, text_bytes
-from forgetide.llm.regions import connect, region_members, store
+from forgetide.llm.regions import connect, region_members, store, unused
 from forgetide.session import scratch_path
 
 RATIO = 1.4  # of the bounds of neighbouring size buckets
@@ -162,9 +162,9 @@ def joined(docs: DataFrame, size: int = 3, similarity: tuple[int, int] = (9, 10)
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (8, 10), id_column: str = "doc_id",
                 text_column: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all its columns. Of rows with that id the first
-    by text stays; rows without an id stay."""
+    """The document with the smallest id of each component, with all its columns. A document is known by its id: rows
+    that share a kept id all stay, as do rows without an id."""
     found = joined(docs, size, similarity, id_column, text_column)
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_column] == F.col("_gone"), "left_anti")
-    return kept
+    mark = unused(docs, "_gone")
+    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(gone, docs[id_column] == F.col(mark), "left_anti")
