@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from forgetide.llm import ship
 from forgetide.llm.arrays import BASE, STEPS, U64, gather, mix, prefix_sums, span_hash
-from forgetide.llm.regions import connect, region_members, store, unused
+from forgetide.llm.regions import compare, connect, region_members, store, unused
 from forgetide.session import scratch_path
 
 SHINGLE = 8
@@ -109,16 +109,12 @@ def _line_set(line: str) -> np.ndarray:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        common, total = [], []
-        last, y = None, None
-        for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if two != last:  # pairs come sorted by the pivot
-                last, y = two, _line_set(two)
-            x = _line_set(one)
-            common.append(int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()))
-            total.append(len(x) + len(y))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())],
-                                         names=["x", "p", "common", "total"])
+        known: dict[str, np.ndarray] = {}
+        for line in (*batch.column(2).to_pylist(), *batch.column(3).to_pylist()):
+            if line not in known:
+                known[line] = _line_set(line)
+        yield compare(batch, [(known[one], known[two]) for one, two in zip(
+            batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
 
 
 def line_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from forgetide.llm import ship
 from forgetide.llm.arrays import BASE, STEPS, U64, Words, mix, pieces, text_bytes
-from forgetide.llm.regions import connect, region_members, store, unused
+from forgetide.llm.regions import compare, connect, region_members, store, unused
 from forgetide.session import scratch_path
 
 RATIO = 1.4  # of the bounds of neighbouring size buckets
@@ -121,16 +121,8 @@ def _spell(size: int):
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        common, sizes = [], []
-        for one, two in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(one.as_buffer(), U64), np.frombuffer(two.as_buffer(), U64)
-            if len(x) > len(y):
-                x, y = y, x
-            common.append(int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()))
-            sizes.append(len(x) + len(y))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(sizes, pa.int64())],
-            names=["x", "p", "common", "total"])
+        yield compare(batch, [(np.frombuffer(one.as_buffer(), U64), np.frombuffer(two.as_buffer(), U64))
+                              for one, two in zip(batch.column(2), batch.column(3), strict=True)])
 
 
 def joined(docs: DataFrame, size: int = 3, similarity: tuple[int, int] = (9, 10), id_column: str = "doc_id",

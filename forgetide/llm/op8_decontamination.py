@@ -65,6 +65,10 @@ class Items:
                 signature = np.array([[(_small(self.sets[i]) * f).min() for f in FACTORS[:HASHES]] for i in members], np.uint32)
                 self.classes[level] = members, self._tables(signature)
         self.short = {k: np.flatnonzero(counts == k) for k in range(1, SIZE) if (counts == k).any()}
+        for size, members in self.short.items():
+            values, _, first = words.shingles(size)
+            for i in members:
+                self.sets[i] = values[first[i]:first[i] + 1]
 
     @staticmethod
     def _tables(signature: np.ndarray):

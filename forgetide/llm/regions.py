@@ -1,23 +1,33 @@
 """Connected components of a similarity join whose candidates come as regions.
 
-A region is a key with the nodes that carry it; linked nodes share at least one. Jaccard distance is
-a metric, so after every node has been measured against its home (the least pivot of its
-regions), |d(x, home) - d(y, home)| <= 1 - t holds for linked x, y of one home. Rounds compare up to PIVOTS
-nodes of an open region with the others that are in another component, can have the size, and lie in that
-window. A region is closed when all its nodes are connected or each node outside the largest component has been
-a pivot. So no link between nodes of different components is left out, and no region is multiplied with itself.
+A region is a key with the nodes that carry it; linked nodes share at least one. Every node is measured against
+its home, the least pivot of its regions. What is linked with its home is settled; for the rest the home tells a
+lot about two nodes x, y around it, because distances are those of sets:
+
+- the triangle inequality, |d(x, home) - d(y, home)| <= 1 - t when they are linked;
+- say x lacks M and adds A elements to the home. Linked sets differ in at most (n + m) (1 - t) / (1 + t) elements, so
+  they must have changes in common: an element that both add, or else at least half of what
+  M(x) + A(x) + M(y) + A(y) is above that bound, all among the M. Most copies change their text each in its own way, so
+  the first is looked up (regions of nodes that add the same element to the same home), and the second excludes the
+  others by their numbers alone.
+
+Rounds compare up to PIVOTS nodes of an open region with the others that are in another component, can have the size and
+pass these tests. A region is closed when all its nodes are connected or each node outside its largest component has
+been a pivot. So no link between different components is left out, and no region is multiplied with itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forgetide.operators.components import components
 
-PIVOTS = 64
+PIVOTS = 256
 
 
 def store(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -33,6 +43,21 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+def compare(batch: pa.RecordBatch, sets: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(x, p, common, total, added) of pairs of sorted sets."""
+    common, total, added = [], [], []
+    for x, p in sets:
+        held = p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x
+        common.append(int(held.sum()))
+        total.append(len(x) + len(p))
+        added.append(x[~held].view(np.int64))
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in added])]).astype(np.int32)
+    flat = np.concatenate(added) if added else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64()),
+         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["x", "p", "common", "total", "added"])
+
+
 def region_members(entries: DataFrame) -> DataFrame:
     """(key, node, pivot) of the keys that more than one node carries; the least node is the pivot."""
     regions = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).filter("pivot < _last")
@@ -40,8 +65,8 @@ def region_members(entries: DataFrame) -> DataFrame:
 
 
 def connect(members: DataFrame, sets: DataFrame, measure: Callable, similarity: tuple[int, int], folder: str) -> DataFrame:
-    """(node, component) of all members. `sets` has (node, n, elements); `measure` maps batches of (x, p,
-    elements of x, elements of p) to (x, p, common, total)."""
+    """(node, component) of the members that are linked with others. `sets` has (node, n, elements); `measure` maps batches of
+    (x, p, elements of x, elements of p) to (x, p, common, total, added: what x has and p has not)."""
     top, bottom = similarity
     near = f"{bottom} * common >= {top} * (total - common)"
     slack = 1 - top / bottom + 1e-9
@@ -49,38 +74,53 @@ def connect(members: DataFrame, sets: DataFrame, measure: Callable, similarity:
     def measured(pairs: DataFrame, name: str) -> DataFrame:
         left = pairs.join(sets.select(F.col("node").alias("x"), F.col("elements").alias("ex")), "x")
         both = left.join(sets.select(F.col("node").alias("p"), F.col("elements").alias("ep")), "p").select("x", "p", "ex", "ep")
-        return store(both.mapInArrow(measure, "x long, p long, common long, total long"), folder, name)
+        return store(both.mapInArrow(measure, "x long, p long, common long, total long, added array<long>"), folder, name)
 
     home = measured(members.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("p")).select(
         F.col("node").alias("x"), "p"), "home")
-    placed = home.select(F.col("x").alias("node"), F.col("p").alias("home"),
-                         (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
+    placed = home.select(F.col("x").alias("node"), F.col("p").alias("home"), "common", "total")
+    numbers = sets.select("node", "n").join(placed, "node", "left").select(  # a home is its own home and lacks nothing
+        "node", "n", F.coalesce("home", "node").alias("home"), F.coalesce(F.col("n") - F.col("common"), F.lit(0)).alias("plus"),
+        F.coalesce(F.col("total") - F.col("n") - F.col("common"), F.lit(0)).alias("minus"),
+        F.coalesce(1 - F.col("common") / (F.col("total") - F.col("common")), F.lit(0.0)).alias("d"))
     links = home.filter(near).select("x", "p")
-    nodes = members.select(F.col("node").alias("x"), F.col("node").alias("p")).distinct()
-    known = sets.select("node", "n").join(placed, "node", "left").select(  # a home is its own home, at distance 0
-        "node", "n", F.coalesce("home", "node").alias("home"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    state, turn = members.select("key", "node", F.lit(False).alias("used")), 0
+    state, turn = members.select("key", "node", F.lit(False).alias("adds"), F.lit(False).alias("used")), 0
     while True:
-        comps = store(components(links.unionByName(nodes), "x", "p"), folder, f"components{turn}")
-        state = state.join(comps, "node")
-        counted = state.groupBy("key", "component").agg(F.count("*").alias("k"), F.min(F.col("used").cast("int")).alias("done"))
-        largest = counted.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("large"),
-                                             F.count("*").alias("parts"), F.sum(1 - F.col("done")).alias("undone"))
-        state = state.join(largest.filter("parts > 1 AND undone > 0").select("key", "large"), "key")
+        comps = store(components(links, "x", "p"), folder, f"components{turn}")
+        state = state.drop("component").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        counted = state.groupBy("key", "component").agg(F.count("*").alias("k"))
+        largest = counted.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("large"), F.count("*").alias("parts"))
+        state = state.join(largest.filter("parts > 1").select("key", "large"), "key")
         more = state.filter("NOT used AND component <> large").select("key").distinct()
         state = store(state.join(more, "key"), folder, f"open{turn}")
         if state.isEmpty():
             return comps
+        if turn == 0:  # nodes that add the same element to the same home
+            added = state.select("node").distinct().join(home.select(
+                F.col("x").alias("node"), "p", F.explode("added").alias("element")), "node")
+            alike = region_members(added.select(F.xxhash64("p", "element").alias("key"), "node")).drop("pivot")
+            parts = state.select("node", "component").distinct()
+            state = state.drop("large").unionByName(alike.join(parts, "node").select(
+                "key", "node", F.lit(True).alias("adds"), F.lit(False).alias("used"), "component"))
+            counted = state.groupBy("key", "component").agg(F.count("*").alias("k"))
+            largest = counted.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("large"), F.count("*").alias("parts"))
+            state = store(state.join(largest.filter("parts > 1").select("key", "large"), "key"), folder, "both")
         turn += 1
         order = Window.partitionBy("key").orderBy("node")
         fresh = state.filter("NOT used AND component <> large").withColumn("_turn", F.row_number().over(order)).filter(
-            F.col("_turn") <= PIVOTS)
-        pivots = fresh.join(known, "node").select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("home").alias("ph"),
-                                                  F.col("d").alias("pd"), F.col("component").alias("pc"))
-        pairs = state.filter("NOT used").join(known, "node").join(pivots, "key").filter(
-            (F.col("component") != F.col("pc")) & (bottom * F.col("n") >= top * F.col("pn")) & (bottom * F.col("pn") >= top * F.col("n")) &
-            ((F.col("home") != F.col("ph")) | (F.abs(F.col("d") - F.col("pd")) <= slack)))
-        found = measured(pairs.select(F.greatest("node", "p").alias("x"), F.least("node", "p").alias("p")).distinct(), f"pairs{turn}")
+            F.col("_turn") <= PIVOTS).select("key", "node", "component")
+        pivots = fresh.join(numbers, "node").select("key", F.col("component").alias("pc"), *(
+            F.col(c).alias("p" + c) for c in ("node", "n", "home", "plus", "minus", "d")))
+        differ = (bottom - top) * (F.col("n") + F.col("pn"))
+        apart = F.col("plus") + F.col("minus") + F.col("pplus") + F.col("pminus") - 2 * F.least("minus", "pminus")
+        same_home = F.col("home") == F.col("phome")
+        pairs = state.filter("NOT used").select("key", "node", "adds", "component").join(numbers, "node").join(pivots, (
+            "key"), "inner").filter(
+            (F.col("component") != F.col("pc")) & (F.col("node") != F.col("phome")) & (F.col("home") != F.col("pnode")) &
+            (bottom * F.col("n") >= top * F.col("pn")) & (bottom * F.col("pn") >= top * F.col("n")) &
+            (~same_home | (F.abs(F.col("d") - F.col("pd")) <= slack) & (F.col("adds") | ((bottom + top) * apart <= differ))) &
+            (~F.col("adds") | same_home))
+        found = measured(pairs.select(F.greatest("node", "pnode").alias("x"), F.least("node", "pnode").alias("p")).distinct(), f"pairs{turn}")
         links = links.unionByName(found.filter(near).select("x", "p"))
         done = fresh.select("key", "node", F.lit(True).alias("now"))
-        state = state.join(done, ["key", "node"], "left").select("key", "node", (F.col("used") | F.col("now").isNotNull()).alias("used"))
+        state = state.join(done, ["key", "node"], "left").select("key", "node", "adds", (F.col("used") | F.col("now").isNotNull()).alias("used"))
