@@ -130,9 +130,16 @@ def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """An array with these values in front and at least this size."""
+    if size <= len(values):
+        return values
+    return np.concatenate([values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)])
+
+
 class Memo(dict):
     """Chunk -> code, with the ids of every code in one pool. New chunks are encoded
-    together by `flush`. At `limit` chunks it starts anew, so its memory is bounded."""
+    together by `flush`: `encode` gives all ids, the counts, and a mark for each chunk where marks are wanted. At `limit` chunks it starts anew, so its memory is bounded."""
 
     def __init__(self, encode, kind: str, limit: int = 1_000_000):
         super().__init__()
@@ -141,7 +148,8 @@ class Memo(dict):
 
     def _empty(self) -> None:
         self.clear()
-        self.new, self.pool, self.first = [], np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.new, self.pool, self.first, self.marked = [], np.zeros(0, self.kind), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.used = self.known = 0
 
     def __missing__(self, chunk: str) -> int:
         code = self[chunk] = len(self)
@@ -153,10 +161,15 @@ class Memo(dict):
 
     def flush(self) -> None:
         if self.new:
-            ids, counts = self.encode(self.new)
-            self.pool = np.concatenate([self.pool, ids])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
-            self.new = []
+            ids, counts, *marks = self.encode(self.new)
+            self.pool = _room(self.pool, self.used + len(ids))
+            self.pool[self.used:self.used + len(ids)] = ids
+            self.first = _room(self.first, self.known + len(counts) + 1)
+            self.first[self.known + 1:self.known + len(counts) + 1] = self.used + np.cumsum(counts)
+            if marks:
+                self.marked = _room(self.marked, self.known + len(counts))
+                self.marked[self.known:self.known + len(counts)] = marks[0]
+            self.used, self.known, self.new = self.used + len(ids), self.known + len(counts), []
 
     def ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of these chunks one after the other, and how many each has."""

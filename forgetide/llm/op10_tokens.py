@@ -32,7 +32,8 @@ from forgetide.session import scratch_path
 
 MAGIC = b"WVM1"
 BLOCK = 512  # bits per running count
-SHARD_TOKENS = 1 << 18
+SHARD_TOKENS = 1 << 19
+CHUNKS = 1_600_000  # that a worker remembers at once, about 200 bytes each
 HEAD = "\0"  # marks a text's first chunk, which has no space before it
 SHARDS = "part int, seq int, first_id long, n_docs long, n_tokens long, blob binary"
 _STATE: dict[str, object] = {}
@@ -172,9 +173,9 @@ class Encoder:
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.letters = self.whole.model, _byte_letters()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.memo, self.odd = Memo(self._chunks, "u2"), []
+        self.memo = Memo(self._chunks, "u2", CHUNKS)
 
-    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, counts, known = [], [], {}
         for chunk in chunks:
             before = len(ids)
@@ -185,8 +186,8 @@ class Encoder:
                     found = known[word] = [token.id for token in self.model.tokenize(letters)]
                 ids.extend(found)
             counts.append(len(ids) - before)
-        self.odd += [not chunk or chunk[0].isspace() for chunk in chunks]
-        return np.array(ids, np.uint16), np.array(counts, np.int64)
+        odd = np.array([not chunk or chunk[0].isspace() for chunk in chunks], bool)
+        return np.array(ids, np.uint16), np.array(counts, np.int64), odd
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the end id 0, and their counts."""
@@ -204,12 +205,10 @@ class Encoder:
                 del parts[0]
             sizes[row] = len(parts)
             chunks += parts
-        if not len(self.memo):
-            self.odd = []
         codes = self.memo.codes(chunks)
         ids, per_chunk = self.memo.ids(codes)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        strange = np.concatenate([[0], np.cumsum(np.array(self.odd, bool)[codes])])[bounds]
+        strange = np.concatenate([[0], np.cumsum(self.memo.marked[codes])])[bounds]
         whole.update(np.flatnonzero(np.diff(strange)).tolist())
         ends = np.concatenate([[0], np.cumsum(per_chunk)])[bounds]
         rows = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -252,7 +251,7 @@ def _shards(path: str, shard_tokens: int):
             docs, nulls = np.asarray(column.fill_null(0)), np.asarray(column.is_null())
             _, bounds = text_bytes(batch.column(1))
             row = 0
-            while row < len(bounds) - 1:  # a quarter of a shard at a time
+            while row < len(bounds) - 1:  # bytes are more than tokens, so a shard takes a few turns
                 stop = min(max(int(np.searchsorted(bounds, bounds[row] + shard_tokens, "right")) - 1, row + 1), len(bounds) - 1)
                 ids, lengths = encoder.texts(batch.column(1).slice(row, stop - row).to_pylist())
                 held.append((ids, lengths, docs[row:stop], nulls[row:stop]))
