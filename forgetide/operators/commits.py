@@ -16,7 +16,6 @@ from forgetide.sources.store import keep_last
 TEST_FOLDERS = ["test", "tests", "spec"]
 FILE_MEASURES = ["num_files_existing", "num_py_files_existing", "num_rb_files_existing", "num_test_files_existing"]
 
-UNDATED = 10**9  # later in descending order than any day
 
 
 def likely_test(path: Column | str) -> Column:
@@ -97,11 +96,8 @@ def file_snapshot(commits: DataFrame, files: DataFrame, grain: str = "month") ->
 
 def newest_first(commits: DataFrame) -> DataFrame:
     """Commits with their place in the project's history, newest first, equal times by
-    sha, undated ones last. The last level is for imported histories whose commits all
-    bear one time."""
-    day = F.coalesce(-F.unix_date(F.to_date("committed_date")), F.lit(UNDATED))
-    second = F.coalesce(-F.unix_timestamp("committed_date"), F.lit(UNDATED).cast("bigint") * UNDATED)
-    return ordinal(commits, ["project"], [day, second, F.substring("sha", 1, 3)], [F.col("sha")], "ix")
+    sha, undated ones last."""
+    return ordinal(commits, ["project"], [F.desc_nulls_last("committed_date"), F.asc("sha")], "ix")
 
 
 def newest_heads(commits: DataFrame) -> DataFrame:

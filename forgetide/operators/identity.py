@@ -6,24 +6,25 @@ clusters merges them only if the union has fewer than two names that are not e-m
 
 What is decided in one go: the pairs that bring a new name form trees, whatever else
 happens, and each tree's names come at known times. What is left are pairs between
-trees. A pair that is the earliest open one at both its clusters can be decided at once,
-as all that came before it there is known; so rounds of such pairs run in parallel. A
-cluster with two names is closed for good, so most pairs are refused without waiting.
-When few pairs are left (a checked number), they are replayed in order in one task.
+trees, decided in rounds. As long as no cluster closes (gets its second name by a name
+that comes late), the rule is that of a minimum spanning forest in which all named
+clusters hang on one root. So the earliest open pair of a cluster that has no name yet
+merges, as in Boruvka's algorithm: all such pairs of a round at once, however long the
+chains they form. Around closings, a pair that is the earliest open one at both its
+clusters is decided, as all that came before it there is known. A closed cluster's later
+pairs are refused without waiting.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgetide.operators.components import components
 from forgetide.operators.people import is_email
 from forgetide.session import cut
-from forgetide.sources.store import keep_last
+from forgetide.sources.store import keep_first, keep_last
 
-REPLAY_LIMIT = 100_000
 NEVER = 2**63 - 1
 SOURCE_SPAN = 2**55
 
@@ -63,64 +64,56 @@ def _with_names(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return pairs.fillna(NEVER, ["first1", "second1", "first2", "second2"])
 
 
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """The open pairs in order; gives back the ord of those that merge."""
-    parent: dict[str, str] = {}
-    names: dict[str, list[int]] = {}
-
-    def find(t):
-        while parent.setdefault(t, t) != t:
-            parent[t] = parent[parent[t]]
-            t = parent[t]
-        return t
-
-    merged = []
-    for row in rows.sort_values("ord").itertuples(index=False):
-        names.setdefault(row.t1, [row.first1, row.second1])
-        names.setdefault(row.t2, [row.first2, row.second2])
-        a, b = find(row.t1), find(row.t2)
-        if a != b and sum(n < row.ord for n in names[a] + names[b]) < 2:
-            parent[b] = a
-            names[a] = sorted(names[a] + names[b])[:2]
-            merged.append(row.ord)
-    return pd.DataFrame({"ord": pd.Series(merged, dtype="int64")})
-
-
-def _merging_pairs(pairs: DataFrame, names: DataFrame, replay_limit: int) -> DataFrame:
+def _certain(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """The open pairs that merge whatever else happens."""
+    ends = pairs.select(F.col("t1").alias("tree"), "ord").union(pairs.select("t2", "ord"))
+    first = ends.groupBy("tree").agg(F.min("ord").alias("first")).join(names, "tree", "left").fillna(NEVER, ["n1", "n2"])
+    parts = components(pairs, "t1", "t2").withColumnRenamed("node", "tree")
+    nodes = cut(first.join(parts, "tree"))
+    # the times of names in a component: its second one, and the first that may close a cluster
+    times = nodes.select("component", "tree", F.explode(F.array("n1", "n2")).alias("at"))
+    ranked = keep_first(times, ["component"], ["at", "tree"], 2).groupBy("component").agg(
+        F.max("at").alias("second"))
+    late = F.when(F.col("n1") > F.col("first"), F.col("n1")).otherwise(NEVER)
+    closing = nodes.groupBy("component").agg(F.min(F.least(late, "n2")).alias("closing"))
+    known = nodes.join(ranked, "component").join(closing, "component")
+    side = lambda n: known.select(F.col("tree").alias(f"t{n}"), F.col("first").alias(f"first{n}"), F.col("n1").alias(f"n{n}"),
+                                  *(["second", "closing"] if n == 1 else []))
+    both = pairs.select("t1", "t2", "ord").join(side(1), "t1").join(side(2), "t2")
+    at = lambda n: F.col(f"first{n}") == F.col("ord")
+    alone = lambda n: at(n) & ((F.col("ord") <= F.col("second")) | ((F.col(f"n{n}") > F.col("ord")) & (F.col("ord") <= F.col("closing"))))
+    return both.filter((at(1) & at(2)) | alone(1) | alone(2)).select("t1", "t2", "ord")
+
+
+def _merging_pairs(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """ord of the pairs (t1, t2, ord) that merge two trees."""
-    decided = []
+    decided = pairs.select("ord").limit(0)
     while True:
-        joined = _with_names(pairs, names)
-        pairs = cut(joined.filter(_names_at("first1", "second1") + _names_at("first2", "second2") < 2))
-        if pairs.count() <= replay_limit:
-            last = pairs.withColumn("_few", F.lit(0)).groupBy("_few").applyInPandas(_replay, "ord long")
-            break
-        ends = pairs.select(F.col("t1").alias("t"), "ord").union(pairs.select("t2", "ord"))
-        earliest = ends.groupBy("t").agg(F.min("ord").alias("ord"))
-        at = lambda side: earliest.select(F.col("t").alias(side), "ord")
-        ready = cut(pairs.join(at("t1"), ["t1", "ord"], "left_semi").join(at("t2"), ["t2", "ord"], "left_semi"))
-        decided.append(ready.select("ord"))
-        moved = ready.select(F.col("t2").alias("tree"), F.col("t1").alias("into"))
+        pairs = cut(_with_names(pairs, names).filter(
+            _names_at("first1", "second1") + _names_at("first2", "second2") < 2).select("t1", "t2", "ord"))
+        if pairs.isEmpty():
+            return decided
+        ready = cut(_certain(pairs, names))
+        decided = decided.union(ready.select("ord"))
+        moved = components(ready, "t1", "t2").select(F.col("node").alias("tree"), F.col("component").alias("into"))
         new = lambda df, c: (df.join(moved.withColumnRenamed("tree", c), c, "left")
                                .withColumn(c, F.coalesce("into", c)).drop("into"))
-        open_pairs = new(new(pairs.select("t1", "t2", "ord"), "t1"), "t2").filter("t1 <> t2")
+        open_pairs = new(new(pairs, "t1"), "t2").filter("t1 <> t2")
         pairs = open_pairs.groupBy(F.least("t1", "t2").alias("t1"), F.greatest("t1", "t2").alias("t2")).agg(
             F.min("ord").alias("ord"))
-        times = F.array_sort(F.flatten(F.collect_list(F.array("n1", "n2"))))  # two trees at most meet
-        names = cut(new(names, "tree").groupBy("tree").agg(times.alias("t")).select(
-            "tree", F.col("t")[0].alias("n1"), F.col("t")[1].alias("n2")))
-    for part in decided:
-        last = last.union(part)
-    return last
+        # the two earliest names of what was put together
+        times = new(names, "tree").select("tree", F.explode(F.array("n1", "n2")).alias("at")).filter(F.col("at") < NEVER)
+        two = keep_first(times, ["tree"], ["at"], 2).groupBy("tree").agg(F.min("at").alias("n1"), F.max("at").alias("n2"), F.count("*").alias("_k"))
+        names = cut(two.select("tree", "n1", F.when(F.col("_k") == 2, F.col("n2")).otherwise(NEVER).alias("n2")))
 
 
-def alias_clusters(pairs: DataFrame, replay_limit: int = REPLAY_LIMIT) -> DataFrame:
+def alias_clusters(pairs: DataFrame) -> DataFrame:
     """(alias, cluster) of pairs (alias1, alias2, ord); the cluster is its smallest alias
     among the trees it is made of. See `merged_pairs` for what joined them."""
-    return _cluster(pairs, replay_limit)[0]
+    return _cluster(pairs)[0]
 
 
-def _cluster(pairs: DataFrame, replay_limit: int) -> tuple[DataFrame, DataFrame]:
+def _cluster(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = pairs.select(F.col("alias1").alias("alias"), "ord").union(pairs.select("alias2", "ord"))
     met = ends.groupBy("alias").agg(F.min("ord").alias("met"))
     at = lambda n: met.select(F.col("alias").alias(f"alias{n}"), F.col("met").alias(f"met{n}"))
@@ -142,7 +135,7 @@ def _cluster(pairs: DataFrame, replay_limit: int) -> tuple[DataFrame, DataFrame]
     open_pairs = between.groupBy(F.least("t1", "t2").alias("t1"), F.greatest("t1", "t2").alias("t2")).agg(
         F.min("ord").alias("ord"))
     open_pairs = cut(open_pairs)
-    merging = cut(_merging_pairs(open_pairs, names, replay_limit))
+    merging = cut(_merging_pairs(open_pairs, names))
     joined = components(open_pairs.join(merging, "ord", "left_semi"), "t1", "t2").select(
         F.col("node").alias("tree"), "component")
     clusters = trees.join(joined, "tree", "left").select(
@@ -164,14 +157,19 @@ def refused_pairs(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
         "alias1", "alias2", "provenance")
 
 
-def cluster_provenance(pairs: DataFrame, replay_limit: int = REPLAY_LIMIT) -> DataFrame:
+def cluster_provenance(pairs: DataFrame) -> DataFrame:
     """(cluster, text): why the members are together, one row per reason. Pairs of
     saved clusters give none, see `carried_provenance`."""
-    clusters, used = _cluster(pairs, replay_limit)
+    return clusters_and_reasons(pairs)[1]
+
+
+def clusters_and_reasons(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The clusters and their reasons out of one run."""
+    clusters, used = _cluster(pairs)
     both = F.concat("provenance", F.lit(" ("), "alias1", F.lit("="), "alias2", F.lit(")"))
     reason = F.when(F.col("brings_name"), both).otherwise(F.col("provenance"))
     reasons = used.filter(F.col("ord") >= 0).select(F.col("alias1").alias("alias"), reason.alias("text"))
-    return reasons.join(clusters, "alias").select("cluster", "text").distinct()
+    return clusters, reasons.join(clusters, "alias").select("cluster", "text").distinct()
 
 
 def carried_provenance(saved: DataFrame, clusters: DataFrame) -> DataFrame:

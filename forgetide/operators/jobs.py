@@ -31,27 +31,41 @@ def event_tables(spark: SparkSession, archive: str | list[str], canon: DataFrame
     """Every event table of the chosen projects, the unreadable texts and the records
     that fit no table. The archive is parsed once."""
     records = read_archive(spark, archive)
-    rejected(records).write.mode("overwrite").parquet(f"{out}/unreadable")
-    R.land_events(accepted(records), f"{out}/normalised")
-    events = spark.read.parquet(f"{out}/normalised")
-    R.rejects(events).select("seq", "event_type", "error_reason").write.mode("overwrite").parquet(f"{out}/rejects")
+    unread = F.col("error_reason").isNotNull()
+    R.land_events(records.withColumn("text", F.when(unread, F.col("text"))), f"{out}/normalised")
+    landed = spark.read.parquet(f"{out}/normalised")
+    rejected(landed).write.mode("overwrite").parquet(f"{out}/unreadable")
+    events = accepted(landed).drop("text", "error_reason")
     names = cut(N.known_names(N.usable(events), canon))
-    chosen = R.chosen(events, canon, names)
+    R.rejects(events, canon, names).select("seq", "event_type", "error_reason").write.mode("overwrite").parquet(f"{out}/rejects")
+    R.chosen(events, canon, names).write.mode("overwrite").parquet(f"{out}/chosen")
+    chosen = spark.read.parquet(f"{out}/chosen")
     for name in R.TABLES:
         R.typed_table(chosen, name).write.mode("overwrite").parquet(f"{out}/{name}")
     R.other_table(chosen).write.mode("overwrite").parquet(f"{out}/other")
 
 
 def _stored(rows: list[DataFrame], table: str) -> DataFrame:
-    every = rows[0]
+    every = rows[0].withColumn(L.WRITTEN, F.col(L.WRITTEN) if L.WRITTEN in rows[0].columns else F.lit(None).cast(
+        "struct<retrieved_at:timestamp,landed:bigint>"))
     for part in rows[1:]:
         every = every.unionByName(part, allowMissingColumns=True)
-    return keep_last(annotate(every), keys_of(table), ["time"])
+    return annotate(keep_last(every, keys_of(table), [L.WRITTEN, "time"]).drop(L.WRITTEN))
+
+
+def _fetched(raw: DataFrame) -> DataFrame:
+    """Raw documents with their place among the writes: when they were fetched, then the landing sequence."""
+    known = [F.col(c) if c in raw.columns else F.lit(None).cast(kind) for c, kind in (
+        ("retrieved_at", "timestamp"), ("landed", "bigint"))]
+    return raw.withColumn(L.WRITTEN, F.struct(known[0].alias("retrieved_at"), known[1].alias("landed")))
 
 
 def issue_timeline(issues: DataFrame, pulls: DataFrame, comments: DataFrame, pull_commits: DataFrame,
                    review_comments: DataFrame, commit_comments: DataFrame) -> DataFrame:
-    """The annotated issue timeline out of landed documents."""
+    """The annotated issue timeline out of landed documents. Of the versions of a row the one fetched last stays,
+    by `retrieved_at` and the landing sequence `landed`, where the documents have them."""
+    issues, pulls, comments, pull_commits, review_comments, commit_comments = map(_fetched, (
+        issues, pulls, comments, pull_commits, review_comments, commit_comments))
     return _stored([L.issue_titles(issues), L.issue_closings(issues), L.pull_titles(pulls), L.pull_merges(pulls),
                     L.issue_comments(comments), L.pull_commits(pull_commits),
                     L.review_comments(L.stamp_review_comments(review_comments)),
@@ -60,6 +74,7 @@ def issue_timeline(issues: DataFrame, pulls: DataFrame, comments: DataFrame, pul
 
 def project_timeline(commits: DataFrame, clone_commits: DataFrame, commit_comments: DataFrame) -> DataFrame:
     """The annotated project timeline out of landed documents."""
+    commits, commit_comments = _fetched(commits), _fetched(commit_comments)
     return _stored([L.commit_messages(commits, clone_commits), L.commit_comments(commit_comments)[0]],
                    "project_events")
 
@@ -105,10 +120,10 @@ def identities(profiles: DataFrame, pulls: DataFrame, pushes: DataFrame, out: st
     spark = profiles.sparkSession
     saved = spark.read.parquet(f"{old}/clusters") if old else None
     pairs = cut(I.combine_sources(profiles, pulls, pushes, saved))
-    I.alias_clusters(pairs).write.mode("overwrite").parquet(f"{out}/clusters")
+    found, reasons = I.clusters_and_reasons(pairs)
+    found.write.mode("overwrite").parquet(f"{out}/clusters")
     clusters = spark.read.parquet(f"{out}/clusters")
     I.canonical_names(clusters).write.mode("overwrite").parquet(f"{out}/canonical")
-    reasons = I.cluster_provenance(pairs)
     if old:
         before = I.carried_provenance(spark.read.parquet(f"{old}/provenance"), clusters)
         reasons = reasons.unionByName(before).distinct()

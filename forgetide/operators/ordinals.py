@@ -1,9 +1,8 @@
-"""Row numbers in groups of any size.
+"""Places in an order, for frames and groups of any size.
 
-A window over a group puts the group into one task. Here a group is cut by the levels of
-its order, from coarse to fine (day, second, ...). Rows are counted per day; only days
-with very many rows are cut further. The counts, summed up level by level, say how many
-rows come before each piece, and within a piece a plain row number does the rest.
+A window over a group puts the group into one task. Here the rows are sorted over all tasks by range, so
+the order also cuts a group of any size; each row gets its number inside its task, and the tasks' row counts,
+one number each, say how many rows come before.
 """
 
 from __future__ import annotations
@@ -13,44 +12,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forgetide.session import cut
-
-PIECE_LIMIT = 1_000_000
-
-
-def _pieces(df: DataFrame, group: Sequence[str], levels: Sequence[Column],
-            limit: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Rows with the marks of their piece, the row count of each piece, the marks. The
-    pieces over the limit are at most (rows / limit) many."""
-    marks, rows = ["_level0"], df.withColumn("_level0", levels[0])
-    counts = cut(rows.groupBy(*group, *marks).agg(F.count("*").alias("_n")))
-    for depth, level in enumerate(levels[1:], 1):
-        large = counts.filter(F.col("_n") > limit).select(*group, *marks, F.lit(True).alias("_large"))
-        if large.isEmpty():
-            break
-        mark = f"_level{depth}"
-        kind = df.select(level.alias(mark)).schema[mark].dataType
-        rows = rows.join(large, [*group, *marks], "left").withColumn(
-            mark, F.when(F.col("_large"), level).otherwise(F.lit("0").cast(kind))).drop("_large")
-        marks.append(mark)
-        counts = cut(rows.groupBy(*group, *marks).agg(F.count("*").alias("_n")))
-    return rows, counts, marks
-
-
-def ordinal(df: DataFrame, group: Sequence[str], levels: Sequence[Column], tie: Sequence[Column],
-            name: str = "ordinal", limit: int = PIECE_LIMIT) -> DataFrame:
-    """Zero-based place of each row in its group, ascending by `levels` (numbers or
-    text, not null), then `tie`."""
-    rows, counts, marks = _pieces(df, group, levels, limit)
-    before = counts.withColumn("_before", F.lit(0).cast("bigint"))
-    for depth, here in enumerate(marks):
-        parent = [*group, *marks[:depth]]
-        earlier = Window.partitionBy(*parent).orderBy(here).rowsBetween(Window.unboundedPreceding, -1)
-        sums = counts.groupBy(*parent, here).agg(F.sum("_n").alias("_sum")).select(
-            *parent, here, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-        before = before.join(sums, [*parent, here]).withColumn(
-            "_before", F.col("_before") + F.col("_offset")).drop("_offset")
-    within = Window.partitionBy(*group, *marks).orderBy(*levels, *tie)
-    placed = rows.join(before.drop("_n"), [*group, *marks]).withColumn(
-        name, F.col("_before") + F.row_number().over(within) - 1)
-    return placed.drop("_before", *marks)
+from forgetide.session import scratch_path
+
+TASK_BITS = 33  # monotonically_increasing_id has the task above these
+
+
+def in_order(sorted_rows: DataFrame, name: str = "position") -> DataFrame:
+    """Zero-based place of each row of a sorted frame. The numbered rows are written first, so that no recomputed
+    task can number them anew."""
+    spark = sorted_rows.sparkSession
+    path = scratch_path(spark, "numbered")
+    sorted_rows.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_task", F.shiftright("_at", TASK_BITS))
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_task").agg(F.count("*").alias("_n")).select(
+        "_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << TASK_BITS) - 1))
+    return rows.join(before, "_task").withColumn(name, F.col("_before") + inside).drop("_at", "_task", "_before")
+
+
+def ordinal(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "ordinal") -> DataFrame:
+    """Zero-based place of each row in its group. Groups are not null, and `order` has no ties that matter."""
+    placed = in_order(df.orderBy(*group, *order), "_place")
+    first = placed.groupBy(*group).agg(F.min("_place").alias("_first"))
+    return placed.join(first, list(group)).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")

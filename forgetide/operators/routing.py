@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgetide.functions.documents import get
-from forgetide.operators.normalize import (canonical_project, in_projects, known_names, normalise,
-                                           not_skipped, usable)
+from forgetide.operators.normalize import (SKIPPED_TYPES, canonical_project, in_projects, known_names, normalise,
+                                           usable)
 from forgetide.sources.store import keep_last
 
 # The columns every event table starts with.
@@ -50,8 +50,9 @@ def chosen(events: DataFrame, canon: DataFrame, names: DataFrame | None = None)
     return canonical_project(in_projects(rows, canon, names), canon)
 
 
-def rejects(events: DataFrame) -> DataFrame:
-    """Records that reach no table, and why."""
+def rejects(events: DataFrame, canon: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Records that reach no table, and why. Without a type or a repository a record may be anyone's; of the others
+    only those of the chosen projects are told."""
     typed = F.col("event_type").isin(ROUTED_TYPES)
     reason = (F.when(F.col("event_type").isNull(), F.lit("no type"))
                .when(F.col("project").isNull(), F.lit("no repository"))
@@ -60,7 +61,11 @@ def rejects(events: DataFrame) -> DataFrame:
                .when((F.col("event_type") == "MemberEvent") & F.col("member").isNull(), F.lit("no member"))
                .when((F.col("event_type") == "ReleaseEvent") & F.col("author").isNull(), F.lit("no author"))
                .when(~typed & F.col("event_id").isNull(), F.lit("no id")))
-    return not_skipped(events).withColumn("error_reason", reason).filter("error_reason IS NOT NULL")
+    rows = events.filter(F.coalesce(~F.col("event_type").isin(SKIPPED_TYPES), F.lit(True)))
+    rows = rows.withColumn("error_reason", reason).filter("error_reason IS NOT NULL")
+    anyones = F.col("error_reason").isin("no type", "no repository")
+    names = known_names(usable(events), canon) if names is None else names
+    return rows.filter(anyones).unionByName(in_projects(rows.filter(~anyones), canon, names))
 
 
 def _pages(events: DataFrame) -> DataFrame:

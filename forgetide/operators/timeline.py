@@ -7,6 +7,8 @@ annotation reads it as empty; a null in the document stays null.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from forgetide.functions.documents import first, get, get_or, last_segment, pres
 
 API = "api.github.com"
 EPOCH_DAY = "1970-01-01"
+WRITTEN = "_written"  # when a raw row was fetched and landed; goes along until the last version is kept
 PROJECT = ["project_owner", "project_name"]
 STATUS = ("struct<was_correct_at_date:timestamp,comments:int,additions:int,deletions:int,"
           "changed_files:int,comment_count:int>")
@@ -35,7 +38,8 @@ def _kind() -> Column:
 def _row(raw: DataFrame, rectype: str, **columns) -> DataFrame:
     fixed = {"rectype": F.lit(rectype), "provenance": F.lit(API)}
     fixed.update({k: v if isinstance(v, Column) else F.lit(v) for k, v in columns.items()})
-    return raw.select(*PROJECT, *[v.alias(k) for k, v in fixed.items()])
+    written = [WRITTEN] if WRITTEN in raw.columns else []
+    return raw.select(*PROJECT, *[v.alias(k) for k, v in fixed.items()], *written)
 
 
 def _place(*parts: Column) -> Column:
@@ -205,17 +209,18 @@ def preview(rows: DataFrame) -> DataFrame:
     return rows.withColumn("preview", F.translate(line, "\n\r", "  "))
 
 
-def issue_story(rows: DataFrame, owner: str, project: str, issueid: int) -> DataFrame:
+def issue_story(rows: DataFrame, owner: str, project: str, issueid: int, tie: Sequence[str] = ()) -> DataFrame:
+    """One issue's rows by time; `tie` orders rows of one time."""
     mine = rows.filter((F.col("project_owner") == owner) & (F.col("project_name") == project)
                        & (F.col("issueid") == issueid))
-    return preview(mine).orderBy("time")
+    return preview(mine).orderBy("time", *tie)
 
 
-def all_stories(rows: DataFrame) -> DataFrame:
-    """Every issue's rows, issues in order of their creation."""
+def all_stories(rows: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
+    """Every issue's rows, issues in order of their creation; `tie` orders rows of one time."""
     key = [*PROJECT, "issueid"]
     start = rows.filter("rectype = 'issue_title'").groupBy(*key).agg(F.min("time").alias("started"))
-    return preview(rows.join(start, key)).orderBy(*PROJECT, "started", "issueid", "time")
+    return preview(rows.join(start, key)).orderBy(*PROJECT, "started", "issueid", "time", *tie)
 
 
 def both_timelines(issue_events: DataFrame, project_events: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forgetide.session import spread
 
 DIALECTS = {
     "spark": {"iso": "date_format({0}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
@@ -52,11 +51,12 @@ class Input:
         return self._over(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"))
 
     def heavy(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        """The same for jobs whose work per row is large: the table's rows are spread
-        over all cores first when it is a single small file."""
+        """The same for jobs whose work per row is large: the rows of the table, one file, are
+        dealt out first."""
         source = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
         names = set(re.findall(r"[a-z_]+", " ".join(self.layers[0])))
-        return self._over(spread(source.select(*[c for c in source.columns if c in names])))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return self._over(source.select(*[c for c in source.columns if c in names]).repartition(parts))
 
     def _over(self, df: DataFrame) -> DataFrame:
         for layer in self.layers:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from forgetide.functions.periods import period_label
 from forgetide.operators import metrics as M
+from forgetide.operators.ordinals import in_order
 from forgetide.plans.fixtures import MEASURES
 from forgetide.plans.registry import query
 
@@ -73,11 +74,10 @@ def x3(spark, sf):
     return events.select("event_id", F.inline(F.array(*grains)))
 
 
-# Three distinct-member measures, one per kind of event, over projects made of users.
-KINDS = ["clicks", "errors", "views"]
+# Distinct-member measures, one per kind of event, over projects made of users.
+KINDS = ["clicks", "errors", "purchases", "signups", "views"]
 BY_OWNER = """SELECT concat('p', CAST(user_id % 20 AS STRING)) AS project,
-  strftime(ts, '%Y%m%d') AS period, event_type || 's' AS measure, event_id AS member
-  FROM events WHERE event_type IN ('click', 'error', 'view')"""
+  strftime(ts, '%Y%m%d') AS period, event_type || 's' AS measure, event_id AS member FROM events"""
 CELLS_SQL = f"""WITH m AS ({BY_OWNER}), cells AS (
 {totals('count(DISTINCT member)', keys='project, measure')}),
 wide AS (SELECT project, period, {', '.join(
@@ -90,8 +90,7 @@ GRID_SQL = f"""{CELLS_SQL}, grid AS (SELECT p.project, q.period, {', '.join(
 
 
 def by_owner(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").filter(
-        F.col("event_type").isin("click", "error", "view")).select(
+    return spark.read.parquet(f"{sf}/events.parquet").select(
         F.concat(F.lit("p"), (F.col("user_id") % 20).cast("string")).alias("project"),
         period_label("ts").alias("period"),
         F.concat("event_type", F.lit("s")).alias("measure"), F.col("event_id").alias("member"))
@@ -125,7 +124,7 @@ def f13(spark, sf):
     return M.count_unique(kept).filter("period <> 'total'")
 
 
-@query("F14_hide_zero_rows", f"{GRID_SQL} SELECT * FROM grid WHERE clicks <> 0")
+@query("F14_hide_zero_rows", f"{GRID_SQL} SELECT * FROM grid WHERE clicks + errors + purchases <> 0")
 def f14(spark, sf):
     return M.report(cells(spark, sf), KINDS, hide_zeroes=True)
 
@@ -149,12 +148,11 @@ def w2(spark, sf):
 OPEN_CLOSE = """SELECT concat('p', CAST(user_id % 20 AS STRING)) AS project,
   strftime(ts, '%Y%m%d') AS period, count(*) FILTER (WHERE event_type = 'signup') AS opening,
   count(*) FILTER (WHERE event_type = 'purchase') AS closing
-  FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY ALL"""
+  FROM events GROUP BY ALL"""
 
 
 def open_close(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").filter(
-        F.col("event_type").isin("signup", "purchase")).groupBy(
+    return spark.read.parquet(f"{sf}/events.parquet").groupBy(
         F.concat(F.lit("p"), (F.col("user_id") % 20).cast("string")).alias("project"),
         period_label("ts").alias("period")).agg(
         F.count_if(F.col("event_type") == "signup").alias("opening"),
@@ -190,6 +188,7 @@ def w4(spark, sf):
     return M.forward_fill(maxima, "n")
 
 
-@query("O2_project_then_period", f"{CTE} {totals('count(DISTINCT member)')} ORDER BY project, period")
+@query("O2_project_then_period", f"""{CTE} SELECT *, row_number() OVER (ORDER BY project, period) - 1 AS position
+FROM ({totals('count(DISTINCT member)')})""")
 def o2(spark, sf):
-    return M.count_unique(MEASURES.frame(spark, sf)).orderBy("project", "period")
+    return in_order(M.count_unique(MEASURES.frame(spark, sf)).orderBy("project", "period"))

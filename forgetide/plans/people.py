@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from forgetide.operators import people as P
 from forgetide.operators import timeline as L
+from forgetide.operators.ordinals import in_order
 from forgetide.plans.fixtures import CANON_SQL, TIMELINE, canon_frame, t, table
 from forgetide.plans.registry import query
 from forgetide.sources.tables import ACTOR_COLUMNS
@@ -221,15 +222,14 @@ def j6(spark, sf):
     return P.enrich(TIMELINE.frame(spark, sf).select("actor"), cache, users)
 
 
-@query("O1_sorted_participation", f"{PART_SQL} SELECT * FROM p ORDER BY owner, project, actor")
+@query("O1_sorted_participation", f"{PART_SQL} SELECT *, row_number() OVER (ORDER BY owner, project, actor) - 1 AS position FROM p")
 def o1(spark, sf):
-    return participation(spark, sf).orderBy("owner", "project", "actor")
+    return in_order(participation(spark, sf).orderBy("owner", "project", "actor"))
 
 
-@query("O3_sorted_by_time", f"""SELECT event_id, issueid FROM {SRC} WHERE rectype = 'issue_title' ORDER BY time""")
+@query("O3_sorted_by_time", f"""SELECT event_id, issueid, row_number() OVER (ORDER BY time, event_id) - 1 AS position FROM {SRC}""")
 def o3(spark, sf):
-    rows = TIMELINE.frame(spark, sf).filter("rectype = 'issue_title'")
-    return rows.orderBy("time").select("event_id", "issueid")
+    return in_order(TIMELINE.frame(spark, sf).orderBy("time", "event_id").select("event_id", "issueid"))
 
 
 @query("U1_both_timelines", f"""SELECT event_id, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS src_order, actor
@@ -246,17 +246,19 @@ def u2(spark, sf):
 PREVIEW = ("replace(coalesce(title, '') || substr(coalesce(text, ''), 1, 30), chr(10), ' ')")
 
 
-@query("W7_issue_story", f"""SELECT event_id, rectype, actor, {PREVIEW} AS preview FROM {SRC}
-WHERE project_owner = 'user4' AND project_name = 'p3' AND issueid = 11 ORDER BY time""")
+@query("W7_issue_story", f"""SELECT event_id, rectype, actor, {PREVIEW} AS preview,
+row_number() OVER (ORDER BY time, event_id) - 1 AS position FROM {SRC}
+WHERE project_owner = 'user4' AND project_name = 'p3' AND issueid = 11""")
 def w7(spark, sf):
-    return L.issue_story(TIMELINE.frame(spark, sf), "user4", "p3", 11).select("event_id", "rectype", "actor", "preview")
+    story = L.issue_story(TIMELINE.frame(spark, sf), "user4", "p3", 11, tie=["event_id"])
+    return in_order(story.select("event_id", "rectype", "actor", "preview"))
 
 
 @query("W8_all_stories", f"""WITH r AS (SELECT * FROM {SRC}), s AS (SELECT project_owner, project_name, issueid,
   min(time) AS started FROM r WHERE rectype = 'issue_title' GROUP BY ALL)
-SELECT event_id, r.project_owner, r.project_name, r.issueid, {PREVIEW} AS preview
-FROM r JOIN s USING (project_owner, project_name, issueid)
-ORDER BY r.project_owner, r.project_name, started, r.issueid, time""")
+SELECT event_id, r.project_owner, r.project_name, r.issueid, {PREVIEW} AS preview,
+row_number() OVER (ORDER BY r.project_owner, r.project_name, started, r.issueid, time, event_id) - 1 AS position
+FROM r JOIN s USING (project_owner, project_name, issueid)""")
 def w8(spark, sf):
-    return L.all_stories(TIMELINE.frame(spark, sf)).select(
-        "event_id", "project_owner", "project_name", "issueid", "preview")
+    return in_order(L.all_stories(TIMELINE.frame(spark, sf), tie=["event_id"]).select(
+        "event_id", "project_owner", "project_name", "issueid", "preview"))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from forgetide.functions.documents import get
 from forgetide.operators import routing as R
-from forgetide.plans.archive import (ISO, MEMBER_SQL, PAY, PR_NUM, REVIEW_SQL, WHAT_TYPE,
-                                     branch_sql)
+from forgetide.plans.archive import ISO, MEMBER_SQL, PAY, PR_NUM, REVIEW_SQL, WHAT_TYPE, branch_sql
 from forgetide.plans.fixtures import ARCHIVE, archive_records, canon_frame
 from forgetide.plans.registry import ORACLES, query
 from forgetide.session import scratch_path
@@ -130,14 +129,14 @@ def e12(spark, sf):
                             "raw_action": get("raw", "payload.action")}).drop("raw")
 
 
-@query("S4_rejected_events", f"""WITH e AS (SELECT * FROM MEMBERS)
-SELECT line, CASE WHEN project IS NULL THEN 'no repository'
+@query("S4_rejected_events", f"""{CHOSEN}, why AS (SELECT line, repo_id, project, CASE WHEN project IS NULL THEN 'no repository'
   WHEN event_type IN ({ROUTED}) AND actor IS NULL THEN 'no actor'
   WHEN event_type = 'PushEvent' AND line % 5 = 0 THEN 'no shas'
   WHEN event_type = 'MemberEvent' AND member IS NULL THEN 'no member'
   WHEN event_type = 'ReleaseEvent' AND {AUTHOR} IS NULL THEN 'no author'
   WHEN event_type NOT IN ({ROUTED}) AND event_id IS NULL THEN 'no id' END AS error_reason
-FROM e WHERE event_type <> 'FollowEvent' AND error_reason IS NOT NULL""".replace(
-    "WITH e AS (SELECT * FROM MEMBERS)", MEMBER_SQL))
+FROM e WHERE event_type NOT IN ('FollowEvent', 'GistEvent'))
+SELECT line, error_reason FROM why WHERE error_reason = 'no repository' OR error_reason IS NOT NULL
+  AND (repo_id IN (SELECT id FROM c) OR lower(project) IN (SELECT name FROM known))""")
 def rejected_events(spark, sf):
-    return R.rejects(landed(spark, sf)).select(F.col("seq.row").alias("line"), "error_reason")
+    return R.rejects(landed(spark, sf), canon_frame(spark, sf)).select(F.col("seq.row").alias("line"), "error_reason")

@@ -19,7 +19,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
-_LOCAL_DIRS: dict[str, str] = {}
+_LOCAL_DIRS: dict[str, tempfile.TemporaryDirectory] = {}  # they go with the driver
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -39,8 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="run-")
-    return _LOCAL_DIRS[app]
+        _LOCAL_DIRS[app] = tempfile.TemporaryDirectory(prefix="run-", ignore_cleanup_errors=True)
+    return _LOCAL_DIRS[app].name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -54,10 +54,3 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer pieces than that, as with a few
-    gzip files; a large input has enough pieces and is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -13,7 +13,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgetide.session import spread
 
 BOUNDARY = r"(?<=\})(?=\s*\{)"
 
@@ -87,8 +86,12 @@ def rejected(records: DataFrame) -> DataFrame:
     return records.filter(F.col("error_reason").isNotNull()).select("seq", "text", "error_reason")
 
 
-def read_archive(spark: SparkSession, path: str | list[str], errors: str = "replace") -> DataFrame:
-    return parse_records(spread(read_lines(spark, path, errors)))
+def read_archive(spark: SparkSession, path: str | list[str], errors: str = "replace",
+                 parts: int | None = None) -> DataFrame:
+    """Records of the files. A gzip file is one task's; `parts` deals the lines out anew before they are
+    parsed, for few large files on many cores."""
+    lines = read_lines(spark, path, errors)
+    return parse_records(lines if parts is None else lines.repartition(parts))
 
 
 def land(records: DataFrame, path: str, created_at: str = "created_at") -> None:

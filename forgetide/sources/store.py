@@ -57,6 +57,12 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
     return df.withColumn("_version", F.row_number().over(newest)).filter("_version = 1").drop("_version")
 
 
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows of each key in ascending order."""
+    place = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= n).drop("_place")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str],
            order: Sequence[str | Column]) -> DataFrame:
     """Old rows replaced by new ones of the same key, then the last version of each."""

