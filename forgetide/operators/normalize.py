@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgetide.functions.documents import get, present, text
+from forgetide.session import cut
 
 # Fixed values.
 PLACEHOLDER_ACTOR_URL = "https://api.github.dev/users/"
@@ -164,6 +165,12 @@ def _id_key() -> Column:
     return F.coalesce("repo_id", -F.pmod(F.xxhash64("project", "created_at"), F.lit(1 << 40)) - 10)
 
 
+def by_id(events: DataFrame, canon: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Events under a known repository id, or with how="left_anti" the others."""
+    ids = canon.select(F.col("id").alias("_id")).distinct()
+    return events.join(ids, _id_key() == F.col("_id"), how)
+
+
 def in_projects(events: DataFrame, canon: DataFrame, names: DataFrame) -> DataFrame:
     """Events of the chosen projects: a known id, or one of `names`. Two equality joins
     give two flags; one join on either condition would compare all pairs."""
@@ -276,9 +283,17 @@ def issue_comment_lookup(records: DataFrame, number: int) -> DataFrame:
 
 
 def key_signatures(records: DataFrame, names: tuple[str, ...] = ("repo", "repository")) -> DataFrame:
-    """Distinct key sets of the objects under each name, at the top and in the payload."""
-    def keys(name, path):
-        return F.struct(F.lit(name).alias("name"), F.array_join(F.array_sort(F.json_object_keys(
-            F.to_json(get("v", path, "variant")))), "//").alias("keys"))
-    every = F.array(*[keys(n, p + n) for n in names for p in ("$.", "$.payload.")])
-    return records.select(F.inline(every)).filter("keys IS NOT NULL").distinct()
+    """Distinct key sets of the objects under each name, at any depth: every round opens the objects and arrays that the last
+    one found, so there are as many rounds as levels."""
+    tvf, found, level = records.sparkSession.tvf, None, records.select(F.col("v").alias("_inner"))
+    while True:
+        inner = level.select("_inner").lateralJoin(tvf.variant_explode(F.col("_inner").outer())).select("key", F.col("value").alias("_inner"))
+        kind = F.schema_of_variant("_inner")
+        level = cut(inner.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+        if level.isEmpty():
+            break
+        keys = F.array_join(F.array_sort(F.json_object_keys(F.to_json("_inner"))), "//")
+        here = level.filter(F.col("key").isin(*names)).select(F.col("key").alias("name"), keys.alias("keys")).filter("keys IS NOT NULL").distinct()
+        found = here if found is None else found.union(here)
+    empty = records.sparkSession.createDataFrame([], "name string, keys string")
+    return empty if found is None else found.distinct()

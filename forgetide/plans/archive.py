@@ -289,6 +289,32 @@ def f5(spark, sf):
     return activity(N.mentions_number(archive_records(spark, sf), "Own2", "Proj5", 75))
 
 
+RANGE = ("2024-01-05 08:23:18", "2024-01-20 12:23:18")
+IN_RANGE = "CAST({} AS TIMESTAMP) >= TIMESTAMP '2024-01-05 08:00:00' AND CAST({} AS TIMESTAMP) < TIMESTAMP '2024-01-20 13:00:00'"
+
+
+def in_hours(spark, sf):
+    """The archive landed by hour, and the hours of RANGE out of it."""
+    path = scratch_path(spark, "by-hour")
+    A.land(archive_records(spark, sf).withColumn("at", N.created_at()), path, "at")
+    return A.scan_hours(spark, path, *RANGE)
+
+
+@query("F5_number_in_hours", f"""SELECT line, time FROM ({CLASSIFY_SQL}) WHERE project_owner = 'Own2' AND project_name LIKE 'Proj5'
+AND {IN_RANGE.format('time', 'time')}
+AND line IN (SELECT line FROM {EVENTS_SQL} WHERE '75' IN (coalesce({PAY}number', ''), coalesce({PAY}issue.number', ''),
+  coalesce({PAY}pull_request.number', '')))""")
+def f5_hours(spark, sf):
+    return activity(N.mentions_number(in_hours(spark, sf), "Own2", "Proj5", 75)).select("line", "time")
+
+
+@query("F6_lookup_in_hours", f"""SELECT line, event_type AS rectype FROM {EVENTS_SQL} WHERE {IN_RANGE.format('created_at', 'created_at')}
+AND (event_type = 'IssuesEvent' AND {PAY}issue.id' = '59' OR event_type = 'IssueCommentEvent' AND {PAY}comment.id' = '156')""")
+def f6_hours(spark, sf):
+    records = in_hours(spark, sf)
+    return N.issue_lookup(records, 59).union(N.issue_comment_lookup(records, 156)).select(F.col("seq.row").alias("line"), "rectype")
+
+
 @query("F6_point_lookup", f"""SELECT line, event_type AS rectype, CASE WHEN event_type = 'IssuesEvent' THEN '59' ELSE {PAY}issue.id' END AS issueid,
 repo_owner AS project_owner, repo_name AS project_name, actor, created_at AS time, {PAY}action' AS action, {PAY}issue.title' AS title,
 'githubarchive' AS provenance, CASE WHEN event_type = 'IssuesEvent' THEN {PAY}issue.body' ELSE {PAY}comment.body' END AS text
@@ -302,9 +328,8 @@ def f6(spark, sf):
 
 # Aliases and profiles ------------------------------------------------------------
 
-@query("A20_key_signatures", f"""SELECT DISTINCT name, keys FROM (
-SELECT 'repo' AS name, array_to_string(list_sort(json_keys(j, '$.repo')), '//') AS keys FROM {EVENTS_SQL} WHERE {NEW}
-UNION ALL SELECT 'repository', array_to_string(list_sort(json_keys(j, '$.repository')), '//') FROM {EVENTS_SQL} WHERE {OLD})""")
+@query("A20_key_signatures", f"""SELECT DISTINCT t.key AS name, array_to_string(list_sort(json_keys(t.value)), '//') AS keys
+FROM {EVENTS_SQL} AS e, json_tree(e.j) AS t WHERE t.key IN ('repo', 'repository') AND t.type = 'OBJECT'""")
 def a20(spark, sf):
     return N.key_signatures(archive_records(spark, sf))
 

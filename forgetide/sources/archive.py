@@ -13,9 +13,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 BOUNDARY = r"(?<=\})(?=\s*\{)"
 
+REPLACEMENT = "\ufffd"
+STAND_IN = "\U0010ffff"  # a noncharacter
+
 
 def scan_order(df: DataFrame) -> Column:
     """Place of a row in the files just read; to be taken directly above the scan."""
@@ -25,9 +27,12 @@ def scan_order(df: DataFrame) -> Column:
 
 
 def repair(value: Column | str, errors: str = "replace") -> Column:
-    """Bad bytes become U+FFFD, or vanish with errors="ignore"."""
-    fixed = F.make_valid_utf8(value)
-    return F.replace(fixed, F.lit("�"), F.lit("")) if errors == "ignore" else fixed
+    """Bad bytes become U+FFFD, or vanish with errors="ignore", which leaves a U+FFFD of the text alone."""
+    if errors != "ignore":
+        return F.make_valid_utf8(value)
+    value = F.col(value) if isinstance(value, str) else value
+    fixed = F.make_valid_utf8(F.replace(value, F.lit(REPLACEMENT), F.lit(STAND_IN)))
+    return F.replace(F.replace(fixed, F.lit(REPLACEMENT), F.lit("")), F.lit(STAND_IN), F.lit(REPLACEMENT))
 
 
 def read_lines(spark: SparkSession, path: str | list[str], errors: str = "replace") -> DataFrame:
@@ -95,9 +100,11 @@ def read_archive(spark: SparkSession, path: str | list[str], errors: str = "repl
 
 
 def land(records: DataFrame, path: str, created_at: str = "created_at") -> None:
-    """Write by hour; later scans of a range open only the hours in it."""
+    """Write by hour; later scans of a range open only the hours in it. Rows are dealt out by ranges of time, so a task
+    writes few hours and a crowded hour is written by several tasks."""
     (records.withColumn("date", F.date_format(created_at, "yyyy-MM-dd"))
             .withColumn("hour", F.hour(created_at))
+            .repartitionByRange("date", "hour", created_at)
             .write.partitionBy("date", "hour").mode("append").parquet(path))
 
 
@@ -113,18 +120,29 @@ def hours_between(start, end) -> list[dt.datetime]:
     return [floor + dt.timedelta(hours=h) for h in range(max(steps, 0))]
 
 
-def read_hours(spark: SparkSession, root: str, start, end, errors: str = "replace") -> DataFrame:
-    """Records of the hourly files <root>/<year>/<date>-<hour>.json.gz of a range. The
-    files are named in one pattern, which matches those that exist."""
-    names = [f"{h:%Y}/{h:%Y-%m-%d}-{h.hour}" for h in hours_between(start, end)]
-    pattern = f"{root.rstrip('/')}/{{{','.join(names)}}}.json.gz"
+def read_hours(spark: SparkSession, root: str, start, end, errors: str = "replace", parts: int | None = None) -> DataFrame:
+    """Records of the hourly files <root>/<year>/<date>-<hour>.json.gz of a range. The years' folders are listed and
+    their files chosen by name; an absent hour is simply not there, an absent root is an error."""
+    hours = hours_between(start, end)
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raise FileNotFoundError(root)
+    nothing = spark.createDataFrame([], "value string, place struct<file:string,block:bigint,row:bigint>")
+    if not hours:
+        return parse_records(nothing)
+    years = ",".join(str(y) for y in range(hours[0].year, hours[-1].year + 1))
+    name = F.col("_metadata.file_name")
+    hour = F.to_timestamp(F.concat(F.substring_index(name, "-", 3), F.lit(" "), F.lpad(
+        F.regexp_extract(name, r"-(\d+)\.json\.gz$", 1), 2, "0")), "yyyy-MM-dd HH")
     try:
-        return read_archive(spark, pattern, errors)
+        raw = spark.read.text(f"{root.rstrip('/')}/{{{years}}}/????-??-??-*.json.gz")
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-    nothing = spark.createDataFrame([], "value string, place struct<file:string,block:bigint,row:bigint>")
-    return parse_records(nothing)
+        return parse_records(nothing)
+    chosen = raw.filter(hour.between(F.lit(hours[0]), F.lit(hours[-1])))
+    lines = chosen.select(repair("value", errors).alias("value"), scan_order(raw).alias("place"))
+    return parse_records(lines if parts is None else lines.repartition(parts))
 
 
 def scan_hours(spark: SparkSession, path: str, start, end) -> DataFrame:

@@ -3,6 +3,9 @@
 Each micro-batch writes its rows under its own batch number, replacing what a failed
 attempt left there, so a restart repeats no rows. The table is read as the last write
 per key over all batches, which is the batch job's rule.
+
+Names learned under a known repository id count for the whole archive, so they are stored
+per batch; events that no name admits yet wait, and a later batch that learns the name writes them.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from forgetide.operators import routing
-from forgetide.operators.normalize import normalise
+from forgetide.operators.normalize import all_aliases, by_id, learned_names, normalise, usable
 from forgetide.sources.archive import accepted, parse_records, repair
 from forgetide.sources.store import keep_last
 
@@ -27,12 +30,26 @@ def stream_lines(spark: SparkSession, folder: str, max_files: int | None = None)
 
 def stream_event_table(lines: DataFrame, name: str, canon: DataFrame, target: str, progress: str,
                        **trigger) -> StreamingQuery:
-    """Start feeding one event table. `progress` is the folder of the stream's own state."""
+    """Start feeding one event table. `progress` is the folder of the stream's own state; names and waiting
+    events are beside it."""
+    spark, state, kind = lines.sparkSession, f"{progress.rstrip('/')}-state", routing.TABLES[name][0]
+
     def write(batch: DataFrame, number: int) -> None:
         place = F.struct("file", "block", F.monotonically_increasing_id().alias("row"))
-        events = normalise(accepted(parse_records(batch.select("value", place.alias("place")))))
-        rows = routing.typed_table(routing.chosen(events, canon), name, keep_order=True)
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        parsed = normalise(accepted(parse_records(batch.select("value", place.alias("place")))))
+        parsed.write.mode("overwrite").parquet(f"{state}/events")  # read several times below
+        events = spark.read.parquet(f"{state}/events")
+        learned_names(usable(events), canon).write.mode("overwrite").parquet(f"{state}/names/batch={number}")
+        learned = spark.read.parquet(f"{state}/names").filter(F.col("batch") <= number)
+        before = learned.filter(F.col("batch") < number).select("name").union(all_aliases(canon)).distinct()
+        names = learned.select("name").union(all_aliases(canon)).distinct()
+        named = F.lower("project") == F.col("name")
+        other = usable(events).filter(F.col("event_type") == kind).join(names, named, "left_anti")
+        by_id(other, canon, "left_anti").write.mode("overwrite").parquet(f"{state}/waiting/batch={number}")
+        new = names.join(before, "name", "left_anti")
+        late = spark.read.parquet(f"{state}/waiting").filter(F.col("batch") < number).drop("batch").join(new, named, "left_semi")
+        rows = routing.chosen(events, canon, names).unionByName(routing.chosen(late, canon, names), allowMissingColumns=True)
+        routing.typed_table(rows, name, keep_order=True).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", progress)
     return (writer.trigger(**trigger) if trigger else writer).start()

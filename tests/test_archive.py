@@ -152,7 +152,10 @@ def test_event_tables_count_every_record_once(spark, lines, tmp_path):
     assert sorted(r.title for r in both.collect()) == ["A", "B"]
     other = R.other_table(chosen).select(D.get("raw", "payload.action")).collect()
     assert [r[0] for r in other] == ["again"]
-    assert sorted(r.error_reason for r in R.rejects(events).collect()) == ["no actor", "no shas"]
+    foreign = {**noshas, "repo": {"id": 77, "name": "some/other"}}
+    nowhere = {**noshas, "repo": None}
+    more = N.normalise(A.parse_records(lines([json.dumps(r) for r in [*records, foreign, nowhere]])))
+    assert sorted(r.error_reason for r in R.rejects(more, canon(spark)).collect()) == ["no actor", "no repository", "no shas"]
 
 
 def test_placeholder_actor(lines):

@@ -50,6 +50,42 @@ def test_stream_follows_arriving_files(spark, tmp_path):
     assert run() == [("1", "a"), ("3", "later")]
 
 
+def test_stream_learns_names_before_and_after(spark, tmp_path):
+    """An event without id comes under a name that another batch learns from a known id; both orders."""
+    def push_as(number, name, repo_id):
+        doc = json.loads(push(number, 1, f"s{number}"))
+        doc["repo"] = {"name": name, **({"id": repo_id} if repo_id else {})}
+        doc["created_at"] = f"2015-01-01T0{number}:00:00Z"
+        return json.dumps(doc)
+
+    known = canon(spark).first().id
+    for order in ((1, 2), (2, 1)):
+        folder = tmp_path / f"{order[0]}"
+        texts = {1: push_as(1, "o/renamed", known), 2: push_as(2, "o/renamed", None)}
+        (folder / "in").mkdir(parents=True)
+        for hour, number in enumerate(order):
+            write(folder / "in" / f"2015-01-01-{hour}.json.gz", texts[number])
+            job = stream_event_table(stream_lines(spark, str(folder / "in"), max_files=1), "PushEvents", canon(spark),
+                                     str(folder / "out"), str(folder / "progress"), availableNow=True)
+            job.awaitTermination()
+        assert sorted(r.id for r in current_rows(spark, "PushEvents", str(folder / "out")).collect()) == ["1", "2"]
+
+
+def test_the_last_fetched_version_stays(spark):
+    """A pull request fetched twice, with one creation time; the order of the input does not matter."""
+    pull = {"number": 3, "id": 5, "user": {"login": "ann"}, "created_at": "2020-01-01T00:00:00Z", "title": "t", "body": "old", "comments": 1}
+    old = documents(spark, pull)
+    new = documents(spark, {**pull, "body": "new", "comments": 2}).withColumn("retrieved_at", F.lit("2021-01-01").cast("timestamp"))
+    nothing = documents(spark, {}).limit(0)
+    for both in (old.unionByName(new), new.unionByName(old)):
+        row = jobs.issue_timeline(nothing, both, nothing, nothing, nothing, nothing).first()
+        assert row.text == "new" and row.status.comments == 2
+    landed = [old.withColumn("landed", F.lit(n).cast("bigint")) for n in (1, 2)]
+    landed[1] = documents(spark, {**pull, "body": "again"}).withColumn("landed", F.lit(2).cast("bigint"))
+    for both in (landed[0].unionByName(landed[1]), landed[1].unionByName(landed[0])):
+        assert jobs.issue_timeline(nothing, both, nothing, nothing, nothing, nothing).first().text == "again"
+
+
 def documents(spark, *docs, extra="CAST(NULL AS INT) AS issueid"):
     return spark.createDataFrame([(json.dumps(d),) for d in docs], "j string").selectExpr(
         "'own' AS project_owner", "'p' AS project_name", "parse_json(j) AS doc",
