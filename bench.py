@@ -28,7 +28,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or ["land_events", *HEADLINES]
     seconds = {}
