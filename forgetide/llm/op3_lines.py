@@ -80,26 +80,27 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = np.array([t.count("\n") + 1 for t in texts[row:stop]])
             first = np.cumsum(lines) - lines
             owner = np.searchsorted(first, number, "right") - 1
+            again = np.ones(len(names), bool)
+            again[np.unique(names, return_index=True)[1]] = False  # equal lines of a batch give their keys once
+            count = np.where(again, 0, BANDS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[row:stop][owner]), pa.array((number - first[owner]).astype(np.int32)), pa.array(names),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(number) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))],
+                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys[~again].ravel()))],
                 names=["id", "line", "node", "keys"])
             row = stop
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chosen lines of texts: (text, lines, nodes) -> (node, n, elements)."""
+    """The chosen lines of texts: (text, lines, nodes) -> (node, elements)."""
     for batch in batches:
-        nodes, counts, lines = [], [], []
+        nodes, lines = [], []
         for text, wanted, names in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             parts = text.split("\n")
             for number, name in zip(wanted, names, strict=True):
                 if number < len(parts) and len(parts[number]) >= SHORTEST:
                     nodes.append(name)
                     lines.append(parts[number])
-                    counts.append(len(np.unique(_line_set(parts[number]))))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(lines, pa.string())],
-                                         names=["node", "n", "elements"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], names=["node", "elements"])
 
 
 def _line_set(line: str) -> np.ndarray:
@@ -119,6 +120,13 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, line, class_id, class_line) of every line with identity: the first line of its component. Line numbers start at 0."""
+    classed, least = _classes(docs, id_column, text_column)
+    return classed.join(least, "class", "left").select(
+        "id", "line", F.coalesce("first.id", "id").alias("class_id"), F.coalesce("first.line", "line").alias("class_line"))
+
+
+def _classes(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """The class of every line, and the first line of classes that have several."""
     spark = ship(docs.sparkSession)
     folder = scratch_path(spark, "lines")
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).dropna()
@@ -128,13 +136,13 @@ def line_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         F.min(F.struct("id", "line")).alias("at"))
     wanted = where.groupBy("at.id").agg(F.collect_list(F.struct("at.line", "node")).alias("l"))  # lines of one document
     picked = rows.join(wanted, "id").select("text", F.col("l.line").alias("line"), F.col("l.node").alias("node"))
-    sets = store(picked.mapInArrow(_pick, "node long, n long, elements string").dropDuplicates(["node"]), folder, "lines")
+    sets = store(picked.mapInArrow(_pick, "node long, elements string"), folder, "lines")
     comps = connect(members, sets, _measure, SIMILARITY, folder)
     classed = table.select("id", "line", "node").join(comps, "node", "left").select(
         "id", "line", F.coalesce("component", "node").alias("class"))
-    least = classed.groupBy("class").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("k")).filter("k > 1")
-    return classed.join(least, "class", "left").select(
-        "id", "line", F.coalesce("first.id", "id").alias("class_id"), F.coalesce("first.line", "line").alias("class_line"))
+    several = classed.groupBy("class").agg(F.count("*").alias("k")).filter("k > 1").select("class")
+    shared = store(classed.join(several, "class"), folder, "shared")
+    return classed, shared.groupBy("class").agg(F.min(F.struct("id", "line")).alias("first"))
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -149,9 +157,10 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def _gone(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    classes = line_classes(docs, id_column, text_column)
-    return classes.filter("id <> class_id OR line <> class_line").groupBy(F.col("id").alias("_id")).agg(
-        F.array_sort(F.collect_set(F.struct("line", "class_id"))).alias("_gone"))
+    classed, least = _classes(docs, id_column, text_column)
+    lines = classed.join(least, "class").filter("id <> first.id OR line <> first.line")
+    return lines.groupBy(F.col("id").alias("_id")).agg(
+        F.array_sort(F.collect_set(F.struct("line", F.col("first.id").alias("class_id")))).alias("_gone"))
 
 
 def without_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",

@@ -114,8 +114,8 @@ def _spell(size: int):
             names = np.array([r[0] for r in rows], np.int64)
             fits = names == np.asarray(batch.column(0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array([len(r[1]) for r in rows], pa.int64()),
-                 pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["node", "n", "elements"]).filter(pa.array(fits))
+                [pa.array(names), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["node", "elements"]
+            ).filter(pa.array(fits))
     return run
 
 
@@ -139,8 +139,8 @@ def joined(docs: DataFrame, size: int = 3, similarity: tuple[int, int] = (9, 10)
     named = table.filter("id IS NOT NULL AND n > 0")
     members = store(region_members(named.select(F.explode("keys").alias("key"), "node")), folder, "members")
     texts = named.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id"))
-    chosen = rows.join(texts, "id").select("node", "text")
-    sets = store(chosen.mapInArrow(_spell(size), "node long, n long, elements binary").dropDuplicates(["node"]), folder, "elements")
+    chosen = rows.join(texts, "id").select("node", "text")  # repeated rows give a set twice, which does no harm
+    sets = store(chosen.mapInArrow(_spell(size), "node long, elements binary"), folder, "elements")
     comps = connect(members, sets, _measure, similarity, folder)
 
     classes = table.filter("id IS NOT NULL").join(comps.withColumnRenamed("component", "class"), "node", "left").select(

@@ -44,18 +44,20 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def compare(batch: pa.RecordBatch, sets: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """(x, p, common, total, added) of pairs of sorted sets."""
-    common, total, added = [], [], []
+    """(x, p, common, n, total, added) of pairs of sorted sets: what they share, the size of x, both sizes, and what x
+    has and p has not."""
+    common, size, total, added = [], [], [], []
     for x, p in sets:
         held = p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x
         common.append(int(held.sum()))
+        size.append(len(x))
         total.append(len(x) + len(p))
         added.append(x[~held].view(np.int64))
     ends = np.concatenate([[0], np.cumsum([len(a) for a in added])]).astype(np.int32)
     flat = np.concatenate(added) if added else np.zeros(0, np.int64)
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64()),
-         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["x", "p", "common", "total", "added"])
+        [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(size, pa.int64()), pa.array(total, pa.int64()),
+         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["x", "p", "common", "n", "total", "added"])
 
 
 def region_members(entries: DataFrame) -> DataFrame:
@@ -65,8 +67,8 @@ def region_members(entries: DataFrame) -> DataFrame:
 
 
 def connect(members: DataFrame, sets: DataFrame, measure: Callable, similarity: tuple[int, int], folder: str) -> DataFrame:
-    """(node, component) of the members that are linked with others. `sets` has (node, n, elements); `measure` maps batches of
-    (x, p, elements of x, elements of p) to (x, p, common, total, added: what x has and p has not)."""
+    """(node, component) of the members that are linked with others. `sets` has (node, elements); `measure` maps batches of
+    (x, p, elements of x, elements of p) to what `compare` gives."""
     top, bottom = similarity
     near = f"{bottom} * common >= {top} * (total - common)"
     slack = 1 - top / bottom + 1e-9
@@ -74,20 +76,25 @@ def connect(members: DataFrame, sets: DataFrame, measure: Callable, similarity:
     def measured(pairs: DataFrame, name: str) -> DataFrame:
         left = pairs.join(sets.select(F.col("node").alias("x"), F.col("elements").alias("ex")), "x")
         both = left.join(sets.select(F.col("node").alias("p"), F.col("elements").alias("ep")), "p").select("x", "p", "ex", "ep")
-        return store(both.mapInArrow(measure, "x long, p long, common long, total long, added array<long>"), folder, name)
+        return store(both.mapInArrow(measure, "x long, p long, common long, n long, total long, added array<long>"), folder, name)
 
     home = measured(members.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("p")).select(
         F.col("node").alias("x"), "p"), "home")
-    placed = home.select(F.col("x").alias("node"), F.col("p").alias("home"), "common", "total")
-    numbers = sets.select("node", "n").join(placed, "node", "left").select(  # a home is its own home and lacks nothing
-        "node", "n", F.coalesce("home", "node").alias("home"), F.coalesce(F.col("n") - F.col("common"), F.lit(0)).alias("plus"),
-        F.coalesce(F.col("total") - F.col("n") - F.col("common"), F.lit(0)).alias("minus"),
-        F.coalesce(1 - F.col("common") / (F.col("total") - F.col("common")), F.lit(0.0)).alias("d"))
+    placed = home.select(F.col("x").alias("node"), "n", F.col("p").alias("home"), (F.col("n") - F.col("common")).alias("plus"), (
+        F.col("total") - F.col("n") - F.col("common")).alias("minus"), (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
+    roots = home.select(F.col("p").alias("node"), (F.col("total") - F.col("n")).alias("n")).distinct().join(
+        placed.select("node"), "node", "left_anti")  # a home of others that has none itself is its own and lacks nothing
+    numbers = placed.dropDuplicates(["node"]).unionByName(roots.select(
+        "node", "n", F.col("node").alias("home"), F.lit(0).cast("bigint").alias("plus"), F.lit(0).cast("bigint").alias("minus"),
+        F.lit(0.0).alias("d")))
     links = home.filter(near).select("x", "p")
     state, turn = members.select("key", "node", F.lit(False).alias("adds"), F.lit(False).alias("used")), 0
     while True:
         comps = store(components(links, "x", "p"), folder, f"components{turn}")
         state = state.drop("component").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # most regions are connected by now; two numbers for each tell
+        several = state.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b").select("key")
+        state = state.join(several, "key")
         counted = state.groupBy("key", "component").agg(F.count("*").alias("k"))
         largest = counted.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("large"), F.count("*").alias("parts"))
         state = state.join(largest.filter("parts > 1").select("key", "large"), "key")
