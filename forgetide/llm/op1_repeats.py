@@ -269,7 +269,9 @@ def repeated_spans(docs: DataFrame, folder: str, id_column: str = "doc_id", text
     parts = contexts.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         _cover, "row long, start long, stop long")
     strings = contexts.filter("hot").mapInArrow(_strings, "one long, two long, row long, start long, place long, alone boolean")
-    twice = strings.groupBy("one", "two").agg(F.count("*").alias("k")).filter("k > 1").select("one", "two")
+    # a string that holds several hot anchors comes from each of them, so places are told apart
+    twice = strings.groupBy("one", "two").agg(*(f("row").alias(f"r{i}") for i, f in enumerate((F.min, F.max))), *(
+        f("start").alias(f"s{i}") for i, f in enumerate((F.min, F.max)))).filter("r0 < r1 OR s0 < s1").select("one", "two")
     hot = strings.filter("alone").join(twice, ["one", "two"]).groupBy("row", "place").agg(
         F.min("start").alias("start"), (F.max("start") + LENGTH).alias("stop")).select("row", "start", "stop")
     return whole.unionByName(parts).unionByName(hot).groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
