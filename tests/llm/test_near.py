@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from forgetide.llm.op1_repeats import maximal_repeats, repeat_groups, without_repeats
 from forgetide.llm.op3_lines import SHORTEST, line_classes, repeated_lines, without_repeated_lines
@@ -56,10 +57,16 @@ def test_maximal_repeats_cannot_grow():
 def test_repeat_groups_have_all_occurrences(docs):
     passage = text(9, 60)
     rows = [(i, f"{text(300 + i, 20)} {passage} {text(400 + i, 20)}") for i in range(5)]
+    raws = {r[0]: r[1].encode() for r in docs(rows).select(F.xxhash64("doc_id", "text"), "text").collect()}
     groups = {}
     for r in repeat_groups(docs(rows)).collect():
-        groups.setdefault((r.anchor, r.number), []).append(r)
-    assert groups and all(len({r.row for r in g}) == 5 and g[0].length >= 200 for g in groups.values())
+        groups.setdefault((r.anchor, r.number, r.length), []).append((r.row, r.start))
+    assert any(len(g) == 5 for g in groups.values())
+    for (_, _, length), places in groups.items():
+        strings = {raws[row][start:start + length] for row, start in places}
+        assert length >= 200 and len(strings) == 1 and len(places) >= 2
+        string = strings.pop()
+        assert len(places) == sum(string in raw for raw in raws.values())  # no occurrence is left out
 
 
 def jaccard_components(rows, size, top, bottom):
