@@ -104,11 +104,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = data[bounds[row]:bounds[row + 1]].tobytes()
             for w in wanted:
                 p = w["place"]
-                out.append((w["anchor"], w["alone"], w["hot"], key, p, raw[max(0, p - SIDE):p][::-1], raw[p:p + LENGTH]))
-        columns = list(zip(*out, strict=True)) or [()] * 7
+                out.append((w["anchor"], w["context"], w["alone"], w["hot"], key, p, raw[max(0, p - SIDE):p][::-1], raw[p:p + LENGTH]))
+        columns = list(zip(*out, strict=True)) or [()] * 8
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
-            names=["anchor", "alone", "hot", "row", "place", "before", "after"])
+            [pa.array(c, t) for c, t in zip(columns, (
+                pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+            names=["anchor", "context", "alone", "hot", "row", "place", "before", "after"])
 
 
 def _matrix(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,10 +209,14 @@ def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in _by_anchor(batches):
         for number, (left, right, members) in enumerate(maximal_repeats([r["before"] for r in group], [r["after"] for r in group])):
+            first = group[members[0]]
+            string = first["before"][:left][::-1] + first["after"][:right]
+            if left not in anchors(np.frombuffer(string, np.uint8))[0]:
+                continue  # an anchor only by what stands around the string; another one has all its occurrences
             yield pa.RecordBatch.from_arrays(
-                [pa.array([group[0]["anchor"]] * len(members), pa.int64()), pa.array([number] * len(members), pa.int64()),
-                 pa.array([left + right] * len(members), pa.int64()), pa.array([group[m]["row"] for m in members], pa.int64()),
-                 pa.array([group[m]["place"] - left for m in members], pa.int64())], names=["anchor", "number", "length", "row", "start"])
+                [pa.array([group[0]["anchor"]] * len(members), pa.int64()), pa.array([group[m]["context"] for m in members], pa.int64()),
+                 pa.array([number] * len(members), pa.int64()), pa.array([left + right] * len(members), pa.int64()),
+                 pa.array([left] * len(members), pa.int64())], names=["anchor", "context", "number", "length", "left"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,20 +250,23 @@ def _anchor_tables(docs: DataFrame, folder: str, id_column: str, text_column: st
     several = shared.filter("low < high").groupBy("anchor", "context").agg(
         F.min(F.struct(F.col("rows")[0].alias("row"), F.col("places")[0].alias("place"))).alias("at"),
         (F.max("total") == 1).alias("alone"), (F.max("contexts") > HOT).alias("hot"))
-    wanted = several.groupBy("at.row").agg(F.collect_list(F.struct("anchor", "alone", "hot", "at.place")).alias("wanted"))
+    wanted = several.groupBy("at.row").agg(F.collect_list(F.struct("anchor", "context", "alone", "hot", "at.place")).alias("wanted"))
     texts = rows.select("row", "text").join(wanted, "row").dropDuplicates(["row"]).select("row", "text", "wanted")
     contexts = store(texts.mapInArrow(
-        _contexts, "anchor long, alone boolean, hot boolean, row long, place long, before binary, after binary"), folder, "contexts")
+        _contexts, "anchor long, context long, alone boolean, hot boolean, row long, place long, before binary, after binary"), folder, "contexts")
     return shared, contexts
 
 
 def repeat_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(anchor, number, length, row, start): maximal repeats through anchors with several contexts, all occurrences of
-    different contexts, as far as LENGTH bytes reach around the anchor. `row` is a hash of id and text."""
+    """(anchor, number, length, row, start): maximal repeats through anchors with several contexts, with all occurrences,
+    as far as LENGTH bytes reach around the anchor. `row` is a hash of id and text."""
     spark = ship(docs.sparkSession)
-    _, contexts = _anchor_tables(docs, scratch_path(spark, "repeat-groups"), id_column, text_column)
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-        _groups, "anchor long, number long, length long, row long, start long")
+    shared, contexts = _anchor_tables(docs, scratch_path(spark, "repeat-groups"), id_column, text_column)
+    groups = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
+        _groups, "anchor long, context long, number long, length long, left long")
+    places = shared.select("anchor", "context", F.explode(F.arrays_zip("rows", "places")).alias("o"))
+    return groups.join(places, ["anchor", "context"]).select("anchor", "number", "length", F.col("o.rows").alias("row"),
+                                                             (F.col("o.places") - F.col("left")).alias("start"))
 
 
 def repeated_spans(docs: DataFrame, folder: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
