@@ -7,10 +7,10 @@ words of which no hash is that small keeps its smallest one. Likeness is the Jac
 sketches, 1 for two empty ones.
 
 The next document, descending by id, is found without a global order: ids are put into buckets of
-1 << BUCKET_BITS numbers, each a window of its own; the last row of a bucket takes the first of the next bucket that
-has rows, which is found level by level in the same way, over bucket numbers only.
+1 << BUCKET_BITS numbers, each a window of its own. A bucket also gets the first row of the next bucket that has rows; which that is
+is found level by level in the same way, over bucket numbers only.
 
-Null text counts as empty. Rows of one id follow each other by text; rows without an id come last. Those two
+Null text counts as empty. Rows of one id follow each other by text, descending; rows without an id come last. Those two
 kinds sit in one window group. One row alone is its own next document. Other columns are not read.
 """
 
@@ -24,9 +24,9 @@ from forgetide.session import cut
 SIZE = 5
 SCALE = 8
 BELOW = -(1 << 63) + (1 << 64) // SCALE
-BUCKET_BITS = 7
+BUCKET_BITS = 9
 LEVEL_BITS = 14
-LEVELS = 4  # 7 + 4 * 14 = 63 bits
+LEVELS = 4  # 9 + 4 * 14 bits are more than 63
 NO_ID = -(1 << 62)  # below every bucket
 
 
@@ -79,22 +79,22 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def compared(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Fingerprints of each document and of its edited text, with their likeness."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text"))
-    rows = with_sketch(rows, "text", "sketch").withColumn(
-        "bucket", F.coalesce(F.shiftright("doc_id", BUCKET_BITS), F.lit(NO_ID)))
-    buckets = cut(docs.select(F.coalesce(F.shiftright(F.col(id_column).cast("long"), BUCKET_BITS), F.lit(NO_ID)).alias("key")).distinct())
+    bucket = F.coalesce(F.shiftright("doc_id", BUCKET_BITS), F.lit(NO_ID))
+    plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text")).withColumn(
+        "bucket", bucket)
+    buckets = cut(plain.select(F.col("bucket").alias("key")).distinct())
     highest = buckets.agg(F.max("key")).first()[0]  # one number
     chain = next_lower(buckets).select(F.col("key").alias("bucket"), F.coalesce("lower", F.lit(highest)).alias("from"))
-    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.asc("text"))
-    placed = rows.withColumn("place", F.row_number().over(order)).withColumn(
-        "following", F.lead(F.struct("text", "sketch")).over(order))
-    heads = placed.filter("place = 1").select(F.col("bucket").alias("from"), F.struct("text", "sketch").alias("following"))
-    inside = placed.filter("following IS NOT NULL").select("doc_id", "text", "sketch", "following")
-    last = placed.filter("following IS NULL").drop("following").join(chain, "bucket").join(heads, "from").select(
+    # the first row of each bucket goes to the bucket before it as well, behind its last row
+    heads = plain.groupBy(F.col("bucket").alias("from")).agg(F.max(F.struct("doc_id", "text")).alias("head"))
+    borders = chain.join(heads, "from").select(F.col("head.doc_id").alias("doc_id"), F.col("head.text").alias("text"), "bucket")
+    rows = with_sketch(plain.withColumn("border", F.lit(False)).unionByName(borders.withColumn("border", F.lit(True))), "text", "sketch")
+    order = Window.partitionBy("bucket").orderBy("border", F.desc_nulls_last("doc_id"), F.desc("text"))
+    inside = rows.withColumn("following", F.lead(F.struct("text", "sketch")).over(order)).filter("NOT border").select(
         "doc_id", "text", "sketch", "following")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    pairs = inside.unionByName(last).withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(
+    pairs = inside.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(
         F.substring("text", F.lit(1), n - half), F.substring("following.text", F.lit(1), half))).withColumn(
         "next_sketch", F.col("following.sketch")).drop("text", "following")
     done = with_sketch(pairs, "edited", "edited_sketch")
