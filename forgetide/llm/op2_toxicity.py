@@ -181,7 +181,8 @@ def _scorer(model: Model, names: list[str]):
 
 
 def _score(docs: DataFrame, kept: list[Column], text_column: str, model: Model) -> DataFrame:
-    rows = ship(docs.sparkSession) and docs.select(*kept, F.coalesce(text_column, F.lit("")).alias("_scored_text"))
+    ship(docs.sparkSession)
+    rows = docs.select(*kept, F.coalesce(text_column, F.lit("")).alias("_scored_text"))
     added = ["severity", *(f"p_above_{k}" for k in range(GRADES - 1)), "toxic"]
     fields = [f"{i}" for i in range(len(kept))]
     plain = rows.toDF(*(f"c{i}" for i in fields), "_scored_text")
