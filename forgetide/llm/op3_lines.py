@@ -1,10 +1,11 @@
 """Fuzzy line dedup by MinHash.
 
 Lines are cut at line feeds. A line's set is its runs of SHINGLE characters, its signature the minima of
-BANDS * ROWS permutations of their hashes. Lines that agree on a band form a region; in it lines are compared
-with pivots, exactly, and lines of Jaccard similarity 0.8 or more are linked (`regions`). Bands of three rows find
-a pair of similarity 0.8 with probability 0.993, of 0.85 with 0.998, of 0.9 with 0.9999. Distributed union-find gives the
-components; of each the line that comes first by (document id, line number) stays, the others go.
+BANDS * ROWS permutations of their hashes. Lines that agree on a band form a region; in each, every line is compared with
+two of them, the least and the greatest by hash, exactly, and lines of Jaccard similarity 0.8 or more are linked. Some band of
+three rows agrees for a pair of similarity 0.8 with probability 0.993, of 0.85 with 0.998, of 0.9 with 0.9999. A link inside a
+crowded region may be missed where neither of the two is like the line; the other bands have other ends. Distributed
+union-find gives the components; of each the line that comes first by (document id, line number) stays, the others go.
 Equal lines are one node from the start, so frequent lines cost nothing.
 
 Lines of fewer than SHORTEST characters ("}", "The end.") are text without identity and always stay. Null text
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from forgetide.llm import ship
 from forgetide.llm.arrays import BASE, STEPS, U64, gather, mix, prefix_sums, span_hash
-from forgetide.llm.regions import compare, connect, region_members, store, unused
+from forgetide.llm.regions import compare, connect_stars, region_members, store, unused
 from forgetide.session import scratch_path
 
 SHINGLE = 8
@@ -137,7 +138,7 @@ def _classes(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFra
     wanted = where.groupBy("at.id").agg(F.collect_list(F.struct("at.line", "node")).alias("l"))  # lines of one document
     picked = rows.join(wanted, "id").select("text", F.col("l.line").alias("line"), F.col("l.node").alias("node"))
     sets = store(picked.mapInArrow(_pick, "node long, elements string"), folder, "lines")
-    comps = connect(members, sets, _measure, SIMILARITY, folder)
+    comps = store(connect_stars(members, sets, _measure, SIMILARITY, folder), folder, "components")
     classed = table.select("id", "line", "node").join(comps, "node", "left").select(
         "id", "line", F.coalesce("component", "node").alias("class"))
     several = classed.groupBy("class").agg(F.count("*").alias("k")).filter("k > 1").select("class")
