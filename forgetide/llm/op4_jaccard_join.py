@@ -138,10 +138,11 @@ def joined(docs: DataFrame, size: int = 3, similarity: tuple[int, int] = (9, 10)
     table = store(rows.mapInArrow(_describe(size, similarity), "id long, n long, node long, keys array<long>"), folder, "sets")
     named = table.filter("id IS NOT NULL AND n > 0")
     members = store(region_members(named.select(F.explode("keys").alias("key"), "node")), folder, "members")
-    texts = named.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id"))
-    chosen = rows.join(texts, "id").select("node", "text")  # repeated rows give a set twice, which does no harm
+    texts = named.join(members.select("node").distinct(), "node").groupBy("node").agg(
+        F.min("id").alias("id"), F.first("n").alias("n"))
+    chosen = rows.join(texts.drop("n"), "id").select("node", "text")  # repeated rows give a set twice, which does no harm
     sets = store(chosen.mapInArrow(_spell(size), "node long, elements binary"), folder, "elements")
-    comps = connect(members, sets, _measure, similarity, folder)
+    comps = connect(members, sets, texts.select("node", "n"), _measure, similarity, folder)
 
     classes = table.filter("id IS NOT NULL").join(comps.withColumnRenamed("component", "class"), "node", "left").select(
         "node", "id", F.coalesce("class", "node").alias("class"))

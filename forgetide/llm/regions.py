@@ -79,9 +79,9 @@ def connect_stars(entries: DataFrame, sets: DataFrame, measure: Callable, simila
     return components(links, "x", "p")
 
 
-def connect(members: DataFrame, sets: DataFrame, measure: Callable, similarity: tuple[int, int], folder: str) -> DataFrame:
-    """(node, component) of the members that are linked with others. `sets` has (node, elements); `measure` maps batches of
-    (x, p, elements of x, elements of p) to what `compare` gives."""
+def connect(members: DataFrame, sets: DataFrame, sizes: DataFrame, measure: Callable, similarity: tuple[int, int], folder: str) -> DataFrame:
+    """(node, component) of the members that are linked with others. `sets` has (node, elements), `sizes` (node, n) once for each
+    member; `measure` maps batches of (x, p, elements of x, elements of p) to what `compare` gives."""
     top, bottom = similarity
     near = f"{bottom} * common >= {top} * (total - common)"
     slack = 1 - top / bottom + 1e-9
@@ -95,11 +95,10 @@ def connect(members: DataFrame, sets: DataFrame, measure: Callable, similarity:
         F.col("node").alias("x"), "p"), "home")
     placed = home.select(F.col("x").alias("node"), "n", F.col("p").alias("home"), (F.col("n") - F.col("common")).alias("plus"), (
         F.col("total") - F.col("n") - F.col("common")).alias("minus"), (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
-    roots = home.select(F.col("p").alias("node"), (F.col("total") - F.col("n")).alias("n")).distinct().join(
-        placed.select("node"), "node", "left_anti")  # a home of others that has none itself is its own and lacks nothing
-    numbers = placed.dropDuplicates(["node"]).unionByName(roots.select(
-        "node", "n", F.col("node").alias("home"), F.lit(0).cast("bigint").alias("plus"), F.lit(0).cast("bigint").alias("minus"),
-        F.lit(0.0).alias("d")))
+    # the least node of all its regions has no home: it is its own and lacks nothing
+    own = {"home": F.col("node"), "plus": F.lit(0).cast("bigint"), "minus": F.lit(0).cast("bigint"), "d": F.lit(0.0)}
+    numbers = members.select("node").distinct().join(sizes, "node").join(placed.drop("n").dropDuplicates(["node"]), "node", "left").select(
+        "node", "n", *(F.coalesce(c, other).alias(c) for c, other in own.items()))
     links = home.filter(near).select("x", "p")
     state, turn = members.select("key", "node", F.lit(False).alias("adds"), F.lit(False).alias("used")), 0
     while True:

@@ -107,6 +107,14 @@ def test_jaccard_join_of_chains(docs, monkeypatch):
     assert sorted((tuple(r) for r in found), key=str) == jaccard_components(rows, 3, 9, 10)
 
 
+def test_jaccard_join_of_a_node_without_home(docs):
+    """The first two are linked; the third agrees with the first alone, and is the least by hash: the second is nobody's home."""
+    base = text(742, 80)
+    rows = [(1, base), (2, edited(base, 1, 1)), (3, edited(base, 3, 7))]
+    assert jaccard_components(rows, 3, 9, 10) == [(1, 78, 1), (2, 78, 1), (3, 78, 3)]
+    assert sorted(tuple(r) for r in joined(docs(rows), 3, (9, 10)).collect()) == jaccard_components(rows, 3, 9, 10)
+
+
 def test_one_of_each_keeps_columns(docs):
     rows = [(1, text(1)), (2, text(1)), (3, text(2)), (None, text(1)), (4, None)]
     frame = docs(rows, CLASHING)
