@@ -1,10 +1,9 @@
 """Fuzzy line dedup by MinHash.
 
 Lines are cut at line feeds. A line's set is its runs of SHINGLE characters, its signature the minima of
-BANDS * ROWS permutations of their hashes. Lines that agree on a band form a region; in each, every line is compared with
-two of them, the least and the greatest by hash, exactly, and lines of Jaccard similarity 0.8 or more are linked. Some band of
-three rows agrees for a pair of similarity 0.8 with probability 0.993, of 0.85 with 0.998, of 0.9 with 0.9999. A link inside a
-crowded region may be missed where neither of the two is like the line; the other bands have other ends. Distributed
+BANDS * ROWS permutations of their hashes. Lines that agree on a band form a region; `regions` finds all links of Jaccard
+similarity 0.8 or more between different components of a region, exactly, in rounds of pivots. Some band of
+three rows agrees for a pair of similarity 0.8 with probability 0.993, of 0.85 with 0.998, of 0.9 with 0.9999. Distributed
 union-find gives the components; of each the line that comes first by (document id, line number) stays, the others go.
 Equal lines are one node from the start, so frequent lines cost nothing.
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from forgetide.llm import ship
 from forgetide.llm.arrays import BASE, STEPS, U64, gather, mix, prefix_sums, span_hash
-from forgetide.llm.regions import compare, connect_stars, region_members, store, unused
+from forgetide.llm.regions import compare, connect, region_members, store, unused
 from forgetide.session import scratch_path
 
 SHINGLE = 8
@@ -47,6 +46,10 @@ def _runs(characters: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     return span_hash(sums, first, first + SHINGLE), count
 
 
+def _names(characters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return span_hash(prefix_sums(mix((characters.astype(U64) + U64(7)) * BASE)), start, end)
+
+
 def signatures(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (line numbers), hashes and band keys of the lines that have identity."""
     characters = _characters(text)
@@ -64,7 +67,7 @@ def signatures(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             least = np.minimum.reduceat(small * FACTORS[band * ROWS + row], at)
             keys[:, band] += (least.astype(U64) + U64(1)) * STEPS[row]
         keys[:, band] = mix(keys[:, band] + STEPS[ROWS + band])
-    names = span_hash(prefix_sums(mix((characters.astype(U64) + U64(7)) * BASE)), start, end)
+    names = _names(characters, start, end)
     return number, names.view(np.int64), keys.view(np.int64)
 
 
@@ -92,16 +95,23 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chosen lines of texts: (text, lines, nodes) -> (node, elements)."""
+    """The chosen lines of texts: (text, lines, nodes) -> (node, n, elements)."""
     for batch in batches:
-        nodes, lines = [], []
+        nodes, sizes, lines = [], [], []
         for text, wanted, names in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             parts = text.split("\n")
             for number, name in zip(wanted, names, strict=True):
-                if number < len(parts) and len(parts[number]) >= SHORTEST:
+                if number < len(parts) and _name(parts[number]) == name:  # another text may have the id too
                     nodes.append(name)
+                    sizes.append(len(_line_set(parts[number])))
                     lines.append(parts[number])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], names=["node", "elements"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lines, pa.string())],
+                                         names=["node", "n", "elements"])
+
+
+def _name(line: str) -> int:
+    characters = _characters(line)
+    return int(_names(characters, np.array([0]), np.array([len(characters)])).view(np.int64)[0])
 
 
 def _line_set(line: str) -> np.ndarray:
@@ -137,8 +147,9 @@ def _classes(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFra
         F.min(F.struct("id", "line")).alias("at"))
     wanted = where.groupBy("at.id").agg(F.collect_list(F.struct("at.line", "node")).alias("l"))  # lines of one document
     picked = rows.join(wanted, "id").select("text", F.col("l.line").alias("line"), F.col("l.node").alias("node"))
-    sets = store(picked.mapInArrow(_pick, "node long, elements string"), folder, "lines")
-    comps = store(connect_stars(members, sets, _measure, SIMILARITY, folder), folder, "components")
+    sets = store(picked.mapInArrow(_pick, "node long, n long, elements string"), folder, "lines")
+    sizes = sets.groupBy("node").agg(F.first("n").alias("n"))  # repeated rows give a line twice
+    comps = store(connect(members, sets, sizes, _measure, SIMILARITY, folder), folder, "components")
     classed = table.select("id", "line", "node").join(comps, "node", "left").select(
         "id", "line", F.coalesce("component", "node").alias("class"))
     several = classed.groupBy("class").agg(F.count("*").alias("k")).filter("k > 1").select("class")

@@ -61,24 +61,11 @@ def compare(batch: pa.RecordBatch, sets: Iterable[tuple[np.ndarray, np.ndarray]]
 
 
 def region_members(entries: DataFrame) -> DataFrame:
-    """(key, node, pivot, last) of the keys that more than one node carries: the least node and the greatest."""
-    regions = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
+    """(key, node, pivot) of the keys that more than one node carries, with the least node."""
+    regions = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last")
     return entries.join(regions, "key").distinct()
 
 
-def connect_stars(entries: DataFrame, sets: DataFrame, measure: Callable, similarity: tuple[int, int], folder: str) -> DataFrame:
-    """(node, component) where every node is compared only with the least and the greatest node of each of its regions:
-    for regions that are themselves found by chance, with many of them for each link. `entries` has (key, node, pivot, last)."""
-    top, bottom = similarity
-    pairs = entries.select(F.col("node").alias("x"), F.explode(F.array("pivot", "last")).alias("p")).filter("x <> p").select(
-        F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
-    left = pairs.join(sets.select(F.col("node").alias("x"), F.col("elements").alias("ex")), "x")
-    both = left.join(sets.select(F.col("node").alias("p"), F.col("elements").alias("ep")), "p").select("x", "p", "ex", "ep")
-    found = both.mapInArrow(measure, "x long, p long, common long, n long, total long, added array<long>")
-    links = store(found.filter(f"{bottom} * common >= {top} * (total - common)").select("x", "p"), folder, "links")
-    return components(links, "x", "p")
-
-
 def connect(members: DataFrame, sets: DataFrame, sizes: DataFrame, measure: Callable, similarity: tuple[int, int], folder: str) -> DataFrame:
     """(node, component) of the members that are linked with others. `sets` has (node, elements), `sizes` (node, n) once for each
     member; `measure` maps batches of (x, p, elements of x, elements of p) to what `compare` gives."""
@@ -117,7 +104,7 @@ def connect(members: DataFrame, sets: DataFrame, sizes: DataFrame, measure: Call
         if turn == 0:  # nodes that add the same element to the same home
             added = state.select("node").distinct().join(home.select(
                 F.col("x").alias("node"), "p", F.explode("added").alias("element")), "node")
-            alike = region_members(added.select(F.xxhash64("p", "element").alias("key"), "node")).drop("pivot", "last")
+            alike = region_members(added.select(F.xxhash64("p", "element").alias("key"), "node")).drop("pivot")
             parts = state.select("node", "component").distinct()
             state = state.drop("large").unionByName(alike.join(parts, "node").select(
                 "key", "node", F.lit(True).alias("adds"), F.lit(False).alias("used"), "component"))

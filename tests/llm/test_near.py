@@ -1,6 +1,7 @@
 """Repeats, lines and near documents against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -155,6 +156,17 @@ def test_lines_against_all_pairs(docs):
     assert list(report[26].removed) == [0, 1] and report[24].n_removed == 0 and report[22].n_lines == 0
 
 
+def test_lines_in_crowded_regions(docs):
+    """Many versions of one line, of which the least and the greatest of a band are like few others."""
+    rng, base, rows = random.Random(805), text(805, 14), []
+    for i in range(24):
+        line = list(base)
+        for place in rng.sample(range(len(line)), rng.randint(0, 3)):
+            line[place] = rng.choice("0123456789")
+        rows.append((i, "".join(line)))
+    assert {tuple(r) for r in line_classes(docs(rows)).collect()} == line_groups(rows)
+
+
 def test_documents_without_repeated_lines(docs):
     rows = near_lines()
     frame = docs(rows, CLASHING)
