@@ -7,7 +7,8 @@ three rows agrees for a pair of similarity 0.8 with probability 0.993, of 0.85 w
 union-find gives the components; of each the line that comes first by (document id, line number) stays, the others go.
 Equal lines are one node from the start, so frequent lines cost nothing.
 
-Lines of fewer than SHORTEST characters ("}", "The end.") are text without identity and always stay. Null text
+Lines of fewer than `shortest` characters always stay; the query and the pipeline set it to 1, so that only empty lines do, and
+a line shorter than SHINGLE is one run. Callers that do not set it keep lines under SHORTEST characters ("}", "The end."). Null text
 counts as empty and has no lines; an empty text stays as it is. Rows without an id keep all lines and take
 no part. Rows of one id and text count as one document, each gives a row. Columns besides id and text are kept.
 """
@@ -39,23 +40,23 @@ def _characters(text: str) -> np.ndarray:
 
 
 def _runs(characters: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character runs of some spans one after the other, and how many each span has."""
+    """Hashes of the character runs of some spans one after the other, and how many each span has: a shorter span is one run."""
     sums = prefix_sums(mix((characters.astype(U64) + U64(1)) * BASE))
-    count = end - start - SHINGLE + 1
+    count = np.maximum(end - start - SHINGLE + 1, 1)
     first = gather(start, count)
-    return span_hash(sums, first, first + SHINGLE), count
+    return span_hash(sums, first, np.minimum(first + SHINGLE, np.repeat(end, count))), count
 
 
 def _names(characters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return span_hash(prefix_sums(mix((characters.astype(U64) + U64(7)) * BASE)), start, end)
 
 
-def signatures(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(text: str, shortest: int = SHORTEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (line numbers), hashes and band keys of the lines that have identity."""
     characters = _characters(text)
     breaks = np.flatnonzero(characters == 10)
     start, end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(characters)]])
-    number = np.flatnonzero(end - start >= SHORTEST)
+    number = np.flatnonzero(end - start >= max(shortest, 1))
     start, end = start[number], end[number]
     if not len(number):
         return number, np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64)
@@ -71,27 +72,29 @@ def signatures(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return number, names.view(np.int64), keys.view(np.int64)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        row = 0
-        while row < len(texts):
-            stop, size = row, 0
-            while stop < len(texts) and (stop == row or size + len(texts[stop]) <= CHUNK):
-                size += len(texts[stop])
-                stop += 1
-            number, names, keys = signatures("\n".join(texts[row:stop]))
-            lines = np.array([t.count("\n") + 1 for t in texts[row:stop]])
-            first = np.cumsum(lines) - lines
-            owner = np.searchsorted(first, number, "right") - 1
-            again = np.ones(len(names), bool)
-            again[np.unique(names, return_index=True)[1]] = False  # equal lines of a batch give their keys once
-            count = np.where(again, 0, BANDS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row:stop][owner]), pa.array((number - first[owner]).astype(np.int32)), pa.array(names),
-                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys[~again].ravel()))],
-                names=["id", "line", "node", "keys"])
-            row = stop
+def _describe(shortest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            row = 0
+            while row < len(texts):
+                stop, size = row, 0
+                while stop < len(texts) and (stop == row or size + len(texts[stop]) <= CHUNK):
+                    size += len(texts[stop])
+                    stop += 1
+                number, names, keys = signatures("\n".join(texts[row:stop]), shortest)
+                lines = np.array([t.count("\n") + 1 for t in texts[row:stop]])
+                first = np.cumsum(lines) - lines
+                owner = np.searchsorted(first, number, "right") - 1
+                again = np.ones(len(names), bool)
+                again[np.unique(names, return_index=True)[1]] = False  # equal lines of a batch give their keys once
+                count = np.where(again, 0, BANDS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[row:stop][owner]), pa.array((number - first[owner]).astype(np.int32)), pa.array(names),
+                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys[~again].ravel()))],
+                    names=["id", "line", "node", "keys"])
+                row = stop
+    return run
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,19 +132,19 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
 
 
-def line_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """(id, line, class_id, class_line) of every line with identity: the first line of its component. Line numbers start at 0."""
-    classed, least = _classes(docs, id_column, text_column)
+    classed, least = _classes(docs, id_column, text_column, shortest)
     return classed.join(least, "class", "left").select(
         "id", "line", F.coalesce("first.id", "id").alias("class_id"), F.coalesce("first.line", "line").alias("class_line"))
 
 
-def _classes(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, id_column: str, text_column: str, shortest: int) -> tuple[DataFrame, DataFrame]:
     """The class of every line, and the first line of classes that have several."""
     spark = ship(docs.sparkSession)
     folder = scratch_path(spark, "lines")
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).dropna()
-    table = store(rows.mapInArrow(_describe, "id long, line int, node long, keys array<long>"), folder, "signatures")
+    table = store(rows.mapInArrow(_describe(shortest), "id long, line int, node long, keys array<long>"), folder, "signatures")
     members = store(region_members(table.select(F.explode("keys").alias("key"), "node")), folder, "members")
     where = table.select("id", "line", "node").join(members.select("node").distinct(), "node").groupBy("node").agg(
         F.min(F.struct("id", "line")).alias("at"))
@@ -157,9 +160,9 @@ def _classes(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFra
     return classed, shared.groupBy("class").agg(F.min(F.struct("id", "line")).alias("first"))
 
 
-def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (line numbers), kept_in (the document that keeps the line)."""
-    gone = _gone(docs, id_column, text_column)
+    gone = _gone(docs, id_column, text_column, shortest)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.when(F.length(text_column) > 0, F.length(text_column) - F.length(
         F.translate(text_column, "\n", "")) + 1).otherwise(0).cast("long").alias("n_lines"))
     return rows.join(gone, rows["doc_id"] == gone["_id"], "left").select(
@@ -168,19 +171,19 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.coalesce("_gone.class_id", F.array().cast("array<long>")).alias("kept_in"))
 
 
-def _gone(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    classed, least = _classes(docs, id_column, text_column)
+def _gone(docs: DataFrame, id_column: str, text_column: str, shortest: int) -> DataFrame:
+    classed, least = _classes(docs, id_column, text_column, shortest)
     lines = classed.join(least, "class").filter("id <> first.id OR line <> first.line")
     return lines.groupBy(F.col("id").alias("_id")).agg(
         F.array_sort(F.collect_set(F.struct("line", F.col("first.id").alias("class_id")))).alias("_gone"))
 
 
 def without_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                           length_column: str | None = "n_chars") -> DataFrame:
+                           length_column: str | None = "n_chars", shortest: int = SHORTEST) -> DataFrame:
     """The documents without their repeated lines, with all columns; the length follows the text. A document of which no line
     is left goes."""
     key, found = unused(docs, "_id"), unused(docs, "_gone")
-    gone = _gone(docs, id_column, text_column).toDF(key, found)
+    gone = _gone(docs, id_column, text_column, shortest).toDF(key, found)
     joined = docs.join(gone, docs[id_column] == F.col(key), "left")
     lines, numbers, text = F.split(F.col(text_column), "\n", -1), F.col(f"{found}.line"), F.col(text_column)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(numbers, i)), "\n")

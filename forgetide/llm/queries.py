@@ -68,7 +68,7 @@ def toxicity(spark, sf_dir):
 @query("op3_line_dedup")
 def line_dedup(spark, sf_dir):
     """Lines of every document that go because a near-equal line stays elsewhere."""
-    return repeated_lines(documents(spark, sf_dir))
+    return repeated_lines(documents(spark, sf_dir), shortest=1)
 
 
 #: Sets of three-word runs, links at 9/10, and for each document the smallest one that links lead to.

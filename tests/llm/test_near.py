@@ -167,6 +167,14 @@ def test_lines_in_crowded_regions(docs):
     assert {tuple(r) for r in line_classes(docs(rows)).collect()} == line_groups(rows)
 
 
+def test_short_lines_of_the_pipeline(docs):
+    """Equal lines of any length keep one copy, empty lines all stay."""
+    import corpus_pipeline
+    rows = [(1, "And so.\n\nThe end of it.\n}"), (2, "}\nAnd so.\n\nThe end of it."), (3, "And no.\nThe end of it.")]
+    kept = corpus_pipeline.line_dedup(docs(rows).sparkSession, docs(rows), "")
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in kept.collect()) == [(1, rows[0][1], 25), (2, "", 0), (3, "And no.", 7)]
+
+
 def test_documents_without_repeated_lines(docs):
     rows = near_lines()
     frame = docs(rows, CLASHING)
