@@ -19,6 +19,9 @@ from forgetide.llm.op7_pieces import encode_decode
 from forgetide.llm.op8_decontamination import matches
 from forgetide.llm.op9_personal import personal
 from forgetide.llm.op10_tokens import token_files
+from forgetide.llm.op11_whitening import components_of, whitened
+from forgetide.llm.op12_alignment import aligned
+from forgetide.llm.op13_simhash import near_texts
 from forgetide.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +150,21 @@ def personal_data(spark, sf_dir):
 def token_file_query(spark, sf_dir):
     """Every document's place in the shard files, its ids summed up from them."""
     return token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark, sf_dir):
+    """Every vector along the 32 widest directions, scaled to unit variance."""
+    return components_of(whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+@query("op12_tokenizer_alignment")
+def tokenizer_alignment(spark, sf_dir):
+    """Links between the tokens of two tokenizers in every document, with their counts over the corpus."""
+    return aligned(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_simhash")
+def simhash(spark, sf_dir):
+    """Components of documents whose fingerprints differ in at most four bits."""
+    return near_texts(documents(spark, sf_dir))
