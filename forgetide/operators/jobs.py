@@ -3,13 +3,17 @@ membership, commits to the periodic report."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forgetide.functions.documents import get
 from forgetide.functions.periods import TOTAL
 from forgetide.functions.text import annotate
 from forgetide.operators import commits as C
 from forgetide.operators import identity as I
+from forgetide.operators import landing
 from forgetide.operators import metrics as M
 from forgetide.operators import normalize as N
 from forgetide.operators import people as P
@@ -18,7 +22,8 @@ from forgetide.operators import timeline as L
 from forgetide.session import cut
 from forgetide.sources import tables
 from forgetide.sources.archive import accepted, read_archive, rejected
-from forgetide.sources.store import keep_last, keys_of
+from forgetide.sources.keyed import BUCKETS, KeyedTable
+from forgetide.sources.store import RAW_KEYS, keep_last, keys_of
 
 # The members whose comings and goings are reported.
 PEOPLE_MEASURES = ["commit_authors_email", "commit_committers_email", "mergers_email"]
@@ -26,6 +31,9 @@ REPORT_MEASURES = sorted(
     ["commits_recheck", "merges", *PEOPLE_MEASURES, *C.FILE_MEASURES]
     + [f"{side}_{m}" for side in ("arriving", "leaving") for m in PEOPLE_MEASURES])
 
+# The raw tables that make the issue timeline, in the order of `issue_timeline`.
+ISSUE_SOURCES = ["issue_info", "pull_request_info", "issue_comments", "pr_commits", "pr_commit_comment", "commit_comments"]
+
 
 def event_tables(spark: SparkSession, archive: str | list[str], canon: DataFrame, out: str) -> None:
     """Every event table of the chosen projects, the unreadable texts and the records
@@ -84,6 +92,38 @@ def readme_table(files: DataFrame, path_commits: DataFrame) -> DataFrame:
     return _stored([L.readmes(files, path_commits)], "readmes")
 
 
+def land_and_update(spark: SparkSession, documents: Mapping[str, DataFrame], out: str, token: str | None = None,
+                    buckets: int = BUCKETS) -> None:
+    """Land a batch of fetched documents (by raw table) in `out`/raw and bring the timelines in `out` up to date. A batch costs
+    the buckets it touches. With a token, a repeated attempt changes nothing."""
+    raw = f"{out}/raw"
+    landing.land_documents(spark, documents, raw, token, buckets)
+    # of the batch itself, the version that landed: only what the batch brings is made into rows again
+    fresh = {name: documents[name] if name in documents else None for name in RAW_KEYS}
+    rows = {name: landing.raw_rows(frame, name) for name, frame in fresh.items() if frame is not None}
+    nothing = spark.createDataFrame([], "project_owner string, project_name string, issueid int, retrieved_at timestamp, landed bigint, doc variant")
+    batch = lambda name: rows.get(name, nothing)
+    changes = {}
+    if any(name in rows for name in ISSUE_SOURCES):
+        changes["issue_events"] = issue_timeline(*map(batch, ISSUE_SOURCES))
+    if any(name in rows for name in ("gh_commits", "git_commits", "commit_comments")):
+        clones = landing.raw_table(spark, raw, "git_commits")
+        commits = batch("gh_commits")
+        if "git_commits" in rows:  # sizes that came later than the commits they belong to
+            commits = commits.unionByName(landing.raw_table(spark, raw, "gh_commits").rows_of(
+                rows["git_commits"].select("project_owner", "project_name", "sha")), allowMissingColumns=True)
+        sizes = clones.rows_of(commits.select("project_owner", "project_name", get("doc", "sha").alias("sha")))
+        changes["project_events"] = project_timeline(commits, clone_sizes(sizes), batch("commit_comments"))
+    for name, change in changes.items():
+        KeyedTable.open(spark, f"{out}/{name}", change.schema, keys_of(name), buckets).merge(change, ["time"], token)
+
+
+def clone_sizes(raw: DataFrame) -> DataFrame:
+    """Paths and sizes of commits out of landed git_commits documents."""
+    return raw.select("project_owner", "project_name", "sha", get("doc", "paths", "array<string>").alias("paths"),
+                      get("doc", "insertions", "int").alias("insertions"), get("doc", "deletions", "int").alias("deletions"))
+
+
 def membership(issue_events: DataFrame, project_events: DataFrame, sample: DataFrame,
                pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Participation rows and user counts of the sample projects, e-mails resolved."""

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from forgetide.functions.documents import get
 from forgetide.functions.text import annotate
 from forgetide.operators import timeline as L
+from forgetide.operators.landing import land_documents, raw_table
 from forgetide.plans.fixtures import t, table
 from forgetide.plans.registry import query
+from forgetide.session import scratch_path
 from forgetide.sources.store import keep_last, keys_of
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -227,9 +229,13 @@ def r11(spark, sf):
 @query("R12_raw_landing", f"""SELECT {PROJECT}, CAST(n AS INT) AS number, json_extract_string(json, '$.title') AS title FROM {ISSUES.sql}
 QUALIFY row_number() OVER (PARTITION BY {PROJECT}, n ORDER BY event_id DESC) = 1""")
 def r12(spark, sf):
-    rows = raw(ISSUES, spark, sf).withColumn("number", get("doc", "number", "int"))
-    last = keep_last(rows, keys_of("issue_info_no_closer"), ["event_id"])
-    return last.select("project_owner", "project_name", "number", get("doc", "title").alias("title"))
+    rows = raw(ISSUES, spark, sf).withColumn("landed", F.col("event_id")).drop("retrieved_at")
+    path = scratch_path(spark, "landing")
+    middle = rows.agg(F.avg("event_id")).first()[0] or 0
+    for later in (False, True):  # two batches, the later documents in the second
+        land_documents(spark, {"issue_info_no_closer": rows.filter((F.col("event_id") >= middle) == later)}, path, buckets=8)
+    stored = raw_table(spark, path, "issue_info_no_closer").read()
+    return stored.select("project_owner", "project_name", "number", get("doc", "title").alias("title"))
 
 
 @query("R13_issue_stamps", f"""SELECT event_id, 'issue_comments' AS kind, CAST(n AS INT) AS issueid FROM {COMMENTS.sql} UNION ALL

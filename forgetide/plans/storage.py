@@ -8,6 +8,7 @@ from forgetide.plans.fixtures import TIMELINE, render, t, table
 from forgetide.plans.registry import query
 from forgetide.session import scratch_path
 from forgetide.sources import store, tables
+from forgetide.sources.keyed import KeyedTable, whole_records
 
 # Versions of one key: order lines, the whole row as order.
 LINES = table("lineitem", "l_orderkey", "l_linenumber % 3 AS slot", "l_linenumber", "l_partkey", "l_suppkey",
@@ -38,7 +39,10 @@ SELECT * EXCLUDE (batch) FROM rows QUALIFY row_number() OVER (PARTITION BY l_ord
 {', '.join(f'{c} DESC' for c in ORDER)}) = 1""")
 def s8_batches(spark, sf):
     lines = LINES.frame(spark, sf)
-    return store.upsert(lines.filter("l_linenumber > 3"), lines.filter("l_linenumber <= 3"), KEYS, ORDER)
+    stored = KeyedTable.open(spark, scratch_path(spark, "keyed"), lines.schema, KEYS, buckets=8)
+    for batch in ("l_linenumber > 3", "l_linenumber <= 3"):
+        stored.merge(lines.filter(batch), ORDER)
+    return stored.read()
 
 
 @query("S9_keyed_replace", """SELECT event_type, user_id, event_id, value FROM events
@@ -61,7 +65,9 @@ def s10(spark, sf):
 (SELECT user_id FROM events WHERE event_type = 'signup') OR event_type <> 'signup'""")
 def s11(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_type")
-    return store.insert_absent(rows.filter("event_type = 'signup'"), rows)
+    stored = whole_records(spark, scratch_path(spark, "records"), rows.schema, buckets=8)
+    stored.insert_absent(rows.filter("event_type = 'signup'"))
+    return stored.insert_absent(rows)  # what it added
 
 
 # Text with commas, quotes and blanks, to pass through CSV unchanged.
