@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable, Sequence
+from copy import deepcopy
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -49,6 +50,7 @@ class BucketStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._known: tuple[str, State] | None = None  # the manifest read or written last
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, schema: StructType, columns: Sequence[str], buckets: int = BUCKETS) -> BucketStore:
@@ -60,14 +62,17 @@ class BucketStore:
 
     # manifest ---------------------------------------------------------------------
 
+    def _listed(self, folder: str) -> list[str]:
+        """Files below a folder of the table, by name only; no job runs."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.path}/{folder}")
+        return [name.split(f"/{folder}/")[-1] for name in files.inputFiles()]
+
     def _last(self) -> tuple[int, str] | None:
-        """Version and path of the newest manifest. Only file names are read."""
+        """Version and path of the newest manifest."""
         try:
-            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.path}/manifest")
-            names = [row.path for row in files.select("path").collect()]
+            found = sorted({name.split("/")[0] for name in self._listed("manifest")})
         except AnalysisException:  # no table yet
             return None
-        found = sorted({name.split("/manifest/")[-1].split("/")[0] for name in names})
         if not found:
             return None
         version = int(found[-1].split("-")[0])
@@ -79,15 +84,21 @@ class BucketStore:
         version, path = self._last() or (None, None)
         if path is None:
             raise FileNotFoundError(f"no table at {self.path}")
+        if self._known is not None and self._known[0] == path:
+            return deepcopy(self._known[1])
         row = self.spark.read.schema(MANIFEST).parquet(path).first()
         folders = {bucket: [(f.level, f.folder) for f in held] for bucket, held in row.folders.items()}
-        return State(version, row.buckets, list(row.columns), StructType.fromJson(json.loads(row.schema)), list(row.tokens), folders)
+        state = State(version, row.buckets, list(row.columns), StructType.fromJson(json.loads(row.schema)), list(row.tokens), folders)
+        self._known = path, deepcopy(state)
+        return state
 
     def _commit(self, state: State) -> None:
         row = (state.buckets, state.columns, state.schema.json(), state.tokens[-TOKENS:], state.folders)
         frame = self.spark.createDataFrame([row], MANIFEST).coalesce(1)
-        frame.write.parquet(f"{self.path}/manifest/{state.version:012d}-{uuid.uuid4().hex}")
+        path = f"{self.path}/manifest/{state.version:012d}-{uuid.uuid4().hex}"
+        frame.write.parquet(path)
         self._last()  # tells of a second writer
+        self._known = path, deepcopy(state)
 
     # reading ----------------------------------------------------------------------
 
@@ -142,13 +153,13 @@ class BucketStore:
         return rows.select(*[F.col(c).cast(state.schema[c].dataType) if rows.schema[c].dataType != state.schema[c].dataType else F.col(c)
                              for c in rows.columns])
 
-    def _write(self, rows: DataFrame, state: State) -> str:
-        """Rows into a new folder, one file for each bucket unless it is large. Sorted by the bucket columns, so that a
-        lookup skips row groups."""
+    def _write(self, rows: DataFrame, state: State) -> tuple[str, list[int]]:
+        """Rows into a new folder, one file for each bucket unless it is large; the folder and the buckets in it. Sorted by the bucket
+        columns, so that a lookup skips row groups."""
         folder = f"{state.version + 1:012d}-{uuid.uuid4().hex}"
         even = rows.withColumn("bucket", self._bucket(state)).hint("rebalance", "bucket")
         even.sortWithinPartitions("bucket", *state.columns).write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
-        return folder
+        return folder, sorted({int(name.split("/")[0].removeprefix("bucket=")) for name in self._listed(f"data/{folder}")})
 
     def _done(self, state: State, token: str | None) -> bool:
         return token is not None and token in state.tokens
@@ -169,12 +180,9 @@ class BucketStore:
         state = self.state()
         if self._done(state, token):
             return state.version
-        staged = self._staged(self._typed(rows, state))
-        touched = self.buckets_of(staged, state)
-        if touched:
-            folder = self._write(staged, state)
-            for bucket in touched:
-                state.folders.setdefault(bucket, []).append((0, folder))
+        folder, touched = self._write(self._typed(rows, state), state)
+        for bucket in touched:
+            state.folders.setdefault(bucket, []).append((0, folder))
         return self._next(state, token)
 
     def compact(self, keep: Callable[[DataFrame], DataFrame] | None = None) -> bool:
@@ -187,9 +195,7 @@ class BucketStore:
             if not full:
                 continue
             rows = self._folders(state, [(b, f) for b, held in full.items() for f in held], full)
-            staged = self._staged(keep(rows) if keep else rows)
-            left = set(self.buckets_of(staged, state))
-            folder = self._write(staged, state) if left else ""
+            folder, left = self._write(keep(rows) if keep else rows, state)
             for bucket, held in full.items():
                 rest = [(at, f) for at, f in state.folders[bucket] if f not in held]
                 state.folders[bucket] = rest + ([(level + 1, folder)] if bucket in left else [])
@@ -197,6 +203,13 @@ class BucketStore:
             return True
         return False
 
+    def compact_all(self, keep: Callable[[DataFrame], DataFrame] | None = None) -> bool:
+        """`compact` until there is nothing to do. True when there was something."""
+        done = False
+        while self.compact(keep):
+            done = True
+        return done
+
     def vacuum(self) -> int:
         """Delete data folders that the current version does not name, and older manifests. No reader may still use them."""
         state, (_, current) = self.state(), self._last()
@@ -237,7 +250,7 @@ class KeyedTable(BucketStore):
         if touched:
             old = self._folders(state, buckets=touched)
             merged = _matching(old, staged, state.columns, "left_anti").unionByName(staged, allowMissingColumns=True)
-            folder = self._write(merged, state)
+            folder, _ = self._write(merged, state)
             for bucket in touched:
                 state.folders[bucket] = [(0, folder)]
         return self._next(state, token)
@@ -251,14 +264,11 @@ class KeyedTable(BucketStore):
         staged = self._staged(self._typed(batch, state).dropDuplicates(state.columns))
         old = self._folders(state, buckets=self.buckets_of(staged, state)).select(*state.columns)
         fresh = self._staged(_matching(staged, old, state.columns, "left_anti"))
-        touched = self.buckets_of(fresh, state)
-        if touched:
-            folder = self._write(fresh, state)
-            for bucket in touched:
-                state.folders.setdefault(bucket, []).append((0, folder))
+        folder, touched = self._write(fresh, state)
+        for bucket in touched:
+            state.folders.setdefault(bucket, []).append((0, folder))
         self._next(state, token)
-        while self.compact():
-            pass
+        self.compact_all()
         return fresh
 
 

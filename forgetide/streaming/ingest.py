@@ -4,8 +4,11 @@ Each micro-batch writes its rows under its own batch number, replacing what a fa
 attempt left there, so a restart repeats no rows. The table is read as the last write
 per key over all batches, which is the batch job's rule.
 
-Names learned under a known repository id count for the whole archive, so they are stored
-per batch; events that no name admits yet wait, and a later batch that learns the name writes them.
+Names learned under a known repository id count for the whole archive. Events that no name admits yet wait in
+buckets by the hash of their project's name, with only the columns that the table needs. A batch adds its own, and opens the
+buckets of the names that it is the first to learn; as long as it learns none it reads nothing that came before it but the list of
+names. Waiting folders of one size are put together as they grow in number, and events whose names came in earlier batches are
+dropped on the way, so a waiting event is rewritten a few times only.
 """
 
 from __future__ import annotations
@@ -13,12 +16,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from forgetide.operators import routing
 from forgetide.operators.normalize import all_aliases, by_id, learned_names, normalise, usable
 from forgetide.sources.archive import accepted, parse_records, repair
+from forgetide.sources.keyed import BUCKETS, BucketStore
 from forgetide.sources.store import keep_last
 
+WAITING_NAME = "_name"
+
 
 def stream_lines(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """Lines of the text files that appear in a folder."""
@@ -29,9 +36,9 @@ def stream_lines(spark: SparkSession, folder: str, max_files: int | None = None)
 
 
 def stream_event_table(lines: DataFrame, name: str, canon: DataFrame, target: str, progress: str,
-                       **trigger) -> StreamingQuery:
+                       buckets: int = BUCKETS, **trigger) -> StreamingQuery:
     """Start feeding one event table. `progress` is the folder of the stream's own state; names and waiting
-    events are beside it."""
+    events are beside it, the latter in `buckets`."""
     spark, state, kind = lines.sparkSession, f"{progress.rstrip('/')}-state", routing.TABLES[name][0]
 
     def write(batch: DataFrame, number: int) -> None:
@@ -39,17 +46,24 @@ def stream_event_table(lines: DataFrame, name: str, canon: DataFrame, target: st
         parsed = normalise(accepted(parse_records(batch.select("value", place.alias("place")))))
         parsed.write.mode("overwrite").parquet(f"{state}/events")  # read several times below
         events = spark.read.parquet(f"{state}/events")
-        learned_names(usable(events), canon).write.mode("overwrite").parquet(f"{state}/names/batch={number}")
-        learned = spark.read.parquet(f"{state}/names").filter(F.col("batch") <= number)
-        before = learned.filter(F.col("batch") < number).select("name").union(all_aliases(canon)).distinct()
-        names = learned.select("name").union(all_aliases(canon)).distinct()
-        named = F.lower("project") == F.col("name")
-        other = usable(events).filter(F.col("event_type") == kind).join(names, named, "left_anti")
-        by_id(other, canon, "left_anti").write.mode("overwrite").parquet(f"{state}/waiting/batch={number}")
-        new = names.join(before, "name", "left_anti")
-        late = spark.read.parquet(f"{state}/waiting").filter(F.col("batch") < number).drop("batch").join(new, named, "left_semi")
+        learned = BucketStore.open(spark, f"{state}/names", StructType.fromDDL("name string, batch int"), ["name"], 1)
+        before = all_aliases(canon).union(learned.read().filter(F.col("batch") < number).select("name")).distinct()
+        fresh = learned_names(usable(events), canon).join(before, "name", "left_anti")
+        learned.append(fresh.withColumn("batch", F.lit(number)), token=str(number))
+        new = learned.read().filter(F.col("batch") == number).select("name")
+        names = before.union(new)
+        foreign = usable(events).filter(F.col("event_type") == kind).join(names, F.lower("project") == F.col("name"), "left_anti")
+        foreign = by_id(foreign, canon, "left_anti").drop("v").withColumns({WAITING_NAME: F.lower("project"), "batch": F.lit(number)})
+        waiting = BucketStore.open(spark, f"{state}/waiting", foreign.schema, [WAITING_NAME], buckets)
+        late = waiting.rows_of(new.withColumnRenamed("name", WAITING_NAME)).filter(F.col("batch") < number).drop(WAITING_NAME, "batch")
         rows = routing.chosen(events, canon, names).unionByName(routing.chosen(late, canon, names), allowMissingColumns=True)
         routing.typed_table(rows, name, keep_order=True).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        waiting.append(foreign, token=str(number))
+        # names of earlier batches have admitted what they could; this batch may be repeated and needs its own
+        known = before.withColumnRenamed("name", WAITING_NAME)
+        for held in (learned, waiting):  # nobody else reads them
+            if held.compact_all(None if held is learned else lambda rows: rows.join(known, WAITING_NAME, "left_anti")):
+                held.vacuum()
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", progress)
     return (writer.trigger(**trigger) if trigger else writer).start()

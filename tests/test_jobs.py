@@ -2,11 +2,14 @@
 
 import gzip
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from forgetide.operators import jobs
 from forgetide.sources import tables
+from forgetide.sources.keyed import FAN, BucketStore
+from forgetide.streaming import ingest
 from forgetide.streaming.ingest import current_rows, stream_event_table, stream_lines
 
 
@@ -71,6 +74,46 @@ def test_stream_learns_names_before_and_after(spark, tmp_path):
         assert sorted(r.id for r in current_rows(spark, "PushEvents", str(folder / "out")).collect()) == ["1", "2"]
 
 
+def stage_bytes(spark, after):
+    """The last stage's number, and the bytes that the stages after one have read."""
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    read = {s.stageId(): s.inputBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+    return max(read, default=-1), sum(n for stage, n in read.items() if stage > after)
+
+
+def test_a_batch_does_not_read_the_batches_before(spark, tmp_path, monkeypatch):
+    """Thirty batches of events on foreign repositories; batch 12 learns one of their names, 20 another, which then come in late."""
+    (tmp_path / "in").mkdir()
+
+    def event(number, name, repo_id):
+        doc = json.loads(push(number, number % 60, f"s{number}" + "x" * 300))
+        doc["repo"] = {"name": name, **({"id": repo_id} if repo_id else {})}
+        doc["created_at"] = f"2015-01-{1 + number // 1440:02d}T{number // 60 % 24:02d}:{number % 60:02d}:00Z"
+        return json.dumps(doc)
+
+    for hour in range(30):
+        texts = [event(hour * 40 + i, f"some/r{i}", None) for i in range(40)]
+        if hour in (12, 20):
+            texts.append(event(5000 + hour, f"some/r{hour}", 5))
+        write(tmp_path / "in" / f"2015-01-02-{hour:02d}.json.gz", *texts)
+        os.utime(tmp_path / "in" / f"2015-01-02-{hour:02d}.json.gz", (1e9 + hour, 1e9 + hour))  # they come in this order
+    seen, inner = [], ingest.learned_names
+    monkeypatch.setattr(ingest, "learned_names", lambda *args: seen.append(stage_bytes(spark, seen[-1][0] if seen else -1)) or inner(*args))
+    job = stream_event_table(stream_lines(spark, str(tmp_path / "in"), max_files=1), "PushEvents", canon(spark), str(tmp_path / "out"),
+                             str(tmp_path / "progress"), buckets=2, availableNow=True)
+    job.awaitTermination()
+    read = [n for _, n in seen[1:]] + [stage_bytes(spark, seen[-1][0])[1]]  # from one batch's start to the next one's
+    assert len(read) == 30
+    rows = {r.id for r in current_rows(spark, "PushEvents", str(tmp_path / "out")).collect()}
+    assert rows == {str(h * 40 + n) for n in (12, 20) for h in range(30)} | {"5012", "5020"}
+    # rounds of eight batches, each with one compaction; nothing was learned in the first and the last
+    assert sum(read[22:30]) < 1.6 * sum(read[2:10]), read
+    waiting = BucketStore(spark, f"{tmp_path}/progress-state/waiting")
+    assert max(len(held) for held in waiting.state().folders.values()) < 2 * FAN
+    assert "some/r12" not in {r["_name"] for r in waiting.read().filter("batch BETWEEN 8 AND 11").collect()}  # put together after it was learned
+
+
 def test_the_last_fetched_version_stays(spark):
     """A pull request fetched twice, with one creation time; the order of the input does not matter."""
     pull = {"number": 3, "id": 5, "user": {"login": "ann"}, "created_at": "2020-01-01T00:00:00Z", "title": "t", "body": "old", "comments": 1}
