@@ -142,7 +142,8 @@ def links(nodes: DataFrame, folder: str, segments: tuple[tuple[int, int], ...] |
     table = nodes.mapInArrow(_entries(segments, False), shape)
     visits = nodes.mapInArrow(_entries(segments, True), shape)
     crowded = store(table.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key"), folder, "crowded")
-    met = visits.withColumnRenamed("node", "p").join(table.join(crowded, "key", "left_anti"), "key")
+    # the table grows with the nodes, so it is dealt out, not sent to every task
+    met = visits.withColumnRenamed("node", "p").join(table.join(crowded, "key", "left_anti").hint("shuffle_hash"), "key")
     near = met.filter((F.col("p") != F.col("node")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("node"))) <= RADIUS))
     pairs = near.select(F.least("p", "node").alias("x"), F.greatest("p", "node").alias("y")).distinct()
     # visits hold the table entries too, so these are the nodes that stand in a crowded entry or look it up
@@ -162,7 +163,7 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     prints = store(rows.mapInArrow(_fingerprints, "id long, node long"), folder, "prints")
     nodes = store(prints.groupBy("node").agg(F.min("id").alias("least")), folder, "nodes")
     comps = components(links(nodes.select("node"), folder, segments, crowd), "x", "y")
-    rooted = nodes.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    rooted = nodes.join(comps.hint("merge"), "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = store(rooted.join(smallest, "root").select("node", "component_id"), folder, "components")
-    return prints.join(of_node, "node").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
+    of_node = store(rooted.join(smallest.hint("merge"), "root").select("node", "component_id"), folder, "components")
+    return prints.join(of_node.hint("merge"), "node").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
