@@ -11,7 +11,8 @@ exactly over the whole document.
 The items are a query set: they are searched in blocks of BLOCK_ITEMS, each against all documents, so what a
 task holds of them is bounded and documents are never shuffled. An item of one to four words is one run
 of that many words and is looked up among the document's runs of that length. Items without words, null
-texts and empty texts match nothing; repeated rows count each by itself.
+texts and empty texts match nothing. Items without an id are searched like others and found with a null id; equal rows of items
+count once, repeated documents each by itself.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def _small(values: np.ndarray) -> np.ndarray:
 class Items:
     """The signatures of one block of items, by size partition, and their exact sets."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         data, bounds = text_bytes(pa.array(texts, pa.string()))
         words = _words(data, bounds)
         values, _, first = words.shingles(SIZE)
@@ -111,7 +112,7 @@ class Items:
                     block = np.minimum(block, block[np.minimum(here + (1 << level), last)])
         return found
 
-    def matches(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float]]:
+    def matches(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int | None, float]]:
         """(text, item, containment) of every item found."""
         words = _words(data, bounds)
         runs, _, first = words.shingles(SIZE)
@@ -129,7 +130,7 @@ class Items:
                 row = int(np.searchsorted(first, place, "right")) - 1
                 if words.first[row + 1] - words.first[row] >= size:
                     out += [(row, self.ids[members[order[k]]], 1.0) for k in range(a, b)]
-        return sorted(set(out)) if self.short else out
+        return sorted(set(out), key=lambda found: (found[0], found[1] is None, found[1] or 0)) if self.short else out
 
 
 def _search(items: Items):
@@ -146,18 +147,20 @@ def _search(items: Items):
 
 
 def _blocks(benchmark: DataFrame, item_column: str, text_column: str) -> Iterator[Items]:
-    """The items in blocks of a bounded size, ascending by id."""
-    items = benchmark.select(F.col(item_column).cast("long").alias("i"), F.coalesce(text_column, F.lit("")).alias("t")).dropDuplicates()
+    """The items in blocks of a bounded size, ascending by id, those without an id last."""
+    known = F.col(item_column).cast("long")
+    items = benchmark.select(known.isNull().alias("z"), F.coalesce(known, F.lit(0)).alias("i"), F.coalesce(text_column, F.lit("")).alias("t")).dropDuplicates()
     after = None
     while True:
-        rest = items if after is None else items.filter((F.col("i") > after[0]) | ((F.col("i") == after[0]) & (F.col("t") > after[1])))
-        rows = rest.filter("i IS NOT NULL").orderBy("i", "t").limit(BLOCK_ITEMS).collect()
+        rest = items if after is None else items.filter(F.struct("z", "i", "t") > F.struct(
+            F.lit(after["z"]), F.lit(after["i"]).cast("long"), F.lit(after["t"])))
+        rows = rest.orderBy("z", "i", "t").limit(BLOCK_ITEMS).collect()
         if not rows:
             return
-        yield Items([r["i"] for r in rows], [r["t"] for r in rows])
+        yield Items([None if r["z"] else r["i"] for r in rows], [r["t"] for r in rows])
         if len(rows) < BLOCK_ITEMS:
             return
-        after = rows[-1]["i"], rows[-1]["t"]
+        after = rows[-1]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
