@@ -7,8 +7,7 @@ stands for that name's literal, through any number of steps. A literal is scored
 name and by its own letters; from THRESHOLD on it is reported as `literal`, at the place where the
 characters stand, unless a base span covers it.
 
-Null text counts as empty. Every row gives one row; columns besides id and text are not read.
-Names are read back over at most NAME_REACH characters.
+Null text counts as empty. Every row gives one row; columns besides id and text are not read. Names may be of any length.
 """
 
 from __future__ import annotations
@@ -33,11 +32,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of 20 or more characters
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGNED = 6
 
-NAME_REACH = 128
 THRESHOLD = 1.0
 MIN_LITERAL = 6
 DELIMITER = re.compile(r":=|=>|[:=]")
-NAME_BEFORE = re.compile(r"""(?:^|[^A-Za-z0-9_.\-$])["']?([A-Za-z_][A-Za-z0-9_.\-]*)["']?[\x20\t]*$""")
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 LITERAL = re.compile(r"""[\x20\t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"',;(){}\[\]<>]+))""")
 REFERENCE = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?\Z")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -61,16 +59,31 @@ def literal_score(text: str) -> float:
     return min(1.0, -sum(n * math.log2(n / total) for n in Counter(text).values()) / 40)
 
 
+def _name_before(text: str, end: int) -> str | None:
+    """The name that stands before a place, in quotes or not, blanks between; null for none and for variables with a $."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if end and text[end - 1] in "\"'":
+        end -= 1
+    start = end
+    while start and text[start - 1] in NAME:
+        start -= 1
+    if start and text[start - 1] == "$":
+        return None
+    name = text[start:end]
+    return name if name and (name[0].isalpha() or name[0] == "_") else None
+
+
 def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose target names them a secret."""
     known: dict[str, tuple[str, int, int]] = {}
     found = set()
     for mark in DELIMITER.finditer(text):
-        before = NAME_BEFORE.search(text, max(0, mark.start() - NAME_REACH), mark.start())
-        after = LITERAL.match(text, mark.end()) if before else None
+        name = _name_before(text, mark.start())
+        after = LITERAL.match(text, mark.end()) if name else None
         if not after:
             continue
-        name, group = before[1], after.lastindex
+        group = after.lastindex
         literal = (after[group], after.start(group), after.end(group))
         reference = REFERENCE.match(literal[0]) if group == 3 or literal[0].startswith("$") else None
         if reference and reference[1] in known:
