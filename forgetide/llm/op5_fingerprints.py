@@ -2,9 +2,9 @@
 
 A document's set is its runs of five words (all its words when it has fewer), hashed to 64 bits. The
 fingerprint keeps every hash below one SCALE-th of the range, so its size follows the document's, the sketch of a union
-is the union of sketches, and containment between very unequal documents can be estimated. A document with
-words of which no hash is that small keeps its smallest one. Likeness is the Jaccard similarity of two
-sketches, 1 for two empty ones.
+is the union of sketches, and containment between very unequal documents can be estimated. The fraction is the same for every
+document: a short one of which no hash is that small has an empty sketch. Likeness is the Jaccard similarity of two
+sketches; of two empty ones it is 1 when the texts are equal and 0 otherwise.
 
 The next document, descending by id, is found without a global order: ids are put into buckets of
 1 << BUCKET_BITS numbers, each a window of its own. A bucket also gets the first row of the next bucket that has rows; which that is
@@ -38,15 +38,14 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (SIZE - 1), F.lit(1))),
                        lambda i: F.xxhash64(F.slice("_words", i, SIZE)))
     every = hashed.withColumn("_runs", F.when(n > 0, runs).otherwise(F.array().cast("array<bigint>"))).drop("_words")
-    kept = every.withColumn("_kept", F.filter("_runs", lambda h: h < F.lit(BELOW)))
-    return kept.withColumn(name, F.when((F.size("_kept") == 0) & (F.size("_runs") > 0), F.array(F.array_min("_runs")))
-                           .otherwise(F.array_sort(F.array_distinct("_kept")))).drop("_runs", "_kept")
+    below = F.filter("_runs", lambda h: h < F.lit(BELOW))
+    return every.withColumn(name, F.array_sort(F.array_distinct(below))).drop("_runs")
 
 
-def likeness(a: str, b: str) -> Column:
-    """Jaccard similarity of two sketches."""
+def likeness(a: str, b: str, same: Column) -> Column:
+    """Jaccard similarity of two sketches. Two empty ones tell nothing about their texts: 1 if `same`, else 0."""
     union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    return F.when(union == 0, F.when(same, 1.0).otherwise(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
 def containment(a: str, b: str) -> Column:
@@ -96,9 +95,10 @@ def compared(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     half = F.floor(n / 2).cast("int")
     pairs = inside.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(
         F.substring("text", F.lit(1), n - half), F.substring("following.text", F.lit(1), half))).withColumn(
-        "next_sketch", F.col("following.sketch")).drop("text", "following")
+        "next_sketch", F.col("following.sketch")).withColumn("same_edited", F.col("edited") == F.col("text")).withColumn(
+        "same_next", F.col("following.text") == F.col("text")).drop("text", "following")
     done = with_sketch(pairs, "edited", "edited_sketch")
     return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spelled("sketch").alias("fingerprint"),
-                       spelled("edited_sketch").alias("edited_fingerprint"), likeness("sketch", "edited_sketch").alias("near_edited"),
-                       likeness("sketch", "next_sketch").alias("near_next"),
+                       spelled("edited_sketch").alias("edited_fingerprint"), likeness("sketch", "edited_sketch", F.col("same_edited")).alias("near_edited"),
+                       likeness("sketch", "next_sketch", F.col("same_next")).alias("near_next"),
                        containment("edited_sketch", "sketch").alias("edited_in_text"))

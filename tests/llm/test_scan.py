@@ -7,6 +7,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from forgetide.llm import op2_toxicity as tox
@@ -57,8 +58,26 @@ def test_toxicity_without_labels(docs, llm):
 
 
 def sketch(t):
-    parts = re.split("[ \t\n\x0b\f\r]+", t or "")
-    return len([p for p in parts if p])
+    """Hashes of the runs of five words that are in the lowest eighth, one by one."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    parts = [xxhash.xxh64_intdigest(p.encode(), 42) for p in re.split("[ \t\n\x0b\f\r]+", t or "") if p]
+    found = set()
+    for k in range(max(len(parts) - 4, min(len(parts), 1))):
+        h = 42
+        for word in parts[k:k + 5]:
+            h = xxhash.xxh64_intdigest(word.to_bytes(8, "little"), h)
+        if signed(h) < -(1 << 63) + (1 << 61):
+            found.add(signed(h))
+    return found
+
+
+def alike(a, b):
+    x, y = sketch(a), sketch(b)
+    return len(x & y) / len(x | y) if x | y else float(a == b)
+
+
+def spelled(found):
+    return "".join(f"{h & (1 << 64) - 1:016x}" for h in sorted(found))
 
 
 def test_fingerprints_of_edited_texts(docs):
@@ -71,8 +90,9 @@ def test_fingerprints_of_edited_texts(docs):
         new = t[:len(t) - half] + following[:half]
         assert out[i].n_chars == len(t)
         assert out[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        assert 0 <= out[i].near_edited <= 1 and 0 <= out[i].near_next <= 1
-    assert out[46].fingerprint == out[47].fingerprint == out[46].fingerprint != ""
+        assert (out[i].near_edited, out[i].near_next) == (pytest.approx(alike(t, new)), pytest.approx(alike(t, following)))
+        assert (out[i].fingerprint, out[i].edited_fingerprint) == (spelled(sketch(t)), spelled(sketch(new)))
+    assert out[46].fingerprint == out[47].fingerprint
     assert out[43].fingerprint == out[44].fingerprint == out[45].fingerprint == ""
     assert abs(out[49].near_edited - 1 / 2) < 0.05  # the next text is short
 
@@ -91,6 +111,17 @@ def test_sketches_are_merged_by_union(docs):
     assert out[1] | out[2] <= out[3] and len(out[3] - out[1] - out[2]) <= 4
 
 
+def test_the_fraction_is_the_same_for_short_texts(docs):
+    """Of 300 six-word texts the share of kept runs is the fixed one, and one half's sketch is no more than its share of the whole."""
+    rows = [(i, text(5000 + i, 6)) for i in range(300)]
+    whole = " ".join(t for _, t in rows)
+    out = {r.doc_id: set(r.sketch) for r in fingerprints(docs([*rows, (1000, whole)])).collect()}
+    assert all(out[i] == sketch(t) for i, t in rows) and 40 < sum(len(out[i]) for i, _ in rows) < 110
+    assert set().union(*(out[i] for i, _ in rows)) <= out[1000]
+    near = {r.doc_id: r.near_next for r in compared(docs(rows)).collect()}
+    assert all(near[i] == alike(rows[i][1], rows[i - 1][1]) for i, _ in rows)
+
+
 def test_next_lower(llm):
     keys = [-9 * 10 ** 15, -1, 0, 5, 16383, 16384, 16385, 2 ** 40, 2 ** 55]
     found = {r["key"]: r["lower"] for r in next_lower(llm.createDataFrame([(k,) for k in keys], "key long")).collect()}
@@ -125,6 +156,15 @@ def test_secrets(docs):
     assert secrets(docs([])).count() == 0
 
 
+def test_names_of_any_length(docs):
+    name = "very_" * 60 + "password"
+    value = "q8Zr5TyW2nLp0XkV"
+    rows = [(1, f'{name} = "{value}"'), (2, f'{"x" * 5000}_credential : {value}'), (3, f"$db_credential = {value}"), (4, f"9db_credential={value}"),
+            (5, "=" * 20_000 + "z" * 20_000)]
+    spans = {r.doc_id: r.spans for r in secrets(docs(rows)).collect()}
+    assert spans[1].startswith("assign:") and spans[2] == f"literal:{5000 + 14}:{5000 + 30}" and spans[3] == spans[4] == spans[5] == ""
+
+
 def best_score(pieces, raw):
     table = {t: s for t, s in zip(pieces.texts, pieces.scores) if t and np.isfinite(s)}
     best = [0.0] + [-np.inf] * len(raw)
@@ -204,6 +244,18 @@ def test_decontamination(docs, llm):
     assert matches(docs([]), frame).count() == 0 and matches(docs(rows), frame.limit(0)).count() == 0
 
 
+def test_items_without_an_id(docs, llm, monkeypatch):
+    import forgetide.llm.op8_decontamination as D
+    items = [(None, text(999, 30)), (None, "three odd words"), (1, "three odd words"), (2, text(998, 40))]
+    rows = [(1, text(999, 30)), (2, f"{text(997, 60)} three odd words"), (3, text(998, 40)), (4, text(996, 50)), (None, text(999, 30))]
+    frame = llm.createDataFrame(items, "item_id long, text string")
+    for block in (20_000, 1):
+        monkeypatch.setattr(D, "BLOCK_ITEMS", block)
+        found = sorted(((r.doc_id, r.item_id) for r in matches(docs(rows), frame).collect()), key=str)
+        assert found == sorted([(1, None), (2, None), (2, 1), (3, 2), (None, None)], key=str)
+        assert [r.doc_id for r in without_benchmark(docs(rows), frame).collect()] == [4]
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
          "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
