@@ -10,7 +10,8 @@ Equal lines are one node from the start, so frequent lines cost nothing.
 Lines of fewer than `shortest` characters always stay; the query and the pipeline set it to 1, so that only empty lines do, and
 a line shorter than SHINGLE is one run. Callers that do not set it keep lines under SHORTEST characters ("}", "The end."). Null text
 counts as empty and has no lines; an empty text stays as it is. Rows without an id keep all lines and take
-no part. Rows of one id and text count as one document, each gives a row. Columns besides id and text are kept.
+no part. Rows of one id and text count as one document, each gives a row; rows of one id and different texts are documents of
+their own. Columns besides id and text are kept.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgetide.llm import ship
@@ -75,7 +77,7 @@ def signatures(text: str, shortest: int = SHORTEST) -> tuple[np.ndarray, np.ndar
 def _describe(shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            ids, rows, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             row = 0
             while row < len(texts):
                 stop, size = row, 0
@@ -90,9 +92,9 @@ def _describe(shortest: int):
                 again[np.unique(names, return_index=True)[1]] = False  # equal lines of a batch give their keys once
                 count = np.where(again, 0, BANDS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row:stop][owner]), pa.array((number - first[owner]).astype(np.int32)), pa.array(names),
+                    [ids.take(pa.array(row + owner)), rows.take(pa.array(row + owner)), pa.array((number - first[owner]).astype(np.int32)), pa.array(names),
                      pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys[~again].ravel()))],
-                    names=["id", "line", "node", "keys"])
+                    names=["id", "doc", "line", "node", "keys"])
                 row = stop
     return run
 
@@ -132,6 +134,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
 
 
+def _doc(id_column: str, text_column: str) -> Column:
+    """What a document is known by: its id and text. Rows that agree in both are one document."""
+    return F.when(F.col(id_column).isNotNull() & F.col(text_column).isNotNull(), F.xxhash64(F.col(id_column).cast("long"), F.col(text_column)))
+
+
 def line_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """(id, line, class_id, class_line) of every line with identity: the first line of its component. Line numbers start at 0."""
     classed, least = _classes(docs, id_column, text_column, shortest)
@@ -143,56 +150,76 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, shortest: int) -
     """The class of every line, and the first line of classes that have several."""
     spark = ship(docs.sparkSession)
     folder = scratch_path(spark, "lines")
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).dropna()
-    table = store(rows.mapInArrow(_describe(shortest), "id long, line int, node long, keys array<long>"), folder, "signatures")
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), _doc(id_column, text_column).alias("doc"), F.col(text_column).alias("text")).dropna()
+    table = store(rows.mapInArrow(_describe(shortest), "id long, doc long, line int, node long, keys array<long>"), folder, "signatures")
     members = store(region_members(table.select(F.explode("keys").alias("key"), "node")), folder, "members")
-    where = table.select("id", "line", "node").join(members.select("node").distinct(), "node").groupBy("node").agg(
-        F.min(F.struct("id", "line")).alias("at"))
-    wanted = where.groupBy("at.id").agg(F.collect_list(F.struct("at.line", "node")).alias("l"))  # lines of one document
-    picked = rows.join(wanted, "id").select("text", F.col("l.line").alias("line"), F.col("l.node").alias("node"))
-    sets = store(picked.mapInArrow(_pick, "node long, n long, elements string"), folder, "lines")
-    sizes = sets.groupBy("node").agg(F.first("n").alias("n"))  # repeated rows give a line twice
-    comps = store(connect(members, sets, sizes, _measure, SIMILARITY, folder), folder, "components")
-    classed = table.select("id", "line", "node").join(comps, "node", "left").select(
-        "id", "line", F.coalesce("component", "node").alias("class"))
+    where = table.select("id", "doc", "line", "node").join(members.select("node").distinct(), "node").groupBy("node").agg(
+        F.min(F.struct("id", "line", "doc")).alias("at"))
+    wanted = where.groupBy("at.doc").agg(F.collect_list(F.struct("at.line", "node")).alias("l"))  # lines of one document
+    picked = rows.join(wanted, "doc").select("doc", "text", F.col("l.line").alias("line"), F.col("l.node").alias("node"))
+    again = rows.groupBy("doc").agg(F.count("*").alias("k")).filter("k > 1").select("doc")  # repeated rows give a line once
+    shape = "node long, n long, elements string"
+    once, more = (picked.join(again, "doc", how).drop("doc") for how in ("left_anti", "left_semi"))
+    sets = store(once.mapInArrow(_pick, shape).unionByName(more.mapInArrow(_pick, shape).dropDuplicates(["node"])), folder, "lines")
+    comps = store(connect(members, sets, sets.select("node", "n"), _measure, SIMILARITY, folder), folder, "components")
+    classed = table.select("id", "doc", "line", "node").join(comps, "node", "left").select(
+        "id", "doc", "line", F.coalesce("component", "node").alias("class"))
     several = classed.groupBy("class").agg(F.count("*").alias("k")).filter("k > 1").select("class")
     shared = store(classed.join(several, "class"), folder, "shared")
-    return classed, shared.groupBy("class").agg(F.min(F.struct("id", "line")).alias("first"))
+    return classed, shared.groupBy("class").agg(F.min(F.struct("id", "line", "doc")).alias("first"))
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (line numbers), kept_in (the document that keeps the line)."""
     gone = _gone(docs, id_column, text_column, shortest)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.when(F.length(text_column) > 0, F.length(text_column) - F.length(
-        F.translate(text_column, "\n", "")) + 1).otherwise(0).cast("long").alias("n_lines"))
-    return rows.join(gone, rows["doc_id"] == gone["_id"], "left").select(
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), _doc(id_column, text_column).alias("doc"), _line_count(text_column).alias("n_lines"))
+    return rows.join(gone, rows["doc"] == gone["_doc"], "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("_gone.line"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("_gone.line", F.array().cast("array<int>")).alias("removed"),
         F.coalesce("_gone.class_id", F.array().cast("array<long>")).alias("kept_in"))
 
 
+def _line_count(text_column: str) -> Column:
+    breaks = F.length(text_column) - F.length(F.translate(text_column, "\n", ""))
+    return F.when(F.length(text_column) > 0, breaks + 1).otherwise(0).cast("long")
+
+
 def _gone(docs: DataFrame, id_column: str, text_column: str, shortest: int) -> DataFrame:
+    """(_doc, _gone): the lines of a document that are not the first of their class, with the document that keeps one."""
     classed, least = _classes(docs, id_column, text_column, shortest)
-    lines = classed.join(least, "class").filter("id <> first.id OR line <> first.line")
-    return lines.groupBy(F.col("id").alias("_id")).agg(
+    lines = classed.join(least, "class").filter("doc <> first.doc OR line <> first.line")
+    return lines.groupBy(F.col("doc").alias("_doc")).agg(
         F.array_sort(F.collect_set(F.struct("line", F.col("first.id").alias("class_id")))).alias("_gone"))
 
 
+def _left_over(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+    """Texts without the lines of these numbers; null where there are none to cut."""
+    out: list[str | None] = []
+    for text, gone in zip(texts, numbers, strict=True):
+        if text is None or gone is None:
+            out.append(None)
+            continue
+        lines = text.split("\n")
+        keep = np.ones(len(lines), bool)
+        keep[np.asarray(gone, np.int64)] = False
+        out.append("\n".join([lines[i] for i in np.flatnonzero(keep)]))
+    return pd.Series(out, dtype=object)
+
+
 def without_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                            length_column: str | None = "n_chars", shortest: int = SHORTEST) -> DataFrame:
     """The documents without their repeated lines, with all columns; the length follows the text. A document of which no line
     is left goes."""
-    key, found = unused(docs, "_id"), unused(docs, "_gone")
+    key, found, new = (unused(docs, name) for name in ("_doc", "_gone", "_new"))
     gone = _gone(docs, id_column, text_column, shortest).toDF(key, found)
-    joined = docs.join(gone, docs[id_column] == F.col(key), "left")
-    lines, numbers, text = F.split(F.col(text_column), "\n", -1), F.col(f"{found}.line"), F.col(text_column)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(numbers, i)), "\n")
-    changed = F.col(found).isNotNull()
-    new = F.when(changed, left).otherwise(text)
+    joined = docs.join(gone, _doc(id_column, text_column) == F.col(key), "left")
+    numbers, changed = F.col(f"{found}.line"), F.col(found).isNotNull()
+    some = joined.filter(~changed | (_line_count(text_column) > F.size(numbers))).withColumn(
+        new, F.pandas_udf(_left_over, "string")(F.when(changed, F.col(text_column)), numbers))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     for i, c in enumerate(docs.columns):
         if c == text_column:
-            columns[i] = new.alias(c)
+            columns[i] = F.when(changed, F.col(new)).otherwise(columns[i]).alias(c)
         elif c == length_column:
             columns[i] = F.when(changed, F.length(new)).otherwise(columns[i]).cast(docs.schema[c].dataType).alias(c)
-    return joined.filter(~changed | (F.size(lines) > F.size(numbers))).select(*columns)
+    return some.select(*columns)

@@ -140,8 +140,11 @@ def joined(docs: DataFrame, size: int = 3, similarity: tuple[int, int] = (9, 10)
     members = store(region_members(named.select(F.explode("keys").alias("key"), "node")), folder, "members")
     texts = named.join(members.select("node").distinct(), "node").groupBy("node").agg(
         F.min("id").alias("id"), F.first("n").alias("n"))
-    chosen = rows.join(texts.drop("n"), "id").select("node", "text")  # repeated rows give a set twice, which does no harm
-    sets = store(chosen.mapInArrow(_spell(size), "node long, elements binary"), folder, "elements")
+    chosen = rows.join(texts.drop("n"), "id").select("id", "node", "text")
+    again = named.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")  # repeated rows give a set once
+    once, more = (chosen.join(again, "id", how).select("node", "text").mapInArrow(_spell(size), "node long, elements binary")
+                  for how in ("left_anti", "left_semi"))
+    sets = store(once.unionByName(more.dropDuplicates(["node"])), folder, "elements")
     comps = connect(members, sets, texts.select("node", "n"), _measure, similarity, folder)
 
     classes = table.filter("id IS NOT NULL").join(comps.withColumnRenamed("component", "class"), "node", "left").select(

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -191,6 +192,31 @@ def test_documents_without_repeated_lines(docs):
     assert all(r.n_chars == len(r.text) for r in kept.collect() if r.text is not None)
 
 
+def test_lines_of_texts_that_share_an_id(docs):
+    rows = [(0, "S"), (1, "S\ntail one unique words"), (1, "COMPLETELY different unique content here\nsecond unique line zzz"), (2, "S\nS"), (2, "S\nS")]
+    kept = without_repeated_lines(docs(rows, CLASHING), shortest=1)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(0, "S"), (1, rows[2][1]), (1, "tail one unique words")]
+    report = repeated_lines(docs(rows), shortest=1).collect()
+    assert sorted((r.doc_id, list(r.removed), list(r.kept_in)) for r in report) == [(0, [], []), (1, [], []), (1, [0], [0]), (2, [0, 1], [0, 0]), (2, [0, 1], [0, 0])]
+
+
+def test_a_text_of_very_many_lines(docs):
+    """Time grows with the lines."""
+    rows = [(1, "\n".join(["the same line again"] * 80_000 + ["the end"])), (2, "\n".join(f"line {i} of its own {i * i}" for i in range(3_000)))]
+    start = time.time()
+    kept = {r.doc_id: r.text for r in without_repeated_lines(docs(rows), shortest=1).collect()}
+    assert kept[1] == "the same line again\nthe end" and time.time() - start < 120
+
+
+def test_copies_of_one_row_are_not_squared(docs, monkeypatch):
+    import forgetide.llm.regions as R
+    folders, store = {}, R.store
+    monkeypatch.setattr(R, "store", lambda df, folder, name: folders.setdefault(name, store(df, folder, name)))
+    base = text(77)
+    joined(docs([(1, base)] * 60 + [(2, edited(base, 1, 1))] * 60)).count()
+    assert folders["home"].count() == 1
+
+
 def test_empty_tables(docs):
     none = docs([])
     for frame in (without_repeats(none), joined(none), one_of_each(none), repeated_lines(none), without_repeated_lines(none)):
