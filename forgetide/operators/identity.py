@@ -13,6 +13,11 @@ merges, as in Boruvka's algorithm: all such pairs of a round at once, however lo
 chains they form. Around closings, a pair that is the earliest open one at both its
 clusters is decided, as all that came before it there is known. A closed cluster's later
 pairs are refused without waiting.
+
+Such pairs share no cluster, so they are put together without a search for components. Rounds
+that decide a fair part of the open pairs this way do no more; only others look at whole components.
+
+Saved clusters that no new pair names stay as they are: `resumed` clusters anew what new pairs touch.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from forgetide.sources.store import keep_first, keep_last
 
 NEVER = 2**63 - 1
 SOURCE_SPAN = 2**55
+FEW = 8  # one in so many open pairs is a fair part
 
 
 def combine_sources(profiles: DataFrame, pulls: DataFrame, pushes: DataFrame,
@@ -85,17 +91,30 @@ def _certain(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return both.filter((at(1) & at(2)) | alone(1) | alone(2)).select("t1", "t2", "ord")
 
 
+def _earliest_at_both(pairs: DataFrame) -> DataFrame:
+    """The pairs that are the earliest open ones at both their trees. No two of them share a tree."""
+    ends = pairs.select(F.col("t1").alias("tree"), "ord").union(pairs.select("t2", "ord"))
+    first = ends.groupBy("tree").agg(F.min("ord").alias("ord"))
+    for side in ("t1", "t2"):
+        pairs = pairs.join(first.withColumnRenamed("tree", side), [side, "ord"], "left_semi")
+    return pairs.select("t1", "t2", "ord")
+
+
 def _merging_pairs(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """ord of the pairs (t1, t2, ord) that merge two trees."""
+    """ord of the pairs (t1, t2, ord), t1 < t2, that merge two trees."""
     decided = pairs.select("ord").limit(0)
     while True:
         pairs = cut(_with_names(pairs, names).filter(
             _names_at("first1", "second1") + _names_at("first2", "second2") < 2).select("t1", "t2", "ord"))
         if pairs.isEmpty():
             return decided
-        ready = cut(_certain(pairs, names))
+        ready = cut(_earliest_at_both(pairs))
+        if ready.count() * FEW >= pairs.count():
+            moved = ready.select(F.col("t2").alias("tree"), F.col("t1").alias("into"))
+        else:
+            ready = cut(_certain(pairs, names))
+            moved = components(ready, "t1", "t2").select(F.col("node").alias("tree"), F.col("component").alias("into"))
         decided = decided.union(ready.select("ord"))
-        moved = components(ready, "t1", "t2").select(F.col("node").alias("tree"), F.col("component").alias("into"))
         new = lambda df, c: (df.join(moved.withColumnRenamed("tree", c), c, "left")
                                .withColumn(c, F.coalesce("into", c)).drop("into"))
         open_pairs = new(new(pairs, "t1"), "t2").filter("t1 <> t2")
@@ -157,15 +176,25 @@ def refused_pairs(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
         "alias1", "alias2", "provenance")
 
 
+def resumed(pairs: DataFrame, saved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clusters and used pairs after new pairs on top of saved clusters (alias, cluster). A pair changes only clusters that it
+    names, so the others are carried over; only the named ones are clustered anew, each as it was saved."""
+    named = pairs.select(F.col("alias1").alias("alias")).union(pairs.select("alias2")).distinct()
+    touched = cut(saved.join(named, "alias", "left_semi").select("cluster").distinct())
+    clusters, used = _cluster(saved_pairs(saved.join(touched, "cluster", "left_semi")).unionByName(pairs))
+    carried = saved.join(touched, "cluster", "left_anti").select("alias", "cluster")
+    return clusters.unionByName(carried), used
+
+
 def cluster_provenance(pairs: DataFrame) -> DataFrame:
     """(cluster, text): why the members are together, one row per reason. Pairs of
     saved clusters give none, see `carried_provenance`."""
     return clusters_and_reasons(pairs)[1]
 
 
-def clusters_and_reasons(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The clusters and their reasons out of one run."""
-    clusters, used = _cluster(pairs)
+def clusters_and_reasons(pairs: DataFrame, saved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The clusters and their reasons out of one run, on top of saved clusters if there are any."""
+    clusters, used = _cluster(pairs) if saved is None else resumed(pairs, saved)
     both = F.concat("provenance", F.lit(" ("), "alias1", F.lit("="), "alias2", F.lit(")"))
     reason = F.when(F.col("brings_name"), both).otherwise(F.col("provenance"))
     reasons = used.filter(F.col("ord") >= 0).select(F.col("alias1").alias("alias"), reason.alias("text"))

@@ -159,8 +159,8 @@ def identities(profiles: DataFrame, pulls: DataFrame, pushes: DataFrame, out: st
     in `old`. Each source has `seq`."""
     spark = profiles.sparkSession
     saved = spark.read.parquet(f"{old}/clusters") if old else None
-    pairs = cut(I.combine_sources(profiles, pulls, pushes, saved))
-    found, reasons = I.clusters_and_reasons(pairs)
+    pairs = cut(I.combine_sources(profiles, pulls, pushes))
+    found, reasons = I.clusters_and_reasons(pairs, saved)
     found.write.mode("overwrite").parquet(f"{out}/clusters")
     clusters = spark.read.parquet(f"{out}/clusters")
     I.canonical_names(clusters).write.mode("overwrite").parquet(f"{out}/canonical")

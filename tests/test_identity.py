@@ -47,6 +47,32 @@ def test_same_clusters_as_one_by_one(spark, seed):
     assert groups(I.alias_clusters(df)) == replay(pairs)
 
 
+def test_pairs_without_neighbours_need_no_components(spark, monkeypatch):
+    """Forty mail trees, each tied to a login of its own: one round, two searches for components in all."""
+    pairs = [p for i in range(40) for p in ((f"u{i}", f"u{i}@x"), (f"a{i}@y", f"b{i}@y"))] + [(f"b{i}@y", f"u{i}") for i in range(40)]
+    df = spark.createDataFrame([(a, b, "p", i) for i, (a, b) in enumerate(pairs)], SCHEMA)
+    calls, inner = [], I.components
+    monkeypatch.setattr(I, "components", lambda *args: calls.append(1) or inner(*args))
+    assert groups(I.alias_clusters(df)) == replay(pairs)
+    assert len(calls) == 2
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_resumed_clusters_equal_the_whole_replay(spark, monkeypatch, seed):
+    """New pairs on some clusters only: the others are not clustered again."""
+    pairs = random_pairs(seed, 70, 12, 60)
+    df = spark.createDataFrame([(a, b, "p", i) for i, (a, b) in enumerate(pairs)], SCHEMA)
+    saved = I.alias_clusters(df.filter("ord < 62")).cache()
+    seen, inner = [], I._cluster
+    monkeypatch.setattr(I, "_cluster", lambda rows: seen.append(rows) or inner(rows))
+    clusters, _ = I.resumed(df.filter("ord >= 62"), saved)
+    assert groups(clusters) == replay(pairs)
+    new = {x for p in pairs[62:] for x in p}
+    old = {r.alias for r in seen[0].filter("ord < 0").select("alias1").union(seen[0].filter("ord < 0").select("alias2")).toDF("alias").collect()}
+    held = groups(saved)
+    assert old == {x for g in held if g & new for x in g} and len(old) < sum(map(len, held))
+
+
 @pytest.mark.parametrize("ends", [[], ["u1"], ["u1", "u2"]])
 def test_rounds_do_not_grow_with_a_chain(spark, monkeypatch, ends):
     """Twelve mail trees joined in a row, each pair after the one before; a name at the first or at both."""
