@@ -150,7 +150,8 @@ def links(nodes: DataFrame, folder: str, segments: tuple[tuple[int, int], ...] |
     there = store(visits.join(crowded, "key", "left_semi").select("node").distinct(), folder, "there")
     around = there.mapInArrow(_around, shape)
     several = around.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("last")).filter("x < last").select("key", "x")
-    stars = around.join(several, "key").filter("node <> x").select("x", F.col("node").alias("y")).distinct()
+    # the planner takes what comes out of a Python function for as small as what goes in, and would send all of it to every task
+    stars = around.hint("merge").join(several.hint("merge"), "key").filter("node <> x").select("x", F.col("node").alias("y")).distinct()
     return store(pairs.union(stars), folder, "links")
 
 
