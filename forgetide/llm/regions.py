@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from forgetide.operators.components import components
@@ -36,6 +36,13 @@ def store(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(f"{folder}/{name}")
 
 
+def drop(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete stored frames that nothing reads any more."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(docs: DataFrame, name: str) -> str:
     """A column name that the documents do not have."""
     while name.lower() in (c.lower() for c in docs.columns):
@@ -68,25 +75,27 @@ def region_members(entries: DataFrame) -> DataFrame:
 
 def connect(members: DataFrame, sets: DataFrame, sizes: DataFrame, measure: Callable, similarity: tuple[int, int], folder: str) -> DataFrame:
     """(node, component) of the members that are linked with others. `sets` has (node, elements), `sizes` (node, n) once for each
-    member; `measure` maps batches of (x, p, elements of x, elements of p) to what `compare` gives."""
+    member; `measure` maps batches of (x, p, elements of x, elements of p) to what `compare` gives. `members` are stored in `folder` under
+    that name; they and the state of earlier rounds are deleted when nothing reads them any more."""
     top, bottom = similarity
     near = f"{bottom} * common >= {top} * (total - common)"
     slack = 1 - top / bottom + 1e-9
 
-    def measured(pairs: DataFrame, name: str) -> DataFrame:
+    def measured(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("node").alias("x"), F.col("elements").alias("ex")), "x")
         both = left.join(sets.select(F.col("node").alias("p"), F.col("elements").alias("ep")), "p").select("x", "p", "ex", "ep")
-        return store(both.mapInArrow(measure, "x long, p long, common long, n long, total long, added array<long>"), folder, name)
+        return both.mapInArrow(measure, "x long, p long, common long, n long, total long, added array<long>")
 
-    home = measured(members.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("p")).select(
-        F.col("node").alias("x"), "p"), "home")
+    spark = members.sparkSession
+    home = store(measured(members.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("p")).select(
+        F.col("node").alias("x"), "p")), folder, "home")
     placed = home.select(F.col("x").alias("node"), "n", F.col("p").alias("home"), (F.col("n") - F.col("common")).alias("plus"), (
         F.col("total") - F.col("n") - F.col("common")).alias("minus"), (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
     # the least node of all its regions has no home: it is its own and lacks nothing
     own = {"home": F.col("node"), "plus": F.lit(0).cast("bigint"), "minus": F.lit(0).cast("bigint"), "d": F.lit(0.0)}
-    numbers = members.select("node").distinct().join(sizes, "node").join(placed.drop("n").dropDuplicates(["node"]), "node", "left").select(
-        "node", "n", *(F.coalesce(c, other).alias(c) for c, other in own.items()))
-    links = home.filter(near).select("x", "p")
+    numbers = store(members.select("node").distinct().join(sizes, "node").join(placed.drop("n").dropDuplicates(["node"]), "node", "left").select(
+        "node", "n", *(F.coalesce(c, other).alias(c) for c, other in own.items())), folder, "numbers")
+    links = store(home.filter(near).select("x", "p"), folder, "pairs0")
     state, turn = members.select("key", "node", F.lit(False).alias("adds"), F.lit(False).alias("used")), 0
     while True:
         comps = store(components(links, "x", "p"), folder, f"components{turn}")
@@ -99,6 +108,7 @@ def connect(members: DataFrame, sets: DataFrame, sizes: DataFrame, measure: Call
         state = state.join(largest.filter("parts > 1").select("key", "large"), "key")
         more = state.filter("NOT used AND component <> large").select("key").distinct()
         state = store(state.join(more, "key"), folder, f"open{turn}")
+        drop(spark, folder, *(["members"] if turn == 0 else [f"components{turn - 1}", f"open{turn - 1}", "both"]))
         if state.isEmpty():
             return comps
         if turn == 0:  # nodes that add the same element to the same home
@@ -111,6 +121,7 @@ def connect(members: DataFrame, sets: DataFrame, sizes: DataFrame, measure: Call
             counted = state.groupBy("key", "component").agg(F.count("*").alias("k"))
             largest = counted.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("large"), F.count("*").alias("parts"))
             state = store(state.join(largest.filter("parts > 1").select("key", "large"), "key"), folder, "both")
+            drop(spark, folder, "home")  # the changed elements were read for the last time
         turn += 1
         order = Window.partitionBy("key").orderBy("node")
         fresh = state.filter("NOT used AND component <> large").withColumn("_turn", F.row_number().over(order)).filter(
@@ -126,7 +137,7 @@ def connect(members: DataFrame, sets: DataFrame, sizes: DataFrame, measure: Call
             (bottom * F.col("n") >= top * F.col("pn")) & (bottom * F.col("pn") >= top * F.col("n")) &
             (~same_home | (F.abs(F.col("d") - F.col("pd")) <= slack) & (F.col("adds") | ((bottom + top) * apart <= differ))) &
             (~F.col("adds") | same_home))
-        found = measured(pairs.select(F.greatest("node", "pnode").alias("x"), F.least("node", "pnode").alias("p")).distinct(), f"pairs{turn}")
-        links = links.unionByName(found.filter(near).select("x", "p"))
+        found = measured(pairs.select(F.greatest("node", "pnode").alias("x"), F.least("node", "pnode").alias("p")).distinct())
+        links = links.unionByName(store(found.filter(near).select("x", "p"), folder, f"pairs{turn}"))
         done = fresh.select("key", "node", F.lit(True).alias("now"))
         state = state.join(done, ["key", "node"], "left").select("key", "node", "adds", (F.col("used") | F.col("now").isNotNull()).alias("used"))
