@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +15,15 @@ from forgetide.functions.periods import period_label
 from forgetide.operators import metrics as M
 from forgetide.operators.identity import canonical_of
 from forgetide.operators.ordinals import ordinal
-from forgetide.session import cut
+from forgetide.session import cut, scratch_path
 from forgetide.sources.store import keep_last
+BLOCK_ROWS = 1 << 16  # commits whose lines one task follows
 
 # Folder names that mark a test file.
 TEST_FOLDERS = ["test", "tests", "spec"]
 FILE_MEASURES = ["num_files_existing", "num_py_files_existing", "num_rb_files_existing", "num_test_files_existing"]
 
 
-
 def likely_test(path: Column | str) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(f) for f in TEST_FOLDERS]))
 
@@ -105,20 +111,76 @@ def newest_heads(commits: DataFrame) -> DataFrame:
     return keep_last(commits.select("project", "sha", "committed_date"), ["project"], ["committed_date", "sha"])
 
 
-def mainline(commits: DataFrame, heads: DataFrame) -> DataFrame:
-    """(project, sha, ix) of the first-parent chain from each head. The line doubles in
-    every round: a jump table leads 1, 2, 4, ... commits back. Keys are (project, sha),
-    so long histories spread over all tasks."""
+def _block_functions() -> tuple[Callable, Callable]:
+    """What is done inside one block. The functions are local, so they travel to the executors as they are."""
+    def up_rows(rows: pd.DataFrame) -> np.ndarray:
+        """Which row of a block holds each row's first parent, -1 for none."""
+        names = rows["project"] + "\0" + rows["sha"]
+        codes, known = pd.factorize(names)
+        first = np.full(len(known), -1)
+        first[codes[::-1]] = np.arange(len(rows))[::-1]
+        at = pd.Index(known).get_indexer(rows["project"] + "\0" + rows["up"])
+        return np.where(rows["up"].notna().to_numpy() & (at >= 0), first[at] if len(first) else at, -1)
+
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each commit of a block with the parent at which its line leaves the block, and how many commits on that is."""
+        held = [batch for batch in batches if len(batch)]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).to_pandas()
+        up = up_rows(rows)
+        last, steps = np.where(up >= 0, up, np.arange(len(rows))), (up >= 0).astype(np.int64)
+        while (steps[last] > 0).any():  # pointer doubling inside the block
+            steps, last = steps + steps[last], last[last]
+        out = rows.assign(block=TaskContext.get().partitionId(), leaves=rows["up"].to_numpy()[last], steps=steps + 1)
+        kinds = {"block": pa.int32(), "steps": pa.int64()}
+        yield pa.RecordBatch.from_pandas(out, pa.schema([(c, kinds.get(c, pa.string())) for c in out.columns]), preserve_index=False)
+
+    def on_line(rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        """The commits of a block that lines run through, from the commit where each comes in."""
+        up = up_rows(rows).tolist()
+        row_of = {name: row for row, name in reversed(list(enumerate(zip(rows["project"], rows["sha"]))))}
+        found, places = [], []
+        for project, sha, ix in zip(entries["project"], entries["sha"], entries["ix"]):
+            row = row_of[project, sha]
+            while row >= 0:
+                found.append(row)
+                places.append(ix)
+                row, ix = up[row], ix + 1
+        return rows.iloc[found][["project", "sha"]].assign(ix=np.array(places, np.int64))
+
+    return exits, on_line
+
+
+def mainline(commits: DataFrame, heads: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(project, sha, ix) of the first-parent chain from each head. (project, sha) is unique in `commits`.
+
+    Commits are dealt by project and time into blocks of about `block_rows`. Inside a block every line is followed to where it
+    leaves, so what is left between blocks is a short list of the commits where lines come in; a jump table over these leads 1, 2, 4,
+    ... of them back. Then the lines that heads reach are written out block by block. A commit that is named as a parent but has no
+    row ends its line and is on it. Without `committed_date` blocks are cut by sha, which is as right but leaves longer lists."""
+    dated = [c for c in ("committed_date",) if c in commits.columns]
+    exits, on_line = _block_functions()
+    rows = commits.select("project", "sha", F.try_element_at("parents", F.lit(1)).alias("up"), *dated)
+    blocks = rows.count() // block_rows + 1
+    path = scratch_path(commits.sparkSession, "blocks")
+    dealt = rows.repartitionByRange(blocks, "project", *dated, "sha").drop(*dated)
+    dealt.mapInArrow(exits, "project string, sha string, up string, block int, leaves string, steps bigint").write.parquet(path)
+    located = commits.sparkSession.read.parquet(path)
+    leaving = located.filter("leaves IS NOT NULL")
+    # a line comes in at a head or where another block's line goes
+    entries = leaving.select("project", F.col("leaves").alias("sha")).union(heads.select("project", "sha")).distinct()
+    jump = cut(leaving.select("project", "sha", F.col("leaves").alias("up"), "steps").join(entries, ["project", "sha"], "left_semi"))
     line = cut(heads.select("project", "sha", F.lit(0).cast("bigint").alias("ix")))
-    jump = commits.select("project", "sha", F.try_element_at("parents", F.lit(1)).alias("up"))
-    jump = cut(jump.filter("up IS NOT NULL"))
-    step = 1
     while True:
-        ahead = cut(line.join(jump, ["project", "sha"]).select(
-            "project", F.col("up").alias("sha"), (F.col("ix") + step).alias("ix")))
+        ahead = cut(line.join(jump, ["project", "sha"]).select("project", F.col("up").alias("sha"), (F.col("ix") + F.col("steps")).alias("ix")))
         if ahead.isEmpty():
-            return line
+            break
         line = line.union(ahead)
-        further = jump.select("project", F.col("sha").alias("up"), F.col("up").alias("_up"))
-        jump = cut(jump.join(further, ["project", "up"]).select("project", "sha", F.col("_up").alias("up")))
-        step *= 2
+        further = jump.select("project", F.col("sha").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
+        jump = cut(jump.join(further, ["project", "up"]).select("project", "sha", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps")))
+    placed = cut(line.join(located.select("project", "sha", "block"), ["project", "sha"], "left"))
+    touched = located.join(placed.select("block").distinct(), "block", "left_semi").select("block", "project", "sha", "up")
+    inside = placed.filter("block IS NOT NULL").select(F.col("block").alias("at"), "project", "sha", "ix")
+    walked = touched.groupBy("block").cogroup(inside.groupBy("at")).applyInPandas(on_line, "project string, sha string, ix bigint")
+    return walked.unionByName(placed.filter("block IS NULL").select("project", "sha", "ix"))

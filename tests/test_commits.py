@@ -24,6 +24,39 @@ def test_mainline_of_a_long_history(spark):
     assert line == {i: f"s{299 - i:03d}" for i in range(300)}
 
 
+@pytest.mark.parametrize(("block_rows", "shuffled"), [(7, False), (7, True), (40, True), (1 << 16, True)])
+def test_mainlines_over_any_blocks(spark, block_rows, shuffled):
+    """Three histories, one with side branches, one whose oldest parent has no row; times in order or not."""
+    rng, rows, want = random.Random(block_rows), [], {}
+    for project, n in (("p", 60), ("q", 25), ("lone", 1)):
+        days = rng.sample(range(1000), n) if shuffled else list(range(n))
+        for i in range(n):
+            up = [f"s{i - 1}"] if i else (["gone"] if project == "q" else [])
+            rows.append(commit(f"s{i}", up + [f"x{i}"], "a", days[i], project) if up else commit(f"s{i}", [], "a", days[i], project))
+            rows.append(commit(f"x{i}", [f"s{i - 1}"] if i > 1 else [], "b", days[i], project))
+            want[project, f"s{i}"] = n - 1 - i
+    want["q", "gone"] = 25
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    heads = spark.createDataFrame([("p", "s59"), ("q", "s24"), ("lone", "s0")], "project string, sha string")
+    got = C.mainline(frame, heads, block_rows).collect()
+    assert len(got) == len(want) and {(r.project, r.sha): r.ix for r in got} == want
+    assert {(r.project, r.sha): r.ix for r in C.mainline(frame.drop("committed_date"), heads, block_rows).collect()} == want
+
+
+def test_mainline_of_a_hundred_thousand_commits(spark, monkeypatch):
+    """The list between blocks is short, so a few rounds do whatever the length of the line."""
+    n, rounds, inner = 100_000, [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df: rounds.append(1) or inner(df))
+    frame = spark.range(n).select(F.lit("p").alias("project"), F.concat(F.lit("s"), "id").alias("sha"), F.when(F.col("id") > 0, F.array(F.concat(
+        F.lit("s"), F.col("id") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"), F.timestamp_seconds(F.col("id") * 60).alias(
+        "committed_date")).orderBy(F.xxhash64("sha"))
+    heads = spark.createDataFrame([("p", f"s{n - 1}")], "project string, sha string")
+    line = C.mainline(frame, heads, 10_000)
+    assert line.filter(F.concat(F.lit("s"), F.lit(n - 1) - F.col("ix")) == F.col("sha")).count() == n == line.count()
+    assert len(rounds) <= 13  # the jump table over all commits took 36
+
+
 @pytest.mark.parametrize("parts", [1, 4, 31])
 def test_ordinals_of_one_group(spark, parts):
     rng = random.Random(1)
