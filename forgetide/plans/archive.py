@@ -308,11 +308,21 @@ def f5_hours(spark, sf):
     return activity(N.mentions_number(in_hours(spark, sf), "Own2", "Proj5", 75)).select("line", "time")
 
 
-@query("F6_lookup_in_hours", f"""SELECT line, event_type AS rectype FROM {EVENTS_SQL} WHERE {IN_RANGE.format('created_at', 'created_at')}
-AND (event_type = 'IssuesEvent' AND {PAY}issue.id' = '59' OR event_type = 'IssueCommentEvent' AND {PAY}comment.id' = '156')""")
+# The first issue and the first comment that the hours hold.
+FIRST_IDS = f"""(SELECT min(CAST({PAY}issue.id' AS BIGINT)) FILTER (event_type = 'IssuesEvent') AS issue,
+min(CAST({PAY}comment.id' AS BIGINT)) FILTER (event_type = 'IssueCommentEvent') AS comment
+FROM {EVENTS_SQL} WHERE {IN_RANGE.format('created_at', 'created_at')})"""
+
+
+@query("F6_lookup_in_hours", f"""SELECT line, event_type AS rectype FROM {EVENTS_SQL}, {FIRST_IDS} AS f
+WHERE {IN_RANGE.format('created_at', 'created_at')} AND (event_type = 'IssuesEvent' AND CAST({PAY}issue.id' AS BIGINT) = f.issue
+  OR event_type = 'IssueCommentEvent' AND CAST({PAY}comment.id' AS BIGINT) = f.comment)""")
 def f6_hours(spark, sf):
     records = in_hours(spark, sf)
-    return N.issue_lookup(records, 59).union(N.issue_comment_lookup(records, 156)).select(F.col("seq.row").alias("line"), "rectype")
+    kind = D.get("v", "type")
+    ids = records.agg(F.min(F.when(kind == "IssuesEvent", D.get("v", "payload.issue.id", "long"))),
+                      F.min(F.when(kind == "IssueCommentEvent", D.get("v", "payload.comment.id", "long")))).first()
+    return N.issue_lookup(records, ids[0]).union(N.issue_comment_lookup(records, ids[1])).select(F.col("seq.row").alias("line"), "rectype")
 
 
 @query("F6_point_lookup", f"""SELECT line, event_type AS rectype, CASE WHEN event_type = 'IssuesEvent' THEN '59' ELSE {PAY}issue.id' END AS issueid,

@@ -27,7 +27,7 @@ x AS (SELECT e.*, coalesce(e.repo_id, a.id, -2) AS github_project_id,
 COMMON = "event_type, github_project_id, canonical_project, project, actor, created_at"
 
 
-_LANDED: dict[tuple[str, str], str] = {}
+_LANDED: dict[tuple[str, str, str], str] = {}
 
 
 def land(spark, sf):
@@ -38,8 +38,11 @@ def land(spark, sf):
 
 
 def landed(spark, sf):
-    """The normalised events, written once per session and read by every table."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The normalised events, written once per session and state of the files, and read by every table."""
+    files = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_size").alias("size"))
+    stamp = files.distinct().agg(F.count("*"), F.max("at"), F.sum(F.xxhash64("path", "at", "size").cast("decimal(20,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf, str(tuple(stamp)))
     if key in _LANDED:
         try:
             return spark.read.parquet(_LANDED[key])
