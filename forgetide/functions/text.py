@@ -28,12 +28,18 @@ FENCE = "```"
 OWNER_MARK = "%OWNER%"
 PROJECT_MARK = "%PROJECT%"
 
-# A link counts when its host is a dotted name with a letter suffix, an IPv4
-# address or localhost, with an optional port.
-VALID_URL_PATTERN = (
-    r"^(?i)(?:https?|ftp)://(?:[^\s/?#@]+@)?"
-    r"(?:localhost|(?:\d{1,3}\.){3}\d{1,3}|(?:[^\s/?#@:.]+\.)+[a-z¡-￿]{2,})"
-    r"(?::\d{2,5})?(?:[/?#]\S*)?$")
+# The parts of a link. Letters of host names are those of any script; the flags stand for all that follows.
+AUTHORITY_PATTERN = r"^(?i)(?:https?|ftp)://([^/?#\s]*)(?:[/?#]\S*)?$"
+USER_INFO_PATTERN = r"^[^\s@]*@"
+PORT_PATTERN = r":([0-9]*)$"
+HOST_LETTER = r"[a-z0-9\x{a1}-\x{10ffff}]"
+HOST_LABEL = rf"{HOST_LETTER}(?:(?:{HOST_LETTER}|-){{0,61}}{HOST_LETTER})?"
+DOMAIN_PATTERN = rf"^(?i)(?:{HOST_LABEL}\.)+(?:xn--[a-z0-9-]{{0,58}}[a-z0-9]|[a-z\x{{a1}}-\x{{10ffff}}]{{2,63}})$"
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+IPV4_PATTERN = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
+IPV6_GROUPS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+IPV6_PATTERN = rf"^(?i)(?:{IPV6_GROUPS}|(?:{IPV6_GROUPS})?::(?:{IPV6_GROUPS})?)$"
+LONGEST_HOST, LAST_PORT = 253, 65535
 
 REF_STYLES = (("o/p#d", OWNER_PROJECT_PATTERN, "#"), ("o#d", OWNER_PATTERN, "#"),
               ("#d", NUMBER_PATTERN, "#"), ("gh-d", GH_PATTERN, "-"))
@@ -55,10 +61,37 @@ def _erase(text: Column, found: Column, by: str) -> Column:
     return F.aggregate(F.array_distinct(found), text, lambda acc, m: F.replace(acc, m, F.lit(by)))
 
 
+def _valid_ipv4(host: Column) -> Column:
+    """Four numbers up to 255 without leading zeros; the first is neither 0 nor one of those beyond 223, which are no hosts."""
+    first = F.split_part(host, F.lit("."), F.lit(1)).try_cast("int")
+    return host.rlike(IPV4_PATTERN) & first.between(1, 223)
+
+
+def _valid_ipv6(address: Column) -> Column:
+    """Eight groups of four digits; one "::" stands for one or more groups of zeros, and the last two may be written as IPv4."""
+    tail = F.regexp_extract(address, r"([0-9.]+\.[0-9.]+)$", 1)
+    plain = F.when(tail == "", address).otherwise(F.regexp_replace(address, r"[0-9.]+\.[0-9.]+$", "0:0"))
+    groups = F.size(F.filter(F.split(plain, ":"), lambda g: g != ""))
+    counted = F.when(F.contains(plain, F.lit("::")), groups <= 7).otherwise(groups == 8)
+    return plain.rlike(IPV6_PATTERN) & counted & ((tail == "") | tail.rlike(IPV4_PATTERN))
+
+
+def valid_url(url: Column) -> Column:
+    """Whether a link has a host that can be: a domain of labels of at most 63 letters, digits and inner hyphens that ends in
+    letters, localhost, an IPv4 or a bracketed IPv6 address; a port, where there is one, from 1 to 65535."""
+    authority = F.regexp_extract(url, AUTHORITY_PATTERN, 1)
+    place = F.regexp_replace(authority, USER_INFO_PATTERN, "")
+    host = F.regexp_replace(place, PORT_PATTERN, "")
+    port = F.regexp_extract(place, PORT_PATTERN, 1).try_cast("int")
+    name = host.rlike(DOMAIN_PATTERN) & (F.length(host) <= LONGEST_HOST)
+    known = (F.when(host.startswith("["), host.endswith("]") & _valid_ipv6(F.substr(host, F.lit(2), F.length(host) - 2)))
+              .when(host.rlike(r"^[0-9.]+$"), _valid_ipv4(host)).otherwise(name | (F.lower(host) == "localhost")))
+    return (authority != "") & known & (~place.rlike(PORT_PATTERN) | F.coalesce(port.between(1, LAST_PORT), F.lit(False)))
+
+
 def urls(text: Column | str) -> Column:
     """Valid links, sorted, repeats kept."""
-    return F.array_sort(F.filter(_all(_col(text), URL_PATTERN, "://"),
-                                 lambda u: u.rlike(VALID_URL_PATTERN)))
+    return F.array_sort(F.filter(_all(_col(text), URL_PATTERN, "://"), valid_url))
 
 
 def plus_one(text: Column | str) -> Column:

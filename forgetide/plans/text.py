@@ -67,6 +67,21 @@ def t1(spark, sf):
     return COMMENTS.heavy(spark, sf).select("event_id", joined(T.urls("text")).alias("urls"))
 
 
+# Forms of links, the first half valid.
+FORMS = ["http://a-b.example.org", "https://xn--bcher-kva.example/x", "ftp://10.1.2.3:65535/y", "http://localhost:80?q", "http://user:pw@1a.example",
+         "http://223.255.255.255#z", "HTTP://EXAMPLE.ORG:1", "http://example.xn--p1ai",
+         "http://a_b.example", "http://-a.example.org", "http://256.1.1.1/x", "http://224.0.0.1", "http://example.org:65536", "http://example.org:0",
+         "http://example.123", "http://1.2.3"]
+LINKS = table("events", "event_id", "event_id % 16 AS form").then(
+    "event_id", "form", "CASE form " + " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(FORMS)) + " END AS link").then(
+    "event_id", "form", "link", "concat('see ', link, ' now') AS text")
+
+
+@query("T1_link_forms", f"SELECT event_id, CASE WHEN form < 8 THEN link ELSE '' END AS urls FROM {LINKS.sql}")
+def t1_forms(spark, sf):
+    return LINKS.frame(spark, sf).select("event_id", joined(T.urls("text")).alias("urls"))
+
+
 @query("T2_plus_one", rf"""SELECT event_id, event_id % 5 = 0 AND event_id % 4 <> 0 AS plus_1,
 CASE WHEN event_id % 5 = 0 AND event_id % 4 <> 0 THEN substr(text, 4) ELSE text END AS remainder
 FROM {SRC}""")

@@ -23,6 +23,29 @@ def test_urls(spark):
         "http://10.0.0.1:8080/y", "http://localhost/z"]
 
 
+VALID = """http://a.de https://a.b.c.d.example.org HTTP://EXAMPLE.ORG ftp://ftp.example.org/a http://example.org? http://example.org#x
+http://example.org/?q=a#b http://example.org:1 http://example.org:65535/x http://example.org:080/ http://localhost http://LOCALHOST:8080/a
+http://user@example.org http://user:pw@example.org:81/ http://1.2.3.4 http://223.255.255.255/x http://10.0.0.1:80 http://127.0.0.1
+http://bücher.example http://例え.テスト http://xn--bcher-kva.example http://example.xn--p1ai http://a-b.example.org http://a--b.example
+http://1a.example http://9.example http://[::1] http://[::]/x http://[2001:db8::7]:8080/a http://[1:2:3:4:5:6:7:8] http://[::ffff:1.2.3.4]
+http://[1:2:3:4:5:6:1.2.3.4] http://[FE80::A] http://user@[::1]:81""".split()
+INVALID = """http:// http:///x http://? http://example http://example. http://.example.org http://a..example http://-a.example
+http://a-.example http://a_b.example http://example.o http://example.123 http://256.1.1.1 http://1.2.3 http://1.2.3.4.5 http://01.2.3.4
+http://0.1.2.3 http://224.0.0.1 http://255.255.255.255 http://example.org: http://example.org:0 http://example.org:65536
+http://example.org:99999999999 http://example.org:8a http://[::1 http://[:1] http://[1::2::3] http://[1:2:3:4:5:6:7] http://[1:2:3:4:5:6:7:8:9]
+http://[12345::] http://[::g] http://[::256.1.1.1] http://[1:2:3:4:5:6:7::8:9] gopher://example.org example.org http://localhost.
+http://a@b@example.org http://:80""".split()
+
+
+def test_valid_links(spark):
+    long = ["http://" + "a" * 63 + ".example", "http://" + ".".join(["a" * 49] * 5) + ".de"]
+    too_long = ["http://" + "a" * 64 + ".example", "http://" + ".".join(["a" * 50] * 5) + ".com"]
+    wanted = dict.fromkeys([*VALID, *long], True) | dict.fromkeys([*INVALID, *too_long], False)
+    assert len(wanted) >= 70
+    rows = spark.createDataFrame([(u,) for u in wanted], "u string").select("u", T.valid_url(F.col("u"))).collect()
+    assert {u: v for u, v in rows if v != wanted[u]} == {}
+
+
 def test_plus_one(spark):
     cases = {"+1 ship it, please": (True, "ship it, please"), "\t\n+1\n\t\n go": (True, "go"), " +1yes": (True, "yes"),
              "+1": (False, "+1"), "+10 x": (True, "0 x"), "+1\nx": (True, "x"), "+1 a\nb": (False, "+1 a\nb"),
