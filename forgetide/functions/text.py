@@ -14,6 +14,12 @@ URL_PATTERN = r"(?i)((?:https?|ftp)://[^\s/$.?#].[^\s\(\)\[\]\<\>,'\"`]*)"
 PLUS_ONE_PATTERN = r"(?d)^\s*(\+1)\s*(.+)$"
 CODE_PATTERN = r"(?d)(```(\S*)\n(.*?\n)```)"
 FENCED_PATTERN = r"(?ds)(```(\S*)[ \t]*\r?\n(.*?\n)```)"
+# Markdown: a quoted line, a list item, a fence with its first word, blanks that make a line code, code inside a line.
+QUOTE_PATTERN = r"^(?: {0,3}> ?)+"
+ITEM_PATTERN = r"^\s*(?:[-*+]|[0-9]{1,9}[.)])\s"
+FENCE_PATTERN = r"^( *(?:(?:[-*+]|[0-9]{1,9}[.)]) +)*)(`{3,}(?=[^`]*$)|~{3,})[ \t]*(\S*).*$"
+INDENT_PATTERN = r"^(?: {4}| {0,3}\t)"
+SPAN_PATTERN = r"(?<!`)(`+)(?!`)(.*?)(?<!`)\1(?!`)"
 ISSUE_URL_PATTERN = r"(https?://github.com/[A-Za-z0-9_\.-]+/[A-Za-z0-9_\.-]+/(?:pull|issues)/\d+)"
 OWNER_PROJECT_PATTERN = (r"((?<![A-Za-z0-9_])[A-Za-z][A-Z0-9a-z_\.-]+/"
                          r"[A-Za-z][A-Z0-9a-z_\.-]+#\d+)")
@@ -104,9 +110,50 @@ def plus_one_remainder(text: Column | str) -> Column:
     return F.when(plus_one(text), F.regexp_extract(text, PLUS_ONE_PATTERN, 2)).otherwise(text)
 
 
+def _markdown(text: Column) -> Column:
+    """(languages, kept) of a text read line by line as Markdown blocks: fences of ` or ~, closed by one at least as long, by the end of
+    the quote they stand in, or by the end of the text; blocks indented by four after a blank line, outside lists; code inside lines."""
+    none = F.array().cast("array<string>")
+    unnamed = F.array(F.lit("unspecified"))
+    start = F.struct(F.lit("").alias("fence"), F.lit(False).alias("quoted"), F.lit(True).alias("blank"), F.lit(False).alias("indented"),
+                     F.lit(False).alias("listed"), none.alias("languages"), none.alias("kept"))
+
+    def step(state: Column, line: Column) -> Column:
+        quoted = line.rlike(QUOTE_PATTERN)
+        body = F.regexp_replace(line, QUOTE_PATTERN, "")
+        bare = F.regexp_replace(body, r"^\s+|\s+$", "")
+        inside = (state.fence != "") & (quoted | ~state.quoted)
+        closes = inside & bare.startswith(state.fence) & (F.replace(bare, F.substring(state.fence, 1, 1), F.lit("")) == "")
+        opens = ~inside & body.rlike(FENCE_PATTERN) & (body.rlike(r"^ {0,3}\S") | state.listed)
+        code = ~inside & ~opens & (bare != "") & body.rlike(INDENT_PATTERN) & (state.blank | state.indented) & ~state.listed
+        plain = ~inside & ~opens & ~code
+        word = F.regexp_extract(body, FENCE_PATTERN, 3)
+        named = (F.when(opens, F.array(F.when(word == "", "unspecified").otherwise(word))).when(code & ~state.indented, unnamed)
+                  .when(plain & line.rlike(SPAN_PATTERN), unnamed).otherwise(none))
+        return F.struct(
+            F.when(opens, F.regexp_extract(body, FENCE_PATTERN, 2)).when(inside & ~closes, state.fence).otherwise("").alias("fence"),
+            F.when(opens, quoted).otherwise(state.quoted & inside).alias("quoted"), (plain & (bare == "")).alias("blank"),
+            (code | (state.indented & plain & (bare == ""))).alias("indented"),
+            F.when(inside, state.listed).otherwise(line.rlike(ITEM_PATTERN) | (state.listed & ((bare == "") | line.rlike(r"^\s")))).alias("listed"),
+            F.concat(state.languages, named).alias("languages"),
+            F.concat(state.kept, F.when(plain, F.array(F.regexp_replace(line, SPAN_PATTERN, ""))).otherwise(none)).alias("kept"))
+
+    return F.aggregate(F.split(text, r"\r?\n", -1), start, step, lambda s: F.struct(
+        F.array_sort(F.array_distinct(s.languages)).alias("languages"), F.array_join(s.kept, "\n").alias("kept")))
+
+
+def _fenced(text: Column) -> Column:
+    """Only texts with a fence are read as Markdown."""
+    return F.contains(text, F.lit(FENCE)) | F.contains(text, F.lit("~~~"))
+
+
 def code_languages(text: Column | str, mode: str = "line") -> Column:
     """Languages of code blocks, distinct and sorted. Mode "line" takes blocks of one
-    line, mode "fenced" blocks of any length and either line end."""
+    line, mode "fenced" blocks of any length and either line end, mode "markdown" reads
+    the lines as Markdown (a text without a fence has no code)."""
+    if mode == "markdown":
+        text = _col(text)
+        return F.when(_fenced(text), _markdown(text).languages).when(text.isNotNull(), F.array().cast("array<string>"))
     names = _all(_col(text), CODE_PATTERN if mode == "line" else FENCED_PATTERN, FENCE, 2)
     named = F.transform(names, lambda n: F.when(n == "", F.lit("unspecified")).otherwise(n))
     return F.array_sort(F.array_distinct(named))
@@ -114,6 +161,8 @@ def code_languages(text: Column | str, mode: str = "line") -> Column:
 
 def without_code(text: Column | str, mode: str = "line") -> Column:
     text = _col(text)
+    if mode == "markdown":
+        return F.when(_fenced(text), _markdown(text).kept).otherwise(text)
     return _erase(text, _all(text, CODE_PATTERN if mode == "line" else FENCED_PATTERN, FENCE), "")
 
 

@@ -116,6 +116,20 @@ def t4(spark, sf):
         T.without_code("text", "fenced").alias("bare"), joined(T.code_languages("text")).alias("line_mode"))
 
 
+# Texts with line ends written as "|", their languages and what is left of them.
+MARKDOWN = [("see|````md|```py|x|```|````|end", "md", "see|end"), ("> ~~~ r opts|> x|out #2", "r", "out #2"),
+            ("- item|    ```sh|    x|    ```|after", "sh", "- item|after"), ("a|```go|never closed #1", "go", "a"),
+            ("use `f(x)` here|```l|```|b", "l unspecified", "use  here|b"), ("p|    ```no fence|q", "", "p|    ```no fence|q")]
+CHOICE = lambda k: "CASE event_id % 6 " + " ".join(f"WHEN {i} THEN '{row[k]}'" for i, row in enumerate(MARKDOWN)) + " END"
+READ = table("events", "event_id", f"replace({CHOICE(0)}, '|', chr(10)) AS text", f"{CHOICE(1)} AS code", f"replace({CHOICE(2)}, '|', chr(10)) AS bare")
+
+
+@query("T4_code_markdown", f"SELECT event_id, code, bare FROM {READ.sql}")
+def t4_markdown(spark, sf):
+    return READ.frame(spark, sf).select(
+        "event_id", joined(T.code_languages("text", "markdown")).alias("code"), T.without_code("text", "markdown").alias("bare"))
+
+
 @query("T5_issue_references", f"""WITH src AS {SRC}, b AS (SELECT event_id, {bare('text')} AS body FROM src),
 {refs_cte('b', 'body', 'r')}
 SELECT event_id, array_to_string(list_sort(refs), ' ') AS refs FROM r""")

@@ -82,6 +82,26 @@ def test_code(spark):
     assert run(long, "fenced") == (["go"], "a\r\n\r\nb")
 
 
+def test_markdown_blocks(spark):
+    long, tick = "````", "`"
+    cases = {
+        f"a\n{FENCE}go\nx\ny\n{FENCE}\nb": (["go"], "a\nb"), f"a\r\n~~~ r opts\r\nx\r\n~~~~\r\nb": (["r"], "a\nb"),
+        f"{long}md\n{FENCE}py\nx\n{FENCE}\n{long}\nz": (["md"], "z"), f"{FENCE}\nnever closed\n#1": (["unspecified"], ""),
+        f"{FENCE}a\n~~~\n{FENCE}\n~~~b\n{FENCE}\n~~~": (["a", "b"], ""), f"   {FENCE}c\nx\n  {FENCE}\nd": (["c"], "d"),
+        f"p\n    {FENCE}no fence\nq": ([], f"p\n    {FENCE}no fence\nq"), f"- item\n    {FENCE}sh\n    x\n    {FENCE}\nafter": (["sh"], "- item\nafter"),
+        f"1. {FENCE}sql\n   x\n   {FENCE}\nafter": (["sql"], "after"), f"> {FENCE}js\n> x\n> {FENCE}\n> said": (["js"], "> said"),
+        f"> {FENCE}js\n> x\nout #2": (["js"], "out #2"), f"{FENCE}x{tick}y\nno": ([], f"{FENCE}x{tick}y\nno"),
+        f"{FENCE}k\n{FENCE} not the end\n{FENCE}  \nz": (["k"], "z"),
+        f"use {tick}f(x){tick} or {tick}{tick}a{tick}b{tick}{tick}\n{FENCE}l\n{FENCE}": (["l", "unspecified"], "use  or "),
+        f"t\n\n    x = 1\n\n    y = 2\nu\n{FENCE}l\n{FENCE}": (["l", "unspecified"], "t\n\n\nu"),
+        f"para\n    goes on\n~~~\n~~~": (["unspecified"], "para\n    goes on"), "    indented, no fence": ([], "    indented, no fence"), "": ([], "")}
+    frame = spark.createDataFrame([(k,) for k in cases], "text string")
+    rows = frame.select("text", T.code_languages("text", "markdown"), T.without_code("text", "markdown")).collect()
+    got = {t: (languages, kept) for t, languages, kept in rows}
+    assert {t: got[t] for t in cases if got[t] != cases[t]} == {}
+    assert tuple(one(spark, None, T.code_languages("text", "markdown"), T.without_code("text", "markdown"))) == (None, None)
+
+
 def test_issue_references(spark):
     text = "fixes kim/tool.kit#7 and #8\nsee http://github.com/lee_2/lib-x/issues/90, kim#11; dup of #8"
     frame = spark.createDataFrame([(text,)], "text string")
