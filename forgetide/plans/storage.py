@@ -124,5 +124,14 @@ def s16(spark, sf):
 WHERE project_owner = 'user3' AND project_name = 'p2'""")
 def s7(spark, sf):
     path = scratch_path(spark, "raw")
-    TIMELINE.frame(spark, sf).write.parquet(path)
+    store.write_clustered(TIMELINE.frame(spark, sf), path)
     return store.read_project(spark, path, "user3", "p2").select("event_id", "rectype", "issueid")
+
+
+@query("S7_find_by_id", f"""SELECT event_id, project_owner, project_name, rectype FROM {TIMELINE.sql}
+WHERE event_id IN (SELECT max(event_id) FROM {TIMELINE.sql})""")
+def s7_find(spark, sf):
+    path, rows = scratch_path(spark, "clustered"), TIMELINE.frame(spark, sf)
+    store.write_clustered(rows, path, ["event_id"])
+    last = rows.agg(F.max("event_id")).first()[0]
+    return store.find(spark, path, event_id=last).select("event_id", "project_owner", "project_name", "rectype")

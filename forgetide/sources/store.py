@@ -81,6 +81,25 @@ def insert_absent(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.select(*old.columns).subtract(old)
 
 
+def write_clustered(rows: DataFrame, path: str, ids: Sequence[str] = (), group_bytes: int | None = None) -> None:
+    """A table laid out for lookups: rows of a project lie together, so a scan of one opens the row groups that hold it, and
+    each id column has a Bloom filter per row group, so a lookup by id skips those that do not. `group_bytes` sets the size of row groups."""
+    writer = rows.repartitionByRange("project_owner", "project_name", *ids).sortWithinPartitions("project_owner", "project_name", *ids).write
+    for name in ids:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    if group_bytes is not None:
+        writer = writer.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
+
+
+def find(spark: SparkSession, path: str, **values) -> DataFrame:
+    """Rows with these values; the filter reaches the scan, which asks statistics and Bloom filters of row groups."""
+    rows = spark.read.parquet(path)
+    for name, value in values.items():
+        rows = rows.filter(F.col(name).isNull() if value is None else F.col(name) == F.lit(value).cast(rows.schema[name].dataType))
+    return rows
+
+
 def read_project(spark: SparkSession, path: str, owner: str, name: str) -> DataFrame:
     """Rows of one project; the filter reaches the Parquet scan."""
     return spark.read.parquet(path).filter(

@@ -115,6 +115,25 @@ def test_one_large_bucket(spark, tmp_path):
     assert table.read().count() == 30_000 and table.rows_of(spark.createDataFrame([("hot",)], "owner string")).count() == 10_000
 
 
+def test_lookups_read_few_row_groups(spark, tmp_path):
+    every = spark.range(200_000).select(
+        F.concat(F.lit("own"), F.col("id") % 40).alias("project_owner"), F.concat(F.lit("p"), F.col("id") % 400).alias("project_name"),
+        F.sha1(F.col("id").cast("string")).alias("sha"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias("message"))
+    path = str(tmp_path / "t")
+    store.write_clustered(every, path, ["sha"], group_bytes=1 << 18)
+
+    def read(frame):
+        """Rows that come back, and rows in the row groups that were opened."""
+        rows = frame.collect()
+        return len(rows), frame._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+    found, opened = read(store.read_project(spark, path, "own7", "p47"))
+    assert found == 500 and opened < 200_000 / 20
+    sha = every.filter("id = 77777").first().sha
+    found, opened = read(store.find(spark, path, sha=sha))
+    assert found == 1 and opened < 200_000 / 10
+    assert read(store.find(spark, path, sha=None))[0] == 0
+
+
 def raw(spark, *docs, **columns):
     frame = spark.createDataFrame([(json.dumps(d),) for d in docs], "doc string").select(F.lit("o").alias("project_owner"), F.lit("p").alias("project_name"), "doc")
     return frame.withColumns({k: F.lit(v) for k, v in columns.items()})
