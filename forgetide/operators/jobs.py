@@ -19,7 +19,7 @@ from forgetide.operators import normalize as N
 from forgetide.operators import people as P
 from forgetide.operators import routing as R
 from forgetide.operators import timeline as L
-from forgetide.session import cut
+from forgetide.session import cut, scratch_path
 from forgetide.sources import tables
 from forgetide.sources.archive import accepted, read_archive, rejected
 from forgetide.sources.keyed import BUCKETS, KeyedTable
@@ -31,6 +31,23 @@ REPORT_MEASURES = sorted(
     ["commits_recheck", "merges", *PEOPLE_MEASURES, *C.FILE_MEASURES]
     + [f"{side}_{m}" for side in ("arriving", "leaving") for m in PEOPLE_MEASURES])
 
+def alias_tables(spark: SparkSession, archive: str | list[str], out: str, token: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The names met under each repository id (`out`/names, with the time each was last seen) brought up to date by an archive, and the canonical list
+    that `event_tables` takes (`out`/canonical): the aliases of each id and its most recent name."""
+    staged = scratch_path(spark, "aliases")
+    R.land_events(accepted(read_archive(spark, archive)), staged)
+    events = spark.read.parquet(staged).filter("repo_id IS NOT NULL AND project IS NOT NULL")
+    seen = events.groupBy(F.col("repo_id").alias("github_project_id"), F.lower("project").alias("full_name")).agg(F.max("created_at").alias("last_seen"))
+    names = KeyedTable.open(spark, f"{out}/names", seen.schema, ["github_project_id", "full_name"], buckets)
+    later = names.rows_of(seen).unionByName(seen).groupBy("github_project_id", "full_name").agg(F.max("last_seen").alias("last_seen"))
+    names.merge(later, token=token)
+    # names per id are few: renames
+    listed = names.read().groupBy(F.col("github_project_id").alias("id")).agg(
+        F.array_sort(F.collect_set("full_name")).alias("aliases"), F.max_by("full_name", F.struct("last_seen", "full_name")).alias("canonical"))
+    listed.write.mode("overwrite").parquet(f"{out}/canonical")
+    return spark.read.parquet(f"{out}/canonical")
+
+
 # The raw tables that make the issue timeline, in the order of `issue_timeline`.
 ISSUE_SOURCES = ["issue_info", "pull_request_info", "issue_comments", "pr_commits", "pr_commit_comment", "commit_comments"]
 

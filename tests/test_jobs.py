@@ -36,6 +36,21 @@ def test_event_tables(spark, tmp_path):
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out" / "unreadable")).collect()] == ["{broken"]
 
 
+def test_alias_tables_feed_event_tables(spark, tmp_path):
+    """Two archives, the older one second: the name seen last stays canonical, events under both names are found."""
+    def named(number, name, second):
+        return json.dumps({**json.loads(push(number, second, f"s{number}")), "repo": {"id": 5, "name": name}})
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    write(tmp_path / "a" / "2015-01-01-0.json.gz", named(1, "o/New", 30), named(2, "o/Old", 10))
+    write(tmp_path / "b" / "2015-01-01-0.json.gz", named(3, "x/First", 5), named(4, "o/Old", 7), "{broken")
+    for folder in ("a", "b"):
+        listed = jobs.alias_tables(spark, str(tmp_path / folder), str(tmp_path / "out"), token=folder, buckets=2)
+    assert [tuple(r) for r in listed.select("id", "aliases", "canonical").collect()] == [(5, ["o/new", "o/old", "x/first"], "o/new")]
+    jobs.event_tables(spark, [str(tmp_path / "a"), str(tmp_path / "b")], listed, str(tmp_path / "tables"))
+    rows = spark.read.parquet(str(tmp_path / "tables" / "PushEvents")).collect()
+    assert {(r.id, r.canonical_project) for r in rows} == {(str(n), "o/new") for n in (1, 2, 3, 4)}
+
+
 def test_stream_follows_arriving_files(spark, tmp_path):
     source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     (tmp_path / "in").mkdir()
