@@ -13,7 +13,8 @@ lot about two nodes x, y around it, because distances are those of sets:
 
 Rounds compare up to PIVOTS nodes of an open region with the others that are in another component, can have the size and
 pass these tests. A region is closed when all its nodes are connected or each node outside its largest component has
-been a pivot. So no link between different components is left out, and no region is multiplied with itself.
+been a pivot. So no link between different components is left out. Up to PIVOTS nodes meet a region at once; a large region of nodes
+that are near each other without being linked is still compared nearly pair by pair, over several rounds.
 """
 
 from __future__ import annotations
