@@ -6,8 +6,8 @@ of these probabilities. Words are runs of letters, A-Z folded; the text's counts
 the features, so a score takes one pass over the bytes and no shuffle.
 
 The model is fitted on the driver on at most SAMPLE labelled rows, those with the smallest hash of
-their id; FEATURES words are kept, by the information they give about the grade. These two are
-the bounds of what the driver holds. Everything else covers all rows.
+their id, each with one text however many documents share its id; FEATURES words are kept, by the information they give about
+the grade, counted in Spark. These two are the bounds of what the driver holds. Everything else covers all rows.
 
 Null text counts as empty. Labels that are null are left out; without any label the severity is 0 and no
 document is toxic. Every row of the documents gives one row; other columns are kept by `without_toxic`.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from forgetide.llm import ship
 from forgetide.llm.arrays import NOT_LETTER, Words, pieces, text_bytes
+from forgetide.llm.regions import store
+from forgetide.session import scratch_path
 
 SAMPLE = 8_000
 FEATURES = 256
@@ -117,55 +119,53 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         F.col("toxic").isNotNull(), F.when(F.col("quality") == 0, 2).otherwise(1)).alias("_grade")).dropna()
     chosen = named.orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample)  # at most `sample` short rows
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(text_column, F.lit("")).alias("_text")).join(
-        F.broadcast(chosen), "_id").select("_grade", "_text")
+        F.broadcast(chosen), "_id").select("_id", "_grade", "_text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = text_bytes(batch.column(1))
+            data, bounds = text_bytes(batch.column(2))
             out = []
             for a, b in pieces(bounds):
                 found = Words(data, bounds[a:b + 1], NOT_LETTER)
                 for i in range(b - a):
                     values, counts = np.unique(found.hash[found.first[i]:found.first[i + 1]], return_counts=True)
-                    out.append((values.tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()))
+                    out.append((values.view(np.int64), np.minimum(counts, int(CLIP))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())],
-                names=["grade", "words", "counts"])
-
-    got = rows.mapInArrow(words, "grade int, words binary, counts binary").toArrow().to_pydict()
-    # the order in which tasks finish must not matter
-    order = sorted(range(len(got["grade"])), key=lambda i: (got["words"][i], got["grade"][i], got["counts"][i]))
-    grade = np.array([got["grade"][i] for i in order], np.int64)
-    lists = [np.frombuffer(got["words"][i], np.uint64) for i in order]
-    counts = [np.frombuffer(got["counts"][i], np.uint8) for i in order]
-    if not len(grade) or not (grade > 0).any() or (grade > 0).all():
+                [batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.list_(pa.int64())),
+                 pa.array([o[1] for o in out], pa.list_(pa.int64()))], names=["id", "grade", "words", "counts"])
+
+    listed = rows.mapInArrow(words, "id long, grade int, words array<long>, counts array<long>")
+    # one text for each labelled id, however many documents share it
+    one = store(listed.groupBy("id", "grade").agg(F.max(F.struct("words", "counts")).alias("text")).select("id", "grade", "text.*"),
+                scratch_path(docs.sparkSession, "toxicity"), "labelled")
+    n, all_bad = one.agg(F.count("*"), F.count_if(F.col("grade") > 0)).first()
+    if all_bad in (0, n):
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 500.0))
-    everything = np.concatenate(lists)
-    owner = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
-    vocabulary, place = np.unique(everything, return_inverse=True)
-    seen = np.bincount(place, minlength=len(vocabulary)).astype(float)
-    bad = np.bincount(place, weights=(grade[owner] > 0).astype(float), minlength=len(vocabulary))
-    chosen_words = np.argsort(-_information(seen, bad, len(grade), float((grade > 0).sum())), kind="stable")
-    kept = np.sort(chosen_words[seen[chosen_words] >= MIN_DOCUMENTS][:features])
-    column = np.full(len(vocabulary), -1)
-    column[kept] = np.arange(len(kept))
-    x = np.zeros((len(grade), len(kept)))
-    use = column[place] >= 0
-    x[owner[use], column[place][use]] = np.minimum(np.concatenate(counts)[use], CLIP)
-    weights, cuts = fit_cuts(x, grade)
-    return Model(vocabulary[kept], weights, cuts)
-
-
-def _information(seen: np.ndarray, bad: np.ndarray, n: int, all_bad: float) -> np.ndarray:
-    """Mutual information of a word's presence and a grade above 0."""
-    total = np.zeros(len(seen))
-    for with_word, toxic in ((1, 1), (1, 0), (0, 1), (0, 0)):
-        rows = seen if with_word else n - seen
-        both = (bad if toxic else seen - bad) if with_word else ((all_bad - bad) if toxic else (n - all_bad - seen + bad))
-        share = all_bad if toxic else n - all_bad
-        with np.errstate(divide="ignore", invalid="ignore"):
-            total += np.where(both > 0, both / n * np.log(both * n / np.maximum(rows * share, 1e-9)), 0.0)
-    return total
+    every = one.select("id", "grade", F.explode(F.arrays_zip("words", "counts")).alias("e")).select(
+        "id", "grade", F.col("e.words").alias("word"), F.col("e.counts").alias("count"))
+    seen = every.groupBy("word").agg(F.count("*").cast("double").alias("seen"), F.count_if(F.col("grade") > 0).cast("double").alias("bad"))
+    telling = seen.filter(F.col("seen") >= MIN_DOCUMENTS).withColumn("information", _information(float(n), float(all_bad))).orderBy(
+        F.desc("information"), "word").limit(features)
+    vocabulary = np.sort(np.array([r["word"] for r in telling.collect()], np.int64).view(np.uint64))
+    kept = every.join(F.broadcast(docs.sparkSession.createDataFrame([(int(w),) for w in vocabulary.view(np.int64)], "word long")), "word")
+    cells = kept.groupBy("id", "grade").agg(F.collect_list(F.struct("word", "count")).alias("cells"))
+    got = one.select("id", "grade").join(cells, ["id", "grade"], "left").orderBy("id", "grade").collect()  # `sample` rows of `features` cells
+    x = np.zeros((len(got), len(vocabulary)))
+    for row, line in enumerate(got):
+        for cell in line["cells"] or ():
+            x[row, np.searchsorted(vocabulary, np.int64(cell["word"]).view(np.uint64))] = cell["count"]
+    weights, cuts = fit_cuts(x, np.array([line["grade"] for line in got], np.int64))
+    return Model(vocabulary, weights, cuts)
+
+
+def _information(n: float, all_bad: float) -> Column:
+    """Mutual information of a word's presence (`seen` texts, `bad` of them graded above 0) and a grade above 0."""
+    seen, bad = F.col("seen"), F.col("bad")
+
+    def cell(both: Column, texts: Column, share: float) -> Column:
+        return F.when(both > 0, both / n * F.log(both * n / F.greatest(texts * share, F.lit(1e-9)))).otherwise(0.0)
+    return (cell(bad, seen, all_bad) + cell(seen - bad, seen, n - all_bad)
+            + cell(all_bad - bad, n - seen, all_bad) + cell(n - all_bad - seen + bad, n - seen, n - all_bad))
 
 
 def _scorer(model: Model, names: list[str]):

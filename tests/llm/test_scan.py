@@ -51,6 +51,18 @@ def test_toxicity_on_held_out_rows(docs, llm):
     assert kept.count() == len(rows[600:]) + len(EDGES) - sum(out[i].toxic for i in truth)
 
 
+def test_many_documents_of_one_label(docs, llm, monkeypatch):
+    """The fit sees one text for each label, and the order of rows does not matter."""
+    rows, labels = labelled(120)
+    frame = llm.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    sizes, inner = [], tox.fit_cuts
+    monkeypatch.setattr(tox, "fit_cuts", lambda x, grade: sizes.append(x.shape) or inner(x, grade))
+    crowd = [(i, text(7000 + i % 3, 30)) for i in (0, 1) for _ in range(400)]
+    one, other = (tox.fit(docs(rows + part).repartition(parts), frame) for part, parts in ((crowd, 3), (crowd[::-1], 5)))
+    assert sizes[0] == sizes[1] and sizes[0][0] == 120 and sizes[0][1] <= tox.FEATURES
+    assert (one.words == other.words).all() and np.allclose(one.weights, other.weights) and np.allclose(one.cuts, other.cuts)
+
+
 def test_toxicity_without_labels(docs, llm):
     model = tox.fit(docs(EDGES), llm.createDataFrame([], "doc_id long, toxic int, quality int"))
     assert [r.toxic for r in tox.severity(docs(EDGES), model).collect()] == [False] * len(EDGES)
