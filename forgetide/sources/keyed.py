@@ -55,6 +55,8 @@ class BucketStore:
     @classmethod
     def open(cls, spark: SparkSession, path: str, schema: StructType, columns: Sequence[str], buckets: int = BUCKETS) -> BucketStore:
         """The table at `path`, made empty if there is none. An existing table keeps its own columns and buckets."""
+        if "bucket" in schema.names:
+            raise ValueError("a stored table has folders by `bucket`, so no column of that name")
         table = cls(spark, path)
         if table._last() is None:
             table._commit(State(0, buckets, list(columns), schema))
