@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forgetide.functions.documents import get, present, text
+from forgetide.functions.documents import get, present
 from forgetide.session import cut
 
 # Fixed values.
@@ -19,114 +19,136 @@ SKIPPED_TYPES = ["FollowEvent", "GistEvent"]
 API_ROOT = "https://api.github.com/repos/"
 
 
+# What is read of a document, of its payload and of the comment in it. A part that comes as an object or as plain
+# text stays a variant.
+DOCUMENT = """struct<`type`:string, `id`:string, `url`:variant, `created_at`:string, `repo`:struct<`id`:bigint, `name`:string>,
+  `repository`:struct<`id`:bigint, `owner`:string, `name`:string>, `actor`:variant, `actor_attributes`:struct<`login`:string>,
+  `member`:variant, `member_attributes`:struct<`login`:string>, `payload`:variant>"""
+PAYLOAD = """struct<`repo`:variant, `actor`:variant, `member`:variant, `pages`:array<variant>, `shas`:array<variant>, `commits`:array<variant>,
+  `forkee`:struct<`full_name`:string>, `ref`:string, `ref_type`:string, `object`:string, `object_name`:string, `action`:string,
+  `manager`:string, `number`:int, `issue`:struct<`number`:int, `title`:string, `body`:string>, `pull_request`:struct<`number`:string,
+  `merged_at`:string, `title`:string, `base`:struct<`ref`:string>, `head`:struct<`ref`:string>>, `release`:struct<`tag_name`:string,
+  `target_commitish`:string, `author`:struct<`login`:string>>, `comment`:variant, `comment_id`:string, `commit`:string>"""
+COMMENT = """struct<`id`:string, `commit_id`:string, `original_commit_id`:string, `path`:string, `position`:int, `original_position`:int,
+  `body`:string, `html_url`:string, `_links`:struct<`html`:struct<`href`:string>>, `pull_request_url`:string>"""
+
+
+def opened(records: DataFrame) -> DataFrame:
+    """Add `_d`, `_p` and `_c`: the document, its payload and the comment in it as structs. Each is gone through once, where a lookup
+    of every field by its path would start at the document's first key again. The row id keeps later filters above this step."""
+    document = F.when(F.monotonically_increasing_id() >= 0, get("v", "$", DOCUMENT))
+    return (records.withColumn("_d", document).withColumn("_p", get("_d.payload", "$", PAYLOAD))
+                   .withColumn("_c", get("_p.comment", "$", COMMENT)))
+
+
+def _plain(part: str) -> Column:
+    """A variant column if it is a string."""
+    return F.when(F.schema_of_variant(part) == "STRING", get(part, "$"))
+
+
 def person(kind: str) -> Column:
-    return F.coalesce(get("v", f"{kind}_attributes.login"), get("v", f"{kind}.login"), text("v", kind),
-                      get("v", f"payload.{kind}.login"), text("v", f"payload.{kind}"))
+    return F.coalesce(F.col(f"_d.{kind}_attributes.login"), get(f"_d.{kind}", "login"), _plain(f"_d.{kind}"),
+                      get(f"_p.{kind}", "login"), _plain(f"_p.{kind}"))
 
 
 def repo_id() -> Column:
-    return F.coalesce(get("v", "repo.id", "long"), get("v", "repository.id", "long"))
+    return F.coalesce("_d.repo.id", "_d.repository.id")
 
 
-def with_full_name(records: DataFrame) -> DataFrame:
+def with_full_name(rows: DataFrame) -> DataFrame:
     """Add `project`, owner/name; null when no source gives one. Built in steps, so
-    that each document value is looked up once."""
+    that each value is worked out once."""
     url = F.col("_url")
-    listed = F.concat(get("v", "repository.owner"), F.lit("/"), get("v", "repository.name"))
+    listed = F.concat("_d.repository.owner", F.lit("/"), "_d.repository.name")
     from_url = F.array_join(F.slice(F.split(url, "/"), 4, 2), "/")
     after_host = F.split(F.try_element_at(F.split(url, "github.com/"), F.lit(2)), "/")
     derived = F.concat_ws("/", F.try_element_at(after_host, F.lit(1)), F.try_element_at(after_host, F.lit(2)))
     rooted = F.col("_name").startswith("/")
     fixed = F.when(~rooted & (F.col("_name") != ""), F.col("_name")).when(
         rooted & (F.length("_name") > 1) & url.contains("github.com/") & ~derived.startswith("/"), derived)
-    return (records.withColumn("_url", text("v", "url"))
-                   .withColumn("_name", F.coalesce(text("v", "payload.repo"), get("v", "repo.name"), listed, from_url))
-                   .withColumn("project", fixed).drop("_url", "_name"))
+    return (rows.withColumn("_url", _plain("_d.url"))
+                .withColumn("_name", F.coalesce(_plain("_p.repo"), F.col("_d.repo.name"), listed, from_url))
+                .withColumn("project", fixed).drop("_url", "_name"))
 
 
-def created_at() -> Column:
-    value = get("v", "created_at")
+def created_at(value: Column | None = None) -> Column:
+    value = get("v", "created_at") if value is None else value
     return F.coalesce(F.try_to_timestamp(value),
                       F.try_to_timestamp(value, F.lit("yyyy/MM/dd HH:mm:ss Z")))
 
 
 def wiki_pages() -> Column:
-    return F.coalesce(get("v", "payload.pages", "array<variant>"),
-                      F.array(get("v", "payload", "variant")))
+    return F.coalesce("_p.pages", F.array("_d.payload"))
 
 
 def pushed_shas() -> Column:
-    old = F.transform(get("v", "payload.shas", "array<variant>"), lambda s: get(s, "$[0]"))
-    new = F.transform(get("v", "payload.commits", "array<variant>"), lambda c: get(c, "sha"))
+    old = F.transform("_p.shas", lambda s: get(s, "$[0]"))
+    new = F.transform("_p.commits", lambda c: get(c, "sha"))
     return F.coalesce(old, new)
 
 
 def created_what(project: Column, kind: Column) -> Column:
-    return F.coalesce(get("v", "payload.ref"), get("v", "payload.object_name"),
-                      F.when(kind == "repository", project))
+    return F.coalesce(F.col("_p.ref"), F.col("_p.object_name"), F.when(kind == "repository", project))
 
 
 def commit_comment(project: Column) -> dict[str, Column]:
-    has = present("v", "payload.comment")
-    number = F.when(has, get("v", "payload.comment.id")).otherwise(get("v", "payload.comment_id"))
+    has = F.col("_p.comment").isNotNull()  # JSON null included
+    number = F.when(has, F.col("_c.id")).otherwise(F.col("_p.comment_id"))
     return {
         "commit_comment_id": number,
         "commit_comment_url": F.concat(F.lit(API_ROOT), project, F.lit("/comments/"), number),
-        "commit_comment_sha": F.when(has, get("v", "payload.comment.commit_id"))
-                               .otherwise(get("v", "payload.commit")),
-        "commit_comment": F.when(has, get("v", "payload.comment.body")).otherwise(F.lit("")),
+        "commit_comment_sha": F.when(has, F.col("_c.commit_id")).otherwise(F.col("_p.commit")),
+        "commit_comment": F.when(has, F.col("_c.body")).otherwise(F.lit("")),
     }
 
 
 def branches(event_type: Column) -> dict[str, Column]:
     def side(name):
-        return (F.when(event_type == "PullRequestEvent", get("v", f"payload.pull_request.{name}.ref"))
-                 .when(event_type == "PushEvent", get("v", "payload.ref")))
+        return (F.when(event_type == "PullRequestEvent", F.col(f"_p.pull_request.{name}.ref"))
+                 .when(event_type == "PushEvent", F.col("_p.ref")))
     return {"into_branch": side("base"), "from_branch": side("head")}
 
 
 def review_comment() -> dict[str, Column]:
-    field = lambda n, kind="string": get("v", f"payload.comment.{n}", kind)
+    field = lambda n: F.col(f"_c.{n}")
     last_part = F.try_element_at(F.split(field("pull_request_url"), "/"), F.lit(-1))
     return {
-        "path": field("path"), "position": field("position", "int"),
-        "original_position": field("original_position", "int"),
+        "path": field("path"), "position": field("position"),
+        "original_position": field("original_position"),
         "commit_sha": field("commit_id"), "original_commit_sha": field("original_commit_id"),
         "body": field("body"),
         "html_url": F.coalesce(field("html_url"), field("_links.html.href")),
-        "pr_num": F.coalesce(get("v", "payload.pull_request.number"), last_part).try_cast("int"),
+        "pr_num": F.coalesce(F.col("_p.pull_request.number"), last_part).try_cast("int"),
     }
 
 
 def normalise(records: DataFrame) -> DataFrame:
     """Parsed records (`v`, `seq`) to event rows."""
-    event_type = get("v", "type")
-    base = with_full_name(records).withColumns({
-        "event_type": event_type, "event_id": get("v", "id"), "repo_id": repo_id(),
-        "actor": person("actor"), "created_at": created_at(),
+    base = with_full_name(opened(records)).withColumns({
+        "event_type": F.col("_d.type"), "event_id": F.col("_d.id"), "repo_id": repo_id(),
+        "actor": person("actor"), "created_at": created_at(F.col("_d.created_at")),
     })
     project = F.col("project")
-    what_type = F.coalesce(get("v", "payload.ref_type"), get("v", "payload.object"))
+    what_type = F.coalesce("_p.ref_type", "_p.object")
     return base.withColumns({
         "repo_owner": F.split_part(project, F.lit("/"), F.lit(1)),
         "repo_name": F.split_part(project, F.lit("/"), F.lit(2)),
-        "actor_url": get("v", "actor.url"),
+        "actor_url": get("_d.actor", "url"),
         "pages": wiki_pages(), "shas": pushed_shas(),
-        "forked_to": F.coalesce(get("v", "payload.forkee.full_name"), F.concat(
+        "forked_to": F.coalesce(F.col("_p.forkee.full_name"), F.concat(
             F.col("actor"), F.lit("/"), F.split_part(project, F.lit("/"), F.lit(2)))),
         "what": created_what(project, what_type), "what_type": what_type,
-        "action": get("v", "payload.action"),
-        "pr_merged": get("v", "payload.pull_request.merged_at"),
-        "pr_title": get("v", "payload.pull_request.title"),
-        "issue_number": F.coalesce(get("v", "payload.issue.number", "int"),
-                                   get("v", "payload.number", "int")),
-        "issue_title": get("v", "payload.issue.title"), "issue_body": get("v", "payload.issue.body"),
-        "member": person("member"), "manager": get("v", "payload.manager"),
-        "author": F.coalesce(get("v", "payload.release.author.login"), get("v", "actor_attributes.login")),
-        "tag": get("v", "payload.release.tag_name"),
-        "target_commitish": get("v", "payload.release.target_commitish"),
+        "action": F.col("_p.action"),
+        "pr_merged": F.col("_p.pull_request.merged_at"),
+        "pr_title": F.col("_p.pull_request.title"),
+        "issue_number": F.coalesce("_p.issue.number", "_p.number"),
+        "issue_title": F.col("_p.issue.title"), "issue_body": F.col("_p.issue.body"),
+        "member": person("member"), "manager": F.col("_p.manager"),
+        "author": F.coalesce("_p.release.author.login", "_d.actor_attributes.login"),
+        "tag": F.col("_p.release.tag_name"),
+        "target_commitish": F.col("_p.release.target_commitish"),
         **commit_comment(project), **branches(F.col("event_type")), **review_comment(),
-    })
+    }).drop("_d", "_p", "_c")
 
 
 def not_placeholder(events: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import gzip
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +170,20 @@ def test_number_inside_a_string_is_no_number(lines):
     deep = {**NEW, "payload": {"x": [{"number": 7}]}}
     records = A.parse_records(lines([json.dumps(r) for r in (note, deep)]))
     assert [r.row for r in N.mentions_number(records, "o", "p", 7).select("seq.row").collect()] == [1]
+
+
+def test_normalise_goes_through_a_document_once(lines):
+    """Fields are read from the opened document, not each by its own path from the start; odd kinds give null."""
+    records = A.parse_records(lines([
+        json.dumps({"type": "PushEvent", "repo": {"id": "x", "name": "a/b"}, "actor": ["x"], "payload": {
+            "comment": None, "comment_id": 4, "commit": "c", "shas": [["s", "m"], [], None, {"a": 1}], "pages": {"a": 1}, "number": "17"}}),
+        json.dumps({"type": 5, "payload": [1], "repo": "a/b", "url": {"a": 1}}), "null", '{"type":"A","type":"B"}']))
+    events = N.normalise(records)
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"try_variant_get\(v#\d+", plan)) == 1
+    first, second, third, last = events.orderBy("seq").collect()
+    assert (first.repo_id, first.project, first.actor, first.issue_number) == (None, "a/b", None, 17)
+    assert first.shas == ["s", None, None, None] and len(first.pages) == 1
+    assert (first.commit_comment_id, first.commit_comment_sha) == (None, None)  # the comment is there and is null
+    assert (second.event_type, second.project, second.action) == ("5", None, None)
+    assert third.event_type is None and last.event_type == "B"
