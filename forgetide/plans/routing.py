@@ -31,9 +31,9 @@ _LANDED: dict[tuple[str, str, str], str] = {}
 
 
 def land(spark, sf):
-    """Parse and normalise the archive into a table in the shared folder."""
+    """Parse and normalise the archive into a table in the shared folder. The text of a record that was read is in `v`."""
     path = scratch_path(spark, "events")
-    R.land_events(archive_records(spark, sf), path)
+    R.land_events(archive_records(spark, sf).withColumn("text", F.when(F.col("error_reason").isNotNull(), F.col("text"))), path)
     return path
 
 

@@ -187,3 +187,13 @@ def test_normalise_goes_through_a_document_once(lines):
     assert (first.commit_comment_id, first.commit_comment_sha) == (None, None)  # the comment is there and is null
     assert (second.event_type, second.project, second.action) == ("5", None, None)
     assert third.event_type is None and last.event_type == "B"
+
+
+def test_landed_events_hold_a_document_once(spark, tmp_path):
+    from forgetide.plans import routing
+    ts = "timestamp'2020-01-01 00:00:00'"
+    spark.sql(f"SELECT id AS event_id, {ts} AS ts, id % 9 AS user_id, 'view' AS event_type, 1.0D AS value, '' AS props FROM range(40)"
+              ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    landed = routing.landed(spark, str(tmp_path))
+    assert landed.count() == 40
+    assert landed.filter("v IS NOT NULL AND text IS NOT NULL").count() == 0
