@@ -111,9 +111,10 @@ table_query("E11_release_events", "ReleaseEvent", table_sql(
 @query("E1_streamed_push_events", ORACLES["E1_push_events"])
 def streamed(spark, sf):
     files, target = scratch_path(spark, "arriving"), scratch_path(spark, "streamed")
-    ARCHIVE.frame(spark, sf).select("event_id", F.col("doc").alias("value")).repartitionByRange(
-        6, "event_id").sortWithinPartitions("event_id").select("value").write.option("compression", "gzip").text(files)
-    job = stream_event_table(stream_lines(spark, files, max_files=2), "PushEvents", canon_frame(spark, sf), target,
+    a_batch = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)  # three batches; a file is one task's
+    ARCHIVE.heavy(spark, sf).select("event_id", F.col("doc").alias("value")).repartitionByRange(
+        3 * a_batch, "event_id").sortWithinPartitions("event_id").select("value").write.option("compression", "gzip").text(files)
+    job = stream_event_table(stream_lines(spark, files, max_files=a_batch), "PushEvents", canon_frame(spark, sf), target,
                              scratch_path(spark, "progress"), availableNow=True)
     job.awaitTermination()
     return current_rows(spark, "PushEvents", target).withColumn("created_at", F.date_format("created_at", ISO))

@@ -43,7 +43,9 @@ def stream_event_table(lines: DataFrame, name: str, canon: DataFrame, target: st
 
     def write(batch: DataFrame, number: int) -> None:
         place = F.struct("file", "block", F.monotonically_increasing_id().alias("row"))
-        parsed = normalise(accepted(parse_records(batch.select("value", place.alias("place")))))
+        # a compressed file is one task's, so the lines are dealt out anew before they are parsed
+        dealt = batch.select("value", place.alias("place")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        parsed = normalise(accepted(parse_records(dealt)).drop("text"))
         parsed.write.mode("overwrite").parquet(f"{state}/events")  # read several times below
         events = spark.read.parquet(f"{state}/events")
         learned = BucketStore.open(spark, f"{state}/names", StructType.fromDDL("name string, batch int"), ["name"], 1)

@@ -68,6 +68,18 @@ def test_stream_follows_arriving_files(spark, tmp_path):
     assert run() == [("1", "a"), ("3", "later")]
 
 
+def test_stream_deals_out_the_lines_of_one_file(spark, tmp_path):
+    """A compressed file is one task's to read; parsing and normalising it is not."""
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "2015-01-01-0.json.gz", *[push(n, n % 50, f"s{n}") for n in range(200)])
+    target, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    stream_event_table(stream_lines(spark, str(tmp_path / "in")), "PushEvents", canon(spark), target, progress, availableNow=True).awaitTermination()
+    parsed = spark.read.parquet(f"{progress}-state/events")
+    assert parsed.count() == 200 and parsed.select(F.input_file_name()).distinct().count() > 1
+    rows = {r.created_at.second: r.shas for r in current_rows(spark, "PushEvents", target).collect()}
+    assert rows == {s: f"s{150 + s}" for s in range(50)}  # the last line of a second, whichever task had it
+
+
 def test_stream_learns_names_before_and_after(spark, tmp_path):
     """An event without id comes under a name that another batch learns from a known id; both orders."""
     def push_as(number, name, repo_id):
