@@ -1,10 +1,13 @@
 """Personal data by patterns, and the terms that give it away, in DataFrame functions only.
 
 Base kinds are patterns over the whole text: email, ip, card, phone. On top, every value
-found is a protected entity, and the words near its mentions are measured over the corpus: a term
-whose documents hold the entity at least SHARE of the time, in at least SUPPORT different texts, and
-which raises the entity's probability by at least BITS bits, discloses it. Such terms are reported as
-`term` next to the entity's mentions, and `sanitised` takes them out with the base spans.
+found is a protected entity, and all words of the documents that hold it are measured over the corpus, wherever they
+stand: a term whose documents hold the entity at least SHARE of the time, in at least SUPPORT different texts, and
+which raises the entity's probability by at least BITS bits, discloses it. Each place where such a term stands outside the
+base spans of a document that holds the entity is reported as `term`.
+
+Pairs of entities and terms are made only where the bounds can still be met: an entity in SUPPORT different texts and in no
+more documents than BITS allow, a term in SUPPORT different texts and in no more documents than SHARE allows for any entity.
 
 Null text counts as empty. Repeated rows count as documents, not as different texts. Every row gives one
 row; columns besides id and text are not read.
@@ -12,7 +15,7 @@ row; columns besides id and text are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forgetide.session import scratch_path
@@ -27,8 +30,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORD = r"\p{L}{3,}+"
-REACH = 48  # characters on either side of a mention that are searched for words
-NEAR = 3  # words on either side
 SUPPORT = 2
 SHARE = 0.5
 BITS = 6.0
@@ -94,32 +95,30 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs
 
 
-def _near(text: Column, start: Column, end: Column) -> Column:
-    """Words next to a mention, with their places in the text."""
-    low = F.greatest(start - REACH, F.lit(0))
-    before = spans(F.substring(text, low + 1, start - low), WORD)
-    after = spans(F.substring(text, end + 1, F.lit(REACH)), WORD)
-
-    def shifted(found: Column, by: Column) -> Column:
-        return F.transform(found, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"),
-                                                     F.xxhash64(F.lower(s["value"])).alias("term")))
-    # a word cut off by the reach is no word
-    whole = F.filter(before, lambda s: (s["start"] > 0) | (low == 0))
-    ended = F.filter(after, lambda s: s["end"] < REACH)
-    return F.concat(shifted(F.slice(F.reverse(whole), 1, NEAR), low), shifted(F.slice(ended, 1, NEAR), end))
-
-
 def _entities(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
-                                                F.xxhash64(F.lit(kind), s["value"]).alias("entity")))
+    return F.transform(kind, lambda s: F.xxhash64(F.lit(kind), s["value"]))
 
 
 def _named(kind: str) -> Column:
     return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
 
 
+def _term(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
 def _document_words(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _term))
+
+
+def _outside(words: DataFrame, taken: DataFrame) -> DataFrame:
+    """Those of the `words` of a text that overlap none of its `taken` spans, both (text_hash, start, end). In the order of places a word
+    overlaps when a span that began before its end goes on beyond its start."""
+    places = words.select("text_hash", F.col("end").alias("at"), F.lit(0).alias("span"), "start", "end").unionByName(
+        taken.select("text_hash", F.col("start").alias("at"), F.lit(1).alias("span"), "start", "end"))
+    before = Window.partitionBy("text_hash").orderBy("at", "span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("span") == 1, F.col("end"))).over(before)
+    return places.withColumn("_reach", reach).filter("span = 0 AND (_reach IS NULL OR _reach <= start)").select("text_hash", "start", "end")
 
 
 def personal(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -127,35 +126,39 @@ def personal(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text"))
     folder = scratch_path(spark, "personal")
-    base = base_spans(rows).withColumn("text_hash", F.xxhash64("text"))
-    every = F.concat(*(_entities(kind) for kind in KINDS))
-    plain = base.withColumn("_every", every).withColumn("mentions", F.transform("_every", lambda m: F.struct(
-        m["entity"].alias("entity"), F.filter(_near(F.col("text"), m["start"], m["end"]), lambda w: ~F.exists(
-            "_every", lambda o: (w["start"] < o["end"]) & (w["end"] > o["start"]))).alias("near"))))
-    plain.select("doc_id", "text_hash", "mentions", *(F.transform(kind, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"))).alias(kind) for kind in KINDS)).write.parquet(f"{folder}/base")
-    base = spark.read.parquet(f"{folder}/base")
-
-    near = base.filter(F.size("mentions") > 0).select("doc_id", "text_hash", F.explode("mentions").alias("m")).select(
-        "doc_id", "text_hash", "m.entity", F.explode("m.near").alias("w")).select("doc_id", "text_hash", "entity", "w.*")
-    # documents and different texts of each pair: first one row per text, then sums
-    per_text = near.select("entity", "term", "text_hash", "doc_id").distinct().groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
-    pairs = per_text.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("both")).filter(F.col("texts") >= SUPPORT)
-    pairs.write.parquet(f"{folder}/pairs")
-    pairs = spark.read.parquet(f"{folder}/pairs")
-    terms = pairs.select("term").distinct()
-    in_documents = rows.select(F.explode(_document_words(F.col("text"))).alias("term")).join(terms, "term").groupBy("term").agg(
-        F.count("*").alias("with_term"))
-    with_entity = base.filter(F.size("mentions") > 0).select(
-        F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(
-        F.count("*").alias("with_entity"))
-    total = base.count()
-    telling = pairs.join(in_documents, "term").join(with_entity, "entity").filter(
-        (F.col("both") >= SHARE * F.col("with_term")) &
-        (F.log2(F.col("both") * F.lit(float(total)) / (F.col("with_term") * F.col("with_entity"))) >= BITS)).select("entity", "term")
-    extra = near.join(telling, ["entity", "term"]).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+
+    def stored(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    base = stored(base_spans(hashed).select("doc_id", "text_hash", F.array_distinct(F.concat(*(_entities(kind) for kind in KINDS))).alias("entities"), *(
+        F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(kind) for kind in KINDS)), "base")
+    total = F.lit(float(base.count()))
+
+    # a text with its copies is one row; `n` counts the copies
+    texts = base.filter(F.size("entities") > 0).groupBy("text_hash").agg(F.count("*").alias("n"), F.first("entities").alias("entities"))
+    held = texts.select("text_hash", "n", F.explode("entities").alias("entity"))
+    of_entity = held.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("n").alias("with_entity")).filter(
+        (F.col("texts") >= SUPPORT) & (F.log2(total / F.col("with_entity")) >= BITS)).drop("texts")
+    held = stored(held.join(of_entity, "entity"), "held")
+    of_term = rows.select(F.explode(_document_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).filter(
+        (F.col("with_term") >= SUPPORT) & (F.log2(total / F.col("with_term")) >= BITS))
+    in_texts = hashed.join(held.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"]).select(
+        "text_hash", F.explode(_document_words(F.col("text"))).alias("term")).join(of_term, "term")
+    pairs = stored(held.join(in_texts, "text_hash").filter(F.col("with_entity") >= SHARE * F.col("with_term")), "pairs")
+    telling = pairs.groupBy("entity", "term", "with_entity", "with_term").agg(F.count("*").alias("texts"), F.sum("n").alias("both")).filter(
+        (F.col("texts") >= SUPPORT) & (F.col("both") >= SHARE * F.col("with_term")) &
+        (F.log2(F.col("both") * total / (F.col("with_term") * F.col("with_entity"))) >= BITS)).select("entity", "term")
+    told = stored(pairs.join(telling, ["entity", "term"]).select("text_hash", "term").distinct(), "told")
+
+    of_texts = told.select("text_hash").distinct()
+    words = hashed.join(of_texts, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select(
+        "text_hash", F.explode(spans(F.col("text"), WORD)).alias("w")).select("text_hash", "w.start", "w.end", _term(F.col("w.value")).alias("term"))
+    taken = base.join(of_texts, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text_hash", F.inline(F.concat(*KINDS)))
+    extra = _outside(words.join(told, ["text_hash", "term"]), taken).groupBy(F.col("text_hash").alias("_hash")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    joined = base.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").select(
+    joined = base.join(extra, F.col("text_hash") == F.col("_hash"), "left").select(
         "doc_id", *KINDS, F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")).alias("term"))
 
     def shown(kinds: tuple[str, ...]) -> Column:

@@ -309,6 +309,30 @@ def test_terms_that_disclose(docs):
     assert "term" not in out[999].spans and out[999].n_email == 1
 
 
+def test_terms_that_disclose_from_anywhere(docs):
+    """A name in the first sentence tells of an address hundreds of words later; copies of a text are no second text. All terms agree with
+    a plain count over whole documents."""
+    rows = [(i, f"Vexelmann {text(700 + i, 300)} the eva@q.org {'Eva' if i < 2 else 'the'}") for i in range(4)]
+    rows += [(50 + i, f"{text(900 + i, 50)} the and the") for i in range(400)]
+    rows += [(800 + i, f"Brollin {text(77, 60)} solo@q.org") for i in range(3)]
+    words_of = {i: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)} for i, t in rows}
+    mails = {i: set(re.findall(KINDS["email"], t)) for i, t in rows}
+    count = {w: sum(w in x for x in words_of.values()) for w in set().union(*words_of.values())}
+    want = {i: set() for i, _ in rows}
+    holders = [i for i in mails if "eva@q.org" in "".join(t for j, t in rows if j == i)]
+    for word in set().union(*(words_of[i] for i in holders)):
+        both = sum(word in words_of[i] for i in holders)
+        if both >= 2 and both >= 0.5 * count[word] and both * len(rows) / (count[word] * len(holders)) >= 2 ** 6:
+            for i in holders:
+                t = dict(rows)[i]
+                at = t.index("eva@q.org")
+                want[i] |= {f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{3,}", t)
+                            if m[0].lower() == word and not (m.start() < at + 9 and m.end() > at)}
+    out = {r.doc_id: {s for s in r.spans.split(",") if s.startswith("term")} for r in personal(docs(rows)).collect()}
+    assert out == want
+    assert all("term:0:9" in out[i] for i in range(4)) and any(s.endswith(f":{len(rows[0][1])}") for s in out[0])
+
+
 @pytest.mark.parametrize("name", ["op5_fingerprints", "op9_personal_data"])
 def test_native_queries_run_no_python(llm, name):
     from forgetide.llm.queries import QUERIES
