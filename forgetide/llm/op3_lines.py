@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from forgetide.llm import ship
 from forgetide.llm.arrays import BASE, STEPS, U64, gather, mix, prefix_sums, span_hash
-from forgetide.llm.regions import compare, connect, region_members, store, unused
+from forgetide.llm.regions import compare, connect, region_members, sketches, store, unused
 from forgetide.session import scratch_path
 
 SHINGLE = 8
@@ -100,18 +100,18 @@ def _describe(shortest: int):
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chosen lines of texts: (text, lines, nodes) -> (node, n, elements)."""
+    """The chosen lines of texts: (text, lines, nodes) -> (node, n, sketch, elements)."""
     for batch in batches:
-        nodes, sizes, lines = [], [], []
+        nodes, sets, lines = [], [], []
         for text, wanted, names in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             parts = text.split("\n")
             for number, name in zip(wanted, names, strict=True):
                 if number < len(parts) and _name(parts[number]) == name:  # another text may have the id too
                     nodes.append(name)
-                    sizes.append(len(_line_set(parts[number])))
+                    sets.append(_line_set(parts[number]))
                     lines.append(parts[number])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lines, pa.string())],
-                                         names=["node", "n", "elements"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), sketches(sets), pa.array(lines, pa.string())],
+                                         names=["node", "n", "sketch", "elements"])
 
 
 def _name(line: str) -> int:
@@ -158,10 +158,10 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, shortest: int) -
     wanted = where.groupBy("at.doc").agg(F.collect_list(F.struct("at.line", "node")).alias("l"))  # lines of one document
     picked = rows.join(wanted, "doc").select("doc", "text", F.col("l.line").alias("line"), F.col("l.node").alias("node"))
     again = rows.groupBy("doc").agg(F.count("*").alias("k")).filter("k > 1").select("doc")  # repeated rows give a line once
-    shape = "node long, n long, elements string"
+    shape = "node long, n long, sketch array<long>, elements string"
     once, more = (picked.join(again, "doc", how).drop("doc") for how in ("left_anti", "left_semi"))
     sets = store(once.mapInArrow(_pick, shape).unionByName(more.mapInArrow(_pick, shape).dropDuplicates(["node"])), folder, "lines")
-    comps = store(connect(members, sets, sets.select("node", "n"), _measure, SIMILARITY, folder), folder, "components")
+    comps = store(connect(members, sets, _measure, SIMILARITY, folder), folder, "components")
     classed = table.select("id", "doc", "line", "node").join(comps, "node", "left").select(
         "id", "doc", "line", F.coalesce("component", "node").alias("class"))
     several = classed.groupBy("class").agg(F.count("*").alias("k")).filter("k > 1").select("class")

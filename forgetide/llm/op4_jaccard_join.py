@@ -12,7 +12,7 @@ set is the pivot).
 
 Second, the least set of a region is its pivot. Every set measures its distance to its home, the least of its
 pivots, and is linked with it when near. Regions whose sets are all connected are done. The others
-are joined again around new pivots, inside windows from the triangle inequality (`regions`).
+are joined again around new pivots, inside windows from the triangle inequality and from sketches (`regions`).
 
 Equal sets are one node from the start, so copies cost nothing. A node is named by a 64-bit hash of its set.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from forgetide.llm import ship
 from forgetide.llm.arrays import BASE, STEPS, U64, Words, mix, pieces, text_bytes
-from forgetide.llm.regions import compare, connect, region_members, store, unused
+from forgetide.llm.regions import compare, connect, region_members, sketches, store, unused
 from forgetide.session import scratch_path
 
 RATIO = 1.4  # of the bounds of neighbouring size buckets
@@ -106,7 +106,7 @@ def _describe(size: int, similarity: tuple[int, int]):
 
 
 def _spell(size: int):
-    """The sets of chosen texts, as sorted hashes."""
+    """The sets of chosen texts: size, sketch and sorted hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
@@ -114,7 +114,8 @@ def _spell(size: int):
             names = np.array([r[0] for r in rows], np.int64)
             fits = names == np.asarray(batch.column(0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["node", "elements"]
+                [pa.array(names), pa.array([len(r[1]) for r in rows], pa.int64()), sketches(r[1] for r in rows),
+                 pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["node", "n", "sketch", "elements"]
             ).filter(pa.array(fits))
     return run
 
@@ -139,13 +140,13 @@ def joined(docs: DataFrame, size: int = 3, similarity: tuple[int, int] = (9, 10)
     named = table.filter("id IS NOT NULL AND n > 0")
     members = store(region_members(named.select(F.explode("keys").alias("key"), "node")), folder, "members")
     texts = named.join(members.select("node").distinct(), "node").groupBy("node").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"))
-    chosen = rows.join(texts.drop("n"), "id").select("id", "node", "text")
+        F.min("id").alias("id"))
+    chosen = rows.join(texts, "id").select("id", "node", "text")
     again = named.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")  # repeated rows give a set once
-    once, more = (chosen.join(again, "id", how).select("node", "text").mapInArrow(_spell(size), "node long, elements binary")
+    once, more = (chosen.join(again, "id", how).select("node", "text").mapInArrow(_spell(size), "node long, n long, sketch array<long>, elements binary")
                   for how in ("left_anti", "left_semi"))
     sets = store(once.unionByName(more.dropDuplicates(["node"])), folder, "elements")
-    comps = connect(members, sets, texts.select("node", "n"), _measure, similarity, folder)
+    comps = connect(members, sets, _measure, similarity, folder)
 
     classes = table.filter("id IS NOT NULL").join(comps.withColumnRenamed("component", "class"), "node", "left").select(
         "node", "id", F.coalesce("class", "node").alias("class"))

@@ -1,25 +1,27 @@
 """Connected components of a similarity join whose candidates come as regions.
 
 A region is a key with the nodes that carry it; linked nodes share at least one. Every node is measured against
-its home, the least pivot of its regions. What is linked with its home is settled; for the rest the home tells a
-lot about two nodes x, y around it, because distances are those of sets:
-
-- the triangle inequality, |d(x, home) - d(y, home)| <= 1 - t when they are linked;
-- say x lacks M and adds A elements to the home. Linked sets differ in at most (n + m) (1 - t) / (1 + t) elements, so
-  they must have changes in common: an element that both add, or else at least half of what
-  M(x) + A(x) + M(y) + A(y) is above that bound, all among the M. Most copies change their text each in its own way, so
-  the first is looked up (regions of nodes that add the same element to the same home), and the second excludes the
-  others by their numbers alone.
-
-Rounds compare up to PIVOTS nodes of an open region with the others that are in another component, can have the size and
-pass these tests. A region is closed when all its nodes are connected or each node outside its largest component has
-been a pivot. So no link between different components is left out. Up to PIVOTS nodes meet a region at once; a large region of nodes
-that are near each other without being linked is still compared nearly pair by pair, over several rounds.
+its home, the least pivot of its regions. What is linked with its home is settled. Two other nodes x, y of n and m elements
+are compared only if
+
+- their sizes allow a link;
+- around one home the triangle inequality does, |d(x, home) - d(y, home)| <= 1 - t when they are linked;
+- their sketches do: linked sets differ in at most (n + m) (1 - t) / (1 + t) elements, and each element in which they differ
+  flips one bit of a sketch, so no more bits differ than elements. Nothing linked is excluded; sets of thousands of elements fill
+  their sketch and are compared more often.
+
+Rounds compare some nodes of an open region with the others that are in another component and pass these tests: PIVOTS of them at
+first, so that copies are connected before many are compared, then WIDER times as many up to MOST. A region is closed when all its
+nodes are connected or each node outside its largest component has been a pivot. So no link between different components is left
+out. In a large region of nodes that are near each other without being linked, nearly every pair of sketches is still
+compared, but only pairs at the threshold give rows and are measured.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from forgetide.operators.components import components
 
-PIVOTS = 256
+PIVOTS, WIDER, MOST = 16, 16, 4096
+SKETCH = 16  # words of 64 bits
 
 
 def store(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -51,21 +54,27 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """For each bit, whether an odd number of a set's hashes fall on it."""
+    odd = np.bincount((values >> np.uint64(64 - (64 * SKETCH - 1).bit_length())).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def sketches(sets: Iterable[np.ndarray]) -> pa.ListArray:
+    """The sketches of some sets as a column."""
+    rows = [sketch(values) for values in sets]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCH),
+                                    pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
 def compare(batch: pa.RecordBatch, sets: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """(x, p, common, n, total, added) of pairs of sorted sets: what they share, the size of x, both sizes, and what x
-    has and p has not."""
-    common, size, total, added = [], [], [], []
+    """(x, p, common, total) of pairs of sorted sets: what they share, and both sizes."""
+    common, total = [], []
     for x, p in sets:
-        held = p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x
-        common.append(int(held.sum()))
-        size.append(len(x))
+        common.append(int((p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x).sum()))
         total.append(len(x) + len(p))
-        added.append(x[~held].view(np.int64))
-    ends = np.concatenate([[0], np.cumsum([len(a) for a in added])]).astype(np.int32)
-    flat = np.concatenate(added) if added else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(size, pa.int64()), pa.array(total, pa.int64()),
-         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["x", "p", "common", "n", "total", "added"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())],
+                                      names=["x", "p", "common", "total"])
 
 
 def region_members(entries: DataFrame) -> DataFrame:
@@ -74,30 +83,28 @@ def region_members(entries: DataFrame) -> DataFrame:
     return entries.join(regions, "key").distinct()
 
 
-def connect(members: DataFrame, sets: DataFrame, sizes: DataFrame, measure: Callable, similarity: tuple[int, int], folder: str) -> DataFrame:
-    """(node, component) of the members that are linked with others. `sets` has (node, elements), `sizes` (node, n) once for each
-    member; `measure` maps batches of (x, p, elements of x, elements of p) to what `compare` gives. `members` are stored in `folder` under
+def connect(members: DataFrame, sets: DataFrame, measure: Callable, similarity: tuple[int, int], folder: str) -> DataFrame:
+    """(node, component) of the members that are linked with others. `sets` has (node, n, sketch, elements) once for each member;
+    `measure` maps batches of (x, p, elements of x, elements of p) to what `compare` gives. `members` are stored in `folder` under
     that name; they and the state of earlier rounds are deleted when nothing reads them any more."""
     top, bottom = similarity
     near = f"{bottom} * common >= {top} * (total - common)"
     slack = 1 - top / bottom + 1e-9
+    bits = [f"s{i}" for i in range(SKETCH)]
 
     def measured(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("node").alias("x"), F.col("elements").alias("ex")), "x")
         both = left.join(sets.select(F.col("node").alias("p"), F.col("elements").alias("ep")), "p").select("x", "p", "ex", "ep")
-        return both.mapInArrow(measure, "x long, p long, common long, n long, total long, added array<long>")
+        return both.mapInArrow(measure, "x long, p long, common long, total long")
 
     spark = members.sparkSession
     home = store(measured(members.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("p")).select(
         F.col("node").alias("x"), "p")), folder, "home")
-    placed = home.select(F.col("x").alias("node"), "n", F.col("p").alias("home"), (F.col("n") - F.col("common")).alias("plus"), (
-        F.col("total") - F.col("n") - F.col("common")).alias("minus"), (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
-    # the least node of all its regions has no home: it is its own and lacks nothing
-    own = {"home": F.col("node"), "plus": F.lit(0).cast("bigint"), "minus": F.lit(0).cast("bigint"), "d": F.lit(0.0)}
-    numbers = store(members.select("node").distinct().join(sizes, "node").join(placed.drop("n").dropDuplicates(["node"]), "node", "left").select(
-        "node", "n", *(F.coalesce(c, other).alias(c) for c, other in own.items())), folder, "numbers")
     links = store(home.filter(near).select("x", "p"), folder, "pairs0")
-    state, turn = members.select("key", "node", F.lit(False).alias("adds"), F.lit(False).alias("used")), 0
+    placed = home.select(F.col("x").alias("node"), F.col("p").alias("home"), (
+        1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d")).dropDuplicates(["node"])
+    numbers = sets.select("node", "n", *(F.col("sketch")[i].alias(b) for i, b in enumerate(bits)))
+    state, turn = members.select("key", "node", F.lit(False).alias("used")), 0
     while True:
         comps = store(components(links, "x", "p"), folder, f"components{turn}")
         state = state.drop("component").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -109,36 +116,27 @@ def connect(members: DataFrame, sets: DataFrame, sizes: DataFrame, measure: Call
         state = state.join(largest.filter("parts > 1").select("key", "large"), "key")
         more = state.filter("NOT used AND component <> large").select("key").distinct()
         state = store(state.join(more, "key"), folder, f"open{turn}")
-        drop(spark, folder, *(["members"] if turn == 0 else [f"components{turn - 1}", f"open{turn - 1}", "both"]))
+        drop(spark, folder, *(["members"] if turn == 0 else [f"components{turn - 1}", f"open{turn - 1}"]))
         if state.isEmpty():
             return comps
-        if turn == 0:  # nodes that add the same element to the same home
-            added = state.select("node").distinct().join(home.select(
-                F.col("x").alias("node"), "p", F.explode("added").alias("element")), "node")
-            alike = region_members(added.select(F.xxhash64("p", "element").alias("key"), "node")).drop("pivot")
-            parts = state.select("node", "component").distinct()
-            state = state.drop("large").unionByName(alike.join(parts, "node").select(
-                "key", "node", F.lit(True).alias("adds"), F.lit(False).alias("used"), "component"))
-            counted = state.groupBy("key", "component").agg(F.count("*").alias("k"))
-            largest = counted.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("large"), F.count("*").alias("parts"))
-            state = store(state.join(largest.filter("parts > 1").select("key", "large"), "key"), folder, "both")
-            drop(spark, folder, "home")  # the changed elements were read for the last time
-        turn += 1
+        if turn == 0:  # the least node of all its regions has no home: it is its own
+            numbers = store(state.select("node").distinct().join(numbers, "node").join(placed, "node", "left").withColumns(
+                {"home": F.coalesce("home", "node"), "d": F.coalesce("d", F.lit(0.0))}), folder, "numbers")
+            drop(spark, folder, "home")
         order = Window.partitionBy("key").orderBy("node")
         fresh = state.filter("NOT used AND component <> large").withColumn("_turn", F.row_number().over(order)).filter(
-            F.col("_turn") <= PIVOTS).select("key", "node", "component")
+            F.col("_turn") <= min(PIVOTS * WIDER ** turn, max(PIVOTS, MOST))).select("key", "node", "component")
+        turn += 1
         pivots = fresh.join(numbers, "node").select("key", F.col("component").alias("pc"), *(
-            F.col(c).alias("p" + c) for c in ("node", "n", "home", "plus", "minus", "d")))
-        differ = (bottom - top) * (F.col("n") + F.col("pn"))
-        apart = F.col("plus") + F.col("minus") + F.col("pplus") + F.col("pminus") - 2 * F.least("minus", "pminus")
-        same_home = F.col("home") == F.col("phome")
-        pairs = state.filter("NOT used").select("key", "node", "adds", "component").join(numbers, "node").join(pivots, (
+            F.col(c).alias("p" + c) for c in ("node", "n", "home", "d", *bits)))
+        apart = reduce(add, (F.bit_count(F.col(b).bitwiseXOR(F.col("p" + b))) for b in bits))
+        pairs = state.filter("NOT used").select("key", "node", "component").join(numbers, "node").join(pivots, (
             "key"), "inner").filter(
             (F.col("component") != F.col("pc")) & (F.col("node") != F.col("phome")) & (F.col("home") != F.col("pnode")) &
             (bottom * F.col("n") >= top * F.col("pn")) & (bottom * F.col("pn") >= top * F.col("n")) &
-            (~same_home | (F.abs(F.col("d") - F.col("pd")) <= slack) & (F.col("adds") | ((bottom + top) * apart <= differ))) &
-            (~F.col("adds") | same_home))
+            ((F.col("home") != F.col("phome")) | (F.abs(F.col("d") - F.col("pd")) <= slack)) &
+            ((bottom + top) * apart <= (bottom - top) * (F.col("n") + F.col("pn"))))
         found = measured(pairs.select(F.greatest("node", "pnode").alias("x"), F.least("node", "pnode").alias("p")).distinct())
         links = links.unionByName(store(found.filter(near).select("x", "p"), folder, f"pairs{turn}"))
         done = fresh.select("key", "node", F.lit(True).alias("now"))
-        state = state.join(done, ["key", "node"], "left").select("key", "node", "adds", (F.col("used") | F.col("now").isNotNull()).alias("used"))
+        state = state.join(done, ["key", "node"], "left").select("key", "node", (F.col("used") | F.col("now").isNotNull()).alias("used"))

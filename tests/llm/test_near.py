@@ -217,6 +217,32 @@ def test_copies_of_one_row_are_not_squared(docs, monkeypatch):
     assert folders["home"].count() == 1
 
 
+def test_sketches_exclude_no_linked_pair():
+    """No more bits of two sketches differ than elements."""
+    from forgetide.llm.regions import SKETCH, sketch
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 40, 700, 9_000):
+        values = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1))
+        for gone, more in ((0, 0), (1, 0), (0, 1), (n // 9, n // 7)):
+            other = np.unique(np.concatenate([values[gone:], rng.integers(0, 1 << 63, more, np.uint64)]))
+            differ = int(np.bitwise_count((sketch(values) ^ sketch(other)).view(np.uint64)).sum())
+            assert len(sketch(values)) == SKETCH and differ <= len(np.setxor1d(values, other))
+
+
+def test_near_copies_that_are_not_linked_are_not_paired(docs, monkeypatch):
+    """Copies of one text that share some edits and have others of their own: near each other, but below the limit."""
+    import forgetide.llm.regions as R
+    measured, compare = [], R.store
+    monkeypatch.setattr(R, "store", lambda df, folder, name: measured.append((name, compare(df, folder, name))) or measured[-1][1])
+    base = text(5, 300)
+    rows = [(i, edited(edited(base, 1, 6), 100 + i, 9)) for i in range(60)]
+    found = joined(docs(rows), 3, (9, 10)).collect()
+    assert sorted((tuple(r) for r in found), key=str) == jaccard_components(rows, 3, 9, 10)
+    names = [name for name, _ in measured]
+    assert "both" not in names  # no regions of common edits: here all copies would meet in each
+    assert not any("added" in frame.columns for _, frame in measured)
+
+
 def test_empty_tables(docs):
     none = docs([])
     for frame in (without_repeats(none), joined(none), one_of_each(none), repeated_lines(none), without_repeated_lines(none)):
