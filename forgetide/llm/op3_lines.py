@@ -102,36 +102,43 @@ def _describe(shortest: int):
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The chosen lines of texts: (text, lines, nodes) -> (node, n, sketch, elements)."""
     for batch in batches:
-        nodes, sets, lines = [], [], []
+        nodes, lines = [], []
         for text, wanted, names in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             parts = text.split("\n")
             for number, name in zip(wanted, names, strict=True):
-                if number < len(parts) and _name(parts[number]) == name:  # another text may have the id too
+                if number < len(parts):
                     nodes.append(name)
-                    sets.append(_line_set(parts[number]))
                     lines.append(parts[number])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), sketches(sets), pa.array(lines, pa.string())],
-                                         names=["node", "n", "sketch", "elements"])
-
-
-def _name(line: str) -> int:
-    characters = _characters(line)
-    return int(_names(characters, np.array([0]), np.array([len(characters)])).view(np.int64)[0])
-
-
-def _line_set(line: str) -> np.ndarray:
-    characters = _characters(line)
-    return np.unique(_runs(characters, np.array([0]), np.array([len(characters)]))[0])
+        held = [(node, values, line) for node, line, (name, values) in zip(nodes, lines, _described(lines), strict=True)
+                if name == node]  # another text may have the id too
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([h[0] for h in held], pa.int64()), pa.array([len(h[1]) for h in held], pa.int64()), sketches(h[1] for h in held),
+             pa.array([h[2] for h in held], pa.string())], names=["node", "n", "sketch", "elements"])
+
+
+def _described(lines: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """Name and sorted set of each line, hashed together in stretches of about CHUNK characters."""
+    row = 0
+    while row < len(lines):
+        stop, size = row, 0
+        while stop < len(lines) and (stop == row or size + len(lines[stop]) <= CHUNK):
+            size += len(lines[stop])
+            stop += 1
+        characters, length = _characters("".join(lines[row:stop])), np.array([len(line) for line in lines[row:stop]])
+        end = np.cumsum(length)
+        runs, count = _runs(characters, end - length, end)
+        last = np.cumsum(count)
+        yield from zip(_names(characters, end - length, end).view(np.int64).tolist(),
+                       [np.unique(runs[a:b]) for a, b in zip(last - count, last, strict=True)], strict=True)
+        row = stop
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        known: dict[str, np.ndarray] = {}
-        for line in (*batch.column(2).to_pylist(), *batch.column(3).to_pylist()):
-            if line not in known:
-                known[line] = _line_set(line)
-        yield compare(batch, [(known[one], known[two]) for one, two in zip(
-            batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
+        ones, twos = (batch.column(i).to_pylist() for i in (2, 3))
+        lines = list({*ones, *twos})
+        known = dict(zip(lines, (values for _, values in _described(lines)), strict=True))
+        yield compare(batch, [(known[one], known[two]) for one, two in zip(ones, twos, strict=True)])
 
 
 def _doc(id_column: str, text_column: str) -> Column:

@@ -243,6 +243,22 @@ def test_near_copies_that_are_not_linked_are_not_paired(docs, monkeypatch):
     assert not any("added" in frame.columns for _, frame in measured)
 
 
+def test_home_of_a_line_stores_numbers_only(docs, monkeypatch):
+    """What a line adds to its home is as long as the line; no stored or shuffled frame holds it."""
+    import forgetide.llm.op3_lines as L
+    import forgetide.llm.regions as R
+    folders, store = {}, R.store
+    monkeypatch.setattr(R, "store", lambda df, folder, name: folders.setdefault(name, store(df, folder, name)))
+    line = text(9, 60)
+    frame = docs([(i, line + "\n" + edited(line, i, 2)) for i in range(4)])
+    assert line_classes(frame).select("class_id", "class_line").distinct().count() == 1
+    assert folders["home"].columns == ["x", "p", "common", "total"]
+    lines = [line, "", "short", line + "\u00e9"]
+    for one, (name, values) in zip(lines, L._described(lines), strict=True):
+        (alone, same), = L._described([one])
+        assert name == alone and values.tolist() == same.tolist()
+
+
 def test_empty_tables(docs):
     none = docs([])
     for frame in (without_repeats(none), joined(none), one_of_each(none), repeated_lines(none), without_repeated_lines(none)):
