@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from forgetide.llm import ship
 from forgetide.llm.arrays import BASE, STEPS, U64, Words, mix, pieces, text_bytes
-from forgetide.llm.regions import compare, connect, region_members, sketches, store, unused
+from forgetide.llm.regions import compare, connect, drop, region_members, sketches, store, unused
 from forgetide.session import scratch_path
 
 RATIO = 1.4  # of the bounds of neighbouring size buckets
@@ -92,11 +92,13 @@ def _describe(size: int, similarity: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
-            counts, names, keys = [], [], []
+            counts, names, keys, seen = [], [], [], set()
             for values in _sets(data, bounds, size):
                 counts.append(len(values))
                 names.append(set_name(values))
-                keys.append(class_keys(values, similarity).view(np.int64))
+                # equal sets of a batch give their keys once
+                keys.append(np.zeros(0, np.int64) if names[-1] in seen else class_keys(values, similarity).view(np.int64))
+                seen.add(names[-1])
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -137,8 +139,11 @@ def joined(docs: DataFrame, size: int = 3, similarity: tuple[int, int] = (9, 10)
     folder = scratch_path(spark, "jaccard-join")
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
     table = store(rows.mapInArrow(_describe(size, similarity), "id long, n long, node long, keys array<long>"), folder, "sets")
-    named = table.filter("id IS NOT NULL AND n > 0")
-    members = store(region_members(named.select(F.explode("keys").alias("key"), "node")), folder, "members")
+    wanted = "id IS NOT NULL AND n > 0"
+    members = store(region_members(table.filter(wanted).select(F.explode("keys").alias("key"), "node")), folder, "members")
+    table = store(table.drop("keys"), folder, "named")  # the keys are most of it
+    drop(spark, folder, "sets")
+    named = table.filter(wanted)
     texts = named.join(members.select("node").distinct(), "node").groupBy("node").agg(
         F.min("id").alias("id"))
     chosen = rows.join(texts, "id").select("id", "node", "text")

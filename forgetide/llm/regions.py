@@ -78,9 +78,11 @@ def compare(batch: pa.RecordBatch, sets: Iterable[tuple[np.ndarray, np.ndarray]]
 
 
 def region_members(entries: DataFrame) -> DataFrame:
-    """(key, node, pivot) of the keys that more than one node carries, with the least node."""
-    regions = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last")
-    return entries.join(regions, "key").distinct()
+    """(key, node, pivot) of the keys that more than one node carries, with the least node. The entries are dealt by key once, for
+    the regions and for what they are joined with."""
+    dealt = entries.repartition("key")
+    regions = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last")
+    return dealt.join(regions, "key").distinct()
 
 
 def connect(members: DataFrame, sets: DataFrame, measure: Callable, similarity: tuple[int, int], folder: str) -> DataFrame:

@@ -6,12 +6,15 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import forgetide.llm.op4_jaccard_join as J
 from forgetide.llm.op1_repeats import maximal_repeats, repeat_groups, without_repeats
 from forgetide.llm.op3_lines import SHORTEST, line_classes, repeated_lines, without_repeated_lines
 from forgetide.llm.op4_jaccard_join import joined, one_of_each
+from forgetide.llm.regions import region_members
 from tests.llm.conftest import CLASHING, corpus, edited, text
 
 
@@ -263,3 +266,28 @@ def test_empty_tables(docs):
     none = docs([])
     for frame in (without_repeats(none), joined(none), one_of_each(none), repeated_lines(none), without_repeated_lines(none)):
         assert frame.count() == 0
+
+
+def test_region_entries_are_dealt_once(spark):
+    rows = [(1, 10), (1, 11), (1, 11), (2, 10), (3, 12), (3, 9), (4, 9)]
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in before:
+        spark.conf.set(k, "-1")
+    try:
+        found = region_members(spark.createDataFrame(rows, "key long, node long"))
+        assert sorted((r.key, r.node, r.pivot) for r in found.collect()) == [(1, 10, 10), (1, 11, 10), (3, 9, 9), (3, 12, 9)]
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line]
+    assert sum("ReusedExchange" not in line for line in dealt) == 1, plan
+
+
+def test_equal_sets_of_a_batch_give_their_keys_once():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([text(1, 90)] * 2 + [text(2, 90)])], names=["id", "text"])
+    (out,) = J._describe(3, (9, 10))(iter([batch]))
+    assert out.column(2)[0] == out.column(2)[1]
+    keys = out.column(3).to_pylist()
+    (alone,) = J._describe(3, (9, 10))(iter([batch.slice(1)]))
+    assert keys[0] and not keys[1] and [keys[0], keys[2]] == alone.column(3).to_pylist()
