@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,8 @@ FILE_MEASURES = ["num_files_existing", "num_py_files_existing", "num_rb_files_ex
 
 
 def likely_test(path: Column | str) -> Column:
-    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(f) for f in TEST_FOLDERS]))
+    whole = F.concat(F.lit("/"), path, F.lit("/"))
+    return reduce(or_, (whole.contains(f"/{folder}/") for folder in TEST_FOLDERS))
 
 
 def path_classes(path: Column | str) -> dict[str, Column]:
@@ -64,37 +67,54 @@ def dated(commits: DataFrame, canonical: DataFrame, grain: str = "month") -> tup
     are read several times by the measures, so both are written once."""
     rows = cut(resolved(commits, canonical).select(
         "project", "sha", "parents", "author_email", "committer_email",
-        period_label("committed_date", grain).alias("period")))
+        period_label("committed_date", grain).alias("period"), F.date_trunc(grain, "committed_date").alias("start")))
     return rows, cut(coordinating_merges(rows))
 
 
 def member_rows(rows: DataFrame, merges: DataFrame) -> DataFrame:
-    """(project, period, measure, member) of all distinct-member measures."""
+    """(project, period, start, measure, member) of all distinct-member measures; start is the time at which the period starts."""
     named = lambda measure, member: F.struct(F.lit(measure).alias("measure"), F.col(member).alias("member"))
-    each = rows.select("project", "period", F.inline(F.array(
+    each = rows.select("project", "period", "start", F.inline(F.array(
         named("commits_recheck", "sha"), named("commit_authors_email", "author_email"),
         named("commit_committers_email", "committer_email"))))
-    return each.unionByName(merges.select("project", "period", F.lit("mergers_email").alias("measure"),
+    return each.unionByName(merges.select("project", "period", "start", F.lit("mergers_email").alias("measure"),
                                           F.col("committer_email").alias("member")))
 
 
-def commit_metrics(rows: DataFrame, merges: DataFrame) -> DataFrame:
-    """(project, measure, period, n): commits, authors, committers, mergers and merges."""
+def stays(rows: DataFrame, merges: DataFrame) -> DataFrame:
+    """(project, measure, member, first, last): the starts of the first and last period of each member. Times are compared, not
+    labels, so that the aggregation hashes and does not sort."""
+    return member_rows(rows, merges).groupBy("project", "measure", "member").agg(
+        F.min("start").alias("first"), F.max("start").alias("last"))
+
+
+def member_moves(members: DataFrame, measures: Sequence[str], grain: str) -> DataFrame:
+    """(project, measure, period, n) of members that arrive and leave, from what `stays` gives; a null member is one too."""
+    moved = members.filter(F.col("measure").isin(list(measures))).select("project", F.inline(F.array(*[
+        F.struct(F.concat(F.lit(side + "_"), "measure").alias("measure"), period_label(edge, grain).alias("period"))
+        for side, edge in (("arriving", "first"), ("leaving", "last"))])), F.lit(1).alias("num"))
+    return M.count_sum(moved, keys=["project", "measure", "period"])
+
+
+def commit_metrics(rows: DataFrame, merges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(project, measure, period, n): commits, authors, committers, mergers and merges. Totals are counted from `members`, what
+    `stays` gives, which holds every member once."""
     keys = ["project", "measure", "period"]
-    unique = M.count_unique(member_rows(rows, merges), keys=keys)
+    unique = member_rows(rows, merges).groupBy(keys).agg(F.count_distinct("member").alias("n"))
+    members = stays(rows, merges) if members is None else members
+    totals = members.groupBy("project", "measure").agg(F.count("member").alias("n")).withColumn("period", F.lit(M.TOTAL))
     sums = M.count_sum(merges.select("project", "period", F.lit("merges").alias("measure"), F.lit(1).alias("num")),
                        keys=keys)
-    return unique.unionByName(sums)
+    return unique.unionByName(totals).unionByName(sums)
 
 
 def file_snapshot(commits: DataFrame, files: DataFrame, grain: str = "month") -> DataFrame:
     """File counts at the newest commit of each project and period; the total is the
-    largest. Only the files of those commits are counted."""
+    largest. Files are counted per commit first, so that counts are sorted for the join and not files."""
     newest = keep_last(commits.select("project", "sha", "committed_date",
                                       period_label("committed_date", grain).alias("period")),
                        ["project", "period"], ["committed_date", "sha"])
-    counts = file_counts(files.join(newest.select("project", "sha"), ["project", "sha"], "left_semi"))
-    cells = newest.join(counts, ["project", "sha"], "left").fillna(0, FILE_MEASURES)
+    cells = newest.join(file_counts(files), ["project", "sha"], "left").fillna(0, FILE_MEASURES)
     totals = cells.groupBy("project").agg(*[F.max(m).alias(m) for m in FILE_MEASURES]).withColumn(
         "period", F.lit(M.TOTAL))
     return cells.select("project", "period", *FILE_MEASURES).unionByName(totals)

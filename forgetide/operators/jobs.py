@@ -198,13 +198,8 @@ def periodic_report(commits: DataFrame, files: DataFrame, canonical: DataFrame,
                     project_regex: str = "", hide_zeroes: bool = False) -> DataFrame:
     """One row per project and period, one column per measure, totals last."""
     rows, merges = C.dated(commits, canonical, grain)
-    cells = C.commit_metrics(rows, merges)
-    members = C.member_rows(rows, merges).filter(F.col("measure").isin(PEOPLE_MEASURES))
-    for side, edge in (("arriving", F.min), ("leaving", F.max)):
-        moved = members.groupBy("project", "measure", "member").agg(edge("period").alias("period"))
-        moved = moved.select("project", F.concat(F.lit(side + "_"), "measure").alias("measure"), "period",
-                             F.lit(1).alias("num"))
-        cells = cells.unionByName(M.count_sum(moved, keys=["project", "measure", "period"]))
+    members = C.stays(rows, merges)
+    cells = C.commit_metrics(rows, merges, members).unionByName(C.member_moves(members, PEOPLE_MEASURES, grain))
     wanted = sorted(set(REPORT_MEASURES) - set(C.FILE_MEASURES))
     wide = M.wide(M.keep_projects(cells, project_regex), wanted)
     snapshot = M.keep_projects(C.file_snapshot(commits, files, grain), project_regex)

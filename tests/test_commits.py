@@ -114,3 +114,22 @@ def test_report(spark):
     assert [out["p", q].num_files_existing for q in ("202001", "202002", "202003", "total")] == [2, 1, 1, 2]
     assert out["other", "202001"].num_files_existing == 0
     assert out["p", "total"].arriving_commit_authors_email == 2
+
+
+def test_report_sorts_no_members_and_no_files(spark):
+    """Stays are hashed, and files are counted before a join: neither sorts one row for each commit or file to aggregate."""
+    rows = spark.createDataFrame([("p", "s1", "202401", dt.datetime(2024, 1, 15), "a", "c"), ("p", "s2", "202403", dt.datetime(2024, 3, 15), "a", None),
+                                  ("p", "s3", None, None, None, "c")],
+                                 "project string, sha string, period string, start timestamp, author_email string, committer_email string")
+    stays = C.stays(rows, rows.limit(0))
+    moves = {(r.measure, r.period): r.n for r in C.member_moves(stays, ["commit_authors_email"], "month").collect()}
+    assert moves == {("arriving_commit_authors_email", "202401"): 1, ("arriving_commit_authors_email", None): 1,
+                     ("arriving_commit_authors_email", "total"): 2, ("leaving_commit_authors_email", "202403"): 1,
+                     ("leaving_commit_authors_email", None): 1, ("leaving_commit_authors_email", "total"): 2}
+    assert "SortAggregate" not in stays._jdf.queryExecution().executedPlan().toString()
+    commits = spark.createDataFrame([("p", "s1", dt.datetime(2024, 1, 15)), ("p", "s2", dt.datetime(2024, 1, 15))], "project string, sha string, committed_date timestamp")
+    files = spark.createDataFrame([("p", "s2", "a/test/b.py"), ("p", "s2", "test"), ("p", "s2", "a/tests.rb"), ("p", "s2", None), ("p", "s1", "x")],
+                                  "project string, sha string, path string")
+    found = C.file_snapshot(commits, files)
+    assert sorted(tuple(r) for r in found.collect()) == [("p", "202401", 4, 1, 1, 2), ("p", "total", 4, 1, 1, 2)]
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
