@@ -85,6 +85,12 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * _powers(len(sums))[1][start] + (end - start).astype(U64))
 
 
+def even_spans(sums: np.ndarray, size: int) -> np.ndarray:
+    """What `span_hash` gives for all spans of one size, in order."""
+    count = max(len(sums) - size, 0)
+    return mix((sums[size:] - sums[:count]) * _powers(len(sums))[1][:count] + U64(size))
+
+
 class Words:
     """The words of some texts: byte spans, hashes, and the first word of each text."""
 

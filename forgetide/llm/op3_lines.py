@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgetide.llm import ship
-from forgetide.llm.arrays import BASE, STEPS, U64, gather, mix, prefix_sums, span_hash
-from forgetide.llm.regions import compare, connect, region_members, sketches, store, unused
+from forgetide.llm.arrays import BASE, STEPS, U64, even_spans, gather, mix, prefix_sums, span_hash
+from forgetide.llm.regions import compare, connect, drop, region_members, sketches, store, unused
 from forgetide.session import scratch_path
 
 SHINGLE = 8
@@ -34,7 +34,7 @@ SHORTEST = 20
 BANDS, ROWS = 7, 3
 SIMILARITY = (8, 10)
 FACTORS = (mix(STEPS) >> U64(32)).astype(np.uint32) | np.uint32(1)
-CHUNK = 1 << 19
+CHUNK = 1 << 16  # characters whose arrays stay in the processor's cache
 
 
 def _characters(text: str) -> np.ndarray:
@@ -45,55 +45,70 @@ def _runs(characters: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     """Hashes of the character runs of some spans one after the other, and how many each span has: a shorter span is one run."""
     sums = prefix_sums(mix((characters.astype(U64) + U64(1)) * BASE))
     count = np.maximum(end - start - SHINGLE + 1, 1)
-    first = gather(start, count)
-    return span_hash(sums, first, np.minimum(first + SHINGLE, np.repeat(end, count))), count
+    room = max(len(characters) - SHINGLE + 1, 0)
+    every = np.zeros(len(characters) + 1, U64)  # the run that starts at each character
+    every[:room] = even_spans(sums, SHINGLE)
+    values, short = every[gather(start, count)], np.flatnonzero(end - start < SHINGLE)
+    values[(np.cumsum(count) - count)[short]] = span_hash(sums, start[short], end[short])
+    return values, count
 
 
 def _names(characters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return span_hash(prefix_sums(mix((characters.astype(U64) + U64(7)) * BASE)), start, end)
 
 
-def signatures(text: str, shortest: int = SHORTEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (line numbers), hashes and band keys of the lines that have identity."""
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """What np.unique gives, without its overhead: lines are short and many."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
+def signatures(text: str, shortest: int = SHORTEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places (line numbers) and hashes of the lines that have identity, which of them are the first of their hash, and the
+    band keys of these."""
     characters = _characters(text)
     breaks = np.flatnonzero(characters == 10)
     start, end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(characters)]])
     number = np.flatnonzero(end - start >= max(shortest, 1))
     start, end = start[number], end[number]
     if not len(number):
-        return number, np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64)
-    runs, count = _runs(characters, start, end)
+        return number, np.zeros(0, np.int64), number, np.zeros((0, BANDS), np.int64)
+    names = _names(characters, start, end)
+    alone = np.sort(np.unique(names, return_index=True)[1])
+    runs, count = _runs(characters, start[alone], end[alone])
     small, at = (runs >> U64(32)).astype(np.uint32), np.cumsum(count) - count
-    keys = np.zeros((len(number), BANDS), U64)
+    keys, spread = np.zeros((len(alone), BANDS), U64), np.empty_like(small)
     for band in range(BANDS):
         for row in range(ROWS):
-            least = np.minimum.reduceat(small * FACTORS[band * ROWS + row], at)
+            least = np.minimum.reduceat(np.multiply(small, FACTORS[band * ROWS + row], out=spread), at)
             keys[:, band] += (least.astype(U64) + U64(1)) * STEPS[row]
         keys[:, band] = mix(keys[:, band] + STEPS[ROWS + band])
-    names = _names(characters, start, end)
-    return number, names.view(np.int64), keys.view(np.int64)
+    return number, names.view(np.int64), alone, keys.view(np.int64)
 
 
 def _describe(shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            row = 0
+            row, seen = 0, np.zeros(0, np.int64)
             while row < len(texts):
                 stop, size = row, 0
                 while stop < len(texts) and (stop == row or size + len(texts[stop]) <= CHUNK):
                     size += len(texts[stop])
                     stop += 1
-                number, names, keys = signatures("\n".join(texts[row:stop]), shortest)
+                number, names, alone, keys = signatures("\n".join(texts[row:stop]), shortest)
                 lines = np.array([t.count("\n") + 1 for t in texts[row:stop]])
                 first = np.cumsum(lines) - lines
                 owner = np.searchsorted(first, number, "right") - 1
-                again = np.ones(len(names), bool)
-                again[np.unique(names, return_index=True)[1]] = False  # equal lines of a batch give their keys once
-                count = np.where(again, 0, BANDS)
+                new = ~np.isin(names[alone], seen)  # equal lines of a batch give their keys once
+                alone, keys = alone[new], keys[new]
+                seen, count = np.concatenate([seen, names[alone]]), np.zeros(len(names), np.int64)
+                count[alone] = BANDS
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(row + owner)), rows.take(pa.array(row + owner)), pa.array((number - first[owner]).astype(np.int32)), pa.array(names),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys[~again].ravel()))],
+                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys.ravel()))],
                     names=["id", "doc", "line", "node", "keys"])
                 row = stop
     return run
@@ -129,7 +144,7 @@ def _described(lines: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         runs, count = _runs(characters, end - length, end)
         last = np.cumsum(count)
         yield from zip(_names(characters, end - length, end).view(np.int64).tolist(),
-                       [np.unique(runs[a:b]) for a, b in zip(last - count, last, strict=True)], strict=True)
+                       [_distinct(runs[a:b]) for a, b in zip(last - count, last, strict=True)], strict=True)
         row = stop
 
 
@@ -160,7 +175,9 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, shortest: int) -
     rows = docs.select(F.col(id_column).cast("long").alias("id"), _doc(id_column, text_column).alias("doc"), F.col(text_column).alias("text")).dropna()
     table = store(rows.mapInArrow(_describe(shortest), "id long, doc long, line int, node long, keys array<long>"), folder, "signatures")
     members = store(region_members(table.select(F.explode("keys").alias("key"), "node")), folder, "members")
-    where = table.select("id", "doc", "line", "node").join(members.select("node").distinct(), "node").groupBy("node").agg(
+    table = store(table.drop("keys"), folder, "places")  # the keys are most of it
+    drop(spark, folder, "signatures")
+    where = table.join(members.select("node").distinct(), "node").groupBy("node").agg(
         F.min(F.struct("id", "line", "doc")).alias("at"))
     wanted = where.groupBy("at.doc").agg(F.collect_list(F.struct("at.line", "node")).alias("l"))  # lines of one document
     picked = rows.join(wanted, "doc").select("doc", "text", F.col("l.line").alias("line"), F.col("l.node").alias("node"))
@@ -169,7 +186,7 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, shortest: int) -
     once, more = (picked.join(again, "doc", how).drop("doc") for how in ("left_anti", "left_semi"))
     sets = store(once.mapInArrow(_pick, shape).unionByName(more.mapInArrow(_pick, shape).dropDuplicates(["node"])), folder, "lines")
     comps = store(connect(members, sets, _measure, SIMILARITY, folder), folder, "components")
-    classed = table.select("id", "doc", "line", "node").join(comps, "node", "left").select(
+    classed = table.join(comps, "node", "left").select(
         "id", "doc", "line", F.coalesce("component", "node").alias("class"))
     several = classed.groupBy("class").agg(F.count("*").alias("k")).filter("k > 1").select("class")
     shared = store(classed.join(several, "class"), folder, "shared")
@@ -187,7 +204,7 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def _line_count(text_column: str) -> Column:
-    breaks = F.length(text_column) - F.length(F.translate(text_column, "\n", ""))
+    breaks = F.octet_length(text_column) - F.octet_length(F.replace(F.col(text_column), F.lit("\n"), F.lit("")))
     return F.when(F.length(text_column) > 0, breaks + 1).otherwise(0).cast("long")
 
 

@@ -291,3 +291,17 @@ def test_equal_sets_of_a_batch_give_their_keys_once():
     keys = out.column(3).to_pylist()
     (alone,) = J._describe(3, (9, 10))(iter([batch.slice(1)]))
     assert keys[0] and not keys[1] and [keys[0], keys[2]] == alone.column(3).to_pylist()
+
+
+def test_equal_lines_of_a_batch_give_their_keys_once(monkeypatch):
+    import forgetide.llm.op3_lines as L
+    lines = [text(1, 12), "short", text(2, 12), text(1, 12), "x", "short", "", text(3, 12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(range(8)), pa.array(lines)], names=["id", "doc", "text"])
+    whole = {}
+    for chunk in (1 << 16, 10):  # a chunk of its own for every text
+        monkeypatch.setattr(L, "CHUNK", chunk)
+        found = [r for out in L._describe(1)(iter([batch])) for r in out.to_pylist()]
+        assert [r["id"] for r in found] == [0, 1, 2, 3, 4, 5, 7] and found[0]["node"] == found[3]["node"]
+        assert [len(r["keys"]) for r in found] == [L.BANDS] * 3 + [0, L.BANDS, 0, L.BANDS]
+        whole[chunk] = found
+    assert whole[10] == whole[1 << 16]
