@@ -35,15 +35,23 @@ BANDS, ROWS = 7, 3
 SIMILARITY = (8, 10)
 FACTORS = (mix(STEPS) >> U64(32)).astype(np.uint32) | np.uint32(1)
 CHUNK = 1 << 16  # characters whose arrays stay in the processor's cache
+SPREAD = {shift: mix((np.arange(256, dtype=U64) + U64(shift)) * BASE) for shift in (1, 7)}
 
 
 def _characters(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+def _spread(characters: np.ndarray, shift: int) -> np.ndarray:
+    """A scattered number for each character; most texts have only those of the table."""
+    if len(characters) and characters.max() < 256:
+        return SPREAD[shift][characters]
+    return mix((characters.astype(U64) + U64(shift)) * BASE)
+
+
 def _runs(characters: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the character runs of some spans one after the other, and how many each span has: a shorter span is one run."""
-    sums = prefix_sums(mix((characters.astype(U64) + U64(1)) * BASE))
+    sums = prefix_sums(_spread(characters, 1))
     count = np.maximum(end - start - SHINGLE + 1, 1)
     room = max(len(characters) - SHINGLE + 1, 0)
     every = np.zeros(len(characters) + 1, U64)  # the run that starts at each character
@@ -54,7 +62,7 @@ def _runs(characters: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
 
 
 def _names(characters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_sums(mix((characters.astype(U64) + U64(7)) * BASE)), start, end)
+    return span_hash(prefix_sums(_spread(characters, 7)), start, end)
 
 
 def _distinct(values: np.ndarray) -> np.ndarray:
@@ -92,7 +100,7 @@ def _describe(shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            row, seen = 0, np.zeros(0, np.int64)
+            row, seen = 0, set()
             while row < len(texts):
                 stop, size = row, 0
                 while stop < len(texts) and (stop == row or size + len(texts[stop]) <= CHUNK):
@@ -102,9 +110,10 @@ def _describe(shortest: int):
                 lines = np.array([t.count("\n") + 1 for t in texts[row:stop]])
                 first = np.cumsum(lines) - lines
                 owner = np.searchsorted(first, number, "right") - 1
-                new = ~np.isin(names[alone], seen)  # equal lines of a batch give their keys once
-                alone, keys = alone[new], keys[new]
-                seen, count = np.concatenate([seen, names[alone]]), np.zeros(len(names), np.int64)
+                found = names[alone].tolist()
+                new = np.array([name not in seen for name in found], bool)  # equal lines of a batch give their keys once
+                alone, keys, count = alone[new], keys[new], np.zeros(len(names), np.int64)
+                seen.update(found)
                 count[alone] = BANDS
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(row + owner)), rows.take(pa.array(row + owner)), pa.array((number - first[owner]).astype(np.int32)), pa.array(names),
@@ -163,13 +172,18 @@ def _doc(id_column: str, text_column: str) -> Column:
 
 def line_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """(id, line, class_id, class_line) of every line with identity: the first line of its component. Line numbers start at 0."""
-    classed, least = _classes(docs, id_column, text_column, shortest)
-    return classed.join(least, "class", "left").select(
+    table, shared = _classes(docs, id_column, text_column, shortest)
+    classes = shared.select("node", "class").distinct().join(_first(shared), "class").select("node", "first")
+    return table.join(classes, "node", "left").select(
         "id", "line", F.coalesce("first.id", "id").alias("class_id"), F.coalesce("first.line", "line").alias("class_line"))
 
 
+def _first(shared: DataFrame) -> DataFrame:
+    return shared.groupBy("class").agg(F.min(F.struct("id", "line", "doc")).alias("first"))
+
+
 def _classes(docs: DataFrame, id_column: str, text_column: str, shortest: int) -> tuple[DataFrame, DataFrame]:
-    """The class of every line, and the first line of classes that have several."""
+    """Every line (id, doc, line, node), and those of classes that have several, with their class."""
     spark = ship(docs.sparkSession)
     folder = scratch_path(spark, "lines")
     rows = docs.select(F.col(id_column).cast("long").alias("id"), _doc(id_column, text_column).alias("doc"), F.col(text_column).alias("text")).dropna()
@@ -180,17 +194,15 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, shortest: int) -
     where = table.join(members.select("node").distinct(), "node").groupBy("node").agg(
         F.min(F.struct("id", "line", "doc")).alias("at"))
     wanted = where.groupBy("at.doc").agg(F.collect_list(F.struct("at.line", "node")).alias("l"))  # lines of one document
-    picked = rows.join(wanted, "doc").select("doc", "text", F.col("l.line").alias("line"), F.col("l.node").alias("node"))
-    again = rows.groupBy("doc").agg(F.count("*").alias("k")).filter("k > 1").select("doc")  # repeated rows give a line once
-    shape = "node long, n long, sketch array<long>, elements string"
-    once, more = (picked.join(again, "doc", how).drop("doc") for how in ("left_anti", "left_semi"))
-    sets = store(once.mapInArrow(_pick, shape).unionByName(more.mapInArrow(_pick, shape).dropDuplicates(["node"])), folder, "lines")
+    picked = rows.join(wanted, "doc").select("text", F.col("l.line").alias("line"), F.col("l.node").alias("node"))
+    sets = store(picked.mapInArrow(_pick, "node long, n long, sketch array<long>, elements string"), folder, "lines")
+    if not sets.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():  # repeated rows give a line once
+        sets = store(sets.dropDuplicates(["node"]), folder, "once")
+        drop(spark, folder, "lines")
     comps = store(connect(members, sets, _measure, SIMILARITY, folder), folder, "components")
-    classed = table.join(comps, "node", "left").select(
-        "id", "doc", "line", F.coalesce("component", "node").alias("class"))
-    several = classed.groupBy("class").agg(F.count("*").alias("k")).filter("k > 1").select("class")
-    shared = store(classed.join(several, "class"), folder, "shared")
-    return classed, shared.groupBy("class").agg(F.min(F.struct("id", "line", "doc")).alias("first"))
+    counted = table.groupBy("node").agg(F.count("*").alias("k")).join(comps, "node", "left").filter("k > 1 OR component IS NOT NULL")
+    shared = table.join(counted.select("node", F.coalesce("component", "node").alias("class")), "node")
+    return table, store(shared, folder, "shared")
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shortest: int = SHORTEST) -> DataFrame:
@@ -210,8 +222,8 @@ def _line_count(text_column: str) -> Column:
 
 def _gone(docs: DataFrame, id_column: str, text_column: str, shortest: int) -> DataFrame:
     """(_doc, _gone): the lines of a document that are not the first of their class, with the document that keeps one."""
-    classed, least = _classes(docs, id_column, text_column, shortest)
-    lines = classed.join(least, "class").filter("doc <> first.doc OR line <> first.line")
+    _, shared = _classes(docs, id_column, text_column, shortest)
+    lines = shared.join(_first(shared), "class").filter("doc <> first.doc OR line <> first.line")
     return lines.groupBy(F.col("doc").alias("_doc")).agg(
         F.array_sort(F.collect_set(F.struct("line", F.col("first.id").alias("class_id")))).alias("_gone"))
 

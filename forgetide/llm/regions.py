@@ -19,7 +19,7 @@ compared, but only pairs at the threshold give rows and are measured.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from operator import add
 
@@ -32,6 +32,7 @@ from forgetide.operators.components import components
 
 PIVOTS, WIDER, MOST = 16, 16, 4096
 SKETCH = 16  # words of 64 bits
+ROOM = 1 << 18  # nodes whose links a task holds
 
 
 def store(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -79,57 +80,91 @@ def compare(batch: pa.RecordBatch, sets: Iterable[tuple[np.ndarray, np.ndarray]]
 
 def region_members(entries: DataFrame) -> DataFrame:
     """(key, node, pivot) of the keys that more than one node carries, with the least node. The entries are dealt by key once, for
-    the regions and for what they are joined with."""
+    the regions and for what they are joined with; most keys have one node, so they are looked up in a hash table of the others."""
     dealt = entries.repartition("key")
     regions = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last")
-    return dealt.join(regions, "key").distinct()
+    return dealt.join(regions.hint("shuffle_hash"), "key").distinct()
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (x, p) as stars around the least node that the links of one task, ROOM nodes at a time, lead to: what is connected
+    stays connected, by fewer links and in fewer steps."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        path = []
+        while (above := up.setdefault(x, x)) != x:
+            path.append(x)
+            x = above
+        for y in path:
+            up[y] = x
+        return x
+
+    def rays() -> pa.RecordBatch:
+        ends = [(x, root(x)) for x in list(up)]
+        out = [(x, p) for x, p in ends if x != p]
+        up.clear()
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], names=["x", "p"])
+
+    for batch in batches:
+        for x, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            one, two = root(x), root(p)
+            up[max(one, two)] = min(one, two)
+        if len(up) > ROOM:
+            yield rays()
+    yield rays()
 
 
 def connect(members: DataFrame, sets: DataFrame, measure: Callable, similarity: tuple[int, int], folder: str) -> DataFrame:
     """(node, component) of the members that are linked with others. `sets` has (node, n, sketch, elements) once for each member;
     `measure` maps batches of (x, p, elements of x, elements of p) to what `compare` gives. `members` are stored in `folder` under
-    that name; they and the state of earlier rounds are deleted when nothing reads them any more."""
+    that name; they and the state of earlier rounds are deleted when nothing reads them any more.
+
+    A round only connects components of the round before, so its links and labels are those of components, not of nodes."""
     top, bottom = similarity
     near = f"{bottom} * common >= {top} * (total - common)"
     slack = 1 - top / bottom + 1e-9
     bits = [f"s{i}" for i in range(SKETCH)]
 
     def measured(pairs: DataFrame) -> DataFrame:
+        """What the elements of x and p share, told of a and b."""
         left = pairs.join(sets.select(F.col("node").alias("x"), F.col("elements").alias("ex")), "x")
-        both = left.join(sets.select(F.col("node").alias("p"), F.col("elements").alias("ep")), "p").select("x", "p", "ex", "ep")
+        both = left.join(sets.select(F.col("node").alias("p"), F.col("elements").alias("ep")), "p").select("a", "b", "ex", "ep")
         return both.mapInArrow(measure, "x long, p long, common long, total long")
 
+    def linked(found: DataFrame, turn: int) -> DataFrame:
+        return store(found.filter(near).select("x", "p").mapInArrow(stars, "x long, p long"), folder, f"pairs{turn}")
+
+    def merged(links: DataFrame, turn: int) -> DataFrame:
+        return store(components(links.mapInArrow(stars, "x long, p long"), "x", "p"), folder, f"components{turn}")
+
     spark = members.sparkSession
     home = store(measured(members.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("p")).select(
-        F.col("node").alias("x"), "p")), folder, "home")
-    links = store(home.filter(near).select("x", "p"), folder, "pairs0")
-    placed = home.select(F.col("x").alias("node"), F.col("p").alias("home"), (
-        1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d")).dropDuplicates(["node"])
-    numbers = sets.select("node", "n", *(F.col("sketch")[i].alias(b) for i, b in enumerate(bits)))
-    state, turn = members.select("key", "node", F.lit(False).alias("used")), 0
+        F.col("node").alias("x"), "p", F.col("node").alias("a"), F.col("p").alias("b"))), folder, "home")
+    comps, moves, turn = merged(linked(home, 0), 0), [], 0
+    state = members.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), F.lit(False).alias("used"))
     while True:
-        comps = store(components(links, "x", "p"), folder, f"components{turn}")
-        state = state.drop("component").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # most regions are connected by now; two numbers for each tell
-        several = state.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b").select("key")
-        state = state.join(several, "key")
-        counted = state.groupBy("key", "component").agg(F.count("*").alias("k"))
-        largest = counted.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("large"), F.count("*").alias("parts"))
-        state = state.join(largest.filter("parts > 1").select("key", "large"), "key")
-        more = state.filter("NOT used AND component <> large").select("key").distinct()
-        state = store(state.join(more, "key"), folder, f"open{turn}")
-        drop(spark, folder, *(["members"] if turn == 0 else [f"components{turn - 1}", f"open{turn - 1}"]))
+        # counts, largest components and turns need the rows of a region together: they are dealt by key once
+        dealt, size = state.repartition("key"), F.struct("k", "component")
+        parts = dealt.groupBy("key", "component").agg(F.count("*").alias("k"), F.count_if(~F.col("used")).alias("fresh"))
+        regions = parts.groupBy("key").agg(F.max_by("component", size).alias("large"), (F.sum("fresh") - F.max_by("fresh", size)).alias("fresh"))
+        fresh = ~F.col("used") & (F.col("component") != F.col("large"))
+        order = Window.partitionBy("key", "_fresh").orderBy("node")
+        state = store(dealt.join(regions.filter("fresh > 0").drop("fresh"), "key").withColumn("_fresh", fresh).withColumn("pivot", F.col("_fresh") & (
+            F.row_number().over(order) <= min(PIVOTS * WIDER ** turn, max(PIVOTS, MOST)))).select(
+            "key", "node", "component", "used", "pivot"), folder, f"open{turn}")
+        drop(spark, folder, *(["members"] if turn == 0 else [f"open{turn - 1}"]))
         if state.isEmpty():
-            return comps
+            return _followed(comps, moves)
         if turn == 0:  # the least node of all its regions has no home: it is its own
+            placed = home.select(F.col("x").alias("node"), F.col("p").alias("home"), (
+                1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
+            numbers = sets.select("node", "n", *(F.col("sketch")[i].alias(b) for i, b in enumerate(bits)))
             numbers = store(state.select("node").distinct().join(numbers, "node").join(placed, "node", "left").withColumns(
                 {"home": F.coalesce("home", "node"), "d": F.coalesce("d", F.lit(0.0))}), folder, "numbers")
             drop(spark, folder, "home")
-        order = Window.partitionBy("key").orderBy("node")
-        fresh = state.filter("NOT used AND component <> large").withColumn("_turn", F.row_number().over(order)).filter(
-            F.col("_turn") <= min(PIVOTS * WIDER ** turn, max(PIVOTS, MOST))).select("key", "node", "component")
         turn += 1
-        pivots = fresh.join(numbers, "node").select("key", F.col("component").alias("pc"), *(
+        pivots = state.filter("pivot").select("key", "node", "component").join(numbers, "node").select("key", F.col("component").alias("pc"), *(
             F.col(c).alias("p" + c) for c in ("node", "n", "home", "d", *bits)))
         apart = reduce(add, (F.bit_count(F.col(b).bitwiseXOR(F.col("p" + b))) for b in bits))
         pairs = state.filter("NOT used").select("key", "node", "component").join(numbers, "node").join(pivots, (
@@ -138,7 +173,23 @@ def connect(members: DataFrame, sets: DataFrame, measure: Callable, similarity:
             (bottom * F.col("n") >= top * F.col("pn")) & (bottom * F.col("pn") >= top * F.col("n")) &
             ((F.col("home") != F.col("phome")) | (F.abs(F.col("d") - F.col("pd")) <= slack)) &
             ((bottom + top) * apart <= (bottom - top) * (F.col("n") + F.col("pn"))))
-        found = measured(pairs.select(F.greatest("node", "pnode").alias("x"), F.least("node", "pnode").alias("p")).distinct())
-        links = links.unionByName(store(found.filter(near).select("x", "p"), folder, f"pairs{turn}"))
-        done = fresh.select("key", "node", F.lit(True).alias("now"))
-        state = state.join(done, ["key", "node"], "left").select("key", "node", (F.col("used") | F.col("now").isNotNull()).alias("used"))
+        # few pairs are read back as a small table, for which the elements are not dealt out
+        pairs = store(pairs.select(F.greatest("node", "pnode").alias("x"), F.least("node", "pnode").alias("p"), F.greatest(
+            "component", "pc").alias("a"), F.least("component", "pc").alias("b")).distinct(), folder, f"near{turn}")
+        state = state.select("key", "node", "component", (F.col("used") | F.col("pivot")).alias("used"))
+        if not pairs.isEmpty() and not (links := linked(measured(pairs), turn)).isEmpty():
+            moves.append(merged(links, turn))
+            state = _moved(state, moves[-1])
+        drop(spark, folder, f"near{turn}")
+
+
+def _moved(labels: DataFrame, move: DataFrame) -> DataFrame:
+    """The labels with each component that another one took in replaced by that."""
+    into = move.select(F.col("node").alias("component"), F.col("component").alias("_into"))
+    return labels.join(into, "component", "left").withColumn("component", F.coalesce("_into", "component")).select(*labels.columns)
+
+
+def _followed(comps: DataFrame, moves: list[DataFrame]) -> DataFrame:
+    """(node, component) after all moves. A component is named by its least node, which may have had no link before."""
+    alone = [move.select("node", F.col("node").alias("component")) for move in moves]
+    return reduce(_moved, moves, reduce(DataFrame.union, alone, comps).distinct() if moves else comps)

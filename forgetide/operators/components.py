@@ -18,13 +18,13 @@ def _all_stars(pairs: DataFrame) -> bool:
     ends = pairs.select(F.col("x").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
         pairs.select("y", F.lit(0), F.lit(1)))
     seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return seen.filter("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+    return seen.filter("up > 1 OR (up > 0 AND down > 0)").count() == 0
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.union(pairs.select("y", "x"))
     least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-    return both.filter("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+    return both.filter("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
@@ -35,12 +35,11 @@ def _small_star(pairs: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the component is its smallest node. Self edges give nodes."""
-    ends = edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct()
+    ends = edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"))
     pairs = ends.filter("x <> y")
     while True:
         pairs = cut(_small_star(_large_star(pairs)))
         if _all_stars(pairs):
             break
-    nodes = ends.select(F.col("x").alias("node")).union(ends.select("y")).distinct()
-    joined = nodes.join(pairs.select(F.col("x").alias("node"), F.col("y").alias("root")), "node", "left")
-    return joined.select("node", F.coalesce("root", "node").alias("component"))
+    named = ends.select(F.col("x").alias("node"), F.col("x").alias("component")).union(ends.select("y", "y")).union(pairs)
+    return named.groupBy("node").agg(F.min("component").alias("component"))

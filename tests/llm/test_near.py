@@ -305,3 +305,46 @@ def test_equal_lines_of_a_batch_give_their_keys_once(monkeypatch):
         assert [len(r["keys"]) for r in found] == [L.BANDS] * 3 + [0, L.BANDS, 0, L.BANDS]
         whole[chunk] = found
     assert whole[10] == whole[1 << 16]
+
+
+def test_stars_connect_what_links_connect(monkeypatch):
+    import forgetide.llm.regions as R
+    rng = random.Random(6)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(k + 1, k) for k in range(400, 460)] + [(500, 500)]
+
+    def groups(edges):
+        least = {x: x for x in range(600)}
+        for _ in range(600):
+            for x, p in edges:
+                least[x] = least[p] = min(least[x], least[p])
+        return least
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([e[i] for e in links[k:k + 50]]) for i in (0, 1)], names=["x", "p"]) for k in range(0, len(links), 50)]
+    for room in (1 << 18, 40):
+        monkeypatch.setattr(R, "ROOM", room)
+        rays = [(r["x"], r["p"]) for out in R.stars(iter(batches)) for r in out.to_pylist()]
+        assert groups(rays) == groups(links) and len(rays) <= len(links)
+        assert room == 40 or all(p == groups(links)[x] for x, p in rays)
+
+
+def test_rounds_are_few_jobs(docs):
+    """A round labels regions in one step and joins components, not all links again: 89 jobs before."""
+    rows = [(i, edited(text(i // 3, 40), i, i % 3)) for i in range(60)]
+    frame = docs(rows)
+    context = frame.sparkSession.sparkContext
+    context.setJobGroup("few-jobs", "few jobs")
+    try:
+        found = joined(frame).collect()
+        jobs = len(context.statusTracker().getJobIdsForGroup("few-jobs"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((tuple(r) for r in found), key=str) == jaccard_components(rows, 3, 9, 10)
+    assert jobs < 80
+
+
+def test_characters_of_the_table_and_others():
+    import forgetide.llm.op3_lines as L
+    for line in ("", "plain", "café ÿ", "Ā wide \U0001f600"):
+        characters = L._characters(line)
+        for shift in (1, 7):
+            assert L._spread(characters, shift).tolist() == L.mix((characters.astype(np.uint64) + np.uint64(shift)) * L.BASE).tolist()
