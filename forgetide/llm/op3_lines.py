@@ -199,10 +199,13 @@ def _classes(docs: DataFrame, id_column: str, text_column: str, shortest: int) -
     if not sets.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():  # repeated rows give a line once
         sets = store(sets.dropDuplicates(["node"]), folder, "once")
         drop(spark, folder, "lines")
-    comps = store(connect(members, sets, _measure, SIMILARITY, folder), folder, "components")
+    comps = connect(members, sets, _measure, SIMILARITY, folder)
+    drop(spark, folder, "lines", "once")
     counted = table.groupBy("node").agg(F.count("*").alias("k")).join(comps, "node", "left").filter("k > 1 OR component IS NOT NULL")
     shared = table.join(counted.select("node", F.coalesce("component", "node").alias("class")), "node")
-    return table, store(shared, folder, "shared")
+    shared = store(shared, folder, "shared")
+    drop(spark, folder, "linked")
+    return table, shared
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shortest: int = SHORTEST) -> DataFrame:

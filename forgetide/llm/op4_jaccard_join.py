@@ -25,6 +25,7 @@ only if their sets are. Columns besides id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from forgetide.llm.regions import compare, connect, drop, region_members, sketch
 from forgetide.session import scratch_path
 
 RATIO = 1.4  # of the bounds of neighbouring size buckets
+PARTS = 2  # in which keys and texts are dealt out
+CHUNK = 1 << 21  # bytes that are described together
 
 
 def size_buckets(limit: int) -> list[int]:
@@ -88,7 +91,17 @@ def _sets(data: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[np.ndarra
             yield np.unique(values[first[i]:first[i + 1]])
 
 
-def _describe(size: int, similarity: tuple[int, int]):
+def _name(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(values), set_name(values)) for values in _sets(*text_bytes(batch.column(1)), size)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["id", "n", "node"])
+    return run
+
+
+def _describe(size: int, similarity: tuple[int, int], part: int = 0, parts: int = 1):
+    """With the region keys of one of some parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
@@ -97,7 +110,8 @@ def _describe(size: int, similarity: tuple[int, int]):
                 counts.append(len(values))
                 names.append(set_name(values))
                 # equal sets of a batch give their keys once
-                keys.append(np.zeros(0, np.int64) if names[-1] in seen else class_keys(values, similarity).view(np.int64))
+                found = np.zeros(0, U64) if names[-1] in seen else class_keys(values, similarity)
+                keys.append(found[(found >> U64(32)) % U64(parts) == part].view(np.int64))
                 seen.add(names[-1])
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -108,55 +122,85 @@ def _describe(size: int, similarity: tuple[int, int]):
 
 
 def _spell(size: int):
-    """The sets of chosen texts: size, sketch and sorted hashes."""
+    """The sets of chosen texts: size, sketch and the text, which is shorter than the hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
-            rows = [(set_name(values), values) for values in _sets(data, bounds, size)]
-            names = np.array([r[0] for r in rows], np.int64)
-            fits = names == np.asarray(batch.column(0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array([len(r[1]) for r in rows], pa.int64()), sketches(r[1] for r in rows),
-                 pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["node", "n", "sketch", "elements"]
-            ).filter(pa.array(fits))
+            names, counts = [], []
+
+            def described() -> Iterator[np.ndarray]:
+                for values in _sets(data, bounds, size):
+                    names.append(set_name(values))
+                    counts.append(len(values))
+                    yield values
+            marks = sketches(described())
+            fits = np.array(names, np.int64) == np.asarray(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), marks, batch.column(1).cast(pa.binary())],
+                                             names=["node", "n", "sketch", "elements"]).filter(pa.array(fits))
     return run
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield compare(batch, [(np.frombuffer(one.as_buffer(), U64), np.frombuffer(two.as_buffer(), U64))
-                              for one, two in zip(batch.column(2), batch.column(3), strict=True)])
+def _measure(size: int):
+    def pairs(ones: list[bytes], twos: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The sets of pairs of texts, described together in stretches of about CHUNK bytes."""
+        row = 0
+        while row < len(ones):
+            stop, room, texts = row, CHUNK, {}
+            while stop < len(ones) and (stop == row or room > 0):
+                for one in (ones[stop], twos[stop]):
+                    room -= 0 if one in texts else len(one)
+                    texts[one] = None
+                stop += 1
+            bounds = np.cumsum([0, *map(len, texts)])
+            known = dict(zip(texts, _sets(np.frombuffer(b"".join(texts), np.uint8), bounds, size), strict=True))
+            yield from ((known[one], known[two]) for one, two in zip(ones[row:stop], twos[row:stop], strict=True))
+            row = stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield compare(batch, pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+    return run
 
 
 def joined(docs: DataFrame, size: int = 3, similarity: tuple[int, int] = (9, 10), id_column: str = "doc_id",
            text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest id that links lead to. Two documents
     are linked when similarity[1] * intersection >= similarity[0] * union of their sets."""
+    return _joined(docs, size, similarity, id_column, text_column, scratch_path(docs.sparkSession, "jaccard-join"))
+
+
+def _joined(docs: DataFrame, size: int, similarity: tuple[int, int], id_column: str, text_column: str, folder: str) -> DataFrame:
     top, bottom = similarity
     if RATIO * top < bottom:
         raise ValueError("a set must reach no further than the next size bucket")
     spark = ship(docs.sparkSession)
-    folder = scratch_path(spark, "jaccard-join")
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
-    table = store(rows.mapInArrow(_describe(size, similarity), "id long, n long, node long, keys array<long>"), folder, "sets")
+    table = store(rows.mapInArrow(_name(size), "id long, n long, node long"), folder, "named")
     wanted = "id IS NOT NULL AND n > 0"
-    members = store(region_members(table.filter(wanted).select(F.explode("keys").alias("key"), "node")), folder, "members")
-    table = store(table.drop("keys"), folder, "named")  # the keys are most of it
-    drop(spark, folder, "sets")
+    # keys and texts are long: they are made and dealt out by parts, and not stored before
+    members, sets = [], []
+    for part in range(PARTS):
+        keyed = rows.filter("id IS NOT NULL").mapInArrow(_describe(size, similarity, part, PARTS), "id long, n long, node long, keys array<long>")
+        members.append(store(region_members(keyed.filter("n > 0").select(F.explode("keys").alias("key"), "node")), folder, f"members/{part}"))
+    members = reduce(DataFrame.union, members)
     named = table.filter(wanted)
-    texts = named.join(members.select("node").distinct(), "node").groupBy("node").agg(
-        F.min("id").alias("id"))
-    chosen = rows.join(texts, "id").select("id", "node", "text")
-    again = named.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")  # repeated rows give a set once
-    once, more = (chosen.join(again, "id", how).select("node", "text").mapInArrow(_spell(size), "node long, n long, sketch array<long>, elements binary")
-                  for how in ("left_anti", "left_semi"))
-    sets = store(once.unionByName(more.dropDuplicates(["node"])), folder, "elements")
-    comps = connect(members, sets, _measure, similarity, folder)
-
-    classes = table.filter("id IS NOT NULL").join(comps.withColumnRenamed("component", "class"), "node", "left").select(
-        "node", "id", F.coalesce("class", "node").alias("class"))
-    least = classes.join(named.select("node").distinct(), "node").groupBy("class").agg(F.min("id").alias("least"))
-    of_node = classes.select("node", "class").distinct().join(least, "class").select("node", "least")
+    again = named.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1")
+    texts = store(named.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id")).join(
+        again, "id", "left").select("id", "node", F.col("k").isNotNull().alias("again")), folder, "texts")
+    for part in range(PARTS):
+        here = F.pmod(F.xxhash64("id"), F.lit(PARTS)) == part
+        chosen = rows.filter(here).join(texts.filter(here), "id")
+        once, more = (chosen.filter(which).select("node", "text").mapInArrow(_spell(size), "node long, n long, sketch array<long>, elements binary")
+                      for which in ("NOT again", "again"))  # repeated rows give a set once
+        sets.append(store(once.unionByName(more.dropDuplicates(["node"])), folder, f"elements/{part}", compression="zstd"))
+    drop(spark, folder, "texts")
+    comps = connect(members, reduce(DataFrame.union, sets), _measure(size), similarity, folder)
+    drop(spark, folder, "elements")
+
+    classes = named.groupBy("node").agg(F.min("id").alias("id")).join(comps, "node", "left").select(
+        "node", "id", F.coalesce("component", "node").alias("class"))
+    least = classes.groupBy("class").agg(F.min("id").alias("least"))
+    of_node = classes.join(least, "class").select("node", "least")
     out = table.select("id", "n", "node").join(of_node, "node", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                       F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))).alias("component_id"))
@@ -166,7 +210,9 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (8
                 text_column: str = "text") -> DataFrame:
     """The document with the smallest id of each component, with all its columns. A document is known by its id: rows
     that share a kept id all stay, as do rows without an id."""
-    found = joined(docs, size, similarity, id_column, text_column)
-    mark = unused(docs, "_gone")
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias(mark)).distinct()
+    folder, mark = scratch_path(docs.sparkSession, "jaccard-join"), unused(docs, "_gone")
+    found = _joined(docs, size, similarity, id_column, text_column, folder)
+    # few are read back as a small table, for which the documents are not dealt out
+    gone = store(found.filter("component_id < doc_id").select(F.col("doc_id").alias(mark)).distinct(), folder, "gone")
+    drop(docs.sparkSession, folder, "named", "linked")
     return docs.join(gone, docs[id_column] == F.col(mark), "left_anti")

@@ -1,8 +1,8 @@
 """Connected components of a similarity join whose candidates come as regions.
 
-A region is a key with the nodes that carry it; linked nodes share at least one. Every node is measured against
-its home, the least pivot of its regions. What is linked with its home is settled. Two other nodes x, y of n and m elements
-are compared only if
+A region is a key with the nodes that carry it; linked nodes share at least one. Every node is held against
+its home, the least pivot of its regions: where sizes and sketches allow a link, the elements tell the distance, else the sketches
+tell how great it is at least. What is linked with its home is settled. Two other nodes x, y of n and m elements are compared only if
 
 - their sizes allow a link;
 - around one home the triangle inequality does, |d(x, home) - d(y, home)| <= 1 - t when they are linked;
@@ -35,10 +35,10 @@ SKETCH = 16  # words of 64 bits
 ROOM = 1 << 18  # nodes whose links a task holds
 
 
-def store(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write to the shared folder and read again: lost executors recompute nothing before it."""
-    df.write.parquet(f"{folder}/{name}")
-    return df.sparkSession.read.parquet(f"{folder}/{name}")
+def store(df: DataFrame, folder: str, name: str, compression: str | None = None) -> DataFrame:
+    """Write to the shared folder and read again: lost executors recompute nothing before it. The schema is known: no job looks for it."""
+    df.write.parquet(f"{folder}/{name}", compression=compression)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
 def drop(spark: SparkSession, folder: str, *names: str) -> None:
@@ -116,31 +116,51 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def connect(members: DataFrame, sets: DataFrame, measure: Callable, similarity: tuple[int, int], folder: str) -> DataFrame:
-    """(node, component) of the members that are linked with others. `sets` has (node, n, sketch, elements) once for each member;
-    `measure` maps batches of (x, p, elements of x, elements of p) to what `compare` gives. `members` are stored in `folder` under
-    that name; they and the state of earlier rounds are deleted when nothing reads them any more.
+    """(node, component) of the members that are linked with others, stored as "linked". `sets` has (node, n, sketch, elements) once
+    for each member; `measure` maps batches of (x, p, elements of x, elements of p) to what `compare` gives. Elements are long, so
+    only those of pairs that sizes and sketches allow are dealt out. `members` are stored in `folder` under that name; they and the
+    state of earlier rounds are deleted when nothing reads them any more.
 
     A round only connects components of the round before, so its links and labels are those of components, not of nodes."""
     top, bottom = similarity
     near = f"{bottom} * common >= {top} * (total - common)"
     slack = 1 - top / bottom + 1e-9
     bits = [f"s{i}" for i in range(SKETCH)]
+    marks = sets.select("node", "n", *(F.col("sketch")[i].alias(b) for i, b in enumerate(bits)))
+    total, apart = F.col("n") + F.col("pn"), reduce(add, (F.bit_count(F.col(b).bitwiseXOR(F.col("p" + b))) for b in bits))
+    possible = ((bottom * F.col("n") >= top * F.col("pn")) & (bottom * F.col("pn") >= top * F.col("n")) &
+                ((bottom + top) * apart <= (bottom - top) * total))
+
+    def other(frame: DataFrame) -> DataFrame:
+        """The same of p."""
+        return frame.select(*(F.col(c).alias("p" + c) for c in frame.columns))
 
     def measured(pairs: DataFrame) -> DataFrame:
         """What the elements of x and p share, told of a and b."""
-        left = pairs.join(sets.select(F.col("node").alias("x"), F.col("elements").alias("ex")), "x")
-        both = left.join(sets.select(F.col("node").alias("p"), F.col("elements").alias("ep")), "p").select("a", "b", "ex", "ep")
+        needed = sets.join(pairs.select(F.explode(F.array("x", "p")).alias("node")), "node", "left_semi")
+        left = pairs.join(needed.select(F.col("node").alias("x"), F.col("elements").alias("ex")), "x")
+        both = left.join(needed.select(F.col("node").alias("p"), F.col("elements").alias("ep")), "p").select("a", "b", "ex", "ep")
         return both.mapInArrow(measure, "x long, p long, common long, total long")
 
     def linked(found: DataFrame, turn: int) -> DataFrame:
         return store(found.filter(near).select("x", "p").mapInArrow(stars, "x long, p long"), folder, f"pairs{turn}")
 
     def merged(links: DataFrame, turn: int) -> DataFrame:
-        return store(components(links.mapInArrow(stars, "x long, p long"), "x", "p"), folder, f"components{turn}")
+        out = store(components(links.mapInArrow(stars, "x long, p long"), "x", "p"), folder, f"components{turn}")
+        drop(spark, folder, f"pairs{turn}")
+        return out
+
+    def done() -> DataFrame:
+        out = store(_followed(comps, moves), folder, "linked")
+        drop(spark, folder, "around", "numbers", f"open{turn}", *(f"components{i}" for i in range(turn + 1)))
+        return out
 
     spark = members.sparkSession
-    home = store(measured(members.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("p")).select(
-        F.col("node").alias("x"), "p", F.col("node").alias("a"), F.col("p").alias("b"))), folder, "home")
+    most = F.least("n", "pn", F.floor((total - apart) / 2))  # elements that both can have
+    around = store(members.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pnode")).join(marks, "node").join(
+        other(marks), "pnode").select(F.col("node").alias("x"), F.col("pnode").alias("p"), possible.alias("possible"), (
+            1 - most / (total - most)).alias("low")), folder, "around")
+    home = store(measured(around.filter("possible").select("x", "p", F.col("x").alias("a"), F.col("p").alias("b"))), folder, "home")
     comps, moves, turn = merged(linked(home, 0), 0), [], 0
     state = members.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), F.lit(False).alias("used"))
     while True:
@@ -155,24 +175,21 @@ def connect(members: DataFrame, sets: DataFrame, measure: Callable, similarity:
             "key", "node", "component", "used", "pivot"), folder, f"open{turn}")
         drop(spark, folder, *(["members"] if turn == 0 else [f"open{turn - 1}"]))
         if state.isEmpty():
-            return _followed(comps, moves)
+            return done()
         if turn == 0:  # the least node of all its regions has no home: it is its own
-            placed = home.select(F.col("x").alias("node"), F.col("p").alias("home"), (
-                1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
-            numbers = sets.select("node", "n", *(F.col("sketch")[i].alias(b) for i, b in enumerate(bits)))
-            numbers = store(state.select("node").distinct().join(numbers, "node").join(placed, "node", "left").withColumns(
-                {"home": F.coalesce("home", "node"), "d": F.coalesce("d", F.lit(0.0))}), folder, "numbers")
-            drop(spark, folder, "home")
+            known = home.select("x", (1 - F.col("common") / (F.col("total") - F.col("common"))).alias("d"))
+            placed = around.join(known, "x", "left").select(F.col("x").alias("node"), F.col("p").alias("home"), F.coalesce("d", "low").alias(
+                "low"), F.coalesce("d", F.lit(1.0)).alias("high"))
+            numbers = store(state.select("node").distinct().join(marks, "node").join(placed, "node", "left").withColumns(
+                {"home": F.coalesce("home", "node"), **{c: F.coalesce(c, F.lit(0.0)) for c in ("low", "high")}}), folder, "numbers")
+            drop(spark, folder, "home", "around")
         turn += 1
-        pivots = state.filter("pivot").select("key", "node", "component").join(numbers, "node").select("key", F.col("component").alias("pc"), *(
-            F.col(c).alias("p" + c) for c in ("node", "n", "home", "d", *bits)))
-        apart = reduce(add, (F.bit_count(F.col(b).bitwiseXOR(F.col("p" + b))) for b in bits))
+        pivots = state.filter("pivot").select("key", "node", "component").join(other(numbers), F.col("node") == F.col("pnode")).select(
+            F.col("key"), F.col("component").alias("pc"), *(F.col("p" + c) for c in numbers.columns))
         pairs = state.filter("NOT used").select("key", "node", "component").join(numbers, "node").join(pivots, (
             "key"), "inner").filter(
             (F.col("component") != F.col("pc")) & (F.col("node") != F.col("phome")) & (F.col("home") != F.col("pnode")) &
-            (bottom * F.col("n") >= top * F.col("pn")) & (bottom * F.col("pn") >= top * F.col("n")) &
-            ((F.col("home") != F.col("phome")) | (F.abs(F.col("d") - F.col("pd")) <= slack)) &
-            ((bottom + top) * apart <= (bottom - top) * (F.col("n") + F.col("pn"))))
+            ((F.col("home") != F.col("phome")) | (F.greatest(F.col("low") - F.col("phigh"), F.col("plow") - F.col("high")) <= slack)) & possible)
         # few pairs are read back as a small table, for which the elements are not dealt out
         pairs = store(pairs.select(F.greatest("node", "pnode").alias("x"), F.least("node", "pnode").alias("p"), F.greatest(
             "component", "pc").alias("a"), F.least("component", "pc").alias("b")).distinct(), folder, f"near{turn}")

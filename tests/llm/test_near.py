@@ -342,6 +342,41 @@ def test_rounds_are_few_jobs(docs):
     assert jobs < 80
 
 
+def test_jaccard_join_stores_little(docs, monkeypatch, tmp_path):
+    """Neither keys nor hashes are stored, what sketches exclude is not measured, and of what was stored only the ids of copies stay."""
+    import forgetide.llm.regions as R
+    frames, held, store = {}, set(), R.store
+
+    def seen(df, folder, name, **options):
+        out = store(df, folder, name, **options)
+        frames[name] = out.columns, out.count()
+        held.update(bytes(r.elements).decode() for r in (out.collect() if "elements" in out.columns else []))
+        return out
+
+    monkeypatch.setattr(J, "scratch_path", lambda spark, name: str(tmp_path / name))
+    for module in (J, R):
+        monkeypatch.setattr(module, "store", seen)
+    passage = text(9, 40)
+    rows = [(i, f"{passage} {text(300 + i, 20)}") for i in range(30)] + [(50 + i, edited(text(8, 80), i, min(i, 1))) for i in range(4)]
+    rows += [(60, rows[3][1]), (61, rows[3][1]), (61, rows[3][1])]  # equal texts, one of them twice under one id
+    kept = one_of_each(docs(rows), 3, (9, 10))
+    wanted = {i for i, _, c in jaccard_components(rows, 3, 9, 10) if i == c}
+    assert {r.doc_id for r in kept.collect()} == wanted and 51 not in wanted
+    assert not any("keys" in columns for columns, _ in frames.values())
+    assert held and held <= {t for _, t in rows}
+    assert 0 < frames["home"][1] < frames["around"][1]
+    assert [p.name for p in (tmp_path / "jaccard-join").iterdir() if any(p.rglob("*.parquet")) and p.name != "home"] == ["gone"]
+
+
+def test_parts_share_all_keys():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text(1, 90), text(2, 900)])], names=["id", "text"])
+    (whole,) = J._describe(3, (9, 10))(iter([batch]))
+    parts = [next(J._describe(3, (9, 10), part, 3)(iter([batch]))) for part in range(3)]
+    for row, keys in enumerate(whole.column(3).to_pylist()):
+        dealt = [part.column(3)[row].as_py() for part in parts]
+        assert all(dealt) and sorted(sum(dealt, [])) == sorted(keys)
+
+
 def test_characters_of_the_table_and_others():
     import forgetide.llm.op3_lines as L
     for line in ("", "plain", "café ÿ", "Ā wide \U0001f600"):
