@@ -60,8 +60,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), bounds
 
 
-def pieces(bounds: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `limit` bytes; a longer text is a range of its own."""
+def pieces(bounds: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `limit` bytes, whose arrays stay in the cache and few in the worker; a longer text is a range of its own."""
     row, rows = 0, len(bounds) - 1
     while row < rows:
         end = int(np.searchsorted(bounds, bounds[row] + limit, "right")) - 1
